@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from cairn.llm import quality_rules
+from cairn.llm import bpe, packing, quality_rules, token_store
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
+    "op2_token_store": token_store.op2_token_store,
+    "op3_packing": packing.op3_packing,
+    "op8_byte_bpe": bpe.op8_byte_bpe,
 }
 
 ORACLE_SQL = {
