@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from cairn.llm import bpe, packing, quality_rules, token_store
+from cairn.llm import bpe, packing, quality_rules, token_store, warc
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
     "op2_token_store": token_store.op2_token_store,
     "op3_packing": packing.op3_packing,
+    "op5_warc": warc.op5_warc,
     "op8_byte_bpe": bpe.op8_byte_bpe,
 }
 
 ORACLE_SQL = {
     "op1_quality_rules": quality_rules.ORACLE,
+    "op5_warc": warc.ORACLE,
 }
