@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from cairn.llm import bpe, packing, quality_rules, token_store, warc
+from cairn.llm import bpe, packing, quality_classifier, quality_rules, token_store, toxicity, warc
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
     "op2_token_store": token_store.op2_token_store,
     "op3_packing": packing.op3_packing,
+    "op4_toxicity": toxicity.op4_toxicity,
     "op5_warc": warc.op5_warc,
+    "op6_quality_classifier": quality_classifier.op6_quality_classifier,
     "op8_byte_bpe": bpe.op8_byte_bpe,
 }
 
