@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cairn.llm import bpe, neighbours, ngram_join, packing, quality_classifier, quality_rules, token_store, toxicity, warc
+from cairn.llm import bpe, neighbours, ngram_join, packing, quality_classifier, quality_rules, suffix_dedup, token_store, toxicity, warc
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_warc": warc.op5_warc,
     "op6_quality_classifier": quality_classifier.op6_quality_classifier,
+    "op7_suffix_array_dedup": suffix_dedup.op7_suffix_array_dedup,
     "op8_byte_bpe": bpe.op8_byte_bpe,
     "op9_nearest_neighbours": neighbours.op9_nearest_neighbours,
     "op10_ngram_jaccard_join": ngram_join.op10_ngram_jaccard_join,
