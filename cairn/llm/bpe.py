@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.llm.tables import table
-from cairn.llm.tokens import PieceEncoder, as_ids, grouped, spaced_pieces
+from cairn.llm.tokens import PieceEncoder, as_ids, grouped
 
 #: No pair; larger than any rank.
 NONE = np.int32(2**31 - 1)
@@ -158,16 +158,16 @@ class Bpe:
             out[i] = np.array(merge_long([int(self.single[b]) for b in pieces[i]], self._pair_dict), np.int32)
         return out
 
-    def encode_new(self, texts: list[str]) -> Iterator[list[int]]:
-        """Ids of each text: its matches of the pattern, each distinct match encoded once."""
+    def encode_new(self, texts: list[str]) -> Iterator[bytes]:
+        """Ids of each text, as little-endian unsigned 32-bit integers; each distinct match of the pattern is encoded once."""
         found = [self.pattern.findall(t) for t in texts]
         place: dict[str, int] = {}
         for f in found:
             for x in f:
                 place.setdefault(x, len(place))
-        ids = self.encode_pieces([x.encode("utf-8", "surrogatepass") for x in place])
+        ids = [x.tobytes() for x in self.encode_pieces([x.encode() for x in place])]
         for f in found:
-            yield np.concatenate([ids[place[x]] for x in f]).tolist() if len(f) != 1 and f else ids[place[f[0]]].tolist() if f else []
+            yield b"".join([ids[place[x]] for x in f])
 
     def decode(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids.tolist()))
@@ -179,7 +179,7 @@ _workers: dict[tuple[str, str], tuple[Bpe, PieceEncoder]] = {}
 def _encoder(path: str, pattern: str) -> tuple[Bpe, PieceEncoder]:
     if (path, pattern) not in _workers:
         bpe = Bpe(path, pattern)
-        _workers[path, pattern] = bpe, PieceEncoder(bpe.encode_new, spaced_pieces)
+        _workers[path, pattern] = bpe, PieceEncoder(bpe.encode_new, spaced=True)
     return _workers[path, pattern]
 
 

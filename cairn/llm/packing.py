@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.llm.tables import table
-from cairn.llm.tokens import as_ids, grouped, library_encoder, spaced_pieces
+from cairn.llm.tokens import as_ids, grouped, library_encoder
 
 WINDOW = 1024
 #: Costs in padding ids: of a cut at a sentence's end, and at the grid.
@@ -99,7 +99,7 @@ def _pieces(docs: list[int | None], ids: list[np.ndarray], ends: np.ndarray, fir
 
 
 def _packed(batches: Iterable[pa.RecordBatch], path: str, end_id: int) -> Iterator[pa.RecordBatch]:
-    encoder, ends = library_encoder(path, spaced_pieces), sentence_ends(path)
+    encoder, ends = library_encoder(path, spaced=True), sentence_ends(path)
     first = TaskContext.get().partitionId() << 40
     end = np.array([end_id], "<u4").tobytes()
     docs, ids, size = [], [], 0

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cairn.llm.tables import shared_dir, table
-from cairn.llm.tokens import as_ids, grouped, library_encoder, word_pieces
+from cairn.llm.tokens import as_ids, grouped, library_encoder
 
 #: A chunk ends where the low bits of the hash of its last 16 ids are 0, within these lengths.
 MASK, LEAST, MOST, REACH = 0xFF, 64, 1024, 16
@@ -76,7 +76,7 @@ def cut_points(ids: np.ndarray) -> list[int]:
 
 def _chunked(batches: Iterable[pa.RecordBatch], path: str, end_id: int, width: str) -> Iterator[pa.RecordBatch]:
     """Chunk rows (kind 0) and one recipe row for each document (kind 1)."""
-    encoder = library_encoder(path, word_pieces)
+    encoder = library_encoder(path, spaced=False)
     end = np.array([end_id], "<u4").tobytes()
     for rows, texts in grouped(batches):
         kind, key, payload, row, doc, counts = [], [], [], [], [], []

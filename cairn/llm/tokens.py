@@ -14,7 +14,7 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 
-#: Pieces remembered by a Python worker; the memory is emptied when full.
+#: Pieces remembered by an encoder of a Python worker; its memory is emptied when full.
 MEMORY = 400_000
 #: Longer pieces are encoded anew each time.
 LONGEST = 48
@@ -23,6 +23,7 @@ GROUP = 2_000_000
 
 _EDGES = re.compile(r"\s |  |^ | $| \s")
 _INNER_SPACE = re.compile(r"(?<=\S) (?=\S)")
+_RARE_SPACE = re.compile("[\t\x0b\x0c\r\x1c-\x1f]")
 _workers: dict = {}
 
 
@@ -32,49 +33,127 @@ def word_pieces(text: str) -> list[str]:
 
 
 def spaced_pieces(text: str) -> list[str]:
-    """For byte-level patterns in which a word takes the one space before it.
+    """For byte-level patterns in which a word takes the one space before it; only the first piece has its own space.
 
     A space between two non-space characters always begins a match of the pattern.
     """
-    parts = _INNER_SPACE.split(text) if _EDGES.search(text) else text.split(" ")
-    return [parts[0], *(" " + p for p in parts[1:])] if len(parts) > 1 else parts
+    if text.isascii() and not _RARE_SPACE.search(text):
+        plain = "  " not in text and "\n " not in text and " \n" not in text and text[:1] != " " and text[-1:] != " "
+    else:
+        plain = not _EDGES.search(text)
+    return text.split(" ") if plain else _INNER_SPACE.split(text)
 
 
 class PieceEncoder:
-    """encode_new: unknown pieces -> an iterable of the ids of each."""
+    """encode_new: distinct unknown pieces -> the ids of each, as little-endian unsigned 32-bit integers.
 
-    def __init__(self, encode_new: Callable[[list[str]], Iterable[list[int]]], pieces: Callable[[str], list[str]]):
-        self.encode_new, self.pieces, self.known = encode_new, pieces, {"": b""}
+    spaced: pieces but the first of a text have a space before them.
+    """
+
+    def __init__(self, encode_new: Callable[[list[str]], Iterable[bytes]], spaced: bool, memory: int = MEMORY):
+        self.encode_new, self.spaced, self.memory = encode_new, spaced, memory
+        self.known: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        cut = [self.pieces(t) for t in texts]
+        """Ids of each whole text."""
+        cut = [spaced_pieces(t) if self.spaced else word_pieces(t) for t in texts]
+        first = [ps[0] for ps in cut]
+        if self.spaced:  # texts' first pieces have no space, so they are not remembered
+            heads = list(self.encode_new(first))
+            cut = [ps[1:] for ps in cut]
         new = set().union(*cut).difference(self.known) if cut else set()
-        if len(self.known) + len(new) > MEMORY:
-            self.known = {"": b""}
-            new = set().union(*cut) - {""}
+        if len(self.known) + len(new) > self.memory:
+            self.known = {}
+            new = set().union(*cut)
         new = list(new)
         for x in range(0, len(new), 20_000):
             part = new[x : x + 20_000]
-            self.known.update(zip(part, (array("I", ids).tobytes() for ids in self.encode_new(part)), strict=True))
+            self.known.update(zip(part, self.encode_new([" " + p for p in part] if self.spaced else part), strict=True))
         get = self.known.__getitem__
         out = [b"".join(map(get, ps)) for ps in cut]
+        if self.spaced:
+            out = [h + o for h, o in zip(heads, out, strict=True)]
         for p in new:
             if len(p) > LONGEST:
                 del self.known[p]
         return out
 
 
-def library_encoder(path: str, pieces: Callable[[str], list[str]]) -> PieceEncoder:
-    """An encoder by the tokenizers library, one per worker process and file."""
-    if ("library", path) not in _workers:
+def _byte_chars() -> dict[int, str]:
+    """Byte -> the character that stands for it in byte-level vocabularies: printable ones for themselves, the others from U+0100 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    other = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(0x100 + i) for i, b in enumerate(other)}
+
+
+_CHARS = _byte_chars()
+#: Latin letters that are their own normal form, then marks: the tokenizers' patterns cut between the two and nowhere else.
+_PLAIN = re.compile("( ?[A-Za-zÀ-ÖØ-öø-įı-ɏ]+)([.,!?;:|]*)")
+
+
+class LibraryPieces:
+    """Pieces through the tokenizers library.
+
+    Plain pieces go straight to its model, past slow normalising and cutting; the others to the whole tokenizer.
+    """
+
+    def __init__(self, path: str, lower: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         t = Tokenizer.from_file(path)
         t.encode_special_tokens = True  # their strings in a text are ordinary text
-        batch = getattr(t, "encode_batch_fast", t.encode_batch)
-        _workers["library", path] = PieceEncoder(lambda new: (e.ids for e in batch(new, add_special_tokens=False)), pieces)
+        self.batch, self.model, self.lower = getattr(t, "encode_batch_fast", t.encode_batch), t.model, lower
+        self.tails: dict[str, bytes] = {"": b""}
+
+    def _match(self, match: str) -> bytes:
+        if not match.isascii() or match[0] in " \n":
+            match = match.encode().decode("latin-1").translate(_CHARS)
+        return array("I", [x.id for x in self.model.tokenize(match)]).tobytes()
+
+    def __call__(self, pieces: list[str]) -> list[bytes]:
+        out: list[bytes | None] = [None] * len(pieces)
+        cores: dict[str, bytes] = {}
+        plain, tails, rest = _PLAIN.fullmatch, self.tails, []
+        for i, p in enumerate(pieces):
+            m = plain(p)
+            if m is None:
+                rest.append(i)
+                continue
+            core, tail = m.groups()
+            if self.lower:
+                core = core.lower()
+            ids = cores.get(core)
+            if ids is None:
+                ids = cores[core] = self._match(core)
+            if tail:
+                if tail not in tails:
+                    if len(tails) > 1000:
+                        tails.clear()
+                    tails[tail] = self._match(tail)
+                ids += tails[tail]
+            out[i] = ids
+        # a single line end between plain pieces is a match of its own
+        whole = []
+        for i in rest:
+            lines = pieces[i].split("\n")
+            cut = [plain(x) for x in lines] if len(lines) > 1 and not self.lower else [None]
+            if all(cut) and not any(x[0] == " " for x in lines[1:]):
+                out[i] = self._match("\n").join(self._match(m[1]) + (self._match(m[2]) if m[2] else b"") for m in cut)
+            else:
+                whole.append(i)
+        for i, e in zip(whole, self.batch([pieces[i] for i in whole], add_special_tokens=False), strict=True):
+            out[i] = array("I", e.ids).tobytes()
+        return out
+
+
+def library_encoder(path: str, spaced: bool) -> PieceEncoder:
+    """An encoder by the tokenizers library, one per worker process and file.
+
+    spaced: a byte-level vocabulary whose words take the space before them; else one that drops white space and case.
+    """
+    if ("library", path) not in _workers:
+        _workers["library", path] = PieceEncoder(LibraryPieces(path, lower=not spaced), spaced, 3 * MEMORY // 2)
     return _workers["library", path]
 
 
