@@ -24,13 +24,13 @@ from pyspark.sql import functions as F
 from cairn.llm.tables import stored, table
 
 #: Neighbours of a node; reverse neighbours that a node hands on; pairs that each handed node keeps of a meeting.
-K, REVERSE, KEEP = 16, 10, 4
+K, REVERSE, KEEP = 20, 12, 5
 #: Random directions of the start, and nodes of a block.
 DIRECTIONS, BLOCK = 3, 1024
 #: Rounds at most; they end when fewer than this share of the links is new.
 ROUNDS, SETTLED = 4, 0.03
 #: Nodes that a query keeps, that it expands in a hop, and its hops at most.
-BEAM, EXPANDED, HOPS = 48, 12, 5
+BEAM, EXPANDED, HOPS = 96, 24, 6
 
 
 def _nodes(vectors: DataFrame) -> DataFrame:

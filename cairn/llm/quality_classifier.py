@@ -126,17 +126,33 @@ def _scored(batches: Iterable[pa.RecordBatch], net) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(net.score(x))], names=["doc_id", "score"])
 
 
-def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id and score of every whole text. labels: doc_id, label (1: trusted positive) of the rows that may be learnt from.
+def _kept(batches: Iterable[pa.RecordBatch], net, least: float) -> Iterator[pa.RecordBatch]:
+    for rows, texts in grouped(batches):
+        yield rows.filter(pa.array(net.score(features(texts)) >= least))
+
+
+class Constant:
+    """Without positives there is nothing to learn: every score is the prior."""
+
+    def __init__(self, prior: float):
+        self.prior = prior
+
+    def score(self, x: np.ndarray) -> np.ndarray:
+        return np.full(len(x), self.prior)
+
+
+def featured(docs: DataFrame) -> DataFrame:
+    return stored(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_featured, "doc_id long, " + ", ".join(f"{f} double" for f in FEATURES)), "quality-features")
+
+
+def fit(rows: DataFrame, labels: DataFrame) -> PuNet | Constant:
+    """rows: featured documents; labels: doc_id, label (1: trusted positive) of the rows that may be learnt from.
 
     Labelled rows enter the risk as positives only; label 0 counts for the prior alone.
     """
-    rows = stored(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_featured, "doc_id long, " + ", ".join(f"{f} double" for f in FEATURES)), "quality-features")
     labels = labels.where("doc_id IS NOT NULL AND label IN (0, 1)")
     n, n_positive = labels.agg(F.count("label"), F.coalesce(F.sum("label"), F.lit(0))).first()
     prior = (n_positive + 1) / (n + 2)
-    if not n_positive:
-        return rows.select("doc_id", F.lit(prior).alias("score"))
     known = labels.groupBy("doc_id").agg(F.max("label").alias("label"))
 
     def sample(df: DataFrame) -> np.ndarray:  # bounded by MOST rows
@@ -144,9 +160,18 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     positive = sample(rows.join(known.where("label = 1"), "doc_id", "left_semi"))
     unlabelled = sample(rows.join(known, "doc_id", "left_anti"))
-    if not len(unlabelled) or not len(positive):
-        return rows.select("doc_id", F.lit(prior).alias("score"))
-    return rows.mapInArrow(partial(_scored, net=PuNet(positive, unlabelled, prior)), "doc_id long, score double")
+    return PuNet(positive, unlabelled, prior) if len(positive) and len(unlabelled) else Constant(prior)
+
+
+def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id and score of every whole text."""
+    rows = featured(docs)
+    return rows.mapInArrow(partial(_scored, net=fit(rows, labels)), "doc_id long, score double")
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:
+    """The documents with at least this score, in all their columns; no row leaves its partition."""
+    return docs.mapInArrow(partial(_kept, net=fit(featured(docs), labels), least=least), docs.schema)
 
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

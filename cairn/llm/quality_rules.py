@@ -97,9 +97,13 @@ def measured(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_
 
 
 def ledger(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The measurements with ``fail_bits``: bit i is set if rule i of RULES fails."""
+    """The measurements with ``fail_bits``: bit i is set if rule i of RULES fails.
+
+    Ledger rows are numbered, which also keeps the optimizer from moving a policy's filter below the
+    measurements, where each would be evaluated again for every rule that reads it.
+    """
     bits = reduce(lambda a, b: a.bitwiseOR(b), [F.when(F.expr(cond), F.lit(1 << i)).otherwise(F.lit(0)) for i, cond in enumerate(RULES.values())])
-    return measured(docs, text, keep).withColumn("fail_bits", bits.cast("long"))
+    return measured(docs, text, keep).withColumns({"fail_bits": bits.cast("long"), "ledger_row": F.monotonically_increasing_id()})
 
 
 def apply_policy(rows: DataFrame, policy: str = CURRENT, kept: str = "kept") -> DataFrame:

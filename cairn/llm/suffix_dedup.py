@@ -208,7 +208,7 @@ def merged(spans: list[dict]) -> np.ndarray:
     return np.stack([s[new, 0], np.concatenate([reach[new[1:] - 1], reach[-1:]])], 1)
 
 
-def _cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cut(batches: Iterable[pa.RecordBatch], as_text: bool) -> Iterator[pa.RecordBatch]:
     import zstandard
 
     unpack = zstandard.ZstdDecompressor().decompress
@@ -221,7 +221,7 @@ def _cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 edges = [0, *m.ravel().tolist(), len(text)]
                 kept.append(b"".join(text[s:e] for s, e in zip(edges[::2], edges[1::2], strict=True)))
                 removed.append(int((m[:, 1] - m[:, 0]).sum())), n_spans.append(len(m))
-            yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(kept, pa.binary())], names=["row", "n_removed", "n_spans", "kept"])
+            yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array([k.decode(errors="ignore") for k in kept], pa.string()) if as_text else pa.array(kept, pa.binary())], names=["row", "n_removed", "n_spans", "kept"])
 
 
 def _row(doc_id: str = "doc_id"):
@@ -229,8 +229,8 @@ def _row(doc_id: str = "doc_id"):
     return F.when(F.col(doc_id).isNotNull(), F.xxhash64(F.col(doc_id).cast("long"), text_or_empty()))
 
 
-def cut_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
-    """row, n_removed, n_spans, kept (bytes) of the documents that lose bytes; see _row for the key."""
+def cut_repeats(docs: DataFrame, length: int = 50, as_text: bool = False) -> DataFrame:
+    """row, n_removed, n_spans, kept (bytes, or text without cut characters) of the documents that lose bytes; see _row for the key."""
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), _row().alias("row"), text_or_empty().alias("text"))
     every = Window.partitionBy("anchor")
@@ -241,7 +241,7 @@ def cut_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
     strings = some.mapInArrow(partial(_string_rows, length=length), _STRINGS)
     spans = strings.repartition(n, "anchor").mapInArrow(partial(_shard, length=length), "row long, start long, end long")
     spans = spans.groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    return some.select("row", "packed").dropDuplicates(["row"]).join(spans, "row").mapInArrow(_cut, "row long, n_removed long, n_spans long, kept binary")
+    return some.select("row", "packed").dropDuplicates(["row"]).join(spans, "row").mapInArrow(partial(_cut, as_text=as_text), f"row long, n_removed long, n_spans long, kept {'string' if as_text else 'binary'}")
 
 
 def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
