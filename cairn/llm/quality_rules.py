@@ -99,8 +99,8 @@ def measured(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_
 def ledger(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The measurements with ``fail_bits``: bit i is set if rule i of RULES fails.
 
-    Ledger rows are numbered, which also keeps the optimizer from moving a policy's filter below the
-    measurements, where each would be evaluated again for every rule that reads it.
+    Ledger rows are numbered. A filter that reads the numbers can't be moved below the measurements, where
+    each would be evaluated again for every rule that reads it.
     """
     bits = reduce(lambda a, b: a.bitwiseOR(b), [F.when(F.expr(cond), F.lit(1 << i)).otherwise(F.lit(0)) for i, cond in enumerate(RULES.values())])
     return measured(docs, text, keep).withColumns({"fail_bits": bits.cast("long"), "ledger_row": F.monotonically_increasing_id()})
@@ -111,6 +111,11 @@ def apply_policy(rows: DataFrame, policy: str = CURRENT, kept: str = "kept") ->
     return rows.withColumn(kept, F.col("fail_bits").bitwiseAND(F.lit(mask(policy))) == 0)
 
 
+def kept_rows(rows: DataFrame, policy: str = CURRENT) -> DataFrame:
+    """The ledger rows that a policy keeps. The filter reads the rows' numbers, so it stays above the measurements."""
+    return apply_policy(rows, policy, "_kept").where("_kept AND ledger_row >= 0").drop("_kept")
+
+
 def ablations(rows: DataFrame, policy: str = CURRENT) -> DataFrame:
     """Per rule of a policy: rows it fails, rows that only it fails (these would be kept without it).
 

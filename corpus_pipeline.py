@@ -25,8 +25,7 @@ GOOD = 0.5
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected by the current policy of the rule ledger: gone. Null and empty texts have no words and go."""
     rows = docs.select(F.struct("*").alias("_doc"), F.col("text").alias("_in"))
-    rows = quality_rules.apply_policy(quality_rules.ledger(rows, "_in", ("_doc",)), kept="_kept")
-    return rows.where("_kept").select("_doc.*")
+    return quality_rules.kept_rows(quality_rules.ledger(rows, "_in", ("_doc",))).select("_doc.*")
 
 
 def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
