@@ -6,20 +6,21 @@ first few of both (their prefixes), so only these propose pairs; the order decid
 pairs are proposed, never which links are found. Overlaps are counted separately in each fragment of the order
 and summed per pair.
 
-Copies and links are not expanded into all pairs. Equal sets are one node. In the first
-round each document is compared with one partner for each kind of pivot of the shingles it
-shares; the second round compares every proposed pair whose ends are not yet
-connected, which is exact for components whatever the first round found.
+Copies and links are not expanded into all pairs. Equal sets are one node. In two rounds each node is
+compared with one or a few partners of the shingles it shares; the last round compares every
+proposed pair whose ends are not yet connected, which is exact for components whatever the first two
+found.
 
 Edge cases: null, empty and wordless texts have an empty set and link with nothing; fewer words than
 a shingle's make the whole sequence one shingle; rows that share a doc_id are one node, a null doc_id
 is never linked and has no component; an empty table gives an empty result; other columns of the
-input are not looked at. Shingles are told apart by 64-bit hashes, in a fragment by FRAGMENT_BITS + 32 bits.
+input are not looked at. Shingles are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+import uuid
 from functools import partial
 
 import numpy as np
@@ -28,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cairn.llm.graph import components
-from cairn.llm.tables import stored, table
+from cairn.llm.tables import shared_dir, stored, table
 from cairn.llm.textnum import Words, grouped, mix
 
 #: Shingles in this many documents of one task's block are counted for the order; most of them that are sent to executors.
@@ -36,6 +37,8 @@ LOCAL_FREQUENT, MOST_FREQUENT = 4, 1 << 19
 #: Shingles of a block.
 BLOCK = 6_000_000
 FRAGMENT_BITS = 4
+#: Random members of a shingle's main component that the others meet in the second round.
+PICKED = 3
 
 
 def shingle_sets(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -121,30 +124,26 @@ def _compressed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([pack(t or b"") for t in b.column("text").cast(pa.binary()).to_pylist()], pa.binary())], names=["doc_id", "packed"])
 
 
-def _fragments(batches: Iterable[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    """A row for each document and fragment of the order that has some of its shingles."""
+_COUNTS = "a long, b long, n_a long, n_b long, part int, overlap long"
+
+
+def _overlaps(batches: Iterable[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """Per pair and fragment of the order in which both have shingles: how many they share; and the sizes of both sets."""
     import zstandard
 
     unpack = zstandard.ZstdDecompressor().decompress
     for b in batches:
-        docs, packed = b.column("doc_id").to_pylist(), b.column("packed").to_pylist()
-        for x in range(0, len(docs), 200):
-            g, at = shingle_sets([unpack(p) for p in packed[x : x + 200]], size)
-            doc, part = np.repeat(np.arange(len(at) - 1), np.diff(at)), (g >> np.uint64(64 - FRAGMENT_BITS)).astype(np.int64)
-            low = (g >> np.uint64(32 - FRAGMENT_BITS)).astype("<u4")
-            new = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (part[1:] != part[:-1])])) if len(g) else np.zeros(0, np.int64)
-            stop = np.concatenate([new[1:], [len(g)]])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([docs[x + i] for i in doc[new].tolist()], pa.int64()), pa.array(part[new].astype(np.int32)), pa.array([low[s:e].tobytes() for s, e in zip(new.tolist(), stop.tolist(), strict=True)], pa.binary())],
-                names=["doc_id", "part", "tokens"],
-            )
-
-
-def _overlaps(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Overlap of the two sides in one fragment; both are ascending and without repeats."""
-    for b in batches:
-        n = [len(np.intersect1d(np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4"), assume_unique=True)) for x, y in zip(b.column("left").to_pylist(), b.column("right").to_pylist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(n, pa.int64())], names=["a", "b", "overlap"])
+        for x in range(0, b.num_rows, 200):
+            part = b.slice(x, 200)
+            place: dict[bytes, int] = {}
+            sides = [[place.setdefault(p, len(place)) for p in part.column(c).to_pylist()] for c in ("left", "right")]
+            g, at = shingle_sets([unpack(p) for p in place], size)
+            sets = [g[s:e] for s, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+            counts = np.stack([np.bincount((np.intersect1d(sets[i], sets[j], assume_unique=True) >> np.uint64(64 - FRAGMENT_BITS)).astype(np.int64), minlength=1 << FRAGMENT_BITS) for i, j in zip(*sides, strict=True)])
+            n_a, n_b = (np.array([len(sets[i]) for i in side], np.int64) for side in sides)
+            pair, piece = np.nonzero(counts)
+            take = pa.array(pair)
+            yield pa.RecordBatch.from_arrays([part.column("a").take(take), part.column("b").take(take), pa.array(n_a[pair]), pa.array(n_b[pair]), pa.array(piece.astype(np.int32)), pa.array(counts[pair, piece].astype(np.int64))], names=[c.split()[0] for c in _COUNTS.split(", ")])
 
 
 def _close(n1: Column, n2: Column, percent: int) -> Column:
@@ -157,54 +156,67 @@ def join(docs: DataFrame, size: int, percent: int) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     often = docs.select("text").mapInArrow(partial(_frequent, size=size), "token long, df long").groupBy("token").agg(F.sum("df").alias("df"))
     order = spark.sparkContext.broadcast(Order(often.orderBy(F.desc("df"), "token").limit(MOST_FREQUENT).toPandas()))
-    sets = stored(docs.mapInArrow(partial(_sets, size=size, percent=percent, order=order), "doc_id long, n long, f1 long, f2 long, prefix array<long>"), "shingle-sets")
+    sets = docs.mapInArrow(partial(_sets, size=size, percent=percent, order=order), "doc_id long, n long, f1 long, f2 long, prefix array<long>")
 
-    linked = sets.where("doc_id IS NOT NULL AND n > 0")
-    nodes = linked.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("node"), F.first("prefix").alias("prefix"), F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
-    posts = nodes.select("node", "n", F.posexplode("prefix").alias("pos", "token"))
-    every = Window.partitionBy("token")
-    posts = posts.withColumns({"c": F.count(F.lit(1)).over(every), "low": F.min(F.struct("node", "n")).over(every), "high": F.max(F.struct("n", "node")).over(every)}).where("c > 1")
-    posts = stored(posts.select("node", "n", "pos", "token", "low", "high"), "shared-shingles")
+    nodes = sets.where("doc_id IS NOT NULL AND n > 0").groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("node"), F.first("prefix").alias("prefix"))
+    posts = nodes.select("node", F.posexplode("prefix").alias("pos", "token"), "n").select("node", F.shiftleft("n", 32).bitwiseOR(F.col("pos").cast("long")).alias("n_pos"), "token")
+    posts = posts.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("c > 1")
+    posts = stored(posts.select("node", "token", "c", F.shiftright("n_pos", 32).alias("n"), F.col("n_pos").bitwiseAND(F.lit(0xFFFFFFFF)).alias("pos")), "shared-shingles")
 
-    wanted = posts.select(F.col("node").alias("doc_id")).distinct()
-    texts = docs.where("doc_id IS NOT NULL").mapInArrow(_compressed, "doc_id long, packed binary").join(wanted, "doc_id", "left_semi")
-    fragments = stored(texts.mapInArrow(partial(_fragments, size=size), "doc_id long, part int, tokens binary").dropDuplicates(["doc_id", "part"]), "fragments")
+    # texts of all that may link, in buckets: each verification joins them without another shuffle of texts
+    name = "ngram_texts_" + uuid.uuid4().hex
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    texts = docs.where("doc_id IS NOT NULL").mapInArrow(_compressed, "doc_id long, packed binary").join(posts.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    texts.dropDuplicates(["doc_id"]).write.bucketBy(parts, "doc_id").option("path", shared_dir(spark, "ngram-texts")).saveAsTable(name)
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """pairs: a, b, n_a, n_b -> those that link, by the sum of their overlaps in all fragments."""
-        left, right = fragments.select(F.col("doc_id").alias("a"), "part", F.col("tokens").alias("left")), fragments.select(F.col("doc_id").alias("b"), "part", F.col("tokens").alias("right"))
-        counts = pairs.select("a", "b").join(left, "a").join(right, ["b", "part"]).select("a", "b", "left", "right").mapInArrow(_overlaps, "a long, b long, overlap long")
-        counts = counts.groupBy("a", "b").agg(F.sum("overlap").alias("overlap"))
-        return stored(counts.join(pairs, ["a", "b"]).where(100 * F.col("overlap") >= percent * (F.col("n_a") + F.col("n_b") - F.col("overlap"))).select("a", "b"), "near-links")
-
-    stars = [posts.select("node", "n", F.col(f"{p}.node").alias("pivot"), F.col(f"{p}.n").alias("n_b")) for p in ("low", "high")]
-    first = None
-    for star in stars:
-        star = star.where((F.col("node") != F.col("pivot")) & _close(F.col("n"), F.col("n_b"), percent)).groupBy("node", "n", "pivot", "n_b").agg(F.count(F.lit(1)).alias("c"))
-        best = star.groupBy("node", "n").agg(F.max(F.struct("c", "pivot", "n_b")).alias("best")).select(F.col("node").alias("a"), F.col("best.pivot").alias("b"), F.col("n").alias("n_a"), F.col("best.n_b").alias("n_b"))
-        first = best if first is None else first.unionByName(best)
-    links = verified(stored(first.dropDuplicates(["a", "b"]), "first-pairs"))
-
-    labels = components(links)
-    marked = posts.select("node", "n", "pos", "token").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = marked.groupBy("token", "component").agg(F.count(F.lit(1)).alias("c")).groupBy("token").agg(F.max(F.struct("c", "component")).alias("top"), F.count(F.lit(1)).alias("k")).where("k > 1")
-    mixed = stored(marked.join(mixed.select("token", F.col("top.component").alias("main")), "token"), "mixed-shingles")
-    # every pair with different components has an end outside the token's main component
-    few = mixed.where("component <> main").select("token", *[F.col(c).alias(f"{c}_a") for c in ("node", "n", "pos", "component")])
-    apart = few.join(mixed, "token").where((F.col("component") != F.col("component_a")) & ((F.col("component") == F.col("main")) | (F.col("node") < F.col("node_a"))) & _close(F.col("n"), F.col("n_a"), percent))
-    possible = 1 + F.least(F.col("n") - 1 - F.col("pos"), F.col("n_a") - 1 - F.col("pos_a"))
-    shared = F.count(F.lit(1))
-    apart = apart.withColumn("possible", possible).groupBy(F.least("node", "node_a").alias("a"), F.greatest("node", "node_a").alias("b"))
-    apart = apart.agg(F.max(F.when(F.col("node") < F.col("node_a"), F.col("n")).otherwise(F.col("n_a"))).alias("n_a"), F.max(F.when(F.col("node") < F.col("node_a"), F.col("n_a")).otherwise(F.col("n"))).alias("n_b"), F.max("possible").alias("possible"), shared.alias("c"))
-    # the first shared shingle leaves the most to come; before it, none of the two is shared
-    apart = stored(apart.where((100 + percent) * F.col("possible") >= percent * (F.col("n_a") + F.col("n_b"))), "second-pairs")
-    links = links.unionByName(verified(apart))
-
-    labels = components(links)
-    groups = nodes.select("f1", "f2", F.col("n").alias("n_group"), "node")
-    groups = groups.join(labels, "node", "left").select("f1", "f2", "n_group", F.coalesce("component", "node").alias("component_id"))
-    rows = sets.select("doc_id", F.col("n").alias("n_shingles"), "f1", "f2").join(groups, ["f1", "f2"], "left")
-    return rows.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+        """pairs: a, b -> those that link, by the sum of their overlaps in all fragments."""
+        left, right = (spark.table(name).select(F.col("doc_id").alias(x), F.col("packed").alias(y)) for x, y in (("a", "left"), ("b", "right")))
+        counts = pairs.select("a", "b").join(left, "a").join(right, "b").mapInArrow(partial(_overlaps, size=size), _COUNTS)
+        counts = counts.groupBy("a", "b", "n_a", "n_b").agg(F.sum("overlap").alias("overlap"))
+        return stored(counts.where(100 * F.col("overlap") >= percent * (F.col("n_a") + F.col("n_b") - F.col("overlap"))).select("a", "b"), "near-links")
+
+    def best(rows: DataFrame, *key: str) -> DataFrame:
+        """The partner with which each node shares most shingles of its prefix."""
+        rows = rows.where((F.col("node") != F.col("pivot.node")) & _close(F.col("n"), F.col("pivot.n"), percent)).groupBy("node", "pivot.node", *key).agg(F.count(F.lit(1)).alias("c"))
+        rows = rows.toDF("a", "b", *key, "c").groupBy("a", *key).agg(F.max(F.struct("c", "b")).alias("best"))
+        return stored(rows.select("a", F.col("best.b").alias("b")).distinct(), "pairs")
+
+    def mixed(links: DataFrame) -> DataFrame:
+        """Rows of shingles that several components share, with the component that has most of them."""
+        marked = posts.join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
+        main = marked.groupBy("token", "component").agg(F.count(F.lit(1)).alias("k")).groupBy("token").agg(F.max(F.struct("k", "component")).alias("top"), F.count(F.lit(1)).alias("k")).where("k > 1")
+        return stored(marked.join(main.select("token", F.col("top.component").alias("main")), "token"), "mixed-shingles")
+
+    # first round: the node of each shingle whose shingles are shared most, likely the middle of a group of copies, and the first
+    central = posts.groupBy("node").agg(F.avg("c").alias("w"))
+    rows = stored(posts.join(central, "node"), "weighted-shingles")
+    pivots = rows.groupBy("token").agg(F.max(F.struct("w", "node", "n")).alias("top"), F.min(F.struct("node", "n")).alias("low"))
+    rows = rows.join(pivots, "token")
+    links = verified(best(rows.withColumn("pivot", F.explode(F.array(F.struct(F.lit(0).alias("kind"), "top.node", "top.n"), F.struct(F.lit(1).alias("kind"), "low.node", "low.n")))).withColumn("kind", F.col("pivot.kind")), "kind"))
+    # second round: who is not yet in the main component of its shingles meets random members of it
+    rows = mixed(links)
+    picked = [F.min(F.struct(F.xxhash64("node", F.lit(i)).alias("h"), F.lit(i).alias("kind"), "node", "n")).alias(f"p{i}") for i in range(PICKED)]
+    pivots = rows.where("component = main").groupBy("token").agg(*picked)
+    rows = rows.where("component <> main").join(pivots, "token").withColumn("pivot", F.explode(F.array(*[f"p{i}" for i in range(PICKED)]))).withColumn("kind", F.col("pivot.kind"))
+    links = links.unionByName(verified(best(rows, "kind")))
+    # last round, exact: every pair with different components has an end outside the shingle's main component. The first
+    # shingle that two sets share leaves the most to come
+    rows = mixed(links)
+    few = rows.where("component <> main").select("token", *[F.col(c).alias(f"{c}_a") for c in ("node", "n", "pos", "component")])
+    possible = 1 + F.least(F.col("n") - F.col("pos"), F.col("n_a") - F.col("pos_a")) - 1
+    enough = (100 + percent) * possible >= percent * (F.col("n") + F.col("n_a"))
+    apart = few.join(rows, (few["token"] == rows["token"]) & (F.col("component") != F.col("component_a")) & ((F.col("component") == F.col("main")) | (F.col("node") < F.col("node_a"))) & _close(F.col("n"), F.col("n_a"), percent) & enough)
+    links = links.unionByName(verified(stored(apart.select(F.least("node", "node_a").alias("a"), F.greatest("node", "node_a").alias("b")).distinct(), "pairs")))
+
+    labels = stored(components(links), "components")
+    spark.sql(f"DROP TABLE {name}")
+    narrow = stored(sets.select("doc_id", "n", "f1", "f2"), "set-fingerprints")
+    groups = narrow.where("doc_id IS NOT NULL AND n > 0").groupBy("f1", "f2").agg(F.min("doc_id").alias("node"))
+    groups = groups.join(labels, "node", "left").select("f1", "f2", F.coalesce("component", "node").alias("component_id"))
+    rows = narrow.withColumnRenamed("n", "n_shingles").join(groups, ["f1", "f2"], "left")
+    own = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
+    return rows.select("doc_id", "n_shingles", F.when(own, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
