@@ -16,7 +16,7 @@ COLUMNS = ("source_type", "external_id", "title", "body", "metadata")
 
 def _files(spark: SparkSession, path: str, pattern: str) -> DataFrame:
     name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(path)
+    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter=pattern)
     return files.select(F.col("value").alias("body"), F.regexp_replace(name, r"\.[A-Za-z]+$", "").alias("stem"), name.alias("file")).where(~F.col("file").startswith("."))
 
 
