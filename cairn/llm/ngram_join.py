@@ -20,7 +20,6 @@ input are not looked at. Shingles are told apart by 64-bit hashes.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-import uuid
 from functools import partial
 
 import numpy as np
@@ -29,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cairn.llm.graph import components
-from cairn.llm.tables import shared_dir, stored, table
+from cairn.llm.tables import bucketed, stored, table
 from cairn.llm.textnum import Words, grouped, mix
 
 #: Shingles in this many documents of one task's block are counted for the order; most of them that are sent to executors.
@@ -164,14 +163,12 @@ def join(docs: DataFrame, size: int, percent: int) -> DataFrame:
     posts = stored(posts.select("node", "token", "c", F.shiftright("n_pos", 32).alias("n"), F.col("n_pos").bitwiseAND(F.lit(0xFFFFFFFF)).alias("pos")), "shared-shingles")
 
     # texts of all that may link, in buckets: each verification joins them without another shuffle of texts
-    name = "ngram_texts_" + uuid.uuid4().hex
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.where("doc_id IS NOT NULL").mapInArrow(_compressed, "doc_id long, packed binary").join(posts.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    texts.dropDuplicates(["doc_id"]).write.bucketBy(parts, "doc_id").option("path", shared_dir(spark, "ngram-texts")).saveAsTable(name)
+    texts = bucketed(texts.dropDuplicates(["doc_id"]), "ngram_texts", "doc_id")
 
     def verified(pairs: DataFrame) -> DataFrame:
         """pairs: a, b -> those that link, by the sum of their overlaps in all fragments."""
-        left, right = (spark.table(name).select(F.col("doc_id").alias(x), F.col("packed").alias(y)) for x, y in (("a", "left"), ("b", "right")))
+        left, right = (texts.select(F.col("doc_id").alias(x), F.col("packed").alias(y)) for x, y in (("a", "left"), ("b", "right")))
         counts = pairs.select("a", "b").join(left, "a").join(right, "b").mapInArrow(partial(_overlaps, size=size), _COUNTS)
         counts = counts.groupBy("a", "b", "n_a", "n_b").agg(F.sum("overlap").alias("overlap"))
         return stored(counts.where(100 * F.col("overlap") >= percent * (F.col("n_a") + F.col("n_b") - F.col("overlap"))).select("a", "b"), "near-links")
@@ -210,7 +207,6 @@ def join(docs: DataFrame, size: int, percent: int) -> DataFrame:
     links = links.unionByName(verified(stored(apart.select(F.least("node", "node_a").alias("a"), F.greatest("node", "node_a").alias("b")).distinct(), "pairs")))
 
     labels = stored(components(links), "components")
-    spark.sql(f"DROP TABLE {name}")
     narrow = stored(sets.select("doc_id", "n", "f1", "f2"), "set-fingerprints")
     groups = narrow.where("doc_id IS NOT NULL AND n > 0").groupBy("f1", "f2").agg(F.min("doc_id").alias("node"))
     groups = groups.join(labels, "node", "left").select("f1", "f2", F.coalesce("component", "node").alias("component_id"))

@@ -22,15 +22,18 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cairn.llm.suffix_sort import equal_runs
-from cairn.llm.tables import stored, table, text_or_empty
+from cairn.llm.tables import bucketed, table, text_or_empty
 from cairn.llm.textnum import _power, grouped, mix, span_hashes
 
 #: Bytes of an anchor's k-gram; longest run of strings handed on as one piece.
 GRAM, LONGEST = 16, 4096
+#: Anchors are dealt to 2**SHARD_BITS shards; a task takes many.
+SHARD_BITS = 20
 #: Bytes of a shard beyond which its text is kept in a file instead of memory.
 MAPPED = 256_000_000
 
@@ -83,7 +86,7 @@ def _packed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row"), pa.array([pack(t or b"") for t in b.column("text").cast(pa.binary()).to_pylist()], pa.binary())], names=["doc_id", "row", "packed"])
 
 
-_STRINGS = "anchor long, string long, doc_id long, row long, at long, bytes binary"
+_STRINGS = "shard int, string long, doc_id long, row long, at long, bytes binary"
 
 
 def _string_rows(batches: Iterable[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
@@ -115,39 +118,35 @@ def _string_rows(batches: Iterable[pa.RecordBatch], length: int) -> Iterator[pa.
                 sent.add(s)
             if len(sent) > 1_000_000:
                 sent.clear()
-            cols = [pa.array(a.view(np.int64)), pa.array(ids.view(np.int64)), part.column("doc_id").take(pa.array(text)), part.column("row").take(pa.array(text)), pa.array(first - offsets[text]), pa.array(out, pa.binary())]
+            cols = [pa.array((a >> np.uint64(64 - SHARD_BITS)).astype(np.int32)), pa.array(ids.view(np.int64)), part.column("doc_id").take(pa.array(text)), part.column("row").take(pa.array(text)), pa.array(first - offsets[text]), pa.array(out, pa.binary())]
             yield pa.RecordBatch.from_arrays(cols, names=[c.split()[0] for c in _STRINGS.split(", ")])
 
 
 def _shard(batches: Iterable[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Spans (row, start, end) of one shard that also start in a smaller document."""
+    """Spans (doc_id, row, start, end) of one shard that also start in a smaller document."""
     with tempfile.TemporaryDirectory() as tmp:
         path, size = os.path.join(tmp, "text"), 0
-        place: dict[tuple[int, int], int] = {}
-        starts, lengths, seen = [], [], []
-        waiting: list[np.ndarray] = []
+        seen: set[int] = set()
+        starts, lengths, written, waiting = [], [], [], []
         with open(path, "wb") as f:
             for b in batches:
-                keys, ids, data = b.column("anchor").to_pylist(), b.column("string").to_pylist(), b.column("bytes").to_pylist()
-                which = np.empty(len(keys), np.int64)
-                for i, key in enumerate(zip(keys, ids, strict=True)):
-                    k = place.get(key)
-                    if k is None:
-                        k = place[key] = len(starts)
-                        starts.append(-1), lengths.append(0)
-                    if starts[k] < 0 and data[i] is not None:
-                        starts[k], lengths[k] = size, len(data[i])
-                        f.write((np.frombuffer(data[i], np.uint8) + np.uint8(1)).tobytes() + b"\0")  # UTF-8 has no byte 255
-                        size += len(data[i]) + 1
-                    which[i] = k
-                waiting.append(np.stack([which, *(b.column(c).to_numpy() for c in ("doc_id", "row", "at"))]))
+                own = b.filter(pc.is_valid(b.column("bytes")))
+                for key, data in zip(own.column("string").to_pylist(), own.column("bytes").to_pylist(), strict=True):
+                    if key not in seen:
+                        seen.add(key)
+                        written.append(key), starts.append(size), lengths.append(len(data))
+                        f.write((np.frombuffer(data, np.uint8) + np.uint8(1)).tobytes() + b"\0")  # UTF-8 has no byte 255
+                        size += len(data) + 1
+                waiting.append(np.stack([b.column(c).to_numpy() for c in ("string", "doc_id", "row", "at")]))
         if not size:
             return
-        del place
-        which, doc, row, at = np.concatenate(waiting, 1)
+        del seen
+        string, doc, row, at = np.concatenate(waiting, 1)
         del waiting
+        written, starts, lengths = np.array(written), np.array(starts), np.array(lengths)
+        by = np.argsort(written)
+        which = by[np.searchsorted(written[by], string)]
         text = np.memmap(path, np.uint8, "r") if size > MAPPED else np.fromfile(path, np.uint8)
-        starts, lengths = np.array(starts), np.array(lengths)
         least = np.full(len(starts), np.iinfo(np.int64).max)
         np.minimum.at(least, which, doc)
         order = np.argsort(starts)
@@ -196,7 +195,7 @@ def _shard(batches: Iterable[pa.RecordBatch], length: int) -> Iterator[pa.Record
             run = np.repeat(base[m], c) + np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
             good = run_value[run] < doc[occ]
             occ, run = occ[good], run[good]
-            yield pa.RecordBatch.from_arrays([pa.array(row[occ]), pa.array(at[occ] + run_start[run]), pa.array(at[occ] + run_end[run])], names=["row", "start", "end"])
+            yield pa.RecordBatch.from_arrays([pa.array(doc[occ]), pa.array(row[occ]), pa.array(at[occ] + run_start[run]), pa.array(at[occ] + run_end[run])], names=["doc_id", "row", "start", "end"])
 
 
 def merged(spans: list[dict]) -> np.ndarray:
@@ -215,13 +214,16 @@ def _cut(batches: Iterable[pa.RecordBatch], as_text: bool) -> Iterator[pa.Record
     for b in batches:
         for x in range(0, b.num_rows, 500):
             part = b.slice(x, 500)
-            removed, n_spans, kept = [], [], []
-            for packed, spans in zip(part.column("packed").to_pylist(), part.column("spans").to_pylist(), strict=True):
+            rows, removed, n_spans, kept = [], [], [], []
+            for row, packed, spans in zip(part.column("row").to_pylist(), part.column("packed").to_pylist(), part.column("spans").to_pylist(), strict=True):
+                if not (spans := [x for x in spans if x["row"] == row]):
+                    continue  # another row with this doc_id has them
                 text, m = unpack(packed), merged(spans)
+                rows.append(row)
                 edges = [0, *m.ravel().tolist(), len(text)]
                 kept.append(b"".join(text[s:e] for s, e in zip(edges[::2], edges[1::2], strict=True)))
                 removed.append(int((m[:, 1] - m[:, 0]).sum())), n_spans.append(len(m))
-            yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array([k.decode(errors="ignore") for k in kept], pa.string()) if as_text else pa.array(kept, pa.binary())], names=["row", "n_removed", "n_spans", "kept"])
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array([k.decode(errors="ignore") for k in kept], pa.string()) if as_text else pa.array(kept, pa.binary())], names=["row", "n_removed", "n_spans", "kept"])
 
 
 def _row(doc_id: str = "doc_id"):
@@ -237,11 +239,12 @@ def cut_repeats(docs: DataFrame, length: int = 50, as_text: bool = False) -> Dat
     anchors = rows.mapInArrow(partial(_anchor_rows, length=length), "anchor long, doc_id long")
     shared = anchors.withColumns({"least": F.min("doc_id").over(every), "most": F.max("doc_id").over(every)}).where("least < most")
     shared = shared.groupBy("doc_id").agg(F.collect_list("anchor").alias("anchors"))  # as many as a document has
-    some = stored(rows.mapInArrow(_packed, "doc_id long, row long, packed binary").join(shared, "doc_id"), "texts-with-repeats")
+    # in buckets, so that cutting needs no second shuffle of the texts
+    some = bucketed(rows.mapInArrow(_packed, "doc_id long, row long, packed binary").join(shared, "doc_id").dropDuplicates(["doc_id", "row"]), "texts_with_repeats", "doc_id")
     strings = some.mapInArrow(partial(_string_rows, length=length), _STRINGS)
-    spans = strings.repartition(n, "anchor").mapInArrow(partial(_shard, length=length), "row long, start long, end long")
-    spans = spans.groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    return some.select("row", "packed").dropDuplicates(["row"]).join(spans, "row").mapInArrow(partial(_cut, as_text=as_text), f"row long, n_removed long, n_spans long, kept {'string' if as_text else 'binary'}")
+    spans = strings.repartition(n, "shard").mapInArrow(partial(_shard, length=length), "doc_id long, row long, start long, end long")
+    spans = spans.groupBy("doc_id").agg(F.collect_list(F.struct("row", "start", "end")).alias("spans"))
+    return some.select("doc_id", "row", "packed").join(spans, "doc_id").mapInArrow(partial(_cut, as_text=as_text), f"row long, n_removed long, n_spans long, kept {'string' if as_text else 'binary'}")
 
 
 def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

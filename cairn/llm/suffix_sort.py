@@ -71,7 +71,8 @@ class Queues:
                 while len(x := np.fromfile(f, np.int64, BATCH)):
                     yield x
             os.remove(path)
-        yield from parts
+        if parts:
+            yield np.concatenate(parts)
 
 
 def _types(text: np.ndarray) -> np.ndarray:

@@ -39,3 +39,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 def text_or_empty(text: str | Column = "text") -> Column:
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
+
+
+def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
+    """Write df in buckets of a key to the shared folder and read it back: joins on the key then don't shuffle it.
+
+    Only a table can have buckets; its name leaves the catalogue at once, its files stay.
+    """
+    spark, table_name = df.sparkSession, f"{name}_{uuid.uuid4().hex}"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.bucketBy(n, key).option("path", shared_dir(spark, name)).saveAsTable(table_name)
+    out = spark.table(table_name)
+    out.schema  # resolved before the name goes
+    spark.sql(f"DROP TABLE {table_name}")
+    return out
