@@ -117,9 +117,9 @@ def _best(links: DataFrame, n: int) -> DataFrame:
 
 def build(units: DataFrame, n: int) -> DataFrame:
     """The graph u, v, sim, r (rank) over the nodes of ``units`` (node, unit, along0...)."""
-    links = None
+    links, ranges = None, max(1, min(n, units.count() // (2 * BLOCK)))  # no range is smaller than a block
     for i in range(DIRECTIONS):
-        start = units.select("node", "unit", f"along{i}").repartitionByRange(n, f"along{i}").sortWithinPartitions(f"along{i}").select("node", "unit").mapInArrow(_block_links, _LINK)
+        start = units.select("node", "unit", f"along{i}").repartitionByRange(ranges, f"along{i}").sortWithinPartitions(f"along{i}").select("node", "unit").mapInArrow(_block_links, _LINK)
         links = start if links is None else links.unionByName(start)
     graph = stored(_best(links, n), "neighbours")
     vectors = units.select(F.col("node").alias("v"), "unit")

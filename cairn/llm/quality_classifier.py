@@ -148,9 +148,10 @@ def featured(docs: DataFrame) -> DataFrame:
 def fit(rows: DataFrame, labels: DataFrame) -> PuNet | Constant:
     """rows: featured documents; labels: doc_id, label (1: trusted positive) of the rows that may be learnt from.
 
-    Labelled rows enter the risk as positives only; label 0 counts for the prior alone.
+    Labelled rows enter the risk as positives only; label 0 counts for the prior alone, which is that of
+    the rows at hand (an earlier stage may have removed most of the bad ones).
     """
-    labels = labels.where("doc_id IS NOT NULL AND label IN (0, 1)")
+    labels = labels.where("doc_id IS NOT NULL AND label IN (0, 1)").join(rows.select("doc_id").distinct(), "doc_id", "left_semi")
     n, n_positive = labels.agg(F.count("label"), F.coalesce(F.sum("label"), F.lit(0))).first()
     prior = (n_positive + 1) / (n + 2)
     known = labels.groupBy("doc_id").agg(F.max("label").alias("label"))
