@@ -473,3 +473,133 @@ def ext_sessions(spark, d):
     rows = load(spark, d, "events").select("user_id", "ts", "event_id").withColumn("gap", F.coalesce((F.col("ts") - F.lag("ts").over(w) > F.expr("INTERVAL 30 MINUTE")).cast("long"), F.lit(0)))
     rows = rows.withColumn("session", F.sum("gap").over(w))
     return rows.groupBy("user_id", "session").agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.count(F.lit(1)).alias("n"))
+
+
+# ---- more lookups, merges and scores
+
+#: Query variants with their weights.
+VARIANTS = [("trash", 1.0), ("license", 1.15), ("idiot", 0.55)]
+
+
+@query("WITH v(term, w) AS (VALUES " + ", ".join(f"('{t}', {w}::DOUBLE)" for t, w in VARIANTS) + "), h AS (SELECT d.source, d.doc_id, w * (len(string_split(lower(coalesce(text, '')), term)) - 1) / (1 + ln(1 + length(coalesce(text, '')))) AS s FROM documents d, v), b AS (SELECT source, doc_id, round(max(s), 6) AS score FROM h WHERE s > 0 GROUP BY ALL) SELECT source, doc_id, score FROM b QUALIFY row_number() OVER (PARTITION BY source ORDER BY score DESC, doc_id) <= 3")
+def r10_multi_query_merge(spark, d):
+    """Best weighted score of a document over all variants; the variants are a fixed list, scored in one pass."""
+    text = F.coalesce("text", F.lit(""))
+    low = F.lower(text)
+    best = F.greatest(*[F.lit(w) * (F.size(F.split(low, t)) - 1) / (1 + F.log(1 + F.length(text))) for t, w in VARIANTS])
+    rows = load(spark, d, "documents").select("source", "doc_id", F.round(best, 6).alias("score")).where("score > 0")
+    return rows.withColumn("r", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("score"), "doc_id"))).where("r <= 3").drop("r")
+
+
+@query("SELECT d.doc_id, round(1.0::DOUBLE / (1 + d.doc_id % 40) + 0.35 * l.quality + CASE WHEN l.quality = 1 AND l.toxic = 0 THEN 0.2 ELSE 0 END, 6) AS score FROM documents d JOIN labels l ON l.doc_id = d.doc_id ORDER BY score DESC, d.doc_id LIMIT 8")
+def r11_similar_incident(spark, d):
+    """Pool position, frame quality and completeness; the position stands for an upstream rank."""
+    rows = load(spark, d, "documents").select("doc_id").join(load(spark, d, "labels"), "doc_id")
+    score = 1.0 / (1 + F.col("doc_id") % 40) + 0.35 * F.col("quality") + F.when((F.col("quality") == 1) & (F.col("toxic") == 0), 0.2).otherwise(0.0)
+    return rows.select("doc_id", F.round(score, 6).alias("score")).orderBy(F.desc("score"), "doc_id").limit(8)
+
+
+@query("SELECT d.doc_id FROM documents d JOIN labels l ON l.doc_id = d.doc_id WHERE l.quality >= 0.45 AND (text ILIKE '%trash%' OR text ILIKE '%scum%' OR source ILIKE '%rc7%') AND NOT EXISTS (SELECT 1 FROM embeddings e WHERE e.vec_id = d.doc_id AND e.label = 3) ORDER BY d.doc_id LIMIT 25")
+def r12_injection(spark, d):
+    good = load(spark, d, "labels").where("quality >= 0.45").select("doc_id")
+    rows = load(spark, d, "documents").where(F.ilike("text", F.lit("%trash%")) | F.ilike("text", F.lit("%scum%")) | F.ilike("source", F.lit("%rc7%"))).select("doc_id").join(good, "doc_id")
+    listed = load(spark, d, "embeddings").where("label = 3").select(F.col("vec_id").alias("doc_id"))
+    return rows.join(listed, "doc_id", "left_anti").orderBy("doc_id").limit(25)
+
+
+#: Bundle, hints, components (languages stand in for them).
+BUNDLES = [("hang", ["the", "of", "trash"], ["en"]), ("disk", ["und", "der"], ["de", "fr"]), ("net", ["license"], ["es"])]
+
+
+@query("WITH b(bundle, hints, components) AS (VALUES " + ", ".join(f"('{n}', {_sql_list(h)}, {_sql_list(c)})" for n, h, c in BUNDLES) + "), s AS (SELECT doc_id, bundle, round(0.4 * len(list_filter(hints, lambda h: contains(lower(text), h))) + 0.25 * list_contains(components, lang)::INT::DOUBLE, 3) AS score FROM documents, b WHERE text IS NOT NULL) SELECT doc_id, bundle, score FROM s WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, bundle) <= 2")
+def r17_bundle_score(spark, d):
+    """The two best bundles of a document; the bundles are a short literal list."""
+    bundles = spark.createDataFrame(BUNDLES, "bundle string, hints array<string>, components array<string>")
+    rows = load(spark, d, "documents").where("text IS NOT NULL").select("doc_id", "lang", "text").join(F.broadcast(bundles))
+    rows = rows.select("doc_id", "bundle", F.round(0.4 * T.hits(F.col("hints"), F.col("text")) + 0.25 * F.array_contains("components", F.col("lang")).cast("int"), 3).alias("score")).where("score > 0")
+    return rows.withColumn("r", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("score"), "bundle"))).where("r <= 2").drop("r")
+
+
+@query("SELECT p_partkey, p_brand, p_type FROM part ORDER BY p_brand, p_type, p_partkey LIMIT 30 OFFSET 60")
+def r19_listing_page(spark, d):
+    return R.page(load(spark, d, "part").select("p_partkey", "p_brand", "p_type"), [F.col("p_brand"), F.col("p_type"), F.col("p_partkey")], 30, 60)
+
+
+@query("WITH l AS (SELECT user_id, event_type, ts, event_id FROM events) SELECT user_id, event_type, ts FROM l QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC NULLS LAST, event_id DESC) = 1")
+def r20_latest_status(spark, d):
+    """Latest row per key; also the latest status of a job."""
+    last = F.max_by(F.struct("event_type", "ts"), F.struct("ts", "event_id"))
+    return load(spark, d, "events").groupBy("user_id").agg(last.alias("x")).select("user_id", "x.event_type", "x.ts")
+
+
+@query("WITH c AS (SELECT doc_id, i, string_split(text, chr(10))[i] AS line FROM (SELECT doc_id, text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents WHERE text IS NOT NULL)), s AS (SELECT doc_id, i - 1 AS ordinal, 3 * (contains(lower(line), 'trash')::INT + contains(lower(line), 'license')::INT) + least(length(line) // 200, 5) AS score FROM c) SELECT doc_id, ordinal, score FROM s WHERE score >= 3 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, ordinal) <= 4")
+def r23_siblings(spark, d):
+    lines = load(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("ordinal", "line"))
+    score = 3 * T.hits(F.array(F.lit("trash"), F.lit("license")), F.col("line")) + F.least(F.floor(F.length("line") / 200), F.lit(5))
+    rows = lines.select("doc_id", F.col("ordinal").cast("long").alias("ordinal"), score.cast("long").alias("score")).where("score >= 3")
+    return rows.withColumn("r", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("score"), "ordinal"))).where("r <= 4").drop("r")
+
+
+@query("WITH w(ref) AS (VALUES ('wiki/3'), ('7'), ('file/src2'), ('none')), c AS (SELECT ref, regexp_replace(ref, '^(wiki|raw|file)/', '') AS k FROM w), t AS (SELECT ref, doc_id, 1 AS tier FROM c JOIN documents ON doc_id::VARCHAR = k UNION ALL SELECT ref, min(doc_id), 2 FROM c JOIN documents ON source = k GROUP BY ref) SELECT ref, doc_id, tier FROM t QUALIFY row_number() OVER (PARTITION BY ref ORDER BY tier, doc_id) = 1")
+def f11_resolver(spark, d):
+    """By key, else by source, of references without their prefixes; the first tier that finds something counts."""
+    refs = spark.createDataFrame([("wiki/3",), ("7",), ("file/src2",), ("none",)], "ref string").withColumn("k", F.regexp_replace("ref", "^(wiki|raw|file)/", ""))
+    docs = load(spark, d, "documents").select("doc_id", "source")
+    by_key = docs.join(F.broadcast(refs), F.col("doc_id").cast("string") == F.col("k")).select("ref", "doc_id", F.lit(1).alias("tier"))
+    by_source = docs.join(F.broadcast(refs), F.col("source") == F.col("k")).groupBy("ref").agg(F.min("doc_id").alias("doc_id")).select("ref", "doc_id", F.lit(2).alias("tier"))
+    return by_key.unionByName(by_source).withColumn("r", F.row_number().over(Window.partitionBy("ref").orderBy("tier", "doc_id"))).where("r = 1").drop("r")
+
+
+@query("SELECT d.source, count(*) AS n FROM documents d JOIN embeddings e ON e.vec_id = d.doc_id JOIN labels l ON l.doc_id = d.doc_id GROUP BY d.source")
+def j15_bridge_count(spark, d):
+    docs = load(spark, d, "documents").select("doc_id", "source")
+    return docs.join(load(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id")), "doc_id").join(load(spark, d, "labels").select("doc_id"), "doc_id").groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT coalesce(a.source, b.source) AS source, coalesce(a.n, 0) AS long_docs, coalesce(b.n, 0) AS framed FROM (SELECT source, count(*) AS n FROM documents WHERE n_chars > 5000 GROUP BY source) a FULL JOIN (SELECT d.source, count(*) AS n FROM documents d JOIN labels l ON l.doc_id = d.doc_id WHERE quality = 0 GROUP BY d.source) b ON a.source = b.source")
+def j11_source_spine(spark, d):
+    docs = load(spark, d, "documents")
+    a = docs.where("n_chars > 5000").groupBy("source").agg(F.count(F.lit(1)).alias("long_docs"))
+    b = docs.select("doc_id", "source").join(load(spark, d, "labels").where("quality = 0").select("doc_id"), "doc_id").groupBy("source").agg(F.count(F.lit(1)).alias("framed"))
+    return a.join(b, "source", "full_outer").na.fill(0, ["long_docs", "framed"])
+
+
+@query("SELECT conv_id, turn, list_sort(list_distinct(list_transform(regexp_extract_all(text || ' [c2] [C1] [C2]', '\\[([Cc][0-9]+)\\]', 1), lambda x: upper(x)))) AS cites FROM conversations WHERE role = 'assistant'")
+def x19_citations(spark, d):
+    rows = load(spark, d, "conversations").where("role = 'assistant'")
+    return rows.select("conv_id", "turn", F.sort_array(T.citation_ids(F.concat("text", F.lit(" [c2] [C1] [C2]")))).alias("cites"))
+
+
+@query("WITH x AS (SELECT conv_id, turn, length(text) AS n, (length(text) * 7 % 100) / 100.0::DOUBLE AS faith, (length(text) * 13 % 100) / 1000.0::DOUBLE AS score FROM conversations WHERE role = 'assistant'), l AS (SELECT *, CASE WHEN score >= 0.05 THEN 3 WHEN score >= 0.02 THEN 2 ELSE 1 END AS r, CASE WHEN faith >= 0.25 THEN 3 WHEN faith >= 0.1 THEN 2 ELSE 1 END AS f FROM x) SELECT conv_id, turn, CASE WHEN r = 1 AND f = 1 THEN 'abstain' ELSE ['weak', 'medium', 'strong'][least(r, f)] END AS trust FROM l")
+def x18_trust(spark, d):
+    """The weaker of retrieval and faithfulness; nothing to say if both are weak."""
+    n = F.length("text")
+    r = F.when((n * 13 % 100) / 1000.0 >= 0.05, 3).when((n * 13 % 100) / 1000.0 >= 0.02, 2).otherwise(1)
+    f = F.when((n * 7 % 100) / 100.0 >= 0.25, 3).when((n * 7 % 100) / 100.0 >= 0.1, 2).otherwise(1)
+    label = F.when((r == 1) & (f == 1), "abstain").otherwise(F.element_at(F.array(*map(F.lit, ("weak", "medium", "strong"))), F.least(r, f)))
+    return load(spark, d, "conversations").where("role = 'assistant'").select("conv_id", "turn", label.alias("trust"))
+
+
+@query("SELECT event_type, count(*) AS n, max(ts) AS latest FROM events GROUP BY event_type")
+def a10_domain_counts(spark, d):
+    return load(spark, d, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.max("ts").alias("latest"))
+
+
+@query("SELECT lang, count(*) AS n, round(avg((l.quality = 1)::INT), 4) AS pass_rate, round(avg((l.quality = 1 AND l.toxic = 0)::INT), 4) AS primary_rate FROM documents d JOIN labels l ON l.doc_id = d.doc_id GROUP BY lang")
+def a16_evaluation(spark, d):
+    rows = load(spark, d, "documents").select("doc_id", "lang").join(load(spark, d, "labels"), "doc_id")
+    ok = F.col("quality") == 1
+    return rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(ok.cast("int")), 4).alias("pass_rate"), F.round(F.avg((ok & (F.col("toxic") == 0)).cast("int")), 4).alias("primary_rate"))
+
+
+@query("SELECT lang, arg_max(doc_id, (n_chars, -doc_id)) AS doc_id, max(n_chars) AS n_chars FROM documents WHERE lang IS NOT NULL GROUP BY lang")
+def a19_best_per_key(spark, d):
+    best = F.max_by("doc_id", F.struct("n_chars", -F.col("doc_id")))
+    return load(spark, d, "documents").where("lang IS NOT NULL").groupBy("lang").agg(best.alias("doc_id"), F.max("n_chars").alias("n_chars"))
+
+
+@query("SELECT doc_id, round(least(CASE WHEN s >= 20 THEN 0.25 WHEN s > 0 THEN 0.1 ELSE 0 END + CASE WHEN c >= 20 THEN 0.35 WHEN c > 0 THEN 0.15 ELSE 0 END + CASE WHEN r >= 20 THEN 0.4 WHEN r > 0 THEN 0.15 ELSE 0 END + CASE WHEN c >= 20 AND r >= 20 THEN 0.1 ELSE 0 END, 1.0), 3)::DOUBLE AS quality FROM (SELECT doc_id, length(trim(coalesce(string_split(text, chr(10))[1], ''))) AS s, length(trim(coalesce(string_split(text, chr(10))[2], ''))) AS c, length(trim(coalesce(string_split(text, chr(10))[3], ''))) AS r FROM documents)")
+def x09_frame_quality(spark, d):
+    """The first three lines stand for symptom, cause and resolution."""
+    line = [F.get(F.split("text", "\n"), F.lit(i)) for i in range(3)]
+    return load(spark, d, "documents").select("doc_id", T.frame_quality(*line).alias("quality"))
