@@ -34,6 +34,8 @@ from cairn.llm.textnum import _power, grouped, mix, span_hashes
 GRAM, LONGEST = 16, 4096
 #: Anchors are dealt to 2**SHARD_BITS shards; a task takes many.
 SHARD_BITS = 20
+#: Shard tasks for each shuffle partition: a suffix array takes about a hundred times its text's share of a partition.
+FINER = 3
 #: Bytes of a shard beyond which its text is kept in a file instead of memory.
 MAPPED = 256_000_000
 
@@ -116,7 +118,7 @@ def _string_rows(batches: Iterable[pa.RecordBatch], length: int) -> Iterator[pa.
             for s, f, e in zip(ids.tolist(), first.tolist(), (last + length).tolist(), strict=True):
                 out.append(None if s in sent else raw[f:e])
                 sent.add(s)
-            if len(sent) > 1_000_000:
+            if len(sent) > 300_000:
                 sent.clear()
             cols = [pa.array((a >> np.uint64(64 - SHARD_BITS)).astype(np.int32)), pa.array(ids.view(np.int64)), part.column("doc_id").take(pa.array(text)), part.column("row").take(pa.array(text)), pa.array(first - offsets[text]), pa.array(out, pa.binary())]
             yield pa.RecordBatch.from_arrays(cols, names=[c.split()[0] for c in _STRINGS.split(", ")])
@@ -242,7 +244,7 @@ def cut_repeats(docs: DataFrame, length: int = 50, as_text: bool = False) -> Dat
     # in buckets, so that cutting needs no second shuffle of the texts
     some = bucketed(rows.mapInArrow(_packed, "doc_id long, row long, packed binary").join(shared, "doc_id").dropDuplicates(["doc_id", "row"]), "texts_with_repeats", "doc_id")
     strings = some.mapInArrow(partial(_string_rows, length=length), _STRINGS)
-    spans = strings.repartition(n, "shard").mapInArrow(partial(_shard, length=length), "doc_id long, row long, start long, end long")
+    spans = strings.repartition(FINER * n, "shard").mapInArrow(partial(_shard, length=length), "doc_id long, row long, start long, end long")
     spans = spans.groupBy("doc_id").agg(F.collect_list(F.struct("row", "start", "end")).alias("spans"))
     return some.select("doc_id", "row", "packed").join(spans, "doc_id").mapInArrow(partial(_cut, as_text=as_text), f"row long, n_removed long, n_spans long, kept {'string' if as_text else 'binary'}")
 

@@ -81,7 +81,7 @@ def _types(text: np.ndarray) -> np.ndarray:
     grows = np.zeros(n, np.int8)
     grows[:-1] = np.sign(text[1:].astype(np.int16) - text[:-1])
     grows[-1] = -1
-    at = np.where(grows != 0, np.arange(n), n)
+    at = np.where(grows != 0, np.arange(n, dtype=np.int32 if n < 2**31 - 1 else np.int64), n)
     return grows[np.minimum.accumulate(at[::-1])[::-1]] > 0
 
 
