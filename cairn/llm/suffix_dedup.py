@@ -200,13 +200,12 @@ def _shard(batches: Iterable[pa.RecordBatch], length: int) -> Iterator[pa.Record
             yield pa.RecordBatch.from_arrays([pa.array(doc[occ]), pa.array(row[occ]), pa.array(at[occ] + run_start[run]), pa.array(at[occ] + run_end[run])], names=["doc_id", "row", "start", "end"])
 
 
-def merged(spans: list[dict]) -> np.ndarray:
+def merged(start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Maximal runs [start, end) of overlapping or touching spans."""
-    s = np.array([(x["start"], x["end"]) for x in spans], np.int64)
-    s = s[np.argsort(s[:, 0], kind="stable")]
-    reach = np.maximum.accumulate(s[:, 1])
-    new = np.flatnonzero(np.concatenate([[True], s[1:, 0] > reach[:-1]]))
-    return np.stack([s[new, 0], np.concatenate([reach[new[1:] - 1], reach[-1:]])], 1)
+    order = np.argsort(start, kind="stable")
+    start, reach = start[order], np.maximum.accumulate(end[order])
+    new = np.flatnonzero(np.concatenate([[True], start[1:] > reach[:-1]]))
+    return np.stack([start[new], np.concatenate([reach[new[1:] - 1], reach[-1:]])], 1)
 
 
 def _cut(batches: Iterable[pa.RecordBatch], as_text: bool) -> Iterator[pa.RecordBatch]:
@@ -216,16 +215,25 @@ def _cut(batches: Iterable[pa.RecordBatch], as_text: bool) -> Iterator[pa.Record
     for b in batches:
         for x in range(0, b.num_rows, 500):
             part = b.slice(x, 500)
-            rows, removed, n_spans, kept = [], [], [], []
-            for row, packed, spans in zip(part.column("row").to_pylist(), part.column("packed").to_pylist(), part.column("spans").to_pylist(), strict=True):
-                if not (spans := [x for x in spans if x["row"] == row]):
-                    continue  # another row with this doc_id has them
-                text, m = unpack(packed), merged(spans)
-                rows.append(row)
-                edges = [0, *m.ravel().tolist(), len(text)]
-                kept.append(b"".join(text[s:e] for s, e in zip(edges[::2], edges[1::2], strict=True)))
-                removed.append(int((m[:, 1] - m[:, 0]).sum())), n_spans.append(len(m))
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array([k.decode(errors="ignore") for k in kept], pa.string()) if as_text else pa.array(kept, pa.binary())], names=["row", "n_removed", "n_spans", "kept"])
+            texts = [unpack(p) for p in part.column("packed").to_pylist()]
+            spans, row = part.column("spans"), part.column("row").to_numpy()
+            text = np.repeat(np.arange(len(texts)), np.diff(spans.offsets.to_numpy()))
+            of, start, end = (c.to_numpy() for c in spans.flatten().flatten())
+            own = of == row[text]  # another row with this doc_id has the others
+            if not own.any():
+                continue
+            # texts are laid out with gaps, so that no span touches another text's
+            opens = np.cumsum([0, *(len(t) + 1 for t in texts)])
+            m = merged(start[own] + opens[text[own]], end[own] + opens[text[own]])
+            place = np.searchsorted(opens, m[:, 0], side="right") - 1
+            has, first, n_spans = np.unique(place, return_index=True, return_counts=True)
+            m -= opens[place][:, None]
+            removed = np.add.reduceat(m[:, 1] - m[:, 0], first)
+            kept = []
+            for i, f, n in zip(has.tolist(), first.tolist(), n_spans.tolist(), strict=True):
+                edges = [0, *m[f : f + n].ravel().tolist(), len(texts[i])]
+                kept.append(b"".join([texts[i][s:e] for s, e in zip(edges[::2], edges[1::2], strict=True)]))
+            yield pa.RecordBatch.from_arrays([pa.array(row[has], pa.int64()), pa.array(removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array([k.decode(errors="ignore") for k in kept], pa.string()) if as_text else pa.array(kept, pa.binary())], names=["row", "n_removed", "n_spans", "kept"])
 
 
 def _row(doc_id: str = "doc_id"):

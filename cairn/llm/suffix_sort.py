@@ -85,12 +85,19 @@ def _types(text: np.ndarray) -> np.ndarray:
     return grows[np.minimum.accumulate(at[::-1])[::-1]] > 0
 
 
+def _overlapping(text: np.ndarray, kind: str) -> np.ndarray:
+    """A number of this kind at each byte that has enough bytes behind it, over the same memory."""
+    size = np.dtype(kind).itemsize
+    return np.ndarray(max(0, len(text) - size + 1), kind, text, strides=(1,))
+
+
 def _block_keys(text: np.ndarray, at: np.ndarray) -> np.ndarray:
     """The 8 bytes at each place as one number (zeros behind the end)."""
-    key = np.zeros(len(at), np.uint64)
-    for i in range(8):
-        p = at + i
-        key = key << np.uint64(8) | np.where(p < len(text), text[np.minimum(p, len(text) - 1)], 0).astype(np.uint64)
+    key, eights = np.zeros(len(at), np.uint64), _overlapping(text, ">u8")
+    inside = at < len(eights)
+    key[inside] = eights[at[inside]]
+    for i in np.flatnonzero(~inside).tolist():  # as few as begin near the end
+        key[i] = int.from_bytes(text[at[i] : at[i] + 8].tobytes().ljust(8, b"\0"), "big")
     return key
 
 
@@ -107,7 +114,7 @@ def _sorted_lms(text: np.ndarray, lms: np.ndarray, depth: int) -> np.ndarray:
         if not len(at):
             break
         key = _block_keys(text, order[at] + reach)
-        by = np.lexsort((key, rank[at]))
+        by = np.lexsort((key, rank[at])) if reach else np.argsort(key)  # at first all ranks are equal
         order[at], key = order[at[by]], key[by]
         new = np.ones(len(at), bool)
         new[1:] = (rank[at][1:] != rank[at][:-1]) | (key[1:] != key[:-1])
@@ -169,7 +176,8 @@ def equal_runs(text: np.ndarray, length: int, usable: np.ndarray, folder: str |
     Neighbours' common-prefix values, bounded by length, are taken as the suffixes leave the queues.
     """
     last = None
-    reach = np.arange(length)
+    blocks = _overlapping(text, "<u8" if length >= 8 else "u1")
+    reach = sorted({*range(0, length - blocks.itemsize + 1, blocks.itemsize), length - blocks.itemsize})
     for batch in suffixes(text, length, folder, limit):
         for x in range(0, len(batch), BATCH // 8):
             part = batch[x : x + BATCH // 8]
@@ -177,7 +185,9 @@ def equal_runs(text: np.ndarray, length: int, usable: np.ndarray, folder: str |
             if not len(part):
                 continue
             chain = part if last is None else np.concatenate([[last], part])
-            windows = text[chain[:, None] + reach]
-            same = (windows[1:] == windows[:-1]).all(1)
+            same = np.ones(len(chain) - 1, bool)
+            for r in reach:
+                block = blocks[chain + r]
+                same &= block[1:] == block[:-1]
             yield part, np.concatenate([[False], same]) if last is None else same
             last = part[-1]
