@@ -32,12 +32,12 @@ from cairn.llm.textnum import _power, grouped, mix, span_hashes
 
 #: Bytes of an anchor's k-gram; longest run of strings handed on as one piece.
 GRAM, LONGEST = 16, 4096
-#: Anchors are dealt to 2**SHARD_BITS shards; a task takes many.
-SHARD_BITS = 20
-#: Shard tasks for each shuffle partition: a suffix array takes about a hundred times its text's share of a partition.
+#: Shards for each shuffle partition: a suffix array takes about a hundred times its text's share of a partition.
 FINER = 3
 #: Bytes of a shard beyond which its text is kept in a file instead of memory.
 MAPPED = 256_000_000
+#: Bytes of strings that a task holds before it hands them on.
+HELD = 8_000_000
 
 
 def _anchors(data: np.ndarray, length: int) -> np.ndarray:
@@ -88,24 +88,44 @@ def _packed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row"), pa.array([pack(t or b"") for t in b.column("text").cast(pa.binary()).to_pylist()], pa.binary())], names=["doc_id", "row", "packed"])
 
 
-_STRINGS = "shard int, string long, doc_id long, row long, at long, bytes binary"
+_STRINGS = "shard int, n long, places binary, texts binary"
 
 
-def _string_rows(batches: Iterable[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+def _handed(held: list[tuple[np.ndarray, ...]], parts: list[bytes]) -> pa.RecordBatch:
+    """One compressed row for each shard: string, doc_id, row, at and length of its strings (0: a copy of one already sent), and their bytes."""
+    import zstandard
+
+    pack = zstandard.ZstdCompressor(level=3).compress
+    shard, *places = (np.concatenate(x) for x in zip(*held, strict=True))
+    order = np.argsort(shard, kind="stable")
+    shard, places = shard[order], np.stack(places)[:, order]
+    first = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]]))
+    stop = np.concatenate([first[1:], [len(shard)]])
+    by, rows, texts = order.tolist(), [], []
+    for a, b in zip(first.tolist(), stop.tolist(), strict=True):
+        rows.append(pack(np.diff(places[:, a:b], prepend=0).tobytes()))  # neighbours' ids and places are near
+        texts.append(pack(b"".join([parts[i] for i in by[a:b]])))
+    return pa.RecordBatch.from_arrays([pa.array(shard[first], pa.int32()), pa.array(stop - first, pa.int64()), pa.array(rows, pa.binary()), pa.array(texts, pa.binary())], names=[c.split()[0] for c in _STRINGS.split(", ")])
+
+
+def _string_rows(batches: Iterable[pa.RecordBatch], length: int, shards: int) -> Iterator[pa.RecordBatch]:
     """Runs at anchors that several documents have. A task hands on the bytes of equal runs once."""
     import zstandard
 
     unpack = zstandard.ZstdDecompressor().decompress
     sent: set[int] = set()
+    held, parts, size = [], [], 0
     for b in batches:
         for x in range(0, b.num_rows, 300):
             part = b.slice(x, 300)
             texts = [unpack(p) for p in part.column("packed").to_pylist()]
             data, offsets, text, first, last, a = _runs(texts, length)
             lists = part.column("anchors")
-            size = np.diff(lists.offsets.to_numpy())
+            n_wanted = np.diff(lists.offsets.to_numpy())
             wanted = lists.flatten().to_numpy().view(np.uint64)
-            keep = np.flatnonzero(np.isin(mix(a ^ mix(text.astype(np.uint64))), mix(wanted ^ mix(np.repeat(np.arange(len(texts)), size).astype(np.uint64)))))
+            keep = np.flatnonzero(np.isin(mix(a ^ mix(text.astype(np.uint64))), mix(wanted ^ mix(np.repeat(np.arange(len(texts)), n_wanted).astype(np.uint64)))))
+            if not len(keep):
+                continue
             text, first, last, a = text[keep], first[keep], last[keep], a[keep]
             # very long runs are cut; each cut keeps whole strings
             times = (last - first) // LONGEST + 1
@@ -114,32 +134,48 @@ def _string_rows(batches: Iterable[pa.RecordBatch], length: int) -> Iterator[pa.
             first = first + step * LONGEST
             last = np.minimum(last, first + LONGEST - 1)
             ids = span_hashes(data, first, last + length)
-            raw, out = data.tobytes(), []
-            for s, f, e in zip(ids.tolist(), first.tolist(), (last + length).tolist(), strict=True):
-                out.append(None if s in sent else raw[f:e])
-                sent.add(s)
+            raw, sizes = data.tobytes(), last + length - first
+            for i, (s, f, e) in enumerate(zip(ids.tolist(), first.tolist(), (last + length).tolist(), strict=True)):
+                if s in sent:
+                    sizes[i] = 0
+                    parts.append(b"")
+                else:
+                    sent.add(s)
+                    parts.append(raw[f:e])
+            doc, row = (part.column(c).to_numpy()[text] for c in ("doc_id", "row"))
+            held.append(((mix(a) >> np.uint64(32)).astype(np.int64) * shards >> 32, ids.view(np.int64), doc, row, first - offsets[text], sizes))
+            size += int(sizes.sum()) + 40 * len(sizes)
+            if size > HELD:
+                yield _handed(held, parts)
+                held, parts, size = [], [], 0
             if len(sent) > 300_000:
                 sent.clear()
-            cols = [pa.array((a >> np.uint64(64 - SHARD_BITS)).astype(np.int32)), pa.array(ids.view(np.int64)), part.column("doc_id").take(pa.array(text)), part.column("row").take(pa.array(text)), pa.array(first - offsets[text]), pa.array(out, pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, names=[c.split()[0] for c in _STRINGS.split(", ")])
+    if held:
+        yield _handed(held, parts)
 
 
 def _shard(batches: Iterable[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """Spans (doc_id, row, start, end) of one shard that also start in a smaller document."""
+    import zstandard
+
+    unpack = zstandard.ZstdDecompressor().decompress
     with tempfile.TemporaryDirectory() as tmp:
         path, size = os.path.join(tmp, "text"), 0
         seen: set[int] = set()
         starts, lengths, written, waiting = [], [], [], []
         with open(path, "wb") as f:
             for b in batches:
-                own = b.filter(pc.is_valid(b.column("bytes")))
-                for key, data in zip(own.column("string").to_pylist(), own.column("bytes").to_pylist(), strict=True):
-                    if key not in seen:
-                        seen.add(key)
-                        written.append(key), starts.append(size), lengths.append(len(data))
-                        f.write((np.frombuffer(data, np.uint8) + np.uint8(1)).tobytes() + b"\0")  # UTF-8 has no byte 255
-                        size += len(data) + 1
-                waiting.append(np.stack([b.column(c).to_numpy() for c in ("string", "doc_id", "row", "at")]))
+                for n, places, packed in zip(b.column("n").to_pylist(), b.column("places").to_pylist(), b.column("texts").to_pylist(), strict=True):
+                    places = np.cumsum(np.frombuffer(unpack(places), np.int64).reshape(5, n), 1)
+                    data, stop = (np.frombuffer(unpack(packed), np.uint8) + np.uint8(1)).tobytes(), np.cumsum(places[4])  # UTF-8 has no byte 255
+                    own = np.flatnonzero(places[4])
+                    for key, e, m in zip(places[0, own].tolist(), stop[own].tolist(), places[4, own].tolist(), strict=True):
+                        if key not in seen:
+                            seen.add(key)
+                            written.append(key), starts.append(size), lengths.append(m)
+                            f.write(data[e - m : e] + b"\0")
+                            size += m + 1
+                    waiting.append(places[:4])
         if not size:
             return
         del seen
@@ -251,8 +287,8 @@ def cut_repeats(docs: DataFrame, length: int = 50, as_text: bool = False) -> Dat
     shared = shared.groupBy("doc_id").agg(F.collect_list("anchor").alias("anchors"))  # as many as a document has
     # in buckets, so that cutting needs no second shuffle of the texts
     some = bucketed(rows.mapInArrow(_packed, "doc_id long, row long, packed binary").join(shared, "doc_id").dropDuplicates(["doc_id", "row"]), "texts_with_repeats", "doc_id")
-    strings = some.mapInArrow(partial(_string_rows, length=length), _STRINGS)
-    spans = strings.repartition(FINER * n, "shard").mapInArrow(partial(_shard, length=length), "doc_id long, row long, start long, end long")
+    strings = some.mapInArrow(partial(_string_rows, length=length, shards=FINER * n), _STRINGS)
+    spans = strings.repartitionById(FINER * n, "shard").mapInArrow(partial(_shard, length=length), "doc_id long, row long, start long, end long")
     spans = spans.groupBy("doc_id").agg(F.collect_list(F.struct("row", "start", "end")).alias("spans"))
     return some.select("doc_id", "row", "packed").join(spans, "doc_id").mapInArrow(partial(_cut, as_text=as_text), f"row long, n_removed long, n_spans long, kept {'string' if as_text else 'binary'}")
 
