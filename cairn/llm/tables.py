@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,10 +32,23 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def _tidy(spark: SparkSession) -> Iterator[None]:
+    """A write in here removes its shuffle files when it ends; nothing reads them again."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write df once to the shared folder and read it back: cuts the lineage, survives lost executors."""
     path = shared_dir(df.sparkSession, name)
-    df.write.parquet(path)
+    with _tidy(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -48,7 +63,8 @@ def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
     """
     spark, table_name = df.sparkSession, f"{name}_{uuid.uuid4().hex}"
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    df.write.bucketBy(n, key).option("path", shared_dir(spark, name)).saveAsTable(table_name)
+    with _tidy(spark):
+        df.write.bucketBy(n, key).option("path", shared_dir(spark, name)).saveAsTable(table_name)
     out = spark.table(table_name)
     out.schema  # resolved before the name goes
     spark.sql(f"DROP TABLE {table_name}")
