@@ -18,7 +18,7 @@ _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2**64, 0 to n."""
     if len(_powers[0]) <= n:
-        size = max(n + 1, GROUP + GROUP // 4)
+        size = n + 1 + n // 4
         for k, b in enumerate((_BASE, _INVERSE)):
             x = np.full(size, b, np.uint64)
             x[0] = 1
@@ -82,13 +82,13 @@ class Words:
         return np.diff(sums[self.offsets])
 
 
-def grouped(batches: Iterable[pa.RecordBatch], text: str = "text") -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Rows in groups of about GROUP bytes, with their texts in UTF-8 (null: empty)."""
+def grouped(batches: Iterable[pa.RecordBatch], text: str = "text", size: int = GROUP) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Rows in groups of about ``size`` bytes, with their texts in UTF-8 (null: empty)."""
     for b in batches:
         texts = [t or b"" for t in b.column(text).cast(pa.binary()).to_pylist()]
-        first, size = 0, 0
+        first, held = 0, 0
         for i, t in enumerate(texts):
-            size += len(t)
-            if size >= GROUP or i == len(texts) - 1:
+            held += len(t)
+            if held >= size or i == len(texts) - 1:
                 yield b.slice(first, i + 1 - first), texts[first : i + 1]
-                first, size = i + 1, 0
+                first, held = i + 1, 0
