@@ -2,7 +2,7 @@
 
 For each class k (toxic, ordinary) a word w after v has the probability
 
-    P_k(w | v) = A_k(vw) + r_k(v) P_k(w)                  bigrams that are kept
+    P_k(w | v) = A_k(vw) + r_k(v) P_k(w)                  bigrams
     P_k(w)     = A_k(w)  + b_k q(w | s) P_k(s)            words, then their stems of 6, 5 and 4 bytes
     P_k(s)     = A_k(s)  + b'_k q(s | s') P_k(s'), and at last b''_k q(s) alone
 
@@ -12,10 +12,11 @@ expressions are judged by their stems. A text's evidence is its length-normalise
 log-likelihood ratio, over the whole text and over its most toxic windows; a logistic
 curve, fitted on labelled rows that the counts have not seen, turns it into a score.
 
-All labelled training rows are counted. What executors hold is bounded: the SIZE entries
-of each table with the largest share of either class. Edge cases: null, empty and wordless texts have no evidence and get
-the score of that; repeated rows are scored each; without labels of both classes
-every score is 0.5; an empty table gives an empty result; labels of several rows count each.
+All labelled training rows are counted and every count is kept. The tables stay distributed: they are dealt
+into parts by key, texts are scored in blocks, and a block asks each part for the entries of its distinct words, stems
+and bigrams. A task holds one part or one block at a time; the parts grow in number with the rows. Edge cases: null, empty
+and wordless texts have no evidence and get the score of that; repeated rows are scored each; without labels of both
+classes every score is 0.5; an empty table gives an empty result; labels of several rows count each.
 """
 
 from __future__ import annotations
@@ -25,20 +26,23 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.llm.tables import stored, table
-from cairn.llm.textnum import GROUP, NOT_WORD, Words, grouped, span_hashes
+from cairn.llm.textnum import GROUP, NOT_WORD, Words, grouped, mix, span_hashes
 
-#: Most entries of each table of the model; discount of every count; least count of what is kept.
-SIZE, DISCOUNT, LEAST = 1 << 16, 0.75, 8
+#: Discount of every count.
+DISCOUNT = 0.75
 STEMS = (6, 5, 4)
 STEM_COLUMNS = tuple(f"stem{n}" for n in STEMS)
 #: Words of a window, and labelled rows at most that fit the logistic curve.
 WINDOWS, CURVE_ROWS = (1, 4, 16), 20_000
-#: Counted n-grams that a task holds before it hands them on.
-HELD = 1_000_000
+#: Counted n-grams that a task holds before it hands them on; bytes of a block of texts; rows for each part of the tables.
+HELD, BLOCK, PART_ROWS = 1_000_000, 8_000_000, 8192
+#: Values of an entry that no labelled text has: of words, of stems, of bigrams.
+NEW = {1: (0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0), **{k: (0.0, 0.0, 1.0) for k in STEMS}, 2: (0, 0)}
 FEATURES = ("whole", *(f"window_{w}" for w in WINDOWS), "hits")
 
 
@@ -66,8 +70,48 @@ def _grams(words: Words) -> tuple[np.ndarray, ...]:
     return (w, *(key(np.minimum(words.ends, words.starts + n)) for n in STEMS), before)
 
 
-def _counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of words (kind 1, with stems) and bigrams (kind 2) in both classes, summed over what a task holds."""
+def _squeezed(values: np.ndarray) -> bytes:
+    """An array of 8-byte values, equal bytes of all values side by side, compressed."""
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values).view(np.uint8).reshape(-1, 8).T.tobytes())
+
+
+def _loosened(packed: bytes, kind: type) -> np.ndarray:
+    import zstandard
+
+    return np.ascontiguousarray(np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8).reshape(8, -1).T).view(kind).ravel()
+
+
+def _keys_squeezed(keys: np.ndarray) -> bytes:
+    return _squeezed(np.diff(keys, prepend=np.int64(0)))
+
+
+def _keys_loosened(packed: bytes) -> np.ndarray:
+    return np.cumsum(_loosened(packed, np.int64))
+
+
+def _dealt(keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order of ascending keys by the part of the tables they belong to, and where each part begins in it."""
+    part = ((mix(keys.view(np.uint64)) >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    return order, np.searchsorted(part[order], np.arange(parts + 1))
+
+
+_MODEL = "part int, kind int, keys binary, values binary"
+_COUNTED = _MODEL + ", key long, " + ", ".join(f"{c} long" for c in STEM_COLUMNS) + ", toxic long, ordinary long"
+
+
+def _model_batch(kind: int, keys: np.ndarray, values: np.ndarray, parts: int) -> pa.RecordBatch:
+    """Rows of _MODEL, one for each part, of ascending keys."""
+    order, at = _dealt(keys, parts)
+    has = np.flatnonzero(np.diff(at))
+    takes = [order[at[p] : at[p + 1]] for p in has]
+    return pa.RecordBatch.from_arrays([pa.array(has.astype(np.int32)), pa.array(np.full(len(has), kind, np.int32)), pa.array([_keys_squeezed(keys[t]) for t in takes], pa.binary()), pa.array([_squeezed(values[t]) for t in takes], pa.binary())], names=["part", "kind", "keys", "values"])
+
+
+def _counted(batches: Iterable[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
+    """Counts in both classes, summed over what a task holds: words (with stems) in rows, bigrams (kind 2) packed for each part."""
     import zstandard
 
     unpack = zstandard.ZstdDecompressor().decompress
@@ -78,9 +122,14 @@ def _counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, *stems, v, t = (np.concatenate(x) for x in zip(*held, strict=True))
         for kind, key in ((1, w), (2, v << 32 | w)):
             keys, first, place = np.unique(key, return_index=True, return_inverse=True)
-            toxic, both = np.bincount(place, t, len(keys)), np.bincount(place, minlength=len(keys))
-            cols = [pa.array(np.full(len(keys), kind, np.int32)), pa.array(keys), *(pa.array(s[first]) if kind == 1 else pa.nulls(len(keys), pa.int64()) for s in stems), pa.array(toxic.astype(np.int64)), pa.array((both - toxic).astype(np.int64))]
-            yield pa.RecordBatch.from_arrays(cols, names=["kind", "key", *STEM_COLUMNS, "toxic", "ordinary"])
+            toxic, both = np.bincount(place, t, len(keys)).astype(np.int64), np.bincount(place, minlength=len(keys))
+            if kind == 2:
+                b = _model_batch(2, keys, np.stack([toxic, both - toxic], 1), parts)
+                cols = [*b.columns, *(pa.nulls(b.num_rows, pa.int64()) for _ in range(3 + len(STEMS)))]
+            else:
+                none = [pa.nulls(len(keys), k) for k in (pa.int32(), pa.int32(), pa.binary(), pa.binary())]
+                cols = [*none, pa.array(keys), *(pa.array(s[first]) for s in stems), pa.array(toxic), pa.array(both - toxic)]
+            yield pa.RecordBatch.from_arrays(cols, names=[c.split()[0] for c in _COUNTED.split(", ")])
 
     for b in batches:
         texts, flags = [unpack(p) for p in b.column("packed").to_pylist()], b.column("toxic").to_numpy()
@@ -96,89 +145,200 @@ def _counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from out()
 
 
-def model(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Tables of the two models from all labelled texts, one row per entry: kind, key, a_toxic, a_ordinary, n, b, total_n.
+def _summed(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Bigrams of one part, ascending, and their counts in both classes."""
+    if not rows.num_rows:
+        return np.zeros(0, np.int64), np.zeros((0, 2), np.int64)
+    keys = np.concatenate([_keys_loosened(p) for p in rows.column("keys").to_pylist()])
+    counts = np.concatenate([_loosened(p, np.int64).reshape(-1, 2) for p in rows.column("values").to_pylist()])
+    order = np.argsort(keys, kind="stable")
+    keys, counts = keys[order], counts[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[first], np.add.reduceat(counts, first)
 
-    kind 1 words, 6 to 4 stems, 2 bigrams: A of each class and the continuation count n; kind 3: r of a
-    bigram's first word; b is the backed-off mass of the kind.
+
+_FOLLOWED = ("f_toxic", "f_ordinary", "k_toxic", "k_ordinary")
+
+
+def _continued(rows: pa.Table) -> pa.Table:
+    """Of the words in one part's bigrams: distinct words before (n); words behind (f) and distinct ones (k) in each class."""
+    keys, counts = _summed(rows)
+    words, place = np.unique(np.concatenate([keys & 0xFFFFFFFF, keys >> 32]), return_inverse=True)
+    w, v = place[: len(keys)], place[len(keys) :]
+    cols = [np.bincount(w, minlength=len(words)), *(np.bincount(v, x, len(words)) for x in (*counts.T, *(counts > 0).T))]
+    return pa.table([words, *(c.astype(np.int64) for c in cols)], names=["key", "n", *_FOLLOWED])
+
+
+def _levels(batches: Iterable[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
+    """Rows kind, key, values as rows of _MODEL."""
+    for b in batches:
+        kinds, keys = b.column("kind").to_numpy(), b.column("key").to_numpy()
+        at, flat = b.column("values").offsets.to_numpy(), b.column("values").flatten().to_numpy()
+        for kind in np.unique(kinds):
+            rows = np.flatnonzero(kinds == kind)
+            rows = rows[np.argsort(keys[rows])]
+            values = flat[(at[rows] - at[0])[:, None] + np.arange(len(NEW[kind]))]
+            yield _model_batch(int(kind), keys[rows], values, parts)
+
+
+def model(docs: DataFrame, labels: DataFrame, parts: int) -> tuple[DataFrame, dict[int, tuple[float, float]]]:
+    """Tables of the two models from all labelled texts, packed (_MODEL), and for each kind the backed-off mass b and total n.
+
+    kind 1 words, 6 to 4 stems: A of each class and the continuation count n, words also f and k of
+    _continued; kind 2: counts of bigrams in each class.
     """
     # labels are as many as labelled documents, so both sides are shuffled, texts compressed
     rows = docs.select("doc_id", "text").where("doc_id IS NOT NULL").mapInArrow(_compressed, "doc_id long, packed binary")
     rows = rows.join(labels.select("doc_id", F.col("label").alias("toxic")), "doc_id").select("packed", "toxic")
-    counts = rows.mapInArrow(_counted, "kind int, key long, " + ", ".join(f"{c} long" for c in STEM_COLUMNS) + ", toxic long, ordinary long")
-    # written once: three steps read them
-    counts = stored(counts.groupBy("kind", "key").agg(*[F.max(c).alias(c) for c in STEM_COLUMNS], F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")), "toxicity-counts")
-    pairs = counts.where("kind = 2")
-    continuations = pairs.groupBy(F.col("key").bitwiseAND(F.lit(0xFFFFFFFF)).alias("key")).agg(F.count(F.lit(1)).alias("n"))
-    words = counts.where("kind = 1").join(continuations, "key").select("key", *STEM_COLUMNS, "toxic", "ordinary", "n")
+    counts = stored(rows.mapInArrow(partial(_counted, parts=parts), _COUNTED), "toxicity-counts")  # three steps read them
+    pairs = counts.where("kind = 2").select("part", "kind", "keys", "values")
+    behind = pairs.groupBy("part").applyInArrow(_continued, "key long, n long, " + ", ".join(f"{c} long" for c in _FOLLOWED))
+    words = counts.where("key IS NOT NULL").select("key", *STEM_COLUMNS, "toxic", "ordinary").unionByName(behind, allowMissingColumns=True)
+    sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("ordinary", "n", *_FOLLOWED)]
+    words = words.groupBy("key").agg(*[F.max(c).alias(c) for c in STEM_COLUMNS], F.sum("toxic").alias("toxic"), *sums).where("toxic IS NOT NULL")
     words = stored(words, "toxicity-words")
-    levels = [words.select(F.lit(1).alias("kind"), "key", "toxic", "ordinary", "n")]
+    levels = {1: words.select("key", "toxic", "ordinary", "n", *_FOLLOWED)}
     for kind, stem in zip(STEMS, STEM_COLUMNS, strict=True):
-        levels.append(words.groupBy(F.col(stem).alias("key")).agg(*[F.sum(c).alias(c) for c in ("toxic", "ordinary", "n")]).select(F.lit(kind).alias("kind"), "key", "toxic", "ordinary", "n"))
-    parts = []
-    d = F.lit(DISCOUNT)
-    for level in levels:
-        total = level.agg(*[F.sum(c).cast("double").alias(f"total_{c}") for c in ("toxic", "ordinary", "n")], *[F.sum((F.col(c) > 0).cast("long")).alias(f"kinds_{c}") for c in ("toxic", "ordinary")])
+        levels[kind] = words.groupBy(F.col(stem).alias("key")).agg(*[F.sum(c).alias(c) for c in ("toxic", "ordinary", "n")])
+    out, masses = None, {}
+    for kind, level in levels.items():
+        total = level.agg(*[F.sum(c).alias(c) for c in ("toxic", "ordinary", "n")], *[F.count_if(F.col(c) > 0).alias(f"kinds_{c}") for c in ("toxic", "ordinary")]).first()
         # each class has the discount that sets the same mass free, so an expression new to both speaks for neither
-        total = total.withColumn("b", d * F.least(*[F.try_divide(F.col(f"kinds_{c}"), F.col(f"total_{c}")) for c in ("toxic", "ordinary")]))
-        total = total.withColumns({f"d_{c}": F.try_divide(F.col("b") * F.col(f"total_{c}"), F.col(f"kinds_{c}")) for c in ("toxic", "ordinary")})
-        most = level.where(F.col("toxic") + F.col("ordinary") >= LEAST).join(F.broadcast(total))  # one row of totals
-        share = [F.coalesce(F.try_divide(F.col(c), F.col(f"total_{c}")), F.lit(0.0)) for c in ("toxic", "ordinary")]
-        most = most.orderBy(F.desc(F.greatest(*share)), "key").limit(SIZE)
-        parts.append(most.select("kind", "key", *[F.try_divide(F.greatest(F.col(c) - F.col(f"d_{c}"), F.lit(0.0)), F.col(f"total_{c}")).alias(f"a_{c}") for c in ("toxic", "ordinary")], F.col("n").cast("double"), "b", "total_n"))
-    most = pairs.where(F.col("toxic") + F.col("ordinary") >= 8).orderBy(F.desc(F.col("toxic") + F.col("ordinary")), "key").limit(SIZE)
-    most = most.select("key", F.shiftrightunsigned("key", 32).alias("before"), "toxic", "ordinary").where("before <> 0")
-    seen = words.select(F.col("key").alias("before"), F.col("toxic").alias("n_toxic"), F.col("ordinary").alias("n_ordinary"))
-    most = stored(seen.join(F.broadcast(most), "before"), "toxicity-pairs")  # at most SIZE rows are sent
-    share = [F.coalesce(F.greatest(F.col(c) - d, F.lit(0.0)) / F.greatest(F.col(f"n_{c}"), F.lit(1)), F.lit(0.0)) for c in ("toxic", "ordinary")]
-    zero = [F.lit(0.0).alias(c) for c in ("n", "b", "total_n")]
-    parts.append(most.select(F.lit(2).alias("kind"), "key", share[0].alias("a_toxic"), share[1].alias("a_ordinary"), *zero))
-    parts.append(most.groupBy(F.col("before").alias("key")).agg((1 - F.least(F.sum(share[0]), F.lit(0.99))).alias("a_toxic"), (1 - F.least(F.sum(share[1]), F.lit(0.99))).alias("a_ordinary")).select(F.lit(3).alias("kind"), "key", "a_toxic", "a_ordinary", *zero))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        both = [c for c in ("toxic", "ordinary") if total[c]]
+        b = DISCOUNT * min((total[f"kinds_{c}"] / total[c] for c in both), default=1 / DISCOUNT)
+        masses[kind] = b, float(total["n"] or 1)
+        share = [F.greatest(F.col(c) - b * total[c] / total[f"kinds_{c}"], F.lit(0.0)) / total[c] if c in both else F.lit(0.0) for c in ("toxic", "ordinary")]
+        values = F.array(*share, *[F.col(c).cast("double") for c in ("n", *(_FOLLOWED if kind == 1 else ()))])
+        level = level.select(F.lit(kind).alias("kind"), "key", values.alias("values"))
+        out = level if out is None else out.unionByName(level)
+    return pairs.unionByName(out.mapInArrow(partial(_levels, parts=parts), _MODEL)), masses
+
+
+class Block:
+    """A block of texts in groups, and its distinct keys of each kind, ascending."""
+
+    def __init__(self):
+        self.groups, self.held = [], []
+
+    def add(self, texts: list[bytes], keep: bool) -> None:
+        words = Words(texts, NOT_WORD)
+        grams = _grams(words)
+        if keep:
+            self.groups.append((words, grams))
+        self.held.append({k: np.unique(x) for k, x in self.by_kind(grams).items()})
+
+    @staticmethod
+    def by_kind(grams: tuple[np.ndarray, ...]) -> dict[int, np.ndarray]:
+        w, *stems, v = grams
+        return {1: np.concatenate([w, v[v != 0]]), **dict(zip(STEMS, stems, strict=True)), 2: (v << 32 | w)[v != 0]}
+
+    def keys(self) -> dict[int, np.ndarray]:
+        return {k: np.unique(np.concatenate([h[k] for h in self.held])) for k in NEW}
+
+
+_PIECE = "block long, part int, kind int, packed binary"
+
+
+def _pieces(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["block", "part", "kind", "packed"])
+
+
+def _blocks(batches: Iterable[pa.RecordBatch], parts: int, ask: bool) -> Iterator[pa.RecordBatch]:
+    """Blocks of a partition's rows: their texts (part -1), or, to ask, their distinct keys for each part."""
+    from pyspark import TaskContext
+
+    number = TaskContext.get().partitionId() << 32
+
+    def out() -> pa.RecordBatch:
+        if not ask:
+            sink = pa.BufferOutputStream()
+            rows = pa.record_batch([pa.array(ids, pa.int64()), pa.array(texts, pa.large_binary())], names=["doc_id", "text"])
+            with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))) as w:
+                w.write_batch(rows)
+            return _pieces([(number, -1, 0, sink.getvalue().to_pybytes())])
+        rows = []
+        for kind, keys in block.keys().items():
+            order, at = _dealt(keys, parts)
+            rows += [(number, p, kind, _keys_squeezed(keys[order[at[p] : at[p + 1]]])) for p in np.flatnonzero(np.diff(at)).tolist()]
+        return _pieces(rows) if rows else _pieces([(number, -1, 0, b"")]).slice(0, 0)
+
+    block, ids, texts, size = Block(), [], [], 0
+    for rows, group in grouped(batches, size=GROUP // 4):
+        if ask:
+            block.add(group, keep=False)
+        else:
+            ids, texts = ids + rows.column("doc_id").to_pylist(), texts + group
+        size += sum(map(len, group))
+        if size >= BLOCK:
+            yield out()
+            block, ids, texts, size, number = Block(), [], [], 0, number + 1
+    if block.held or texts:
+        yield out()
+
+
+def _answers(entries: pa.Table, asked: pa.Table) -> pa.Table:
+    """Values of the keys that blocks ask one part of the tables for."""
+    tables = {}
+    for kind, new in NEW.items():
+        rows = entries.filter(pa.compute.equal(entries.column("kind"), kind))
+        if kind == 2:
+            tables[kind] = _summed(rows)
+        elif rows.num_rows:
+            keys = np.concatenate([_keys_loosened(p) for p in rows.column("keys").to_pylist()])
+            order = np.argsort(keys)
+            tables[kind] = keys[order], np.concatenate([_loosened(p, np.float64).reshape(-1, len(new)) for p in rows.column("values").to_pylist()])[order]
+        else:
+            tables[kind] = np.zeros(0, np.int64), np.zeros((0, len(new)))
+    out = []
+    for number, part, kind, packed in zip(*(asked.column(c).to_pylist() for c in ("block", "part", "kind", "packed")), strict=True):
+        keys, (known, values) = _keys_loosened(packed), tables[kind]
+        found = np.tile(np.array(NEW[kind], values.dtype), (len(keys), 1))
+        if len(known):
+            at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+            has = known[at] == keys
+            found[has] = values[at[has]]
+        out.append((number, part, kind, _squeezed(found)))
+    return pa.Table.from_batches([_pieces(out)])
 
 
 class Scorer:
-    """The model's tables as sorted arrays; at most SIZE entries each."""
-
-    def __init__(self, rows):
-        self.tables = {}
-        for kind in (1, *STEMS, 2, 3):
-            x = rows[rows["kind"] == kind].sort_values("key")
-            first = x.iloc[0] if len(x) else {"b": 1.0, "total_n": 1.0}
-            self.tables[kind] = x["key"].to_numpy(np.int64), x[["a_toxic", "a_ordinary", "n"]].fillna(0.0).to_numpy(np.float64), float(first["b"]), float(first["total_n"])
-
-    def _of(self, kind: int, keys: np.ndarray, default: tuple[float, float, float]) -> np.ndarray:
-        known, values, _, _ = self.tables[kind]
-        if not len(known):
-            return np.broadcast_to(np.array(default), (len(keys), 3))
-        at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
-        return np.where((known[at] == keys)[:, None], values[at], np.array(default))
-
-    def ratios(self, words: Words) -> np.ndarray:
+    """The entries of the two models that a block of texts has."""
+
+    def __init__(self, tables: dict[int, tuple[np.ndarray, np.ndarray]], masses: dict[int, tuple[float, float]]):
+        self.tables, self.masses = tables, masses
+
+    def _of(self, kind: int, keys: np.ndarray) -> np.ndarray:
+        known, values = self.tables[kind]
+        return values[np.searchsorted(known, keys)]
+
+    def ratios(self, grams: tuple[np.ndarray, ...]) -> np.ndarray:
         """Log-likelihood ratio, toxic to ordinary, of each word after the one before."""
-        w, *stems, v = _grams(words)
+        w, *stems, v = grams
         distinct, place = np.unique(w, return_inverse=True)
         first = np.zeros(len(distinct), np.int64)
         first[place] = np.arange(len(w))
-        levels = [(1, self._of(1, distinct, (0, 0, 1))), *((k, self._of(k, s[first], (0, 0, 1))) for k, s in zip(STEMS, stems, strict=True))]
+        levels = [(1, self._of(1, distinct)), *((k, self._of(k, s[first])) for k, s in zip(STEMS, stems, strict=True))]
         kind, last = levels[-1]
-        p = last[:, :2] + self.tables[kind][2] * (last[:, 2:] + 1) / (self.tables[kind][3] + 2)
+        b, total = self.masses[kind]
+        p = last[:, :2] + b * (last[:, 2:3] + 1) / (total + 2)
         for (kind, x), (_, y) in zip(levels[-2::-1], levels[:0:-1], strict=True):
-            p = x[:, :2] + self.tables[kind][2] * np.minimum(1, x[:, 2:] / np.maximum(y[:, 2:], 1)) * p
+            p = x[:, :2] + self.masses[kind][0] * np.minimum(1, x[:, 2:3] / np.maximum(y[:, 2:3], 1)) * p
         p = p[place]
-        pair, rest = self._of(2, v << 32 | w, (0, 0, 0)), self._of(3, v, (1, 1, 0))
-        p = pair[:, :2] + rest[:, :2] * p
+        after = np.flatnonzero(v)
+        pair, before = self._of(2, v[after] << 32 | w[after]), self._of(1, v[after])
+        f, k = before[:, 3:5], before[:, 5:7]
+        # as above: both classes set the same mass free behind a word; a class without it backs off wholly
+        b = np.where(f > 0, DISCOUNT * k / np.maximum(f, 1), 1).min(1, keepdims=True)
+        share = np.maximum(pair - b * f / np.maximum(k, 1), 0) / np.maximum(f, 1)
+        p[after] = np.where(f > 0, share + b * p[after], p[after])
         return np.log(p[:, 0] + 1e-12) - np.log(p[:, 1] + 1e-12)
 
-    def features(self, texts: list[bytes]) -> np.ndarray:
+    def features(self, words: Words, grams: tuple[np.ndarray, ...]) -> np.ndarray:
         """FEATURES of each text; all 0 without words."""
-        words, out = Words(texts, NOT_WORD), np.zeros((len(texts), len(FEATURES)))
+        out = np.zeros((words.n_texts, len(FEATURES)))
         if not len(words.starts):
             return out
-        r = np.clip(self.ratios(words), -8, 8)
+        r = np.clip(self.ratios(grams), -8, 8)
         n = words.per_text()
         has = np.flatnonzero(n)
         out[has, 0] = words.per_text(r)[has] / n[has]
@@ -193,10 +353,44 @@ class Scorer:
         return out
 
 
-def _evidence(batches: Iterable[pa.RecordBatch], scorer) -> Iterator[pa.RecordBatch]:
-    for rows, texts in grouped(batches, size=GROUP // 4):
-        f = scorer.value.features(texts)
-        yield pa.RecordBatch.from_arrays([rows.column("doc_id"), *(pa.array(f[:, i]) for i in range(len(FEATURES)))], names=["doc_id", *FEATURES])
+def _evidence(batches: Iterable[pa.RecordBatch], parts: int, masses: dict[int, tuple[float, float]]) -> Iterator[pa.RecordBatch]:
+    """Features of the texts of each block, from its texts and the answers of all parts, which follow in order."""
+
+    def out() -> Iterator[pa.RecordBatch]:
+        if not texts:
+            raise ValueError(f"block {number} has answers without texts")
+        rows = pa.ipc.open_stream(texts).read_all()
+        block = Block()
+        for _, group in grouped(rows.to_batches(), size=GROUP // 4):
+            block.add(group, keep=True)
+        tables = {}
+        for kind, keys in block.keys().items():
+            got = answers.get(kind, [])
+            values = np.concatenate([_loosened(p, np.int64 if kind == 2 else np.float64) for p in got]) if got else np.zeros(0)
+            values = values.reshape(-1, len(NEW[kind]))
+            if len(values) != len(keys):
+                raise ValueError(f"block {number} has {len(keys)} keys of kind {kind} and {len(values)} answers")
+            order, _ = _dealt(keys, parts)
+            placed = np.empty_like(values)
+            placed[order] = values
+            tables[kind] = keys, placed
+        scorer = Scorer(tables, masses)
+        f = np.concatenate([scorer.features(*g) for g in block.groups])
+        yield pa.RecordBatch.from_arrays([rows.column("doc_id").combine_chunks(), *(pa.array(f[:, i].copy()) for i in range(len(FEATURES)))], names=["doc_id", *FEATURES])
+
+    number, texts, answers = None, b"", {}
+    for b in batches:
+        for at, part, kind, packed in zip(*(b.column(c).to_pylist() for c in ("block", "part", "kind", "packed")), strict=True):
+            if number is not None and at != number:
+                yield from out()
+                texts, answers = b"", {}
+            number = at
+            if part < 0:
+                texts = packed
+            else:
+                answers.setdefault(kind, []).append(packed)
+    if number is not None:
+        yield from out()
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[np.ndarray, float]:
@@ -220,9 +414,14 @@ def score(docs: DataFrame, labels: DataFrame, curve_part: Column) -> DataFrame:
     """
     spark = docs.sparkSession
     labels = labels.where("doc_id IS NOT NULL AND label IN (0, 1)")
-    # bounded: at most SIZE rows of each of six kinds
-    scorer = spark.sparkContext.broadcast(Scorer(model(docs, labels.where(~curve_part)).toPandas()))
-    evidence = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(partial(_evidence, scorer=scorer), "doc_id long, " + ", ".join(f"{f} double" for f in FEATURES))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(n, docs.count() // PART_ROWS)
+    entries, masses = model(docs, labels.where(~curve_part), parts)
+    rows = docs.select(F.col("doc_id").cast("long"), "text")
+    asked, texts = (rows.mapInArrow(partial(_blocks, parts=parts, ask=ask), _PIECE) for ask in (True, False))
+    answers = entries.groupBy("part").cogroup(asked.groupBy("part")).applyInArrow(_answers, _PIECE)
+    pieces = texts.unionByName(answers).repartition(n, "block").sortWithinPartitions("block", "part")
+    evidence = pieces.mapInArrow(partial(_evidence, parts=parts, masses=masses), "doc_id long, " + ", ".join(f"{f} double" for f in FEATURES))
     evidence = stored(evidence, "toxicity-evidence")
     fit = evidence.join(labels.where(curve_part), "doc_id").orderBy(F.xxhash64("doc_id")).limit(CURVE_ROWS).toPandas()
     x, y = fit[list(FEATURES)].to_numpy(float), fit["label"].to_numpy(float)

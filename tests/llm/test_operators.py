@@ -199,6 +199,30 @@ def test_toxicity(spark, awkward, empty):
     assert toxicity.score(empty, labels, part == 4).count() == 0
 
 
+def test_toxicity_keeps_every_count(spark):
+    docs, labels = labelled(spark)
+    entries, _ = toxicity.model(docs, labels, 3)
+    rows = entries.where("kind = 2").groupBy("part").applyInArrow(lambda t: t.schema.empty_table() if not t.num_rows else toxicity.pa.table([toxicity._summed(t)[1][:, 0], toxicity._summed(t)[1][:, 1]], names=["toxic", "ordinary"]), "toxic long, ordinary long").collect()
+    want, toxic = collections.Counter(), {r["doc_id"]: r["label"] for r in labels.collect()}
+    for r in docs.collect():
+        w = re.findall(r"[a-z0-9\x80-\xff]+", r["text"].encode().decode("latin-1").lower())
+        want.update((a, b, toxic[r["doc_id"]]) for a, b in zip([None, *w], w))
+    pairs = {(a, b) for a, b, _ in want}
+    assert collections.Counter((r["toxic"], r["ordinary"]) for r in rows) == collections.Counter((want[a, b, 1], want[a, b, 0]) for a, b in pairs)
+
+
+def test_toxicity_knows_rare_words(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "BLOCK", 20_000)  # several blocks
+    docs, labels = labelled(spark)
+    part = toxicity.fold("doc_id", 5)
+    few = [r["doc_id"] for r in docs.join(labels, "doc_id").where((part > 0) & (part < 4) & (F.col("label") == 1)).orderBy("doc_id").limit(4).collect()]
+    docs = docs.withColumn("text", F.when(F.col("doc_id").isin(few), F.concat("text", F.lit(" zorvex"))).otherwise(F.col("text")))
+    plain = base_text(9, 20)
+    new = spark.createDataFrame([(-1, plain + " zorvex"), (-2, plain + " qulmid")], docs.schema)
+    score = {r["doc_id"]: r["score"] for r in toxicity.score(docs.unionByName(new), labels.where(part != 0), part == 4).where("doc_id < 0").collect()}
+    assert score[-1] > score[-2]
+
+
 def test_quality_classifier(spark, awkward, empty):
     docs, labels = labelled(spark)
     docs = docs.withColumn("text", F.when(F.col("doc_id") % 5 == 0, F.regexp_replace("text", " ", "### ")).otherwise(F.col("text")))
