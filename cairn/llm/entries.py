@@ -15,6 +15,7 @@ QUERIES = {
     "op8_byte_bpe": bpe.op8_byte_bpe,
     "op9_nearest_neighbours": neighbours.op9_nearest_neighbours,
     "op10_ngram_jaccard_join": ngram_join.op10_ngram_jaccard_join,
+    "op10_ngram_jaccard_links": ngram_join.op10_ngram_jaccard_links,
 }
 
 ORACLE_SQL = {

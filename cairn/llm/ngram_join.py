@@ -6,10 +6,10 @@ first few of both (their prefixes), so only these propose pairs; the order decid
 pairs are proposed, never which links are found. Overlaps are counted separately in each fragment of the order
 and summed per pair.
 
-Copies and links are not expanded into all pairs. Equal sets are one node. In two rounds each node is
-compared with one or a few partners of the shingles it shares; the last round compares every
-proposed pair whose ends are not yet connected, which is exact for components whatever the first two
-found.
+Equal sets are one node. ``links`` compares every proposed pair of nodes and returns all that link. ``join`` needs
+components alone and takes a short cut: in two rounds each node is compared with one or a few partners of the shingles it
+shares; the last round compares every proposed pair whose ends are not yet connected, which is exact for components
+whatever the first two found.
 
 Edge cases: null, empty and wordless texts have an empty set and link with nothing; fewer words than
 a shingle's make the whole sequence one shingle; rows that share a doc_id are one node, a null doc_id
@@ -149,8 +149,8 @@ def _close(n1: Column, n2: Column, percent: int) -> Column:
     return (n1 * 100 >= n2 * percent) & (n2 * 100 >= n1 * percent)
 
 
-def join(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Per document its set size (n_shingles) and component_id under 100 * intersection >= percent * union."""
+def _shared(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Sets of all rows; nodes at the shingles of their prefixes that others share; texts of these nodes in buckets."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     often = docs.select("text").mapInArrow(partial(_frequent, size=size), "token long, df long").groupBy("token").agg(F.sum("df").alias("df"))
@@ -165,13 +165,41 @@ def join(docs: DataFrame, size: int, percent: int) -> DataFrame:
     # texts of all that may link, in buckets: each verification joins them without another shuffle of texts
     texts = docs.where("doc_id IS NOT NULL").mapInArrow(_compressed, "doc_id long, packed binary").join(posts.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
     texts = bucketed(texts.dropDuplicates(["doc_id"]), "ngram_texts", "doc_id")
+    return sets, posts, texts
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """pairs: a, b -> those that link, by the sum of their overlaps in all fragments: a, b, n_a, n_b, overlap."""
+    left, right = (texts.select(F.col("doc_id").alias(x), F.col("packed").alias(y)) for x, y in (("a", "left"), ("b", "right")))
+    counts = pairs.select("a", "b").join(left, "a").join(right, "b").mapInArrow(partial(_overlaps, size=size), _COUNTS)
+    counts = counts.groupBy("a", "b", "n_a", "n_b").agg(F.sum("overlap").alias("overlap"))
+    return counts.where(100 * F.col("overlap") >= percent * (F.col("n_a") + F.col("n_b") - F.col("overlap")))
+
+
+def _enough(n1: Column, pos1: Column, n2: Column, pos2: Column, percent: int) -> Column:
+    """Whether sets can link whose first shared shingle stands at these positions of the order."""
+    return (100 + percent) * F.least(n1 - pos1, n2 - pos2) >= percent * (n1 + n2)
+
+
+def links(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """Every pair of different sets under 100 * overlap >= percent * union: a < b, n_a, n_b, overlap.
+
+    Rows of equal sets meet as the one with the smallest doc_id; a and b are these. In a group of near copies the
+    pairs are as many as its square, as the result is.
+    """
+    _, posts, texts = _shared(docs, size, percent)
+    left = posts.select("token", *[F.col(c).alias(f"{c}_a") for c in ("node", "n", "pos")])
+    near = _close(F.col("n"), F.col("n_a"), percent) & _enough(F.col("n"), F.col("pos"), F.col("n_a"), F.col("pos_a"), percent)
+    pairs = left.join(posts, "token").where((F.col("node_a") < F.col("node")) & near).select(F.col("node_a").alias("a"), F.col("node").alias("b")).distinct()
+    return _verified(stored(pairs, "pairs"), texts, size, percent).select("a", "b", "n_a", "n_b", "overlap")
+
+
+def join(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """Per document its set size (n_shingles) and component_id under 100 * intersection >= percent * union."""
+    sets, posts, texts = _shared(docs, size, percent)
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """pairs: a, b -> those that link, by the sum of their overlaps in all fragments."""
-        left, right = (texts.select(F.col("doc_id").alias(x), F.col("packed").alias(y)) for x, y in (("a", "left"), ("b", "right")))
-        counts = pairs.select("a", "b").join(left, "a").join(right, "b").mapInArrow(partial(_overlaps, size=size), _COUNTS)
-        counts = counts.groupBy("a", "b", "n_a", "n_b").agg(F.sum("overlap").alias("overlap"))
-        return stored(counts.where(100 * F.col("overlap") >= percent * (F.col("n_a") + F.col("n_b") - F.col("overlap"))).select("a", "b"), "near-links")
+        return stored(_verified(pairs, texts, size, percent).select("a", "b"), "near-links")
 
     def best(rows: DataFrame, *key: str) -> DataFrame:
         """The partner with which each node shares most shingles of its prefix."""
@@ -201,8 +229,7 @@ def join(docs: DataFrame, size: int, percent: int) -> DataFrame:
     # shingle that two sets share leaves the most to come
     rows = mixed(links)
     few = rows.where("component <> main").select("token", *[F.col(c).alias(f"{c}_a") for c in ("node", "n", "pos", "component")])
-    possible = 1 + F.least(F.col("n") - F.col("pos"), F.col("n_a") - F.col("pos_a")) - 1
-    enough = (100 + percent) * possible >= percent * (F.col("n") + F.col("n_a"))
+    enough = _enough(F.col("n"), F.col("pos"), F.col("n_a"), F.col("pos_a"), percent)
     apart = few.join(rows, (few["token"] == rows["token"]) & (F.col("component") != F.col("component_a")) & ((F.col("component") == F.col("main")) | (F.col("node") < F.col("node_a"))) & _close(F.col("n"), F.col("n_a"), percent) & enough)
     links = links.unionByName(verified(stored(apart.select(F.least("node", "node_a").alias("a"), F.greatest("node", "node_a").alias("b")).distinct(), "pairs")))
 
@@ -217,3 +244,7 @@ def join(docs: DataFrame, size: int, percent: int) -> DataFrame:
 
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(table(spark, sf_dir, "documents", "doc_id", "text"), size=4, percent=85)
+
+
+def op10_ngram_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return links(table(spark, sf_dir, "documents", "doc_id", "text"), size=4, percent=85)

@@ -343,6 +343,22 @@ def test_ngram_join(spark, awkward, empty):
     assert ngram_join.join(empty, 4, 85).count() == 0
 
 
+def test_ngram_links(spark):
+    docs = []
+    for i in range(48):  # groups of different near copies, and two exact copies in each
+        words = base_text(2000 + i // 12, 90).split()
+        words[-1 - i % 12 % 10 % 3] = f"edit{i % 12 % 10}"
+        docs.append((i, " ".join(words)))
+    sets = {}
+    for k, t in docs:
+        sets.setdefault(frozenset(sets_by_hand(t, 4)), k)
+    nodes = [(k, s) for s, k in sets.items()]
+    want = {(a, b, len(s), len(t), len(s & t)) for a, s in nodes for b, t in nodes if a < b and 100 * len(s & t) >= 85 * len(s | t)}
+    got = [tuple(r) for r in ngram_join.links(spark.createDataFrame(docs, "doc_id long, text string"), 4, 85).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert len(want) > len(nodes)  # more than connect the groups
+
+
 def test_components(spark):
     rng = np.random.default_rng(2)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 200, (150, 2))] + [(i, i + 1) for i in range(300, 340)]
