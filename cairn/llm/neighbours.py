@@ -27,10 +27,10 @@ from cairn.llm.tables import stored, table
 K, REVERSE, KEEP = 20, 12, 5
 #: Random directions of the start, and nodes of a block.
 DIRECTIONS, BLOCK = 3, 1024
-#: Rounds at most; they end when fewer than this share of the links is new.
-ROUNDS, SETTLED = 4, 0.03
-#: Nodes that a query keeps, that it expands in a hop, and its hops at most.
-BEAM, EXPANDED, HOPS = 96, 24, 6
+#: Rounds end when no more than this share of the links is new.
+SETTLED = 0.03
+#: Nodes that a query keeps, and that it expands in a hop; hops end when all that it keeps are expanded.
+BEAM, EXPANDED = 96, 24
 
 
 def _nodes(vectors: DataFrame) -> DataFrame:
@@ -54,12 +54,12 @@ def _unit(column: pa.Array, dim: int) -> np.ndarray:
 
 
 def _projected(batches: Iterable[pa.RecordBatch], dim: int) -> Iterator[pa.RecordBatch]:
-    """Unit vectors in half precision, and where each lies along the random directions."""
+    """Unit vectors in single precision, and where each lies along the random directions."""
     directions = np.random.default_rng(7).normal(size=(dim, DIRECTIONS))
     for b in batches:
         u = _unit(b.column("vec"), dim)
         yield pa.RecordBatch.from_arrays(
-            [b.column("node"), pa.array([x.tobytes() for x in u.astype(np.float16)], pa.binary()), *(pa.array(c) for c in (u @ directions).T.copy())],
+            [b.column("node"), pa.array([x.tobytes() for x in u.astype(np.float32)], pa.binary()), *(pa.array(c) for c in (u @ directions).T.copy())],
             names=["node", "unit", *(f"along{i}" for i in range(DIRECTIONS))],
         )
 
@@ -74,7 +74,7 @@ def _links(ids: np.ndarray, units: np.ndarray, most: int) -> tuple[np.ndarray, n
 
 
 def _units(values: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(values), np.float16).reshape(len(values), -1).astype(np.float32)
+    return np.frombuffer(b"".join(values), np.float32).reshape(len(values), -1)
 
 
 _LINK = "u long, v long, sim float"
@@ -123,7 +123,7 @@ def build(units: DataFrame, n: int) -> DataFrame:
         links = start if links is None else links.unionByName(start)
     graph = stored(_best(links, n), "neighbours")
     vectors = units.select(F.col("node").alias("v"), "unit")
-    for _ in range(ROUNDS):
+    while True:  # links only get better, so it ends
         reverse = graph.select(F.col("v").alias("u"), F.col("u").alias("v")).withColumn("r", F.row_number().over(Window.partitionBy("u").orderBy(F.xxhash64("u", "v"))))
         handed = graph.select("u", "v").unionByName(reverse.where(F.col("r") <= REVERSE).select("u", "v")).distinct()
         met = handed.join(vectors, "v").groupBy("u").agg(F.collect_list(F.struct("v", "unit")).alias("met"))  # K + REVERSE at most
@@ -131,8 +131,7 @@ def build(units: DataFrame, n: int) -> DataFrame:
         changed, total = new.join(graph, ["u", "v"], "left_anti").count(), new.count()
         graph = new
         if changed <= SETTLED * total:
-            break
-    return graph
+            return graph
 
 
 def _cosines(batches: Iterable[pa.RecordBatch], dim: int) -> Iterator[pa.RecordBatch]:
@@ -151,15 +150,14 @@ def search(graph: DataFrame, vectors: DataFrame, queries: DataFrame, dim: int) -
         return rows.mapInArrow(partial(_cosines, dim=dim), "q long, v long, score double")
 
     seen = stored(scored(queries.select("q", F.col("node").alias("v"))).withColumn("done", F.lit(False)), "beam")
-    for _ in range(HOPS):
+    while True:  # each hop expands nodes for good, so it ends
         go = seen.where("NOT done").withColumn("r", F.row_number().over(top)).where(F.col("r") <= EXPANDED)
         new = go.select("q", "v").join(edges, "v").select("q", F.col("to").alias("v")).distinct().join(seen, ["q", "v"], "left_anti")
         kept = seen.join(go.select("q", "v", F.lit(True).alias("now")), ["q", "v"], "left").select("q", "v", "score", (F.col("done") | F.coalesce("now", F.lit(False))).alias("done"))
         kept = kept.unionByName(scored(new).withColumn("done", F.lit(False)))
         seen = stored(kept.withColumn("r", F.row_number().over(top)).where(F.col("r") <= BEAM).drop("r"), "beam")
         if not seen.where("NOT done").take(1):
-            break
-    return seen.select("q", "v", "score")
+            return seen.select("q", "v", "score")
 
 
 def nearest(vectors: DataFrame, is_query, k: int = 5) -> DataFrame:

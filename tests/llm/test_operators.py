@@ -211,8 +211,7 @@ def test_toxicity_keeps_every_count(spark):
     assert collections.Counter((r["toxic"], r["ordinary"]) for r in rows) == collections.Counter((want[a, b, 1], want[a, b, 0]) for a, b in pairs)
 
 
-def test_toxicity_knows_rare_words(spark, monkeypatch):
-    monkeypatch.setattr(toxicity, "BLOCK", 20_000)  # several blocks
+def test_toxicity_knows_rare_words(spark):
     docs, labels = labelled(spark)
     part = toxicity.fold("doc_id", 5)
     few = [r["doc_id"] for r in docs.join(labels, "doc_id").where((part > 0) & (part < 4) & (F.col("label") == 1)).orderBy("doc_id").limit(4).collect()]
@@ -306,6 +305,26 @@ def sets_by_hand(text, size):
     return {tuple(w[i : i + size]) for i in range(len(w) - size + 1)} if len(w) >= size else ({tuple(w)} if w else set())
 
 
+def test_neighbours_over_several_blocks(spark):
+    rng = np.random.default_rng(12)
+    v = rng.normal(size=(6000, 16))
+    v[2000:2600] = v[0] + 1e-3 * rng.normal(size=(600, 16))  # near copies, equal in half precision
+    v = v.astype(np.float32)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>")
+    got = collections.defaultdict(set)
+    for r in neighbours.nearest(df, F.col("vec_id") % 50 == 0).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    u = v.astype(float) / np.linalg.norm(v.astype(float), axis=1, keepdims=True)
+    found = []
+    for q in range(0, 6000, 50):
+        sims = u @ u[q]
+        sims[q] = -9
+        found.append((2000 <= q < 2600, len(got[q] & set(np.argsort(-sims)[:5].tolist())) / 5))
+    recall = [np.mean([x for near, x in found if near == side]) for side in (False, True)]
+    print("recall@5", recall)
+    assert min(recall) >= 0.9
+
+
 def groups_by_hand(docs, size, percent):
     sets = [(k, sets_by_hand(t, size)) for k, t in docs if k is not None]
     root = {k: k for k, _ in sets}
