@@ -5,7 +5,8 @@ A shard's strings are laid out one behind another, each closed by the byte 0. Le
 in order and puts the one that begins a byte earlier into the queue of its first byte. With one
 first-in-first-out queue per first byte, extraction by (byte, order of arrival) is a priority queue. Queues move
 to a file when what they hold passes a limit, the laid-out text can be a memory-mapped
-file, and sorted suffixes are handed on in batches, so a shard may be larger than memory.
+file, and sorted suffixes are handed on in batches. Types, LMS suffixes and their order are arrays in memory, tens of
+bytes for each byte of text: a shard must fit.
 
 The order is that of the first ``depth`` bytes at least; that is all that repeats of this length need, and it
 bounds the rounds in which LMS suffixes are told apart.
