@@ -1,10 +1,10 @@
-"""N-gram Jaccard join by vertical partitioning of the global n-gram order.
+"""N-gram Jaccard join by prefixes of a global n-gram order and verification of whole sets.
 
 The order puts rare shingles first: those not known to be frequent by their hash, the frequent
 ones last by their document counts. Two sets of the wanted similarity share a shingle among the
 first few of both (their prefixes), so only these propose pairs; the order decides how many
-pairs are proposed, never which links are found. Overlaps are counted separately in each fragment of the order
-and summed per pair.
+pairs are proposed, never which links are found. Overlaps are counted on whole sets,
+split by hash and summed per pair.
 
 Equal sets are one node. ``links`` compares every proposed pair of nodes and returns all that link. ``join`` needs
 components alone and takes a short cut: in two rounds each node is compared with one or a few partners of the shingles it
