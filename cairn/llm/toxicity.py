@@ -1,22 +1,25 @@
-"""Toxicity by class-conditional Kneser-Ney word models.
+"""Toxicity by class-conditional Kneser-Ney word models with shared backoff counts.
 
-For each class k (toxic, ordinary) a word w after v has the probability
+For each class k (toxic, ordinary) with T_k words, a word w counted c_k(w) times has the probability
 
-    P_k(w | v) = A_k(vw) + r_k(v) P_k(w)                  bigrams
-    P_k(w)     = A_k(w)  + b_k q(w | s) P_k(s)            words, then their stems of 6, 5 and 4 bytes
-    P_k(s)     = A_k(s)  + b'_k q(s | s') P_k(s'), and at last b''_k q(s) alone
+    P_k(w) = (max(c_k(w) - D, 0) + F_k P(w)) / T_k         F_k: all that the discount D takes from the class
 
-where A is the absolutely discounted share of a class, b the mass that discounting sets free in both, and
-q shares continuation counts (distinct words before) that both classes have in common, so rare
-expressions are judged by their stems. A text's evidence is its length-normalised
-log-likelihood ratio, over the whole text and over its most toxic windows; a logistic
-curve, fitted on labelled rows that the counts have not seen, turns it into a score.
+and the backed-off P is common to both classes. It comes from continuation counts n (distinct words before, in
+all labelled texts), for words and then for their stems of 6, 5 and 4 bytes:
 
-All labelled training rows are counted and every count is kept. The tables stay distributed: they are dealt
-into parts by key, texts are scored in blocks, and a block asks each part for the entries of its distinct words, stems
-and bigrams. A task holds one part or one block at a time; the parts grow in number with the rows. Edge cases: null, empty
-and wordless texts have no evidence and get the score of that; repeated rows are scored each; without labels of both
-classes every score is 0.5; an empty table gives an empty result; labels of several rows count each.
+    P(w) = (max(n(w) - d, 0) + f P(s) / m(s)) / N          m(s): kinds of words with the stem s, f: all that d takes
+
+and so on from stem to shorter stem, uniform at last. So a rare expression needs more in one class than its share of
+the common counts before it speaks. A text's evidence is its length-normalised log-likelihood ratio, over the whole text and
+over its most toxic windows, and how many words speak how strongly; a logistic curve, fitted on labelled rows that
+the counts have not seen, turns it into a score.
+
+All labelled training rows are counted and every count is kept; a word whose discounted counts are 0 in both classes has the
+ratio of a new word, so only the others are looked up. The tables stay distributed: they are dealt into parts by key, texts are
+scored in blocks, and a block asks each part for its distinct words. A task holds one part or one block at a time; the
+parts grow in number with the rows. Edge cases: null, empty and wordless texts have no evidence and get the score of that;
+repeated rows are scored each; without labels of both classes every score is 0.5; an empty table gives an empty result; labels
+of several rows count each; a null doc_id is scored but never learnt from.
 """
 
 from __future__ import annotations
@@ -26,24 +29,22 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.llm.tables import stored, table
 from cairn.llm.textnum import GROUP, NOT_WORD, Words, grouped, mix, span_hashes
 
-#: Discount of every count.
-DISCOUNT = 0.75
+#: Discounts of a count in a class, and of a continuation count. Held-out quality chose the first (README).
+DISCOUNT, CONTINUED = 2.0, 0.75
 STEMS = (6, 5, 4)
-STEM_COLUMNS = tuple(f"stem{n}" for n in STEMS)
 #: Words of a window, and labelled rows at most that fit the logistic curve.
 WINDOWS, CURVE_ROWS = (1, 4, 16), 20_000
-#: Counted n-grams that a task holds before it hands them on; bytes of a block of texts; rows for each part of the tables.
+#: Words that a task counts before it hands them on; bytes of a block of texts; rows for each part of the tables.
 HELD, BLOCK, PART_ROWS = 1_000_000, 8_000_000, 8192
-#: Values of an entry that no labelled text has: of words, of stems, of bigrams.
-NEW = {1: (0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0), **{k: (0.0, 0.0, 1.0) for k in STEMS}, 2: (0, 0)}
-FEATURES = ("whole", *(f"window_{w}" for w in WINDOWS), "hits")
+#: Ratios from which a word counts as a hit, and the most that one word can say.
+HITS, MOST = (1, 2, 3, 4), 8.0
+FEATURES = ("whole", *(f"window_{w}" for w in WINDOWS), *(f"hits_{h}" for h in HITS))
 
 
 def fold(doc_id: str | Column, folds: int) -> Column:
@@ -58,29 +59,19 @@ def _compressed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([pack(t or b"") for t in b.column("text").cast(pa.binary()).to_pylist()], pa.binary())], names=["doc_id", "packed"])
 
 
-def _grams(words: Words) -> tuple[np.ndarray, ...]:
-    """32-bit keys of each word, of its stems, and of the word before (0: none)."""
-    def key(ends: np.ndarray) -> np.ndarray:
-        return (span_hashes(words.data, words.starts, ends) >> np.uint64(32)).astype(np.int64) | 1
-
-    w = key(words.ends)
-    before = np.zeros(len(w), np.int64)
-    if len(w):
-        before[1:] = np.where(words.text[1:] == words.text[:-1], w[:-1], 0)
-    return (w, *(key(np.minimum(words.ends, words.starts + n)) for n in STEMS), before)
-
-
 def _squeezed(values: np.ndarray) -> bytes:
-    """An array of 8-byte values, equal bytes of all values side by side, compressed."""
+    """An array of numbers, equal bytes of all values side by side, compressed."""
     import zstandard
 
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values).view(np.uint8).reshape(-1, 8).T.tobytes())
+    values = np.ascontiguousarray(values)
+    return zstandard.ZstdCompressor(level=3).compress(values.view(np.uint8).reshape(-1, values.itemsize).T.tobytes())
 
 
 def _loosened(packed: bytes, kind: type) -> np.ndarray:
     import zstandard
 
-    return np.ascontiguousarray(np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8).reshape(8, -1).T).view(kind).ravel()
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8).reshape(size, -1).T).view(kind).ravel()
 
 
 def _keys_squeezed(keys: np.ndarray) -> bytes:
@@ -98,46 +89,49 @@ def _dealt(keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
     return order, np.searchsorted(part[order], np.arange(parts + 1))
 
 
-_MODEL = "part int, kind int, keys binary, values binary"
-_COUNTED = _MODEL + ", key long, " + ", ".join(f"{c} long" for c in STEM_COLUMNS) + ", toxic long, ordinary long"
+def _keys(words: Words, ends: np.ndarray) -> np.ndarray:
+    return span_hashes(words.data, words.starts, ends).view(np.int64)
 
 
-def _model_batch(kind: int, keys: np.ndarray, values: np.ndarray, parts: int) -> pa.RecordBatch:
-    """Rows of _MODEL, one for each part, of ascending keys."""
-    order, at = _dealt(keys, parts)
-    has = np.flatnonzero(np.diff(at))
-    takes = [order[at[p] : at[p + 1]] for p in has]
-    return pa.RecordBatch.from_arrays([pa.array(has.astype(np.int32)), pa.array(np.full(len(has), kind, np.int32)), pa.array([_keys_squeezed(keys[t]) for t in takes], pa.binary()), pa.array([_squeezed(values[t]) for t in takes], pa.binary())], names=["part", "kind", "keys", "values"])
+_STEM_COLUMNS = tuple(f"stem{n}" for n in STEMS)
+_COUNTED = "part int, pairs binary, of binary, key long, " + ", ".join(f"{c} long" for c in _STEM_COLUMNS) + ", toxic long, ordinary long"
 
 
 def _counted(batches: Iterable[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
-    """Counts in both classes, summed over what a task holds: words (with stems) in rows, bigrams (kind 2) packed for each part."""
+    """Of what a task holds: words with stems and counts in both classes (rows with key), and its distinct pairs of
+    neighbours, packed for each part: a key of the pair, ascending, and the key of its second word."""
     import zstandard
 
     unpack = zstandard.ZstdDecompressor().decompress
+    names = [c.split()[0] for c in _COUNTED.split(", ")]
     held: list[tuple[np.ndarray, ...]] = []
     size = 0
 
     def out() -> Iterator[pa.RecordBatch]:
-        w, *stems, v, t = (np.concatenate(x) for x in zip(*held, strict=True))
-        for kind, key in ((1, w), (2, v << 32 | w)):
-            keys, first, place = np.unique(key, return_index=True, return_inverse=True)
-            toxic, both = np.bincount(place, t, len(keys)).astype(np.int64), np.bincount(place, minlength=len(keys))
-            if kind == 2:
-                b = _model_batch(2, keys, np.stack([toxic, both - toxic], 1), parts)
-                cols = [*b.columns, *(pa.nulls(b.num_rows, pa.int64()) for _ in range(3 + len(STEMS)))]
-            else:
-                none = [pa.nulls(len(keys), k) for k in (pa.int32(), pa.int32(), pa.binary(), pa.binary())]
-                cols = [*none, pa.array(keys), *(pa.array(s[first]) for s in stems), pa.array(toxic), pa.array(both - toxic)]
-            yield pa.RecordBatch.from_arrays(cols, names=[c.split()[0] for c in _COUNTED.split(", ")])
+        w, *stems, pair, t = (np.concatenate(x) for x in zip(*held, strict=True))
+        keys, first, place = np.unique(w, return_index=True, return_inverse=True)
+        toxic, both = np.bincount(place, t, len(keys)).astype(np.int64), np.bincount(place, minlength=len(keys))
+        cols = [pa.nulls(len(keys), pa.int32()), pa.nulls(len(keys), pa.binary()), pa.nulls(len(keys), pa.binary()), pa.array(keys), *(pa.array(s[first]) for s in stems), pa.array(toxic), pa.array(both - toxic)]
+        yield pa.RecordBatch.from_arrays(cols, names=names)
+        pair, first = np.unique(pair, return_index=True)
+        second = w[first]
+        order, at = _dealt(pair, parts)
+        has = np.flatnonzero(np.diff(at))
+        takes = [order[at[p] : at[p + 1]] for p in has]
+        cols = [pa.array(has.astype(np.int32)), pa.array([_keys_squeezed(pair[x]) for x in takes], pa.binary()), pa.array([_squeezed(second[x]) for x in takes], pa.binary()), *(pa.nulls(len(has), pa.int64()) for _ in range(3 + len(STEMS)))]
+        yield pa.RecordBatch.from_arrays(cols, names=names)
 
     for b in batches:
         texts, flags = [unpack(p) for p in b.column("packed").to_pylist()], b.column("toxic").to_numpy()
         for x in range(0, len(texts), 200):
             words = Words(texts[x : x + 200], NOT_WORD)
             if len(words.starts):
-                held.append((*_grams(words), flags[x : x + 200][words.text].astype(np.int64)))
-                size += len(words.starts)
+                w = _keys(words, words.ends)
+                before = np.zeros(len(w), np.int64)
+                before[1:] = np.where(words.text[1:] == words.text[:-1], w[:-1], 0)
+                pair = mix(mix(before.view(np.uint64)) + w.view(np.uint64)).view(np.int64)
+                held.append((w, *(_keys(words, np.minimum(words.ends, words.starts + n)) for n in STEMS), pair, flags[x : x + 200][words.text].astype(np.int64)))
+                size += len(w)
             if size > HELD:
                 yield from out()
                 held, size = [], 0
@@ -145,252 +139,196 @@ def _counted(batches: Iterable[pa.RecordBatch], parts: int) -> Iterator[pa.Recor
         yield from out()
 
 
-def _summed(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """Bigrams of one part, ascending, and their counts in both classes."""
-    if not rows.num_rows:
-        return np.zeros(0, np.int64), np.zeros((0, 2), np.int64)
-    keys = np.concatenate([_keys_loosened(p) for p in rows.column("keys").to_pylist()])
-    counts = np.concatenate([_loosened(p, np.int64).reshape(-1, 2) for p in rows.column("values").to_pylist()])
-    order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], counts[order]
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    return keys[first], np.add.reduceat(counts, first)
+def _continued(rows: pa.Table) -> pa.Table:
+    """Of one part's distinct pairs: how many each second word has."""
+    pairs = np.concatenate([_keys_loosened(p) for p in rows.column("pairs").to_pylist()])
+    second = np.concatenate([_loosened(p, np.int64) for p in rows.column("of").to_pylist()])
+    _, first = np.unique(pairs, return_index=True)
+    words, n = np.unique(second[first], return_counts=True)
+    return pa.table([words, n.astype(np.int64)], names=["key", "n"])
 
 
-_FOLLOWED = ("f_toxic", "f_ordinary", "k_toxic", "k_ordinary")
+def word_counts(docs: DataFrame, labels: DataFrame, parts: int) -> DataFrame:
+    """key, stems, toxic, ordinary, n: all words of the labelled texts, their counts in both classes and distinct words before."""
+    # labels are as many as labelled documents, so both sides are shuffled, texts compressed
+    rows = docs.select("doc_id", "text").where("doc_id IS NOT NULL").mapInArrow(_compressed, "doc_id long, packed binary")
+    rows = rows.join(labels.select("doc_id", F.col("label").alias("toxic")), "doc_id").select("packed", "toxic")
+    counts = stored(rows.mapInArrow(partial(_counted, parts=parts), _COUNTED), "toxicity-counts")  # two steps read them
+    behind = counts.where("part IS NOT NULL").select("part", "pairs", "of").groupBy("part").applyInArrow(_continued, "key long, n long")
+    words = counts.where("key IS NOT NULL").select("key", *_STEM_COLUMNS, "toxic", "ordinary").unionByName(behind, allowMissingColumns=True)
+    sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("toxic", "ordinary", "n")]
+    return stored(words.groupBy("key").agg(*[F.max(c).alias(c) for c in _STEM_COLUMNS], *sums), "toxicity-words")
+
+
+def backed_off(words: DataFrame) -> DataFrame:
+    """words and p, the common backed-off probability of each."""
+    levels, lower = [], [*_STEM_COLUMNS]
+    level = words.select("key", *_STEM_COLUMNS, "n")
+    for i, c in enumerate(("key", *_STEM_COLUMNS)):
+        levels.append((c, level))
+        if i < len(STEMS):
+            up = lower[i:]
+            level = level.groupBy(*up).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("m"))
+    p = None
+    for c, level in reversed(levels):
+        total = level.agg(F.sum("n").alias("n"), F.sum(F.least("n", F.lit(CONTINUED))).alias("taken"), F.count(F.lit(1)).alias("kinds")).first()
+        n, free = max(total["n"] or 0, 1), float(total["taken"] or 0)
+        if p is None:
+            below = F.lit(1 / max(total["kinds"], 1))
+        else:
+            above = p.select(F.col(last).alias("_s"), F.col("p").alias("_p"), F.col("m").alias("_m"))
+            level = level.join(above, F.col(last) == F.col("_s"))
+            below = F.col("_p") / F.col("_m")
+        p = level.withColumn("p", (F.greatest(F.col("n") - CONTINUED, F.lit(0.0)) + F.lit(free) * below) / n).drop("_s", "_p", "_m")
+        last = c
+    return words.join(p.select("key", "p"), "key")
 
 
-def _continued(rows: pa.Table) -> pa.Table:
-    """Of the words in one part's bigrams: distinct words before (n); words behind (f) and distinct ones (k) in each class."""
-    keys, counts = _summed(rows)
-    words, place = np.unique(np.concatenate([keys & 0xFFFFFFFF, keys >> 32]), return_inverse=True)
-    w, v = place[: len(keys)], place[len(keys) :]
-    cols = [np.bincount(w, minlength=len(words)), *(np.bincount(v, x, len(words)) for x in (*counts.T, *(counts > 0).T))]
-    return pa.table([words, *(c.astype(np.int64) for c in cols)], names=["key", "n", *_FOLLOWED])
+def ratios(words: DataFrame) -> tuple[DataFrame, float]:
+    """key, ratio: log-likelihood ratio, toxic to ordinary, of the words that don't have that of a new word; and this one."""
+    classes = "toxic", "ordinary"
+    total = words.agg(*[F.sum(c).alias(c) for c in classes], *[F.sum(F.least(F.col(c), F.lit(DISCOUNT))).alias(f"free_{c}") for c in classes]).first()
+    if not (total["toxic"] and total["ordinary"]):
+        return words.select("key", F.lit(0.0).alias("ratio")).limit(0), 0.0
+    free = {c: float(total[f"free_{c}"]) for c in classes}
 
+    def likelihood(c: str) -> Column:
+        return F.log((F.greatest(F.col(c) - DISCOUNT, F.lit(0.0)) + F.lit(free[c]) * F.col("p")) / float(total[c]))
 
-def _levels(batches: Iterable[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
-    """Rows kind, key, values as rows of _MODEL."""
-    for b in batches:
-        kinds, keys = b.column("kind").to_numpy(), b.column("key").to_numpy()
-        at, flat = b.column("values").offsets.to_numpy(), b.column("values").flatten().to_numpy()
-        for kind in np.unique(kinds):
-            rows = np.flatnonzero(kinds == kind)
-            rows = rows[np.argsort(keys[rows])]
-            values = flat[(at[rows] - at[0])[:, None] + np.arange(len(NEW[kind]))]
-            yield _model_batch(int(kind), keys[rows], values, parts)
+    some = backed_off(words).where(F.greatest(*classes) > DISCOUNT)
+    new = float(np.log(free["toxic"] / total["toxic"]) - np.log(free["ordinary"] / total["ordinary"]))
+    return some.select("key", (likelihood("toxic") - likelihood("ordinary")).alias("ratio")), new
 
 
-def model(docs: DataFrame, labels: DataFrame, parts: int) -> tuple[DataFrame, dict[int, tuple[float, float]]]:
-    """Tables of the two models from all labelled texts, packed (_MODEL), and for each kind the backed-off mass b and total n.
+def _entries(batches: Iterable[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        keys, ratio = b.column("key").to_numpy(), b.column("ratio").to_numpy()
+        by = np.argsort(keys)
+        keys, ratio = keys[by], ratio[by].astype(np.float32)
+        order, at = _dealt(keys, parts)
+        has = np.flatnonzero(np.diff(at))
+        takes = [order[at[p] : at[p + 1]] for p in has]
+        yield pa.RecordBatch.from_arrays([pa.array(has.astype(np.int32)), pa.array([_keys_squeezed(keys[x]) for x in takes], pa.binary()), pa.array([_squeezed(ratio[x]) for x in takes], pa.binary())], names=["part", "keys", "ratios"])
 
-    kind 1 words, 6 to 4 stems: A of each class and the continuation count n, words also f and k of
-    _continued; kind 2: counts of bigrams in each class.
-    """
-    # labels are as many as labelled documents, so both sides are shuffled, texts compressed
-    rows = docs.select("doc_id", "text").where("doc_id IS NOT NULL").mapInArrow(_compressed, "doc_id long, packed binary")
-    rows = rows.join(labels.select("doc_id", F.col("label").alias("toxic")), "doc_id").select("packed", "toxic")
-    counts = stored(rows.mapInArrow(partial(_counted, parts=parts), _COUNTED), "toxicity-counts")  # three steps read them
-    pairs = counts.where("kind = 2").select("part", "kind", "keys", "values")
-    behind = pairs.groupBy("part").applyInArrow(_continued, "key long, n long, " + ", ".join(f"{c} long" for c in _FOLLOWED))
-    words = counts.where("key IS NOT NULL").select("key", *STEM_COLUMNS, "toxic", "ordinary").unionByName(behind, allowMissingColumns=True)
-    sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("ordinary", "n", *_FOLLOWED)]
-    words = words.groupBy("key").agg(*[F.max(c).alias(c) for c in STEM_COLUMNS], F.sum("toxic").alias("toxic"), *sums).where("toxic IS NOT NULL")
-    words = stored(words, "toxicity-words")
-    levels = {1: words.select("key", "toxic", "ordinary", "n", *_FOLLOWED)}
-    for kind, stem in zip(STEMS, STEM_COLUMNS, strict=True):
-        levels[kind] = words.groupBy(F.col(stem).alias("key")).agg(*[F.sum(c).alias(c) for c in ("toxic", "ordinary", "n")])
-    out, masses = None, {}
-    for kind, level in levels.items():
-        total = level.agg(*[F.sum(c).alias(c) for c in ("toxic", "ordinary", "n")], *[F.count_if(F.col(c) > 0).alias(f"kinds_{c}") for c in ("toxic", "ordinary")]).first()
-        # each class has the discount that sets the same mass free, so an expression new to both speaks for neither
-        both = [c for c in ("toxic", "ordinary") if total[c]]
-        b = DISCOUNT * min((total[f"kinds_{c}"] / total[c] for c in both), default=1 / DISCOUNT)
-        masses[kind] = b, float(total["n"] or 1)
-        share = [F.greatest(F.col(c) - b * total[c] / total[f"kinds_{c}"], F.lit(0.0)) / total[c] if c in both else F.lit(0.0) for c in ("toxic", "ordinary")]
-        values = F.array(*share, *[F.col(c).cast("double") for c in ("n", *(_FOLLOWED if kind == 1 else ()))])
-        level = level.select(F.lit(kind).alias("kind"), "key", values.alias("values"))
-        out = level if out is None else out.unionByName(level)
-    return pairs.unionByName(out.mapInArrow(partial(_levels, parts=parts), _MODEL)), masses
-
-
-class Block:
-    """A block of texts in groups, and its distinct keys of each kind, ascending."""
-
-    def __init__(self):
-        self.groups, self.held = [], []
-
-    def add(self, texts: list[bytes], keep: bool) -> None:
-        words = Words(texts, NOT_WORD)
-        grams = _grams(words)
-        if keep:
-            self.groups.append((words, grams))
-        self.held.append({k: np.unique(x) for k, x in self.by_kind(grams).items()})
-
-    @staticmethod
-    def by_kind(grams: tuple[np.ndarray, ...]) -> dict[int, np.ndarray]:
-        w, *stems, v = grams
-        return {1: np.concatenate([w, v[v != 0]]), **dict(zip(STEMS, stems, strict=True)), 2: (v << 32 | w)[v != 0]}
-
-    def keys(self) -> dict[int, np.ndarray]:
-        return {k: np.unique(np.concatenate([h[k] for h in self.held])) for k in NEW}
-
-
-_PIECE = "block long, part int, kind int, packed binary"
+
+_PIECE = "block long, part int, digest long, packed binary"
 
 
 def _pieces(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["block", "part", "kind", "packed"])
+    cols = zip(*rows, strict=True) if rows else [[]] * 4
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["block", "part", "digest", "packed"])
 
 
 def _blocks(batches: Iterable[pa.RecordBatch], parts: int, ask: bool) -> Iterator[pa.RecordBatch]:
-    """Blocks of a partition's rows: their texts (part -1), or, to ask, their distinct keys for each part."""
+    """Blocks of a partition's rows: to ask, their distinct words for each part; else (part -1) the documents as
+    places of their words among these, in order. A digest of the words tells whether both are of the same block."""
+    import zstandard
     from pyspark import TaskContext
 
     number = TaskContext.get().partitionId() << 32
+    pack = zstandard.ZstdCompressor(level=3).compress
+    ids, counts, words, size = [], [], [], 0
 
     def out() -> pa.RecordBatch:
-        if not ask:
-            sink = pa.BufferOutputStream()
-            rows = pa.record_batch([pa.array(ids, pa.int64()), pa.array(texts, pa.large_binary())], names=["doc_id", "text"])
-            with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))) as w:
-                w.write_batch(rows)
-            return _pieces([(number, -1, 0, sink.getvalue().to_pybytes())])
-        rows = []
-        for kind, keys in block.keys().items():
-            order, at = _dealt(keys, parts)
-            rows += [(number, p, kind, _keys_squeezed(keys[order[at[p] : at[p + 1]]])) for p in np.flatnonzero(np.diff(at)).tolist()]
-        return _pieces(rows) if rows else _pieces([(number, -1, 0, b"")]).slice(0, 0)
-
-    block, ids, texts, size = Block(), [], [], 0
-    for rows, group in grouped(batches, size=GROUP // 4):
+        distinct, place, times = np.unique(np.concatenate(words), return_inverse=True, return_counts=True)
+        digest = int(mix(distinct.view(np.uint64)).sum(dtype=np.uint64).view(np.int64))
         if ask:
-            block.add(group, keep=False)
-        else:
-            ids, texts = ids + rows.column("doc_id").to_pylist(), texts + group
-        size += sum(map(len, group))
+            order, at = _dealt(distinct, parts)
+            return _pieces([(number, p, digest, _keys_squeezed(distinct[order[at[p] : at[p + 1]]])) for p in np.flatnonzero(np.diff(at)).tolist()])
+        often = np.argsort(-times, kind="stable")  # small numbers for frequent words
+        rank, answer = np.empty(len(often), np.uint32), np.empty(len(often), np.uint32)
+        rank[often] = np.arange(len(often))
+        answer[_dealt(distinct, parts)[0]] = np.arange(len(often))  # where the answer to each word will stand
+        doc = pa.record_batch([pa.array(ids, pa.int64()), pa.array(np.concatenate(counts).astype(np.int64))], names=["doc_id", "n"])
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, doc.schema) as s:
+            s.write_batch(doc)
+        parcel = pack(sink.getvalue().to_pybytes()), _squeezed(answer[often]), _squeezed(rank[place])
+        return _pieces([(number, -1, digest, b"".join(len(x).to_bytes(8, "little") + x for x in parcel))])
+
+    for rows, texts in grouped(batches, size=GROUP // 4):
+        w = Words(texts, NOT_WORD)
+        ids += rows.column("doc_id").to_pylist()
+        counts.append(w.per_text())
+        words.append(_keys(w, w.ends))
+        size += sum(map(len, texts))
         if size >= BLOCK:
             yield out()
-            block, ids, texts, size, number = Block(), [], [], 0, number + 1
-    if block.held or texts:
+            ids, counts, words, size, number = [], [], [], 0, number + 1
+    if ids:
         yield out()
 
 
-def _answers(entries: pa.Table, asked: pa.Table) -> pa.Table:
-    """Values of the keys that blocks ask one part of the tables for."""
-    tables = {}
-    for kind, new in NEW.items():
-        rows = entries.filter(pa.compute.equal(entries.column("kind"), kind))
-        if kind == 2:
-            tables[kind] = _summed(rows)
-        elif rows.num_rows:
-            keys = np.concatenate([_keys_loosened(p) for p in rows.column("keys").to_pylist()])
-            order = np.argsort(keys)
-            tables[kind] = keys[order], np.concatenate([_loosened(p, np.float64).reshape(-1, len(new)) for p in rows.column("values").to_pylist()])[order]
-        else:
-            tables[kind] = np.zeros(0, np.int64), np.zeros((0, len(new)))
+def _answers(entries: pa.Table, asked: pa.Table, new: float) -> pa.Table:
+    """Ratios of the words that blocks ask one part of the table for; those it doesn't have are new."""
+    known, values = np.zeros(0, np.int64), np.zeros(0, np.float32)
+    if entries.num_rows:
+        known = np.concatenate([_keys_loosened(p) for p in entries.column("keys").to_pylist()])
+        order = np.argsort(known)
+        known, values = known[order], np.concatenate([_loosened(p, np.float32) for p in entries.column("ratios").to_pylist()])[order]
     out = []
-    for number, part, kind, packed in zip(*(asked.column(c).to_pylist() for c in ("block", "part", "kind", "packed")), strict=True):
-        keys, (known, values) = _keys_loosened(packed), tables[kind]
-        found = np.tile(np.array(NEW[kind], values.dtype), (len(keys), 1))
+    for number, part, digest, packed in zip(*(asked.column(c).to_pylist() for c in ("block", "part", "digest", "packed")), strict=True):
+        keys = _keys_loosened(packed)
+        found = np.full(len(keys), new, np.float32)
         if len(known):
             at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
-            has = known[at] == keys
-            found[has] = values[at[has]]
-        out.append((number, part, kind, _squeezed(found)))
+            found = np.where(known[at] == keys, values[at], found)
+        out.append((number, part, digest, _squeezed(found)))
     return pa.Table.from_batches([_pieces(out)])
 
 
-class Scorer:
-    """The entries of the two models that a block of texts has."""
-
-    def __init__(self, tables: dict[int, tuple[np.ndarray, np.ndarray]], masses: dict[int, tuple[float, float]]):
-        self.tables, self.masses = tables, masses
-
-    def _of(self, kind: int, keys: np.ndarray) -> np.ndarray:
-        known, values = self.tables[kind]
-        return values[np.searchsorted(known, keys)]
-
-    def ratios(self, grams: tuple[np.ndarray, ...]) -> np.ndarray:
-        """Log-likelihood ratio, toxic to ordinary, of each word after the one before."""
-        w, *stems, v = grams
-        distinct, place = np.unique(w, return_inverse=True)
-        first = np.zeros(len(distinct), np.int64)
-        first[place] = np.arange(len(w))
-        levels = [(1, self._of(1, distinct)), *((k, self._of(k, s[first])) for k, s in zip(STEMS, stems, strict=True))]
-        kind, last = levels[-1]
-        b, total = self.masses[kind]
-        p = last[:, :2] + b * (last[:, 2:3] + 1) / (total + 2)
-        for (kind, x), (_, y) in zip(levels[-2::-1], levels[:0:-1], strict=True):
-            p = x[:, :2] + self.masses[kind][0] * np.minimum(1, x[:, 2:3] / np.maximum(y[:, 2:3], 1)) * p
-        p = p[place]
-        after = np.flatnonzero(v)
-        pair, before = self._of(2, v[after] << 32 | w[after]), self._of(1, v[after])
-        f, k = before[:, 3:5], before[:, 5:7]
-        # as above: both classes set the same mass free behind a word; a class without it backs off wholly
-        b = np.where(f > 0, DISCOUNT * k / np.maximum(f, 1), 1).min(1, keepdims=True)
-        share = np.maximum(pair - b * f / np.maximum(k, 1), 0) / np.maximum(f, 1)
-        p[after] = np.where(f > 0, share + b * p[after], p[after])
-        return np.log(p[:, 0] + 1e-12) - np.log(p[:, 1] + 1e-12)
-
-    def features(self, words: Words, grams: tuple[np.ndarray, ...]) -> np.ndarray:
-        """FEATURES of each text; all 0 without words."""
-        out = np.zeros((words.n_texts, len(FEATURES)))
-        if not len(words.starts):
-            return out
-        r = np.clip(self.ratios(grams), -8, 8)
-        n = words.per_text()
-        has = np.flatnonzero(n)
-        out[has, 0] = words.per_text(r)[has] / n[has]
-        opens = np.concatenate([[0], np.cumsum(n)])[:-1][has].astype(np.int64)
-        sums = np.concatenate([[0.0], np.cumsum(r)])
-        closes = np.repeat(opens + n[has].astype(np.int64), n[has].astype(np.int64))
-        at = np.arange(len(r))
-        for k, size in enumerate(WINDOWS):
-            stop = np.minimum(at + size, closes)
-            out[has, k + 1] = np.maximum.reduceat((sums[stop] - sums[at]) / np.minimum(size, np.repeat(n[has], n[has].astype(np.int64))), opens)
-        out[:, -1] = np.log1p(words.per_text((r > 2.5).astype(float)))
+def features(ratio: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """FEATURES of texts of n words each, from the ratios of all their words; all 0 without words."""
+    out, has = np.zeros((len(n), len(FEATURES))), np.flatnonzero(n)
+    if not len(has):
         return out
+    r, n = np.clip(ratio.astype(float), -MOST, MOST), n[has]
+    opens, stop = np.cumsum(n) - n, np.repeat(np.cumsum(n), n)
+    sums, at = np.concatenate([[0.0], np.cumsum(r)]), np.arange(len(r))
+    out[has, 0] = np.add.reduceat(r, opens) / n
+    for k, size in enumerate(WINDOWS):
+        mean = (sums[np.minimum(at + size, stop)] - sums[at]) / np.minimum(size, np.repeat(n, n))
+        out[has, k + 1] = np.maximum.reduceat(mean, opens)
+    for k, hit in enumerate(HITS):
+        out[has, 1 + len(WINDOWS) + k] = np.log1p(np.add.reduceat((r > hit).astype(float), opens))
+    return out
+
+
+def _evidence(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Features of the texts of each block, from its documents and the answers of all parts, which follow in order."""
+    import zstandard
 
-
-def _evidence(batches: Iterable[pa.RecordBatch], parts: int, masses: dict[int, tuple[float, float]]) -> Iterator[pa.RecordBatch]:
-    """Features of the texts of each block, from its texts and the answers of all parts, which follow in order."""
-
-    def out() -> Iterator[pa.RecordBatch]:
-        if not texts:
-            raise ValueError(f"block {number} has answers without texts")
-        rows = pa.ipc.open_stream(texts).read_all()
-        block = Block()
-        for _, group in grouped(rows.to_batches(), size=GROUP // 4):
-            block.add(group, keep=True)
-        tables = {}
-        for kind, keys in block.keys().items():
-            got = answers.get(kind, [])
-            values = np.concatenate([_loosened(p, np.int64 if kind == 2 else np.float64) for p in got]) if got else np.zeros(0)
-            values = values.reshape(-1, len(NEW[kind]))
-            if len(values) != len(keys):
-                raise ValueError(f"block {number} has {len(keys)} keys of kind {kind} and {len(values)} answers")
-            order, _ = _dealt(keys, parts)
-            placed = np.empty_like(values)
-            placed[order] = values
-            tables[kind] = keys, placed
-        scorer = Scorer(tables, masses)
-        f = np.concatenate([scorer.features(*g) for g in block.groups])
-        yield pa.RecordBatch.from_arrays([rows.column("doc_id").combine_chunks(), *(pa.array(f[:, i].copy()) for i in range(len(FEATURES)))], names=["doc_id", *FEATURES])
-
-    number, texts, answers = None, b"", {}
+    def out() -> pa.RecordBatch:
+        cut, at = [], 0
+        while at < len(documents):
+            n = int.from_bytes(documents[at : at + 8], "little")
+            cut.append(documents[at + 8 : at + 8 + n])
+            at += 8 + n
+        if not cut:
+            raise ValueError(f"block {number} has answers without documents")
+        rows = pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(cut[0])).read_all()
+        answer, rank = _loosened(cut[1], np.uint32), _loosened(cut[2], np.uint32)
+        got = np.concatenate([np.zeros(0, np.float32), *answers])
+        if len(got) != len(answer):
+            raise ValueError(f"block {number} has {len(answer)} distinct words and {len(got)} answers")
+        f = features(got[answer][rank], rows.column("n").to_numpy())
+        return pa.RecordBatch.from_arrays([rows.column("doc_id").combine_chunks(), *(pa.array(f[:, i].copy()) for i in range(len(FEATURES)))], names=["doc_id", *FEATURES])
+
+    number, digest, documents, answers = None, 0, b"", []
     for b in batches:
-        for at, part, kind, packed in zip(*(b.column(c).to_pylist() for c in ("block", "part", "kind", "packed")), strict=True):
-            if number is not None and at != number:
-                yield from out()
-                texts, answers = b"", {}
-            number = at
+        for block, part, check, packed in zip(*(b.column(c).to_pylist() for c in ("block", "part", "digest", "packed")), strict=True):
+            if block != number:
+                if number is not None:
+                    yield out()
+                number, digest, documents, answers = block, check, b"", []
+            if check != digest:
+                raise ValueError(f"block {number} differs between its documents and its questions")
             if part < 0:
-                texts = packed
+                documents = packed
             else:
-                answers.setdefault(kind, []).append(packed)
+                answers.append(_loosened(packed, np.float32))
     if number is not None:
-        yield from out()
+        yield out()
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[np.ndarray, float]:
@@ -416,13 +354,13 @@ def score(docs: DataFrame, labels: DataFrame, curve_part: Column) -> DataFrame:
     labels = labels.where("doc_id IS NOT NULL AND label IN (0, 1)")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     parts = max(n, docs.count() // PART_ROWS)
-    entries, masses = model(docs, labels.where(~curve_part), parts)
+    known, new = ratios(word_counts(docs, labels.where(~curve_part), parts))
+    model = known.mapInArrow(partial(_entries, parts=parts), "part int, keys binary, ratios binary")
     rows = docs.select(F.col("doc_id").cast("long"), "text")
-    asked, texts = (rows.mapInArrow(partial(_blocks, parts=parts, ask=ask), _PIECE) for ask in (True, False))
-    answers = entries.groupBy("part").cogroup(asked.groupBy("part")).applyInArrow(_answers, _PIECE)
-    pieces = texts.unionByName(answers).repartition(n, "block").sortWithinPartitions("block", "part")
-    evidence = pieces.mapInArrow(partial(_evidence, parts=parts, masses=masses), "doc_id long, " + ", ".join(f"{f} double" for f in FEATURES))
-    evidence = stored(evidence, "toxicity-evidence")
+    asked, documents = (rows.mapInArrow(partial(_blocks, parts=parts, ask=ask), _PIECE) for ask in (True, False))
+    answers = model.groupBy("part").cogroup(asked.groupBy("part")).applyInArrow(lambda m, a: _answers(m, a, new), _PIECE)
+    pieces = documents.unionByName(answers).repartition(n, "block").sortWithinPartitions("block", "part")
+    evidence = stored(pieces.mapInArrow(_evidence, "doc_id long, " + ", ".join(f"{f} double" for f in FEATURES)), "toxicity-evidence")
     fit = evidence.join(labels.where(curve_part), "doc_id").orderBy(F.xxhash64("doc_id")).limit(CURVE_ROWS).toPandas()
     x, y = fit[list(FEATURES)].to_numpy(float), fit["label"].to_numpy(float)
     if not len(y) or y.min() == y.max():

@@ -199,16 +199,64 @@ def test_toxicity(spark, awkward, empty):
     assert toxicity.score(empty, labels, part == 4).count() == 0
 
 
-def test_toxicity_keeps_every_count(spark):
-    docs, labels = labelled(spark)
-    entries, _ = toxicity.model(docs, labels, 3)
-    rows = entries.where("kind = 2").groupBy("part").applyInArrow(lambda t: t.schema.empty_table() if not t.num_rows else toxicity.pa.table([toxicity._summed(t)[1][:, 0], toxicity._summed(t)[1][:, 1]], names=["toxic", "ordinary"]), "toxic long, ordinary long").collect()
-    want, toxic = collections.Counter(), {r["doc_id"]: r["label"] for r in labels.collect()}
-    for r in docs.collect():
-        w = re.findall(r"[a-z0-9\x80-\xff]+", r["text"].encode().decode("latin-1").lower())
-        want.update((a, b, toxic[r["doc_id"]]) for a, b in zip([None, *w], w))
-    pairs = {(a, b) for a, b, _ in want}
-    assert collections.Counter((r["toxic"], r["ordinary"]) for r in rows) == collections.Counter((want[a, b, 1], want[a, b, 0]) for a, b in pairs)
+def kneser_ney_by_hand(docs, labels):
+    """Ratio of every word of the labelled texts, in plain Python."""
+    count, before = {0: collections.Counter(), 1: collections.Counter()}, collections.defaultdict(set)
+    for k, t in docs:
+        w = re.findall(rb"[a-z0-9\x80-\xff]+", t.encode().lower())
+        count[labels[k]].update(w)
+        for a, b in zip([None, *w], w):
+            before[b].add(a)
+    words, d = sorted(before), toxicity.CONTINUED
+    cut = [lambda x: x, *(lambda x, n=n: x[:n] for n in toxicity.STEMS)]
+    n, kinds = [collections.Counter() for _ in cut], [collections.defaultdict(set) for _ in cut]
+    for w in words:
+        for i, c in enumerate(cut):
+            n[i][c(w)] += len(before[w])
+            if i:
+                kinds[i][c(w)].add(cut[i - 1](w))
+    total = sum(n[0].values())
+
+    def p(w, i=0):
+        if i == len(cut):
+            return 1 / len(n[-1])
+        x, free = cut[i](w), sum(min(v, d) for v in n[i].values())
+        share = p(w, i + 1) / (len(kinds[i + 1][cut[i + 1](w)]) if i + 1 < len(cut) else 1)
+        return (max(n[i][x] - d, 0) + free * share) / total
+
+    free = {k: sum(min(v, toxicity.DISCOUNT) for v in c.values()) for k, c in count.items()}
+    p_k = lambda k, w: (max(count[k][w] - toxicity.DISCOUNT, 0) + free[k] * p(w)) / sum(count[k].values())
+    assert abs(sum(p(w) for w in words) - 1) < 1e-9 and abs(sum(p_k(1, w) for w in words) - 1) < 1e-9
+    return {w: np.log(p_k(1, w) / p_k(0, w)) for w in words}
+
+
+def test_toxicity_ratios_by_hand(spark):
+    docs, labels = labelled(spark, 60)
+    rows, known = texts_of(docs), {r["doc_id"]: r["label"] for r in labels.collect()}
+    want = kneser_ney_by_hand(rows, known)
+    words = toxicity.word_counts(docs, labels, 3)
+    assert words.count() == len(want)  # every word is kept
+    table, new = toxicity.ratios(words)
+    got = {r["key"]: r["ratio"] for r in table.collect()}
+    w = toxicity.Words([b" ".join(want)], toxicity.NOT_WORD)
+    keys = toxicity._keys(w, w.ends).tolist()
+    assert set(got) <= set(keys)
+    assert all(abs(got.get(k, new) - r) < 1e-9 for k, r in zip(keys, want.values(), strict=True))
+
+
+def test_toxicity_features_by_hand():
+    rng = np.random.default_rng(4)
+    n = np.array([0, 3, 40, 0, 1, 17, 0])
+    r = rng.normal(0, 3, n.sum())
+    got, at = toxicity.features(r, n), 0
+    for row, m in zip(got, n, strict=True):
+        x = np.clip(r[at : at + m], -toxicity.MOST, toxicity.MOST)
+        at += m
+        if not m:
+            assert not row.any()
+            continue
+        windows = [max(sum(x[i : i + s]) / min(s, m) for i in range(m)) for s in toxicity.WINDOWS]
+        assert np.allclose(row, [x.mean(), *windows, *(np.log1p((x > h).sum()) for h in toxicity.HITS)])
 
 
 def test_toxicity_knows_rare_words(spark):
