@@ -42,6 +42,8 @@ STEMS = (6, 5, 4)
 WINDOWS, CURVE_ROWS = (1, 4, 16), 20_000
 #: Words that a task counts before it hands them on; bytes of a block of texts; rows for each part of the tables.
 HELD, BLOCK, PART_ROWS = 1_000_000, 8_000_000, 8192
+#: Bytes that tell the words before one word apart, and parts among which its pairs are dealt.
+BEFORE, SPREAD = 5, 16
 #: Ratios from which a word counts as a hit, and the most that one word can say.
 HITS, MOST = (1, 2, 3, 4), 8.0
 FEATURES = ("whole", *(f"window_{w}" for w in WINDOWS), *(f"hits_{h}" for h in HITS))
@@ -94,70 +96,107 @@ def _keys(words: Words, ends: np.ndarray) -> np.ndarray:
 
 
 _STEM_COLUMNS = tuple(f"stem{n}" for n in STEMS)
-_COUNTED = "part int, pairs binary, of binary, key long, " + ", ".join(f"{c} long" for c in _STEM_COLUMNS) + ", toxic long, ordinary long"
+_PACKED = "part int, words binary, counts binary, keys binary, heads binary, before binary"
+_WORD = "key long, " + ", ".join(f"{c} long" for c in _STEM_COLUMNS) + ", toxic long, ordinary long, n long"
+
+
+def _spread(w: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """Keys by which the pairs of a word are dealt: a frequent word's go to SPREAD parts."""
+    return (w.view(np.uint64) + (before % np.uint64(SPREAD)) * np.uint64(0xA0761D6478BD642F)).view(np.int64)
 
 
 def _counted(batches: Iterable[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
-    """Of what a task holds: words with stems and counts in both classes (rows with key), and its distinct pairs of
-    neighbours, packed for each part: a key of the pair, ascending, and the key of its second word."""
+    """What a task holds, packed for each part: its words with counts in both classes, and the distinct pairs of a word
+    and the one before (BEFORE bytes of its hash), as words, how many pairs each has, and these."""
     import zstandard
 
-    unpack = zstandard.ZstdDecompressor().decompress
-    names = [c.split()[0] for c in _COUNTED.split(", ")]
+    unpack, pack = zstandard.ZstdDecompressor().decompress, zstandard.ZstdCompressor(level=3).compress
     held: list[tuple[np.ndarray, ...]] = []
-    size = 0
+    names: dict[int, bytes] = {}
 
-    def out() -> Iterator[pa.RecordBatch]:
-        w, *stems, pair, t = (np.concatenate(x) for x in zip(*held, strict=True))
-        keys, first, place = np.unique(w, return_index=True, return_inverse=True)
+    def dealt(keys: np.ndarray) -> list[tuple[int, np.ndarray]]:
+        order, at = _dealt(keys, parts)
+        return [(p, order[at[p] : at[p + 1]]) for p in np.flatnonzero(np.diff(at)).tolist()]
+
+    def out() -> pa.RecordBatch:
+        w, before, t = (np.concatenate(x) for x in zip(*held, strict=True))
+        rows: dict[int, list] = {}
+        keys, place = np.unique(w, return_inverse=True)
         toxic, both = np.bincount(place, t, len(keys)).astype(np.int64), np.bincount(place, minlength=len(keys))
-        cols = [pa.nulls(len(keys), pa.int32()), pa.nulls(len(keys), pa.binary()), pa.nulls(len(keys), pa.binary()), pa.array(keys), *(pa.array(s[first]) for s in stems), pa.array(toxic), pa.array(both - toxic)]
-        yield pa.RecordBatch.from_arrays(cols, names=names)
-        pair, first = np.unique(pair, return_index=True)
-        second = w[first]
-        order, at = _dealt(pair, parts)
-        has = np.flatnonzero(np.diff(at))
-        takes = [order[at[p] : at[p + 1]] for p in has]
-        cols = [pa.array(has.astype(np.int32)), pa.array([_keys_squeezed(pair[x]) for x in takes], pa.binary()), pa.array([_squeezed(second[x]) for x in takes], pa.binary()), *(pa.nulls(len(has), pa.int64()) for _ in range(3 + len(STEMS)))]
-        yield pa.RecordBatch.from_arrays(cols, names=names)
+        for p, x in dealt(keys):
+            text, at = zip(*sorted((names[k], i) for k, i in zip(keys[x].tolist(), x.tolist(), strict=True)), strict=True)
+            at = np.array(at)
+            rows[p] = [pack(b" ".join(text)), _squeezed(np.stack([toxic[at], (both - toxic)[at]])), b"", b"", b""]
+        by = np.lexsort((before, w))
+        w, before = w[by], before[by]
+        new = np.flatnonzero(np.concatenate([[True], (w[1:] != w[:-1]) | (before[1:] != before[:-1])]))
+        w, before = w[new], before[new]
+        for p, x in dealt(_spread(w, before)):
+            x = np.sort(x)  # words ascend again
+            head, n = np.unique(w[x], return_counts=True)
+            flat = np.ascontiguousarray(before[x].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :BEFORE])
+            rows.setdefault(p, [b"", b"", b"", b"", b""])[2:] = _keys_squeezed(head), _squeezed(n), flat.tobytes()
+        return pa.RecordBatch.from_arrays([pa.array(list(rows), pa.int32()), *(pa.array(c, pa.binary()) for c in zip(*rows.values(), strict=True))], names=[c.split()[0] for c in _PACKED.split(", ")])
 
+    size = 0
     for b in batches:
         texts, flags = [unpack(p) for p in b.column("packed").to_pylist()], b.column("toxic").to_numpy()
         for x in range(0, len(texts), 200):
             words = Words(texts[x : x + 200], NOT_WORD)
             if len(words.starts):
                 w = _keys(words, words.ends)
-                before = np.zeros(len(w), np.int64)
-                before[1:] = np.where(words.text[1:] == words.text[:-1], w[:-1], 0)
-                pair = mix(mix(before.view(np.uint64)) + w.view(np.uint64)).view(np.int64)
-                held.append((w, *(_keys(words, np.minimum(words.ends, words.starts + n)) for n in STEMS), pair, flags[x : x + 200][words.text].astype(np.int64)))
+                before = np.zeros(len(w), np.uint64)
+                before[1:] = np.where(words.text[1:] == words.text[:-1], w[:-1].view(np.uint64) >> np.uint64(64 - 8 * BEFORE), 0)
+                held.append((w, before, flags[x : x + 200][words.text].astype(np.int64)))
                 size += len(w)
+                keys, first = np.unique(w, return_index=True)
+                raw = words.data.tobytes()
+                for k, s, e in zip(keys.tolist(), words.starts[first].tolist(), words.ends[first].tolist(), strict=True):
+                    if k not in names:
+                        names[k] = raw[s:e]
             if size > HELD:
-                yield from out()
-                held, size = [], 0
+                yield out()
+                held, names, size = [], {}, 0
     if held:
-        yield from out()
+        yield out()
 
 
-def _continued(rows: pa.Table) -> pa.Table:
-    """Of one part's distinct pairs: how many each second word has."""
-    pairs = np.concatenate([_keys_loosened(p) for p in rows.column("pairs").to_pylist()])
-    second = np.concatenate([_loosened(p, np.int64) for p in rows.column("of").to_pylist()])
-    _, first = np.unique(pairs, return_index=True)
-    words, n = np.unique(second[first], return_counts=True)
-    return pa.table([words, n.astype(np.int64)], names=["key", "n"])
+def _summed(rows: pa.Table) -> pa.Table:
+    """Of one part: its words with stems and summed counts; and how many distinct pairs here have which second word."""
+    import zstandard
+
+    unpack = zstandard.ZstdDecompressor().decompress
+    packed = [(w, c) for w, c in zip(rows.column("words").to_pylist(), rows.column("counts").to_pylist(), strict=True) if w]
+    words = Words([unpack(w) for w, _ in packed], NOT_WORD)
+    toxic, ordinary = (np.concatenate([np.zeros(0, np.int64), *x]) for x in zip((np.zeros(0, np.int64),) * 2, *(_loosened(c, np.int64).reshape(2, -1) for _, c in packed), strict=True))
+    w = _keys(words, words.ends)
+    stems = [_keys(words, np.minimum(words.ends, words.starts + n)) for n in STEMS]
+    keys, first, place = np.unique(w, return_index=True, return_inverse=True)
+    zero, none = np.zeros(len(keys), np.int64), pa.nulls
+    own = [keys, *(s[first] for s in stems), *(np.bincount(place, x, len(keys)).astype(np.int64) for x in (toxic, ordinary)), zero]
+
+    pairs = [p for p in zip(*(rows.column(c).to_pylist() for c in ("keys", "heads", "before")), strict=True) if p[0]]
+    second = np.concatenate([np.zeros(0, np.int64), *(np.repeat(_keys_loosened(k), _loosened(n, np.int64)) for k, n, _ in pairs)])
+    flat = np.zeros((len(second), 8), np.uint8)
+    flat[:, :BEFORE] = np.frombuffer(b"".join(b for _, _, b in pairs), np.uint8).reshape(-1, BEFORE)
+    before = flat.view("<u8").ravel()
+    by = np.lexsort((before, second))
+    second, before = second[by], before[by]
+    new = np.concatenate([[True], (second[1:] != second[:-1]) | (before[1:] != before[:-1])])[: len(second)]
+    then, n = np.unique(second[new], return_counts=True)
+    nulls = none(len(then), pa.int64())
+    zero = pa.array(np.zeros(len(then), np.int64))
+    both = [pa.chunked_array([pa.array(a), b]) for a, b in zip(own, [pa.array(then), *[nulls] * len(STEMS), zero, zero, pa.array(n.astype(np.int64))], strict=True)]
+    return pa.table(both, names=[c.split()[0] for c in _WORD.split(", ")])
 
 
 def word_counts(docs: DataFrame, labels: DataFrame, parts: int) -> DataFrame:
     """key, stems, toxic, ordinary, n: all words of the labelled texts, their counts in both classes and distinct words before."""
     # labels are as many as labelled documents, so both sides are shuffled, texts compressed
     rows = docs.select("doc_id", "text").where("doc_id IS NOT NULL").mapInArrow(_compressed, "doc_id long, packed binary")
-    rows = rows.join(labels.select("doc_id", F.col("label").alias("toxic")), "doc_id").select("packed", "toxic")
-    counts = stored(rows.mapInArrow(partial(_counted, parts=parts), _COUNTED), "toxicity-counts")  # two steps read them
-    behind = counts.where("part IS NOT NULL").select("part", "pairs", "of").groupBy("part").applyInArrow(_continued, "key long, n long")
-    words = counts.where("key IS NOT NULL").select("key", *_STEM_COLUMNS, "toxic", "ordinary").unionByName(behind, allowMissingColumns=True)
-    sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("toxic", "ordinary", "n")]
-    return stored(words.groupBy("key").agg(*[F.max(c).alias(c) for c in _STEM_COLUMNS], *sums), "toxicity-words")
+    rows = stored(rows.join(labels.select("doc_id", F.col("label").alias("toxic")), "doc_id").select("packed", "toxic"), "labelled-texts")
+    words = rows.mapInArrow(partial(_counted, parts=parts), _PACKED).groupBy("part").applyInArrow(_summed, _WORD)
+    return stored(words.groupBy("key").agg(*[F.max(c).alias(c) for c in _STEM_COLUMNS], *[F.sum(c).alias(c) for c in ("toxic", "ordinary", "n")]), "toxicity-words")
 
 
 def backed_off(words: DataFrame) -> DataFrame:
