@@ -2,7 +2,7 @@
 
 Equal vectors are one node. The graph starts from exact neighbours within blocks of nodes that lie side by side
 along random directions. Then rounds of joins look at neighbours of neighbours: every node hands its
-(forward and some reverse) neighbours to one task as a bounded list, in which all of them meet.
+(forward and some reverse) neighbours to one task as a bounded list, in which those meet of which one is a new link.
 A query starts at its own node and moves, hop by hop, to the most similar nodes not yet visited.
 
 Edge cases: vectors that are null, empty, zero or hold null or non-finite components take no part;
@@ -27,10 +27,12 @@ from cairn.llm.tables import stored, table
 K, REVERSE, KEEP = 20, 12, 5
 #: Random directions of the start, and nodes of a block.
 DIRECTIONS, BLOCK = 3, 1024
+#: A link must be better by so much to take another's place: single precision tells no less apart, so near copies settle.
+BETTER = 1e-6
 #: Rounds end when no more than this share of the links is new.
-SETTLED = 0.03
+SETTLED = 0.02
 #: Nodes that a query keeps, and that it expands in a hop; hops end when all that it keeps are expanded.
-BEAM, EXPANDED = 96, 24
+BEAM, EXPANDED = 48, 24
 
 
 def _nodes(vectors: DataFrame) -> DataFrame:
@@ -64,10 +66,12 @@ def _projected(batches: Iterable[pa.RecordBatch], dim: int) -> Iterator[pa.Recor
         )
 
 
-def _links(ids: np.ndarray, units: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The most similar others of each of the given nodes, among themselves."""
+def _links(ids: np.ndarray, units: np.ndarray, most: int, bar: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The most similar others of each of the given nodes, among themselves; those not over the bar have similarity -9."""
     sims = units @ units.T
     sims[ids[:, None] == ids] = -9
+    if bar is not None:
+        sims[sims <= bar + BETTER] = -9
     most = min(most, len(ids) - 1)
     best = np.argpartition(-sims, most - 1, axis=1)[:, :most] if most > 0 else np.zeros((len(ids), 0), np.int64)
     return np.repeat(ids, most), ids[best].ravel(), np.take_along_axis(sims, best, 1).ravel()
@@ -85,52 +89,61 @@ def _batch(u: np.ndarray, v: np.ndarray, sim: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(u[good].astype(np.int64)), pa.array(v[good].astype(np.int64)), pa.array(sim[good].astype(np.float32))], names=["u", "v", "sim"])
 
 
-def _block_links(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _block_links(batches: Iterable[pa.RecordBatch], block: int) -> Iterator[pa.RecordBatch]:
     """Links within blocks of a partition that is in order along a direction; the last block reaches back."""
     ids, units = np.zeros(0, np.int64), None
     for b in batches:
         new = _units(b.column("unit").to_pylist())
         ids, units = np.concatenate([ids, b.column("node").to_numpy()]), new if units is None else np.vstack([units, new])
-        while len(ids) > 2 * BLOCK:
-            yield _batch(*_links(ids[:BLOCK], units[:BLOCK], K))
-            ids, units = ids[BLOCK // 2 :], units[BLOCK // 2 :]
+        while len(ids) > 2 * block:
+            yield _batch(*_links(ids[:block], units[:block], K))
+            ids, units = ids[block // 2 :], units[block // 2 :]
     if len(ids) > 1:
         yield _batch(*_links(ids, units, K))
 
 
 def _meetings(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All nodes that one node hands on meet; each keeps its best."""
+    """The nodes that one node hands on meet: each keeps its best among those it has not met here before, if better than its worst link."""
     for b in batches:
-        out = []
-        for met in b.column("met").to_pylist():
-            if len(met) > 1:
-                out.append(_links(np.array([m["v"] for m in met]), _units([m["unit"] for m in met]), KEEP))
-        if out:
-            yield _batch(*(np.concatenate(x) for x in zip(*out, strict=True)))
+        met, out = b.column("met"), []
+        at, (ids, units, worst, fresh) = met.offsets.to_numpy(), met.flatten().flatten()
+        at = at - at[0]
+        ids, units, worst, fresh = ids.to_numpy(), _units(units.to_pylist()), worst.to_numpy(), fresh.to_numpy(zero_copy_only=False)
+        for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+            new = fresh[x:y]
+            bar = np.where(new[:, None] | new, worst[x:y, None], np.float32(9))
+            out.append(_links(ids[x:y], units[x:y], KEEP, bar))
+        u, v, sim = (np.concatenate(c) for c in zip(*out, strict=True))
+        by = np.lexsort((v, u))  # several nodes of a batch can bring the same two together
+        u, v, sim = u[by], v[by], sim[by]
+        first = np.flatnonzero(np.concatenate([[True], (u[1:] != u[:-1]) | (v[1:] != v[:-1])])[: len(u)])
+        yield _batch(u[first], v[first], sim[first])
 
 
 def _best(links: DataFrame, n: int) -> DataFrame:
-    """The K most similar of each node; one shuffle by the node, which has a bounded list of links from each meeting."""
-    rows = links.repartition(n, "u").groupBy("u", "v").agg(F.max("sim").alias("sim"))
-    return rows.withColumn("r", F.row_number().over(Window.partitionBy("u").orderBy(F.desc("sim"), "v"))).where(F.col("r") <= K).select("u", "v", "sim", "r")
+    """The K most similar of each node, old links before new ones as good; one shuffle by the node, which has a bounded list of links from each meeting."""
+    rows = links.repartition(n, "u").groupBy("u", "v").agg(F.max("sim").alias("sim"), F.bool_and("fresh").alias("fresh"))
+    return rows.withColumn("r", F.row_number().over(Window.partitionBy("u").orderBy(F.desc("sim"), "fresh", "v"))).where(F.col("r") <= K)
 
 
-def build(units: DataFrame, n: int) -> DataFrame:
+def build(units: DataFrame, n: int, block: int = BLOCK) -> DataFrame:
     """The graph u, v, sim, r (rank) over the nodes of ``units`` (node, unit, along0...)."""
-    links, ranges = None, max(1, min(n, units.count() // (2 * BLOCK)))  # no range is smaller than a block
+    links, ranges = None, max(1, min(n, units.count() // (2 * block)))  # no range is smaller than a block
     for i in range(DIRECTIONS):
-        start = units.select("node", "unit", f"along{i}").repartitionByRange(ranges, f"along{i}").sortWithinPartitions(f"along{i}").select("node", "unit").mapInArrow(_block_links, _LINK)
+        start = units.select("node", "unit", f"along{i}").repartitionByRange(ranges, f"along{i}").sortWithinPartitions(f"along{i}").select("node", "unit").mapInArrow(partial(_block_links, block=block), _LINK)
         links = start if links is None else links.unionByName(start)
-    graph = stored(_best(links, n), "neighbours")
-    vectors = units.select(F.col("node").alias("v"), "unit")
+    graph = stored(_best(links.withColumn("fresh", F.lit(True)), n), "neighbours")
     while True:  # links only get better, so it ends
-        reverse = graph.select(F.col("v").alias("u"), F.col("u").alias("v")).withColumn("r", F.row_number().over(Window.partitionBy("u").orderBy(F.xxhash64("u", "v"))))
-        handed = graph.select("u", "v").unionByName(reverse.where(F.col("r") <= REVERSE).select("u", "v")).distinct()
-        met = handed.join(vectors, "v").groupBy("u").agg(F.collect_list(F.struct("v", "unit")).alias("met"))  # K + REVERSE at most
-        new = stored(_best(graph.select("u", "v", "sim").unionByName(met.select("met").mapInArrow(_meetings, _LINK)), n), "neighbours")
-        changed, total = new.join(graph, ["u", "v"], "left_anti").count(), new.count()
-        graph = new
-        if changed <= SETTLED * total:
+        reverse = graph.select(F.col("v").alias("u"), F.col("u").alias("v"), "fresh").withColumn("r", F.row_number().over(Window.partitionBy("u").orderBy(F.desc("fresh"), F.xxhash64("u", "v"))))
+        handed = graph.select("u", "v", "fresh").unionByName(reverse.where(F.col("r") <= REVERSE).select("u", "v", "fresh")).groupBy("u", "v").agg(F.bool_or("fresh").alias("fresh"))
+        handed = stored(handed.withColumn("told", F.bool_or("fresh").over(Window.partitionBy("u"))).where("told").drop("told"), "handed-on")  # others have nothing new to tell
+        worst = graph.groupBy("u").agg(F.when(F.count(F.lit(1)) >= K, F.min("sim")).otherwise(F.lit(-9.0)).cast("float").alias("worst"))
+        vectors = units.select(F.col("node").alias("v"), "unit").join(worst.withColumnRenamed("u", "v"), "v")
+        met = handed.join(vectors, "v").groupBy("u").agg(F.collect_list(F.struct("v", "unit", "worst", "fresh")).alias("met"))  # K + REVERSE at most
+        found = met.select("met").mapInArrow(_meetings, _LINK).withColumn("fresh", F.lit(True))
+        graph = stored(_best(graph.select("u", "v", "sim").withColumn("fresh", F.lit(False)).unionByName(found), n), "neighbours")
+        total = graph.agg(F.count(F.lit(1)).alias("all"), F.count_if("fresh").alias("new")).first()
+        if total["new"] <= SETTLED * total["all"]:
             return graph
 
 
@@ -142,7 +155,9 @@ def _cosines(batches: Iterable[pa.RecordBatch], dim: int) -> Iterator[pa.RecordB
 
 def search(graph: DataFrame, vectors: DataFrame, queries: DataFrame, dim: int) -> DataFrame:
     """q, v, score: the BEAM most similar nodes found for each query (q, q_vec, node), its own node among them."""
-    edges = graph.select(F.col("u").alias("v"), F.col("v").alias("to")).unionByName(graph.where(F.col("r") <= 6).select("v", F.col("u").alias("to")))
+    # a node that is a neighbour of very many shows only the REVERSE nearest of them; the others still lead to it
+    reverse = graph.withColumn("back", F.row_number().over(Window.partitionBy("v").orderBy(F.desc("sim"), "u"))).where(F.col("back") <= REVERSE)
+    edges = stored(graph.select(F.col("u").alias("v"), F.col("v").alias("to")).unionByName(reverse.select("v", F.col("u").alias("to"))).distinct(), "graph-edges")
     top = Window.partitionBy("q").orderBy(F.desc("score"), "v")
 
     def scored(pairs: DataFrame) -> DataFrame:
@@ -160,7 +175,7 @@ def search(graph: DataFrame, vectors: DataFrame, queries: DataFrame, dim: int) -
             return seen.select("q", "v", "score")
 
 
-def nearest(vectors: DataFrame, is_query, k: int = 5) -> DataFrame:
+def nearest(vectors: DataFrame, is_query, k: int = 5, block: int = BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score: for each vector that is_query selects its k most similar others."""
     spark = vectors.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -172,7 +187,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 5) -> DataFrame:
     members = stored(members, "vector-members")
     nodes = members.where("m = 1").select("node", "vec")
     units = stored(nodes.mapInArrow(partial(_projected, dim=dim), "node long, unit binary, " + ", ".join(f"along{i} double" for i in range(DIRECTIONS))), "unit-vectors")
-    graph = build(units, n)
+    graph = build(units, n, block)
     queries = stored(rows.where(is_query).select(F.col("vec_id").alias("q"), F.col("vec").alias("q_vec")).join(nodes, F.col("q_vec") == F.col("vec")).select("q", "q_vec", "node"), "vector-queries")
     found = search(graph, nodes.select(F.col("node").alias("v"), "vec"), queries, dim)
     found = found.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "v"))).where(F.col("r") <= k + 1)
