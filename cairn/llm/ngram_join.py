@@ -1,10 +1,11 @@
-"""N-gram Jaccard join by prefixes of a global n-gram order and verification of whole sets.
+"""N-gram Jaccard join by vertical partitioning: the global n-gram order is cut into fragments, each counts apart.
 
 The order puts rare shingles first: those not known to be frequent by their hash, the frequent
-ones last by their document counts. Two sets of the wanted similarity share a shingle among the
-first few of both (their prefixes), so only these propose pairs; the order decides how many
-pairs are proposed, never which links are found. Overlaps are counted on whole sets,
-split by hash and summed per pair.
+ones last by their document counts. It is cut into FRAGMENTS ranges, and so is every set: a segment is the part of a
+set in one fragment. The overlap of two segments is counted in a task of its own, and a pair's overlaps
+are summed. Which pairs are counted follows from the order too: two sets of the wanted similarity share a shingle among
+the first few of both (their prefixes), so only these propose pairs; the order decides how many
+pairs are proposed, never which links are found.
 
 Equal sets are one node. ``links`` compares every proposed pair of nodes and returns all that link. ``join`` needs
 components alone and takes a short cut: in two rounds each node is compared with one or a few partners of the shingles it
@@ -12,9 +13,10 @@ shares; the last round compares every proposed pair whose ends are not yet conne
 whatever the first two found.
 
 Edge cases: null, empty and wordless texts have an empty set and link with nothing; fewer words than
-a shingle's make the whole sequence one shingle; rows that share a doc_id are one node, a null doc_id
-is never linked and has no component; an empty table gives an empty result; other columns of the
-input are not looked at. Shingles are told apart by 64-bit hashes.
+a shingle's make the whole sequence one shingle; rows that share a doc_id are one document, which has the links of
+each of its texts; a null doc_id is never linked and has no component; an empty table gives an empty result; other columns
+of the input are not looked at. Shingles are told apart by 64-bit hashes, within a fragment by 48 bits, sets by 64 bits
+(two sets that share these but not 128 bits end the job with an error).
 """
 
 from __future__ import annotations
@@ -35,7 +37,10 @@ from cairn.llm.textnum import Words, grouped, mix
 LOCAL_FREQUENT, MOST_FREQUENT = 4, 1 << 19
 #: Shingles of a block.
 BLOCK = 6_000_000
-FRAGMENT_BITS = 4
+#: Ranges of the order: all but the last share the shingles not known to be frequent.
+FRAGMENTS = 4
+#: Pairs of segments counted at once, and bytes of a shingle in a segment.
+PAIRS, WIDTH = 1 << 12, 6
 #: Random members of a shingle's main component that the others meet in the second round.
 PICKED = 3
 
@@ -98,21 +103,27 @@ class Order:
         return np.where(self.tokens[at] == g, self.df[at], 0)
 
 
+def _fingerprints(g: np.ndarray, doc: np.ndarray, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of each set, in two numbers."""
+    f1, f2 = np.zeros(n_docs, np.uint64), np.zeros(n_docs, np.uint64)
+    np.add.at(f1, doc, mix(g + np.uint64(1)))
+    np.add.at(f2, doc, mix(g ^ np.uint64(0xA0761D6478BD642F)))
+    return f1.view(np.int64), f2.view(np.int64)
+
+
 def _sets(batches: Iterable[pa.RecordBatch], size: int, percent: int, order) -> Iterator[pa.RecordBatch]:
-    """Per document: set size, a 128-bit fingerprint of the set, and its prefix in the global order."""
+    """Per document: set size, fingerprint of the set, and its prefix in the global order."""
     for rows, texts in grouped(batches):
         g, at = shingle_sets(texts, size)
         n = np.diff(at)
         doc = np.repeat(np.arange(len(texts)), n)
-        f1, f2 = np.zeros(len(texts), np.uint64), np.zeros(len(texts), np.uint64)
-        np.add.at(f1, doc, mix(g + np.uint64(1)))
-        np.add.at(f2, doc, mix(g ^ np.uint64(0xA0761D6478BD642F)))
+        f1, f2 = _fingerprints(g, doc, len(texts))
         by = np.lexsort((g, order.value.ranks(g), doc))
         g = g[by]
         length = np.where(n > 0, n - (percent * n + 99) // 100 + 1, 0)
         take = np.arange(len(g)) - np.repeat(at[:-1], n) < np.repeat(length, n)
         prefix = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(length)]).astype(np.int32)), pa.array(g[take].view(np.int64)))
-        yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(n.astype(np.int64)), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), prefix], names=["doc_id", "n", "f1", "f2", "prefix"])
+        yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(n.astype(np.int64)), pa.array(f1), pa.array(f2), prefix], names=["doc_id", "n", "f1", "f2", "prefix"])
 
 
 def _compressed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,26 +134,50 @@ def _compressed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([pack(t or b"") for t in b.column("text").cast(pa.binary()).to_pylist()], pa.binary())], names=["doc_id", "packed"])
 
 
-_COUNTS = "a long, b long, n_a long, n_b long, part int, overlap long"
+_SEGMENT = "node long, fragment int, n long, shingles binary"
 
 
-def _overlaps(batches: Iterable[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    """Per pair and fragment of the order in which both have shingles: how many they share; and the sizes of both sets."""
+def _segments(batches: Iterable[pa.RecordBatch], size: int, order) -> Iterator[pa.RecordBatch]:
+    """The sets of packed texts, cut at the fragments of the order: WIDTH bytes of each shingle."""
     import zstandard
 
     unpack = zstandard.ZstdDecompressor().decompress
     for b in batches:
-        for x in range(0, b.num_rows, 200):
-            part = b.slice(x, 200)
-            place: dict[bytes, int] = {}
-            sides = [[place.setdefault(p, len(place)) for p in part.column(c).to_pylist()] for c in ("left", "right")]
-            g, at = shingle_sets([unpack(p) for p in place], size)
-            sets = [g[s:e] for s, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-            counts = np.stack([np.bincount((np.intersect1d(sets[i], sets[j], assume_unique=True) >> np.uint64(64 - FRAGMENT_BITS)).astype(np.int64), minlength=1 << FRAGMENT_BITS) for i, j in zip(*sides, strict=True)])
-            n_a, n_b = (np.array([len(sets[i]) for i in side], np.int64) for side in sides)
-            pair, piece = np.nonzero(counts)
-            take = pa.array(pair)
-            yield pa.RecordBatch.from_arrays([part.column("a").take(take), part.column("b").take(take), pa.array(n_a[pair]), pa.array(n_b[pair]), pa.array(piece.astype(np.int32)), pa.array(counts[pair, piece].astype(np.int64))], names=[c.split()[0] for c in _COUNTS.split(", ")])
+        for x in range(0, b.num_rows, 300):
+            texts = [unpack(p) for p in b.column("packed").slice(x, 300).to_pylist()]
+            g, at = shingle_sets(texts, size)
+            n = np.diff(at)
+            doc = np.repeat(np.arange(len(texts)), n)
+            node, _ = _fingerprints(g, doc, len(texts))
+            place = np.where(order.value.ranks(g) > 0, FRAGMENTS - 1, ((g >> np.uint64(32)) * np.uint64(FRAGMENTS - 1) >> np.uint64(32)).astype(np.int64))
+            key = doc * FRAGMENTS + place
+            by = np.argsort(key, kind="stable")
+            own, count = np.unique(key, return_counts=True)
+            flat = np.ascontiguousarray(g[by].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :WIDTH])
+            offsets = np.concatenate([[0], np.cumsum(count * WIDTH)]).astype(np.int32)
+            shingles = pa.Array.from_buffers(pa.binary(), len(own), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(flat.tobytes())])
+            yield pa.RecordBatch.from_arrays([pa.array(node[own // FRAGMENTS]), pa.array((own % FRAGMENTS).astype(np.int32)), pa.array(n[own // FRAGMENTS].astype(np.int64)), shingles], names=["node", "fragment", "n", "shingles"])
+
+
+_COUNTS = "a long, b long, n_a long, n_b long, overlap long"
+
+
+def _overlaps(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of two segments in one fragment: how many shingles they share."""
+    def keys(column: pa.Array) -> np.ndarray:
+        segments = column.to_pylist()
+        flat = np.zeros((sum(map(len, segments)) // WIDTH, 8), np.uint8)
+        flat[:, :WIDTH] = np.frombuffer(b"".join(segments), np.uint8).reshape(-1, WIDTH)
+        pair = np.repeat(np.arange(len(segments), dtype=np.uint64), [len(s) // WIDTH for s in segments])
+        return flat.view("<u8").ravel() | pair << np.uint64(8 * WIDTH)
+
+    for b in batches:
+        for x in range(0, b.num_rows, PAIRS):
+            part = b.slice(x, PAIRS)
+            both = np.sort(np.concatenate([keys(part.column("left")), keys(part.column("right"))]))
+            shared = both[1:][both[1:] == both[:-1]] >> np.uint64(8 * WIDTH)
+            overlap = np.bincount(shared.astype(np.int64), minlength=part.num_rows)
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("a", "b", "n_a", "n_b")), pa.array(overlap)], names=[c.split()[0] for c in _COUNTS.split(", ")])
 
 
 def _close(n1: Column, n2: Column, percent: int) -> Column:
@@ -150,28 +185,31 @@ def _close(n1: Column, n2: Column, percent: int) -> Column:
 
 
 def _shared(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Sets of all rows; nodes at the shingles of their prefixes that others share; texts of these nodes in buckets."""
+    """Sets of all rows; nodes at the shingles of their prefixes that others share; segments of these nodes in buckets."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     often = docs.select("text").mapInArrow(partial(_frequent, size=size), "token long, df long").groupBy("token").agg(F.sum("df").alias("df"))
     order = spark.sparkContext.broadcast(Order(often.orderBy(F.desc("df"), "token").limit(MOST_FREQUENT).toPandas()))
-    sets = docs.mapInArrow(partial(_sets, size=size, percent=percent, order=order), "doc_id long, n long, f1 long, f2 long, prefix array<long>")
+    sets = stored(docs.mapInArrow(partial(_sets, size=size, percent=percent, order=order), "doc_id long, n long, f1 long, f2 long, prefix array<long>"), "shingle-sets")
 
-    nodes = sets.where("doc_id IS NOT NULL AND n > 0").groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("node"), F.first("prefix").alias("prefix"))
-    posts = nodes.select("node", F.posexplode("prefix").alias("pos", "token"), "n").select("node", F.shiftleft("n", 32).bitwiseOR(F.col("pos").cast("long")).alias("n_pos"), "token")
+    # the least doc_id of equal sets lends its text
+    nodes = sets.where("doc_id IS NOT NULL AND n > 0").groupBy(F.col("f1").alias("node")).agg(F.min("doc_id").alias("of"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.min("f2").alias("f2"), F.max("f2").alias("other"))
+    nodes = nodes.withColumn("n", F.when(F.col("f2") == F.col("other"), F.col("n")).otherwise(F.raise_error(F.lit("two sets have one fingerprint")).cast("long")))
+    posts = nodes.select("node", "of", F.posexplode("prefix").alias("pos", "token"), "n").select("node", "of", F.shiftleft("n", 32).bitwiseOR(F.col("pos").cast("long")).alias("n_pos"), "token")
     posts = posts.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("c > 1")
-    posts = stored(posts.select("node", "token", "c", F.shiftright("n_pos", 32).alias("n"), F.col("n_pos").bitwiseAND(F.lit(0xFFFFFFFF)).alias("pos")), "shared-shingles")
+    posts = stored(posts.select("node", "of", "token", "c", F.shiftright("n_pos", 32).alias("n"), F.col("n_pos").bitwiseAND(F.lit(0xFFFFFFFF)).alias("pos")), "shared-shingles")
 
-    # texts of all that may link, in buckets: each verification joins them without another shuffle of texts
-    texts = docs.where("doc_id IS NOT NULL").mapInArrow(_compressed, "doc_id long, packed binary").join(posts.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    texts = bucketed(texts.dropDuplicates(["doc_id"]), "ngram_texts", "doc_id")
-    return sets, posts, texts
+    # segments of all that may link, in buckets: each verification joins them without another shuffle of one side
+    texts = docs.where("doc_id IS NOT NULL").mapInArrow(_compressed, "doc_id long, packed binary").join(posts.select(F.col("of").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id", "packed"])
+    segments = bucketed(texts.mapInArrow(partial(_segments, size=size, order=order), _SEGMENT), "ngram_segments", "node", "fragment")
+    return sets, posts, segments
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
     """pairs: a, b -> those that link, by the sum of their overlaps in all fragments: a, b, n_a, n_b, overlap."""
-    left, right = (texts.select(F.col("doc_id").alias(x), F.col("packed").alias(y)) for x, y in (("a", "left"), ("b", "right")))
-    counts = pairs.select("a", "b").join(left, "a").join(right, "b").mapInArrow(partial(_overlaps, size=size), _COUNTS)
+    left, right = (segments.select(F.col("node").alias(x), "fragment", F.col("n").alias(f"n_{x}"), F.col("shingles").alias(y)) for x, y in (("a", "left"), ("b", "right")))
+    each = pairs.select("a", "b", F.explode(F.array(*map(F.lit, range(FRAGMENTS)))).alias("fragment"))
+    counts = each.join(left, ["a", "fragment"]).join(right, ["b", "fragment"]).mapInArrow(_overlaps, _COUNTS)
     counts = counts.groupBy("a", "b", "n_a", "n_b").agg(F.sum("overlap").alias("overlap"))
     return counts.where(100 * F.col("overlap") >= percent * (F.col("n_a") + F.col("n_b") - F.col("overlap")))
 
@@ -187,19 +225,22 @@ def links(docs: DataFrame, size: int, percent: int) -> DataFrame:
     Rows of equal sets meet as the one with the smallest doc_id; a and b are these. In a group of near copies the
     pairs are as many as its square, as the result is.
     """
-    _, posts, texts = _shared(docs, size, percent)
+    _, posts, segments = _shared(docs, size, percent)
     left = posts.select("token", *[F.col(c).alias(f"{c}_a") for c in ("node", "n", "pos")])
     near = _close(F.col("n"), F.col("n_a"), percent) & _enough(F.col("n"), F.col("pos"), F.col("n_a"), F.col("pos_a"), percent)
     pairs = left.join(posts, "token").where((F.col("node_a") < F.col("node")) & near).select(F.col("node_a").alias("a"), F.col("node").alias("b")).distinct()
-    return _verified(stored(pairs, "pairs"), texts, size, percent).select("a", "b", "n_a", "n_b", "overlap")
+    rows, of = _verified(stored(pairs, "pairs"), segments, percent), posts.select("node", "of").distinct()
+    rows = rows.join(of.toDF("a", "of_a"), "a").join(of.toDF("b", "of_b"), "b").where("of_a <> of_b")
+    ends = F.sort_array(F.array(*(F.struct(F.col(f"of_{x}").alias("of"), F.col(f"n_{x}").alias("n")) for x in "ab")))
+    return rows.select(ends[0]["of"].alias("a"), ends[1]["of"].alias("b"), ends[0]["n"].alias("n_a"), ends[1]["n"].alias("n_b"), "overlap")
 
 
 def join(docs: DataFrame, size: int, percent: int) -> DataFrame:
     """Per document its set size (n_shingles) and component_id under 100 * intersection >= percent * union."""
-    sets, posts, texts = _shared(docs, size, percent)
+    sets, posts, segments = _shared(docs, size, percent)
 
     def verified(pairs: DataFrame) -> DataFrame:
-        return stored(_verified(pairs, texts, size, percent).select("a", "b"), "near-links")
+        return stored(_verified(pairs, segments, percent).select("a", "b"), "near-links")
 
     def best(rows: DataFrame, *key: str) -> DataFrame:
         """The partner with which each node shares most shingles of its prefix."""
@@ -233,13 +274,18 @@ def join(docs: DataFrame, size: int, percent: int) -> DataFrame:
     apart = few.join(rows, (few["token"] == rows["token"]) & (F.col("component") != F.col("component_a")) & ((F.col("component") == F.col("main")) | (F.col("node") < F.col("node_a"))) & _close(F.col("n"), F.col("n_a"), percent) & enough)
     links = links.unionByName(verified(stored(apart.select(F.least("node", "node_a").alias("a"), F.greatest("node", "node_a").alias("b")).distinct(), "pairs")))
 
+    # the texts of one document belong together
+    narrow = sets.select("doc_id", "n", "f1").where("doc_id IS NOT NULL AND n > 0")
+    texts = narrow.groupBy("doc_id").agg(F.min("f1").alias("a"), F.max("f1").alias("z")).where("a <> z")
+    links = links.unionByName(narrow.join(texts, "doc_id").where("f1 <> a").select("a", F.col("f1").alias("b")).distinct())
     labels = stored(components(links), "components")
-    narrow = stored(sets.select("doc_id", "n", "f1", "f2"), "set-fingerprints")
-    groups = narrow.where("doc_id IS NOT NULL AND n > 0").groupBy("f1", "f2").agg(F.min("doc_id").alias("node"))
-    groups = groups.join(labels, "node", "left").select("f1", "f2", F.coalesce("component", "node").alias("component_id"))
-    rows = narrow.withColumnRenamed("n", "n_shingles").join(groups, ["f1", "f2"], "left")
-    own = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
-    return rows.select("doc_id", "n_shingles", F.when(own, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    groups = narrow.groupBy(F.col("f1").alias("node")).agg(F.min("doc_id").alias("of")).join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    groups = stored(groups, "set-groups")
+    least = groups.groupBy("component").agg(F.min("of").alias("component_id"))
+    groups = groups.join(least, "component").select(F.col("node").alias("f1"), "component_id")
+    own = F.col("doc_id").isNotNull() & (F.col("n") > 0)
+    rows = sets.select("doc_id", "n", F.when(own, F.col("f1")).alias("f1")).join(groups, "f1", "left")
+    return rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(own, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -356,11 +356,12 @@ def sets_by_hand(text, size):
 def test_neighbours_over_several_blocks(spark):
     rng = np.random.default_rng(12)
     v = rng.normal(size=(6000, 16))
-    v[2000:2600] = v[0] + 1e-3 * rng.normal(size=(600, 16))  # near copies, equal in half precision
+    v[2000:2600] = v[0] + 1e-3 * rng.normal(size=(600, 16))  # near copies
+    v[3000:4500] = v[rng.integers(0, 30, 1500)] + 0.3 * rng.normal(size=(1500, 16))  # clusters
     v = v.astype(np.float32)
     df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>")
     got = collections.defaultdict(set)
-    for r in neighbours.nearest(df, F.col("vec_id") % 50 == 0).collect():
+    for r in neighbours.nearest(df, F.col("vec_id") % 50 == 0, block=96).collect():  # blocks far smaller than the table
         got[r["query_id"]].add(r["vec_id"])
     u = v.astype(float) / np.linalg.norm(v.astype(float), axis=1, keepdims=True)
     found = []
@@ -400,6 +401,7 @@ def test_ngram_join(spark, awkward, empty):
         for _ in range(i % 15):
             words[rng.integers(len(words))] = "edit" + str(rng.integers(99))
         docs.append((100 + i, " ".join(words)))
+    docs += [(130, base_text(1002, 90)), (131, docs[-1][1]), (500, base_text(3, 80)), (500, base_text(4, 80)), (501, base_text(4, 80)), (502, base_text(3, 80)), (12, None)]  # ids with several texts
     df = spark.createDataFrame([(k, t, 0) for k, t in docs], "doc_id long, text string, component_id int")
     for size, percent in ((4, 85), (5, 80)):
         want = groups_by_hand(docs, size, percent)
