@@ -1,12 +1,14 @@
 """Content-addressed store of token ids.
 
 Rolling hashes cut each document's ids into chunks; a chunk is kept once under the digest
-of its bytes; a document's recipe lists its chunks' digests; Merkle trees over recipes
-and over all documents verify what is read back.
+of its bytes; a document's recipe lists its chunks' digests. The encoding pass hashes each document's id, length
+and recipe; a Merkle tree over these, with each one's place, is the manifest. Readers hash the recipes as they
+find them, compare every node of the tree, and check each chunk against its digest: a file that was changed or lost ends
+the job with an error.
 
 Layout below one folder: ``raw/kind=0`` unique chunks (key, payload), ``raw/kind=1``
 recipes as written by the encoding pass, ``recipes`` the same in ascending document order
-with each document's start, ``manifest`` the levels of the Merkle tree.
+with each document's start, ``manifest`` the levels of the Merkle tree, the last of one node.
 
 Edge cases: null and empty texts are documents of the end id alone; repeated rows and ids
 are documents of their own, in input order; null ids come first; an empty table
@@ -40,11 +42,9 @@ def digest(data: bytes) -> bytes:
     return hashlib.blake2b(data, digest_size=DIGEST).digest()
 
 
-def merkle(leaves: list[bytes]) -> bytes:
-    """Root of the binary Merkle tree over the leaves; the digest of nothing if there are none."""
-    while len(leaves) > 1:
-        leaves = [digest(b"".join(leaves[i : i + 2])) for i in range(0, len(leaves), 2)]
-    return leaves[0] if leaves else digest(b"")
+def leaf(doc_id: int | None, n: int, recipe: bytes) -> str:
+    """Hash of a document: its id (null: nothing), its number of ids and its recipe."""
+    return hashlib.sha256(f"{'' if doc_id is None else doc_id}:{n}:".encode() + recipe).hexdigest()
 
 
 def _gear(ids: np.ndarray) -> np.ndarray:
@@ -79,7 +79,7 @@ def _chunked(batches: Iterable[pa.RecordBatch], path: str, end_id: int, width: s
     encoder = library_encoder(path, spaced=False)
     end = np.array([end_id], "<u4").tobytes()
     for rows, texts in grouped(batches):
-        kind, key, payload, row, doc, counts = [], [], [], [], [], []
+        kind, key, payload, row, doc, counts, leaves = [], [], [], [], [], [], []
         here: set[bytes] = set()
         for uid, doc_id, data in zip(rows.column("_row").to_pylist(), rows.column("doc_id").to_pylist(), encoder.encode(texts), strict=True):
             ids = as_ids(data + end)
@@ -90,10 +90,14 @@ def _chunked(batches: Iterable[pa.RecordBatch], path: str, end_id: int, width: s
                 recipe.append(d := digest(chunk))
                 if d not in here:
                     here.add(d)
-                    kind.append(0), key.append(d), payload.append(chunk), row.append(None), doc.append(None), counts.append(e - last)
+                    kind.append(0), key.append(d), payload.append(chunk), row.append(None), doc.append(None), counts.append(e - last), leaves.append(None)
                 last = e
-            kind.append(1), key.append(uid.to_bytes(8, "big")), payload.append(b"".join(recipe)), row.append(uid), doc.append(doc_id), counts.append(len(ids))
-        yield pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(key, pa.binary()), pa.array(payload, pa.binary()), pa.array(row, pa.int64()), pa.array(doc, pa.int64()), pa.array(counts, pa.int64())], names=["kind", "key", "payload", "row", "doc_id", "n"])
+            kind.append(1), key.append(uid.to_bytes(8, "big")), payload.append(p := b"".join(recipe)), row.append(uid), doc.append(doc_id), counts.append(len(ids)), leaves.append(leaf(doc_id, len(ids), p))
+        yield pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(key, pa.binary()), pa.array(payload, pa.binary()), pa.array(row, pa.int64()), pa.array(doc, pa.int64()), pa.array(counts, pa.int64()), pa.array(leaves, pa.string())], names=["kind", "key", "payload", "row", "doc_id", "n", "leaf"])
+
+
+_RAW = "kind int, key binary, payload binary, row long, doc_id long, n long, leaf string"
+_NODE = "position long, hash string"
 
 
 def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, width: str = "<u2") -> None:
@@ -103,13 +107,19 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, width: str
     """
     spark = docs.sparkSession
     rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.col("doc_id").cast("long"), "text")
-    rows = rows.mapInArrow(partial(_chunked, path=tokenizer, end_id=end_id, width=width), "kind int, key binary, payload binary, row long, doc_id long, n long")
+    rows = rows.mapInArrow(partial(_chunked, path=tokenizer, end_id=end_id, width=width), _RAW)
     # equal chunks meet before and after the shuffle: a chunk that many documents share is one row for each task
-    unique = rows.groupBy("kind", "key").agg(F.first("payload").alias("payload"), F.first("row").alias("row"), F.first("doc_id").alias("doc_id"), F.first("n").alias("n"))
+    unique = rows.groupBy("kind", "key").agg(F.first("payload").alias("payload"), F.first("row").alias("row"), *[F.first(c).alias(c) for c in ("doc_id", "n", "leaf")])
     unique.write.partitionBy("kind").option("compression", "zstd").parquet(f"{folder}/raw")
-    recipes = spark.read.schema("key binary, payload binary, row long, doc_id long, n long, kind int").parquet(f"{folder}/raw").where("kind = 1")
-    in_order(recipes.select("row", "doc_id", F.col("n").alias("n_tokens"), F.col("payload").alias("recipe")), ["doc_id", "row"], "n_tokens", f"{folder}/recipes")
-    _write_manifest(spark, folder)
+    recipes = spark.read.schema(_RAW).parquet(f"{folder}/raw").where("kind = 1")
+    in_order(recipes.select("row", "doc_id", F.col("n").alias("n_tokens"), F.col("payload").alias("recipe"), "leaf"), ["doc_id", "row"], "n_tokens", f"{folder}/recipes")
+    level, nodes = 0, _above(spark.read.parquet(f"{folder}/recipes").select("position", F.concat_ws(":", "start", "leaf").alias("hash")))
+    while True:
+        nodes.write.parquet(f"{folder}/manifest/level={level}")
+        nodes = spark.read.schema(_NODE).parquet(f"{folder}/manifest/level={level}")
+        if len(nodes.take(2)) < 2:
+            return
+        level, nodes = level + 1, _above(nodes)
 
 
 def in_order(df: DataFrame, order: list[str], value: str, path: str) -> None:
@@ -128,17 +138,25 @@ def in_order(df: DataFrame, order: list[str], value: str, path: str) -> None:
     rows.write.parquet(path)
 
 
-def _write_manifest(spark: SparkSession, folder: str) -> None:
-    """Merkle tree over the documents in order; a node has FANOUT children at most, so each level is small groups."""
+def _above(nodes: DataFrame) -> DataFrame:
+    """The next level of the tree; a node has FANOUT children at most, so each is a small group."""
+    children = F.array_sort(F.collect_list(F.struct("position", "hash")))
+    return nodes.groupBy(F.floor(F.col("position") / FANOUT).alias("position")).agg(F.sha2(F.to_json(children), 256).alias("hash"))
+
+
+def verify(spark: SparkSession, folder: str) -> None:
+    """Compare every level of the manifest with what the level below (at first the recipes as read) gives; raise on a difference."""
     recipes = spark.read.parquet(f"{folder}/recipes")
-    level, nodes = 0, recipes.select("position", F.sha2(F.concat(F.coalesce(F.col("doc_id"), F.lit(-1)).cast("string").cast("binary"), F.col("recipe")), 256).alias("hash"))
+    own = F.sha2(F.concat(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.col("n_tokens").cast("string"), F.lit(":")).cast("binary"), F.col("recipe")), 256)
+    below, level = recipes.select("position", F.concat_ws(":", "start", own).alias("hash")), 0
     while True:
-        nodes = nodes.groupBy(F.floor(F.col("position") / FANOUT).alias("position")).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "hash"))), lambda x: x["hash"]), ""), 256).alias("hash"))
-        nodes.write.parquet(f"{folder}/manifest/level={level}")
-        nodes = spark.read.schema("position long, hash string").parquet(f"{folder}/manifest/level={level}")
-        if len(nodes.take(2)) < 2:
+        written = spark.read.schema(_NODE).parquet(f"{folder}/manifest/level={level}")
+        both = _above(below).join(written.select("position", F.col("hash").alias("written")), "position", "full_outer")
+        if both.where("NOT (hash <=> written)").take(1):
+            raise ValueError(f"level {level} of the manifest differs from what it covers")
+        if len(written.take(2)) < 2:
             return
-        level += 1
+        below, level = written, level + 1
 
 
 def root(spark: SparkSession, folder: str) -> str | None:
@@ -192,7 +210,8 @@ def read_digests(spark: SparkSession, folder: str, width: str = "<u2") -> DataFr
     recipes by joining the values of chunks (not their bytes). A chunk in very many documents is
     a skewed key of that join, which adaptive execution splits.
     """
-    raw = spark.read.schema("key binary, payload binary, row long, doc_id long, n long, kind int").parquet(f"{folder}/raw").where("kind = 0")
+    verify(spark, folder)
+    raw = spark.read.schema(_RAW).parquet(f"{folder}/raw").where("kind = 0")
     chunks = raw.select("key", "payload").mapInArrow(partial(_read_chunks, width=width), "key binary, n long, crc long")
     recipes = spark.read.parquet(f"{folder}/recipes")
     each = recipes.select("row", F.posexplode(F.expr(f"transform(sequence(0, cast(length(recipe) / {DIGEST} as int) - 1), i -> substring(recipe, i * {DIGEST} + 1, {DIGEST}))")).alias("seq", "key"))
@@ -206,15 +225,21 @@ def read_digests(spark: SparkSession, folder: str, width: str = "<u2") -> DataFr
 
 def _rebuilt(batches: Iterable[pa.RecordBatch], width: str) -> Iterator[pa.RecordBatch]:
     for b in batches:
+        for c in b.column("chunks").to_pylist():
+            for x in c:
+                if digest(x["payload"]) != x["key"]:
+                    raise ValueError(f"chunk {x['key'].hex()} doesn't have its digest")
         ids = [np.frombuffer(b"".join(x["payload"] for x in sorted(c, key=lambda x: x["seq"])), width).astype(np.int64) for c in b.column("chunks").to_pylist()]
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(ids, pa.list_(pa.int64()))], names=["doc_id", "ids"])
 
 
 def reconstruct(spark: SparkSession, folder: str, width: str = "<u2") -> DataFrame:
     """Documents with their whole ids, in no order: for exports; the digests above need no such shuffle."""
-    raw = spark.read.schema("key binary, payload binary, row long, doc_id long, n long, kind int").parquet(f"{folder}/raw").where("kind = 0")
+    verify(spark, folder)
+    raw = spark.read.schema(_RAW).parquet(f"{folder}/raw").where("kind = 0")
     each = spark.read.parquet(f"{folder}/recipes").select("row", "doc_id", F.posexplode(F.expr(f"transform(sequence(0, cast(length(recipe) / {DIGEST} as int) - 1), i -> substring(recipe, i * {DIGEST} + 1, {DIGEST}))")).alias("seq", "key"))
-    rows = each.join(raw.select("key", "payload"), "key").groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.collect_list(F.struct("seq", "payload")).alias("chunks"))
+    rows = each.join(raw.select("key", "payload"), "key", "left").withColumn("payload", F.coalesce("payload", F.raise_error(F.lit("a chunk is missing")).cast("binary")))
+    rows = rows.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.collect_list(F.struct("seq", "key", "payload")).alias("chunks"))
     return rows.mapInArrow(partial(_rebuilt, width=width), "doc_id long, ids array<long>")
 
 

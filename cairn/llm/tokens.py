@@ -97,12 +97,12 @@ class LibraryPieces:
     Plain pieces go straight to its model, past slow normalising and cutting; the others to the whole tokenizer.
     """
 
-    def __init__(self, path: str, lower: bool):
+    def __init__(self, path: str, lower: bool, specials_as_text: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         t = Tokenizer.from_file(path)
-        t.encode_special_tokens = True  # their strings in a text are ordinary text
+        t.encode_special_tokens = specials_as_text
         self.batch, self.model, self.lower = getattr(t, "encode_batch_fast", t.encode_batch), t.model, lower
         self.tails: dict[str, bytes] = {"": b""}
 
@@ -147,14 +147,17 @@ class LibraryPieces:
         return out
 
 
-def library_encoder(path: str, spaced: bool) -> PieceEncoder:
+def library_encoder(path: str, spaced: bool, specials_as_text: bool = True) -> PieceEncoder:
     """An encoder by the tokenizers library, one per worker process and file.
 
     spaced: a byte-level vocabulary whose words take the space before them; else one that drops white space and case.
+    specials_as_text: the string of a special token in a text is ordinary text, as the files' own README encodes, so that no
+    document forges an end mark; else it gets the special id.
     """
-    if ("library", path) not in _workers:
-        _workers["library", path] = PieceEncoder(LibraryPieces(path, lower=not spaced), spaced, 3 * MEMORY // 2)
-    return _workers["library", path]
+    key = "library", path, specials_as_text
+    if key not in _workers:
+        _workers[key] = PieceEncoder(LibraryPieces(path, not spaced, specials_as_text), spaced, 3 * MEMORY // 2)
+    return _workers[key]
 
 
 def grouped(batches: Iterable[pa.RecordBatch], text: str = "text") -> Iterator[tuple[pa.RecordBatch, list[str]]]:

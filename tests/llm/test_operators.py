@@ -85,6 +85,21 @@ def test_token_store(spark, awkward, empty):
     back = collections.Counter((r["doc_id"], tuple(r["ids"])) for r in token_store.reconstruct(spark, folder).collect())
     assert back == collections.Counter((k, tuple(x)) for k, x in ids)
     assert token_store.root(spark, folder)
+    # a recipe that was changed after writing is found, as is a chunk
+    recipes = spark.read.parquet(f"{folder}/recipes")
+    damaged = shared_dir(spark, "test-store-damaged")
+    spark.read.parquet(f"{folder}/manifest/level=0").write.parquet(f"{damaged}/manifest/level=0")
+    recipes.withColumn("recipe", F.when(F.col("doc_id") == 9, F.reverse("recipe")).otherwise(F.col("recipe"))).write.parquet(f"{damaged}/recipes")
+    with pytest.raises(ValueError, match="manifest"):
+        token_store.read_digests(spark, damaged)
+    damaged = shared_dir(spark, "test-store-damaged")
+    spark.read.parquet(f"{folder}/manifest/level=0").write.parquet(f"{damaged}/manifest/level=0")
+    recipes.write.parquet(f"{damaged}/recipes")
+    raw = spark.read.parquet(f"{folder}/raw")
+    raw.withColumn("payload", F.when(F.col("n") == 64, F.lit(b"xx")).otherwise(F.col("payload")) if raw.where("n = 64").count() else F.concat("payload", F.lit(b"xx"))).write.partitionBy("kind").parquet(f"{damaged}/raw")
+    for read in (token_store.read_digests, token_store.reconstruct):
+        with pytest.raises(Exception, match="digest"):
+            read(spark, damaged).collect()
     raw = spark.read.parquet(f"{folder}/raw").where("kind = 0")
     assert raw.count() == raw.select("key").distinct().count()
     folder = shared_dir(spark, "test-store-empty")
@@ -92,6 +107,21 @@ def test_token_store(spark, awkward, empty):
     assert token_store.read_digests(spark, folder).count() == 0
 
 
+@pytest.mark.parametrize("name, spaced", [("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)])
+@pytest.mark.parametrize("as_text", [True, False])
+def test_encoder_gives_the_librarys_ids(name, spaced, as_text):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(name)
+    t = Tokenizer.from_file(path)
+    t.encode_special_tokens = as_text
+    texts = ["", " ", "a <|endoftext|> b", "<|endoftext|>", "x<|startoftext|>y  z", "It's  3 o'clock\n\n end ", "Ünïcode ſ ǆ 漢字 🙂 e\u0301", "tab\tand\x1cmore \u00a0 x", base_text(7), " lead", "TRAIL \n"]
+    rng = np.random.default_rng(8)
+    texts += ["".join(rng.choice(list("aB9 .'\n\t<|é漢!"), 30)) + rng.choice(["<|endoftext|>", ""]) for _ in range(300)]
+    got = library_encoder(path, spaced, as_text).encode(texts)
+    assert [as_ids(g).tolist() for g in got] == [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_joined_crc():
     a, b, c = b"abc" * 9, b"", b"xyz"
     parts = [a, b, c]
