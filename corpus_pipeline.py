@@ -8,7 +8,7 @@ repeats a part of one stage at most.
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cairn.llm import ngram_join, packing, quality_classifier, quality_rules, suffix_dedup
@@ -33,20 +33,36 @@ def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_classifier.keep_good(docs, table(spark, sf_dir, "labels", "doc_id", F.col("quality").alias("label")), GOOD)
 
 
+def _free(docs: DataFrame, name: str) -> str:
+    """A column name that the documents don't have."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest id stays; rows without an id stay."""
+    """Of each group of linked documents the one with the smallest id stays; rows without an id stay.
+
+    Rows that share an id are one document: each of its different texts stays, of equal ones the row that is first by all its columns.
+    """
     groups = ngram_join.join(docs, SHINGLE, SIMILAR)
-    least = groups.where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(least.withColumnRenamed("doc_id", "_least"), F.col("doc_id") == F.col("_least"), "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id IS NULL"))
+    key, place = _free(docs, "key"), _free(docs, "place")
+    least = groups.where("doc_id = component_id").select(F.col("doc_id").alias(key)).distinct()
+    kept = docs.join(least, docs["doc_id"] == least[key], "left_semi")
+    rest = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("doc_id", "text")]
+    first = Window.partitionBy("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256)).orderBy(F.to_json(F.struct(F.isnull("text").alias("text"), *rest)))
+    return kept.withColumn(place, F.row_number().over(first)).where(F.col(place) == 1).drop(place).unionByName(docs.where("doc_id IS NULL"))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that a document with a smaller id has are cut out (a character cut in two goes with them); n_chars follows."""
-    cut = suffix_dedup.cut_repeats(docs, PASSAGE, as_text=True).select(F.col("row").alias("_row"), F.col("kept").alias("_kept"))
-    rows = docs.withColumn("_key", suffix_dedup._row()).join(cut, F.col("_key") == F.col("_row"), "left")
-    text = F.coalesce("_kept", "text")
-    new = {"text": text} | ({"n_chars": F.when(F.col("_kept").isNotNull(), F.length("_kept").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))} if "n_chars" in docs.columns else {})
+    key, row, kept = (_free(docs, x) for x in ("key", "row", "kept"))
+    cut = suffix_dedup.cut_repeats(docs, PASSAGE, as_text=True).select(F.col("row").alias(row), F.col("kept").alias(kept))
+    rows = docs.withColumn(key, suffix_dedup._row()).join(cut, F.col(key) == F.col(row), "left")
+    new = {"text": F.coalesce(kept, "text")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(F.col(kept).isNotNull(), F.length(kept).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
     return rows.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns])
 
 
