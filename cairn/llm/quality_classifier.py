@@ -30,6 +30,8 @@ from cairn.llm.toxicity import fold
 
 MOST = 20_000
 HIDDEN, STEPS, RATE = 24, 600, 0.02
+#: Weight decay.
+DECAY = 1e-4
 FEATURES = ("words", "word_length", "symbols", "pipes", "exclamations", "upper", "digits", "high_bytes", "same_as_before", "distinct", "repeated_windows", "lines", "line_length", "stops", "commas", "short_words")
 
 
@@ -92,19 +94,31 @@ class PuNet:
         xp, xu = self._scaled(positive), self._scaled(unlabelled)
         first, second = [np.zeros_like(a) for a in self.p], [np.zeros_like(a) for a in self.p]
         for step in range(1, STEPS + 1):
-            zp, hp = self._forward(xp)
-            zu, hu = self._forward(xu)
-            sp, su = 1 / (1 + np.exp(-zp)), 1 / (1 + np.exp(-zu))
-            negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()  # R_U(-) - prior R_P(-)
-            if negative >= 0:
-                gp, gu = (prior * (sp - 1) - prior * sp) / len(xp), su / len(xu)
-            else:  # step back from the overfitted part
-                gp, gu = prior * sp / len(xp), -su / len(xu)
-            grads = [a + b + 1e-4 * w for a, b, w in zip(self._backward(xp, hp, gp), self._backward(xu, hu, gu), self.p, strict=True)]
-            for i, g in enumerate(grads):
+            for i, g in enumerate(self.gradients(xp, xu)):
                 first[i], second[i] = 0.9 * first[i] + 0.1 * g, 0.999 * second[i] + 0.001 * g * g
                 self.p[i] = self.p[i] - RATE * (first[i] / (1 - 0.9**step)) / (np.sqrt(second[i] / (1 - 0.999**step)) + 1e-8)
 
+    def negative_risk(self, xp: np.ndarray, xu: np.ndarray) -> float:
+        """Unbiased estimate of the part that negatives have in the risk; below 0 it is overfitted."""
+        zp, zu = self._forward(xp)[0], self._forward(xu)[0]
+        return np.logaddexp(0, zu).mean() - self.prior * np.logaddexp(0, zp).mean()
+
+    def risk(self, xp: np.ndarray, xu: np.ndarray) -> float:
+        """Risk of the step at hand (logistic loss, with the weight decay): whole, or minus the overfitted part alone."""
+        negative = self.negative_risk(xp, xu)
+        decay = DECAY / 2 * sum((w * w).sum() for w in self.p)
+        return decay + (negative + self.prior * np.logaddexp(0, -self._forward(xp)[0]).mean() if negative >= 0 else -negative)
+
+    def gradients(self, xp: np.ndarray, xu: np.ndarray) -> list[np.ndarray]:
+        zp, hp = self._forward(xp)
+        zu, hu = self._forward(xu)
+        sp, su = 1 / (1 + np.exp(-zp)), 1 / (1 + np.exp(-zu))
+        if np.logaddexp(0, zu).mean() - self.prior * np.logaddexp(0, zp).mean() >= 0:
+            gp, gu = (self.prior * (sp - 1) - self.prior * sp) / len(xp), su / len(xu)
+        else:  # step back from the overfitted part
+            gp, gu = self.prior * sp / len(xp), -su / len(xu)
+        return [a + b + DECAY * w for a, b, w in zip(self._backward(xp, hp, gp), self._backward(xu, hu, gu), self.p, strict=True)]
+
     def _scaled(self, x: np.ndarray) -> np.ndarray:
         return np.clip((x - self.mean) / self.scale, -6, 6)
 

@@ -314,6 +314,28 @@ def test_quality_classifier(spark, awkward, empty):
     assert quality_classifier.keep_good(docs, labels).columns == docs.columns
 
 
+@pytest.mark.parametrize("prior", [0.3, 0.95])
+def test_positive_unlabelled_gradient(prior):
+    """Against finite differences, where the unbiased risk of negatives is above and below 0."""
+    rng = np.random.default_rng(6)
+    net = object.__new__(quality_classifier.PuNet)
+    net.prior, net.p = prior, [rng.normal(0, 0.5, (4, 3)), rng.normal(0, 0.5, 3), rng.normal(0, 1, 3), rng.normal(0, 1, 1)]
+    xp, xu = rng.normal(1, 1, (9, 4)), rng.normal(0, 1, (12, 4))
+    if prior > 0.9:
+        net.p[3] += 3.0
+        xu = xu * 3 - 4
+    assert (net.negative_risk(xp, xu) < 0) == (prior > 0.9)
+    for w, g in zip(net.p, net.gradients(xp, xu), strict=True):
+        for at in np.ndindex(w.shape):
+            old, d = w[at], 1e-6
+            w[at] = old + d
+            up = net.risk(xp, xu)
+            w[at] = old - d
+            down = net.risk(xp, xu)
+            w[at] = old
+            assert abs((up - down) / (2 * d) - g[at]) < 1e-6
+
+
 def repeats_by_hand(docs, length=50):
     out, seen = {}, collections.defaultdict(list)
     for k, t in docs:
