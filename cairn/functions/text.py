@@ -12,11 +12,13 @@ def title_of(text: Column) -> Column:
 
 
 def clean_markup(text: Column) -> Column:
-    """Wiki macros out, code macros to fences, no-break spaces to spaces, four and more line ends to three, trimmed."""
-    x = F.regexp_replace(text, r"\{(?:color|panel|noformat)[^}]*\}", "")
-    x = F.regexp_replace(x, r"\{code[^}]*\}", "```")
-    x = F.translate(x, " ", " ")
-    return F.trim(F.regexp_replace(x, r"\n{4,}", "\n\n\n"))
+    """Wiki macros out whatever their case, code macros to fences, no-break spaces to spaces, dash noise out, four and more line ends to three, trimmed."""
+    x = F.regexp_replace(text, "\u00a0|&nbsp;", " ")
+    x = F.regexp_replace(x, r"(?i)\{(?:color|panel)[^}]*\}", "")
+    x = F.regexp_replace(x, r"(?i)\{code[^}]*\}", "```")
+    x = F.regexp_replace(x, r"(?i)\{noformat\}", "")
+    x = F.regexp_replace(x, r"\{-+\}\{\{-\}\}*", "")
+    return F.regexp_replace(F.regexp_replace(x, r"\n{4,}", "\n\n\n"), r"(?U)^\s+|\s+$", "")
 
 
 def content_hash(title: Column, body: Column, metadata: Column | None = None) -> Column:

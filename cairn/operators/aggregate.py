@@ -39,21 +39,27 @@ def token_frequency(df: DataFrame, text: Column, stop: list[str], top_k: int = 1
     return n.join(F.broadcast(total)).select("token", "n", F.round(F.col("n") / F.col("titles"), 4).alias("share")).orderBy(F.desc("n"), "token").limit(min(top_k, 100))
 
 
+#: Ranges that values are dealt into for ranks.
+RANGES = 64
+
+
 def nearest_rank(df: DataFrame, value: str, shares: tuple[float, ...]) -> DataFrame:
     """sorted[round(p * (n - 1))] for each p, mean and largest.
 
-    Values are dealt out by range, so only the ranges' sizes meet in one place; ranks within ranges follow from them.
+    Approximate quantiles cut the values into ranges; how many values lie in each is counted exactly, so ranks within
+    ranges give ranks in the whole. A value's range follows from the value alone. One row of statistics is broadcast.
     """
     rows = df.select(value).where(F.col(value).isNotNull())
-    counts = rows.groupBy(value).agg(F.count(F.lit(1)).alias("c"))
-    ranged = counts.repartitionByRange(value).withColumn("part", F.spark_partition_id())
-    inner = Window.partitionBy("part").orderBy(value)
-    sizes = ranged.groupBy("part").agg(F.sum("c").alias("size"))
-    before = sizes.select("part", F.coalesce(F.sum("size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    ranked = ranged.withColumn("upto", F.sum("c").over(inner.rowsBetween(Window.unboundedPreceding, 0))).join(F.broadcast(before), "part").withColumn("upto", F.col("upto") + F.col("before"))
-    stats = rows.agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), F.max(value).alias("largest"))
+    cuts = F.percentile_approx(value, [i / RANGES for i in range(1, RANGES)], 1000).alias("_cuts")
+    stats = rows.agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), F.max(value).alias("largest"), cuts)
+    counts = rows.groupBy(value).agg(F.count(F.lit(1)).alias("_c")).join(F.broadcast(stats))
+    counts = counts.withColumn("_range", F.size(F.filter("_cuts", lambda x: x <= F.col(value)))).drop("_cuts")
+    sizes = counts.groupBy("_range").agg(F.sum("_c").alias("_size"))  # RANGES rows at most
+    before = sizes.select("_range", F.coalesce(F.sum("_size").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    upto = F.sum("_c").over(Window.partitionBy("_range").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)) + F.col("_before")
+    ranked = counts.join(F.broadcast(before), "_range").withColumn("_upto", upto)
     at = lambda p: F.bround(F.lit(p) * (F.col("n") - 1), 0)
-    return ranked.join(F.broadcast(stats)).groupBy("n", "mean", "largest").agg(*[F.min(F.when(F.col("upto") > at(p), F.col(value))).alias(f"p{round(100 * p)}") for p in shares])
+    return ranked.groupBy("n", "mean", "largest").agg(*[F.min(F.when(F.col("_upto") > at(p), F.col(value))).alias(f"p{round(100 * p)}") for p in shares])
 
 
 def laplace(support: Column, counter: Column) -> Column:

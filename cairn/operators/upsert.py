@@ -7,18 +7,26 @@ from pyspark.sql import functions as F
 
 
 def plan(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """Action per key from content hashes: insert, update, skip, or keep (only in the old snapshot; nothing is deleted)."""
-    o = old.select(*keys, F.col("content_hash").alias("old_hash"), F.col("version").alias("old_version"))
-    n = new.select(*keys, F.col("content_hash").alias("new_hash"))
+    """Action per key from content hashes: insert, update, skip, or keep (only in the old snapshot; nothing is deleted).
+
+    A null hash is a hash like any other: a row that has one is there.
+    """
+    o = old.select(*keys, F.col("content_hash").alias("old_hash"), F.col("version").alias("old_version"), F.lit(True).alias("_old"))
+    n = new.select(*keys, F.col("content_hash").alias("new_hash"), F.lit(True).alias("_new"))
     rows = o.join(n, keys, "full_outer")
-    action = F.when(F.col("old_hash").isNull(), "insert").when(F.col("new_hash").isNull(), "keep").when(F.col("old_hash") == F.col("new_hash"), "skip").otherwise("update")
+    action = F.when(F.col("_old").isNull(), "insert").when(F.col("_new").isNull(), "keep").when(F.col("old_hash").eqNullSafe(F.col("new_hash")), "skip").otherwise("update")
     version = F.coalesce("old_version", F.lit(0)) + F.when(action.isin("insert", "update"), 1).otherwise(0)
     return rows.select(*keys, action.alias("action"), version.cast("int").alias("version"))
 
 
+def latest(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per key, of repeated ones the last by hash."""
+    return rows.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("content_hash")))).where("_r = 1").drop("_r")
+
+
 def apply(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """The next snapshot: new rows win where their hash differs; of repeated keys in new, the last by hash counts."""
-    last = new.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("content_hash")))).where("_r = 1").drop("_r")
+    last = latest(new, keys)
     p = plan(old, last, keys)
     fresh = last.join(p.where("action IN ('insert', 'update')"), keys).drop("action")
     stay = old.join(p.where("action IN ('skip', 'keep')").select(*keys), keys, "left_semi")

@@ -10,28 +10,37 @@ from pyspark.sql.streaming import StreamingQuery
 from cairn.operators import upsert
 
 
-def ingest(spark: SparkSession, source: str, schema: T.StructType, snapshots: str, checkpoint: str, keys: list[str]) -> StreamingQuery:
-    """Reads what is new below ``source`` and ends. Snapshot n lies in ``snapshots``/batch=n; a batch that is
-    repeated after a failure writes the same folder again, so each counts once.
+#: Key ranges of a snapshot; a batch writes those anew that it touches.
+BUCKETS = 64
+
+
+def ingest(spark: SparkSession, source: str, schema: T.StructType, snapshots: str, checkpoint: str, keys: list[str], buckets: int = BUCKETS) -> StreamingQuery:
+    """Reads what is new below ``source`` and ends. A batch n writes the key buckets it touches to
+    ``snapshots``/batch=n/bucket=b; a batch that is repeated after a failure writes the same folder again, so each counts once.
     """
     def one(batch: DataFrame, n: int) -> None:
-        old = snapshot(spark, snapshots, n)
-        fresh = batch.withColumn("version", F.lit(1))
-        rows = fresh if old is None else upsert.apply(old, batch, keys)
-        rows.write.mode("overwrite").parquet(f"{snapshots}/batch={n}")
+        bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+        touched = [r[0] for r in batch.select(bucket).distinct().collect()]  # at most ``buckets``
+        old = snapshot(spark, snapshots, n, touched)
+        rows = upsert.latest(batch, keys).withColumn("version", F.lit(1)) if old is None else upsert.apply(old, batch, keys)
+        rows.withColumn("bucket", bucket).write.partitionBy("bucket").mode("overwrite").parquet(f"{snapshots}/batch={n}")
 
     return spark.readStream.schema(schema).parquet(source).writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def snapshot(spark: SparkSession, snapshots: str, before: int | None = None) -> DataFrame | None:
-    """The latest snapshot (of batches under ``before``), or None."""
+def snapshot(spark: SparkSession, snapshots: str, before: int | None = None, only: list[int] | None = None) -> DataFrame | None:
+    """The latest state of each bucket (of batches under ``before``, of the buckets in ``only``), or None."""
     path = spark._jvm.org.apache.hadoop.fs.Path(snapshots)
     fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
     if not fs.exists(path):
         return None
-    found = [int(f.getPath().getName().split("=")[1]) for f in fs.listStatus(path) if f.getPath().getName().startswith("batch=")]
-    found = [n for n in found if before is None or n < before]
-    return spark.read.parquet(f"{snapshots}/batch={max(found)}") if found else None
+    last: dict[int, tuple[int, str]] = {}
+    for batch in fs.listStatus(path):
+        if (name := batch.getPath().getName()).startswith("batch=") and (before is None or int(name[6:]) < before):
+            for part in fs.listStatus(batch.getPath()):
+                if (leaf := part.getPath().getName()).startswith("bucket=") and (only is None or int(leaf[7:]) in only):
+                    last[int(leaf[7:])] = max(last.get(int(leaf[7:]), (-1, "")), (int(name[6:]), part.getPath().toString()))
+    return spark.read.parquet(*[p for _, p in last.values()]) if last else None
 
 
 def tumbling(events: DataFrame, ts: str, width: str, *keys: str, late: str = "1 hour") -> DataFrame:
