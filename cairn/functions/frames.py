@@ -97,7 +97,7 @@ def components(title: Column, body: Column) -> Column:
 def commands(body: Column) -> Column:
     """Commands behind a prompt at the start of a line of the body's head, under 160 characters, distinct, eight at most."""
     found = F.regexp_extract_all(F.left(body, F.lit(8000)), F.lit(r"(?m)^\s*[$#]\s*([a-zA-Z0-9_./\-]+[^\n]{0,120})"), 1)
-    return F.slice(F.array_distinct(F.filter(F.transform(found, F.trim), lambda x: (x != "") & (F.length(x) < 160))), 1, 8)
+    return F.slice(F.array_distinct(F.filter(F.transform(found, lambda x: F.trim(x)), lambda x: (x != "") & (F.length(x) < 160))), 1, 8)
 
 
 def extracted(tickets: DataFrame) -> DataFrame:

@@ -70,3 +70,38 @@ def laplace(support: Column, counter: Column) -> Column:
 def best_per_key(df: DataFrame, key: str, score: str, id_: str) -> DataFrame:
     """The row with the largest score of each key, ties by the smaller id."""
     return df.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(score), id_))).where("_r = 1").drop("_r")
+
+
+def similar_incidents(results: DataFrame, gold: DataFrame, top_k: int, min_rate: float = 0.7, min_cases: int = 8, min_similar: int = 8) -> DataFrame:
+    """One row of gates. results: query_id, rank, id, label (of applicability). gold: query_id, kind, relevant, forbidden (arrays of ids).
+
+    A false-apply query fails if its first result is forbidden and called possible; the others pass if one of their
+    top_k is relevant, and don't count without any relevant id.
+    """
+    top = results.where(F.col("rank") <= top_k).groupBy("query_id").agg(F.collect_set("id").alias("ids"), F.max(F.when(F.col("rank") == 1, F.struct("id", "label"))).alias("first"))  # top_k ids at most
+    false = F.col("kind") == "false_apply"
+    bad = F.coalesce(F.array_contains("forbidden", F.col("first.id")) & (F.col("first.label") == "possible"), F.lit(False))
+    ok = F.when(false, ~bad).when(F.size("relevant") > 0, F.coalesce(F.arrays_overlap("ids", "relevant"), F.lit(False)))
+    rows = gold.join(top, "query_id", "left").select(false.alias("false"), ok.alias("ok"))
+    out = rows.agg(F.count("ok").alias("n_scored"), F.count_if("ok").alias("hits"), F.count_if(~F.col("false") & F.col("ok")).alias("similar_hits"), F.count_if(F.col("false") & ~F.col("ok")).alias("false_apply_failures"))
+    rate = F.coalesce(F.col("hits") / F.nullif("n_scored", F.lit(0)), F.lit(0.0))
+    passed = (rate >= min_rate) & (F.col("n_scored") >= min_cases) & (F.col("false_apply_failures") == 0) & (F.col("similar_hits") >= min_similar)
+    return out.select("*", F.round(rate, 4).alias("pass_rate"), passed.alias("pass"))
+
+
+def groundedness(answers: DataFrame, min_answered: int = 10, min_cited: float = 0.6, min_overlap: float = 0.5) -> DataFrame:
+    """One row of rates and the gate. answers: has_text, has_citation, overlap (ok, medium, low), expect_abstain, abstained, trust."""
+    quiet = F.col("abstained") | F.col("trust").isin("abstain", "empty", "weak")
+    ok = F.when(F.col("expect_abstain"), quiet).otherwise(F.col("has_text") & (F.col("has_citation") | F.col("abstained")))
+    rows = answers.withColumn("row_ok", ok)
+    asked, share = ~F.col("expect_abstain"), lambda c, d, empty: F.round(F.coalesce(F.count_if(c) / F.nullif(F.count_if(d), F.lit(0)), F.lit(empty)), 4)
+    out = rows.agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_if(asked).alias("n_answered"),
+        share(asked & F.col("has_citation"), asked, 0.0).alias("citation_rate"),
+        share(asked & F.col("overlap").isin("ok", "medium"), asked, 0.0).alias("overlap_rate"),
+        share(~asked & F.col("row_ok"), ~asked, 1.0).alias("abstain_ok_rate"),
+        share(F.col("row_ok"), F.lit(True), 0.0).alias("row_ok_rate"),
+    )
+    passed = (F.col("n_answered") >= min_answered) & (F.col("citation_rate") >= min_cited) & (F.col("overlap_rate") >= min_overlap) & (F.col("abstain_ok_rate") >= 0.5)
+    return out.withColumn("pass", passed)

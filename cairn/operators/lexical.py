@@ -16,12 +16,18 @@ BUCKETS = 256
 BONUS, TITLE = 0.15, 0.08
 #: Kinds of exact tokens, in the order in which they are looked for: keys of issues and incidents, codes of check items,
 #: kernel parameters, page ids, long numbers.
-EXACT = (r"\b[A-Z][A-Z0-9]{2,}-\d{2,}(?:-\d+)?\b", r"\b[A-Z][A-Z0-9_]+_\d+(?:\.\d+)+\b", r"\bvm\.[a-z0-9_.]+\b", r"\b[a-z]+_\d{2,}\b", r"\b\d{6,}\b")
+EXACT = (r"\b[A-Z][A-Z0-9]{2,}-\d{2,}(?:-\d+)?\b", r"\b[A-Z][A-Z0-9_]+_\d+(?:\.\d+)+\b", r"\bvm\.[a-z0-9_.]+\b", r"(?<![.\w])[a-z]+_\d{2,}\b", r"\b\d{6,}\b")
 
 
-def postings(docs: DataFrame) -> DataFrame:
-    """docs: id, text. Combined on the map side, so a term that all texts have is one row for each text."""
-    rows = docs.select("id", F.length("text").alias("length"), F.explode(F.regexp_extract_all(F.lower("text"), F.lit(TERM), 0)).alias("term"))
+def postings(docs: DataFrame, only: list[str] | None = None) -> DataFrame:
+    """docs: id, text. Combined on the map side, so a term that all texts have is one row for each text.
+
+    only: the terms of a question, where no index was written.
+    """
+    terms = F.regexp_extract_all(F.lower("text"), F.lit(TERM), 0)
+    if only is not None:
+        terms = F.filter(terms, lambda t: t.isin(only))
+    rows = docs.select("id", F.length("text").alias("length"), F.explode(terms).alias("term"))
     return rows.groupBy("term", "id").agg(F.count(F.lit(1)).alias("tf"), F.first("length").alias("length"))
 
 

@@ -78,6 +78,19 @@ def signal_score(signals: Column, observed: Column, counter: Column, confidence:
     return F.round(F.least(F.greatest(0.6 * F.least(matched, F.lit(4)) / F.least(total, F.lit(4)) + 0.4 * confidence - penalty, F.lit(0.0)), F.lit(1.0)), 3)
 
 
+def bucket_match(signals: Column, counter: Column, observed: Column, confidence: Column) -> tuple[Column, Column]:
+    """Score and label of a failure bucket for observed tokens. A signal is seen if half of its tokens are, rounded up."""
+    def seen(signal: Column) -> Column:
+        tokens = F.array_distinct(F.regexp_extract_all(F.lower(signal), F.lit(r"[a-z0-9가-힣]{2,}"), 0))
+        return (F.size(tokens) > 0) & (F.size(F.array_intersect(tokens, observed)) >= F.ceil(F.size(tokens) / 2))
+
+    matched, against = F.size(F.filter(signals, seen)), F.size(F.filter(counter, seen))
+    share = F.least(matched, F.lit(4)) / F.least(F.greatest(F.size(signals), F.lit(1)), F.lit(4))
+    score = F.greatest(F.least(0.6 * share + 0.4 * confidence - 0.5 * against, F.lit(1.0)), F.lit(0.0))
+    label = F.when(against > 0, "not-recommended").when((score >= 0.7) & (matched > 0), "possible").when(score >= 0.4, "conditional").otherwise("not-recommended")
+    return F.round(score, 3), label
+
+
 def packed(hits: DataFrame, budget: int) -> DataFrame:
     """Per query, hits in order until the estimated tokens pass the budget; the first always stays. hits: query_id, rank, est."""
     upto = F.sum("est").over(Window.partitionBy("query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0))

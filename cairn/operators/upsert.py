@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -37,3 +37,41 @@ def manifest_diff(ops: DataFrame, local: DataFrame, key: str, hash_: str) -> Dat
     """Keys that only ops has or whose hash differs; what only local has is not reported."""
     other = local.select(F.col(key).alias("_k"), F.col(hash_).alias("_h"))
     return ops.join(other, F.col(key) == F.col("_k"), "left").where(~F.col(hash_).eqNullSafe(F.col("_h"))).select(key, hash_)
+
+
+#: Status of an insight -> where it may go; approved is the end.
+TRANSITIONS = {"draft": ("review", "rejected"), "review": ("approved", "rejected", "draft"), "approved": (), "rejected": ("draft",)}
+
+
+def transitioned(insights: DataFrame, requests: DataFrame, key: str) -> DataFrame:
+    """insights: key, status; requests: key, to_status -> key, status (after), action (moved, refused, unknown) of each request's insight."""
+    steps = F.create_map(*[x for k, v in TRANSITIONS.items() for x in (F.lit(k), F.array(*map(F.lit, v)).cast("array<string>"))])
+    rows = requests.join(insights, key, "left")
+    may = F.array_contains(F.coalesce(F.try_element_at(steps, F.col("status")), F.array().cast("array<string>")), F.col("to_status"))
+    action = F.when(F.col("status").isNull(), "unknown").when(may, "moved").otherwise("refused")
+    return rows.select(key, F.when(action == "moved", F.col("to_status")).otherwise(F.col("status")).alias("status"), action.alias("action"))
+
+
+def frames_due(old: DataFrame, new: DataFrame, key: str, min_quality: float, force: bool = False) -> DataFrame:
+    """Frames to write: those of enough quality that are new or, with force, all of them."""
+    good = new.where(F.col("quality") >= min_quality)
+    return good if force else good.join(old.select(key), key, "left_anti")
+
+
+def replaced(old: DataFrame, seeds: DataFrame, key: str) -> DataFrame:
+    """Seeds take the place of rows with their keys; the others stay."""
+    return old.join(seeds.select(key), key, "left_anti").unionByName(seeds.select(*old.columns))
+
+
+def refined(log: DataFrame, key: str) -> DataFrame:
+    """State of buckets from their refinements (key, ts, signal, confirm): signals in order of arrival, counts, confidence."""
+    first = log.where("signal IS NOT NULL").groupBy(key, "signal").agg(F.min("ts").alias("ts"))
+    signals = first.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "signal"))), lambda x: x["signal"]).alias("signals"))  # distinct signals of one bucket
+    counts = log.groupBy(key).agg(F.count_if("confirm").alias("support"), F.count_if(~F.col("confirm")).alias("counter"))
+    s, c = F.col("support"), F.col("counter")
+    return counts.join(signals, key, "left").withColumn("confidence", F.round((s + 1) / (s + c + 2), 3))
+
+
+def isolated(rows: DataFrame, source: str, parsed: Column) -> DataFrame:
+    """Records by source and outcome; one that can't be parsed is counted as an error and stops nothing."""
+    return rows.groupBy(source, F.when(parsed.isNull(), "error").otherwise("ok").alias("action")).agg(F.count(F.lit(1)).alias("n"))

@@ -7,8 +7,6 @@ the query log, conversations for questions and answers.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,24 +14,9 @@ from cairn.functions import text as T
 from cairn.operators import aggregate as A
 from cairn.operators import rank as R
 from cairn.operators import upsert as U
+from cairn.plans.registry import ORACLE_SQL, QUERIES, query
 from cairn.sources.tables import load
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Register a function under its name, with the SQL that gives the same rows."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
 # ---- flagship: lexical and vector lists, fused, hydrated
 
 #: Terms of the lexical list, and the vector whose neighbours are the other list.
@@ -633,3 +616,8 @@ def x09_frame_quality(spark, d):
     """The first three lines stand for symptom, cause and resolution."""
     line = [F.get(F.split("text", "\n"), F.lit(i)) for i in range(3)]
     return load(spark, d, "documents").select("doc_id", T.frame_quality(*line).alias("quality"))
+
+
+from cairn.plans import service  # noqa: E402, F401  registers its queries
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
