@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Iterable, Iterator
+from functools import partial, reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,20 +14,40 @@ RRF_K = 60
 GATE = 0.012
 
 
-def cosine(a: Column, b: Column) -> Column:
-    """Cosine of two arrays of numbers, in double precision; null if one is zero."""
-    def dot(x: Column, y: Column) -> Column:
-        return F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
+def _blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A batch of id and vec as one row: its ids and the unit vectors, in double precision; null and zero vectors are left out."""
+    for b in batches:
+        rows = [(i, np.array(v, np.float64)) for i, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if v]
+        rows = [(i, v, n) for i, v in rows if (n := np.linalg.norm(v)) > 0]
+        if rows:
+            unit = np.stack([v / n for _, v, n in rows])
+            yield pa.RecordBatch.from_arrays([pa.array([[i for i, _, _ in rows]], pa.list_(pa.int64())), pa.array([unit.tobytes()], pa.binary())], names=["ids", "units"])
 
-    return dot(a, b) / F.nullif(F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)), F.lit(0.0))
+
+def _top(batches: Iterable[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """Of each pair of blocks: the k most similar rows of each query, ties to the smaller id."""
+    for b in batches:
+        for q, qu, r, ru in zip(*(b.column(c).to_pylist() for c in ("q_ids", "q_units", "ids", "units")), strict=True):
+            q, r = np.array(q), np.array(r)
+            sims = np.frombuffer(qu).reshape(len(q), -1) @ np.frombuffer(ru).reshape(len(r), -1).T
+            sims[q[:, None] == r] = -9  # a query isn't its own result
+            if len(r) > k:  # ties at the edge stay
+                edge = -np.partition(-sims, k - 1, axis=1)[:, k - 1 : k]
+                at = np.nonzero((sims >= edge) & (sims > -9))
+            else:
+                at = np.nonzero(sims > -9)
+            yield pa.RecordBatch.from_arrays([pa.array(q[at[0]]), pa.array(r[at[1]]), pa.array(sims[at])], names=["query_id", "id", "score"])
 
 
 def vector_top(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """For each query its k most similar rows. queries: query_id, query_vec, a stated few, sent to every task.
+    """For each query its k most similar other rows by cosine: query_id, id, score, rank. rows: id, vec; queries: query_id, query_vec.
 
-    rows: id, vec. Tasks cut to k a query before anything is shuffled.
+    Both sides are packed into blocks of a batch, and blocks meet as matrix products; a block hands on k of each query.
     """
-    scored = rows.join(F.broadcast(queries)).select("query_id", "id", cosine(F.col("vec"), F.col("query_vec")).alias("score"))
+    packed = "ids array<long>, units binary"
+    asked = queries.select(F.col("query_id").cast("long"), "query_vec").mapInArrow(_blocks, packed).toDF("q_ids", "q_units")
+    pairs = rows.select(F.col("id").cast("long"), "vec").mapInArrow(_blocks, packed).crossJoin(asked)  # of blocks
+    scored = pairs.mapInArrow(partial(_top, k=k), "query_id long, id long, score double")
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= k)
 
 

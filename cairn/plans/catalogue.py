@@ -26,8 +26,8 @@ TERMS, QUERY_VEC = ["the", "und", "que"], 0
 def _lists(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     docs = load(spark, d, "documents").select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
     vectors = load(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
-    one = vectors.where(F.col("id") == QUERY_VEC).select(F.lit(0).alias("query_id"), F.col("vec").alias("query_vec"))
-    return R.lexical(docs, TERMS, 40), R.vector_top(vectors.where(F.col("id") != QUERY_VEC), one, 40)
+    one = vectors.where(F.col("id") == QUERY_VEC).select(F.col("id").alias("query_id"), F.col("vec").alias("query_vec"))
+    return R.lexical(docs, TERMS, 40), R.vector_top(vectors, one, 40)
 
 
 _LEX = """lex AS (SELECT id, score, row_number() OVER (ORDER BY score DESC, id) AS rank FROM (
@@ -220,26 +220,26 @@ def a14_latency_percentiles(spark, d):
     return A.nearest_rank(load(spark, d, "events"), "value", (0.5, 0.95, 0.99)).withColumn("mean", F.round("mean", 6))
 
 
-_HITS = "h AS (SELECT q.vec_id AS query_id, q.label AS want, v.vec_id AS id, v.label, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]) DESC, v.vec_id) AS rank FROM embeddings q, embeddings v WHERE q.vec_id < 20 AND v.vec_id <> q.vec_id QUALIFY rank <= 3)"
+_HITS = "h AS (SELECT q.vec_id AS query_id, q.label AS want, v.vec_id AS id, v.label, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]) DESC, v.vec_id) AS rank FROM embeddings q, embeddings v WHERE q.vec_id % 20 = 0 AND v.vec_id <> q.vec_id QUALIFY rank <= 3)"
 
 
-@query(f"WITH {_HITS} SELECT want AS label, count(DISTINCT query_id) AS queries, round(avg(hit), 4) AS hit_at_3, round(avg(good / 3), 4) AS precision_at_3 FROM (SELECT query_id, want, max((label = want)::INT) AS hit, sum((label = want)::INT) AS good FROM {'h'} GROUP BY ALL) GROUP BY want")
-def a15_hit_at_3(spark, d):
-    """Twenty gold queries are the evaluation set; every vector is searched."""
-    return _hit_at_3(load(spark, d, "embeddings"), F.col("vec_id") < 20)
+_HIT_RATES = f"WITH {_HITS} SELECT want AS label, count(DISTINCT query_id) AS queries, round(avg(hit), 4) AS hit_at_3, round(avg(good / 3), 4) AS precision_at_3 FROM (SELECT query_id, want, max((label = want)::INT) AS hit, sum((label = want)::INT) AS good FROM h GROUP BY ALL) GROUP BY want"
 
 
-@query(f"WITH {_HITS.replace('q.vec_id < 20', 'q.vec_id % 20 = 0')} SELECT want AS label, count(DISTINCT query_id) AS queries, round(avg(hit), 4) AS hit_at_3, round(avg(good / 3), 4) AS precision_at_3 FROM (SELECT query_id, want, max((label = want)::INT) AS hit, sum((label = want)::INT) AS good FROM {'h'} GROUP BY ALL) GROUP BY want")
-def a15_hit_at_3_whole(spark, d):
-    """Every twentieth vector is a query, so the set grows with the table."""
+@query(_HIT_RATES)
+def a15_hit_at_3(spark, d):
+    """Every twentieth vector is a query, so the set grows with the table; every vector is searched."""
     return _hit_at_3(load(spark, d, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+query(_HIT_RATES, "a15_hit_at_3_whole")(a15_hit_at_3)
+
+
 def _hit_at_3(vectors: DataFrame, is_query: Column) -> DataFrame:
-    queries = vectors.where(is_query).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"), F.col("label").alias("want"))
-    rows = vectors.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"), "label").join(queries, F.col("id") != F.col("query_id"))
-    rows = rows.select("query_id", "want", "id", "label", R.cosine(F.col("vec"), F.col("query_vec")).alias("score"))
-    top = rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))).where("rank <= 3")
+    labels = vectors.select(F.col("vec_id").alias("id"), "label")
+    rows = vectors.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+    top = R.vector_top(rows, vectors.where(is_query).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec")), 3)
+    top = top.join(labels, "id").join(labels.select(F.col("id").alias("query_id"), F.col("label").alias("want")), "query_id")
     each = top.groupBy("query_id", "want").agg(F.max((F.col("label") == F.col("want")).cast("int")).alias("hit"), F.sum((F.col("label") == F.col("want")).cast("int")).alias("good"))
     return each.groupBy(F.col("want").alias("label")).agg(F.count(F.lit(1)).alias("queries"), F.round(F.avg("hit"), 4).alias("hit_at_3"), F.round(F.avg(F.col("good") / 3), 4).alias("precision_at_3"))
 
@@ -277,17 +277,18 @@ def f10_lookup_fallback(spark, d):
     return rows.withColumn("r", F.row_number().over(Window.partitionBy("want").orderBy(F.desc((F.col("source") == F.col("src")).cast("int")), "doc_id"))).where("r = 1").select("want", "doc_id", "source")
 
 
-@query("SELECT doc_id, CASE WHEN p > 41 THEN '...' ELSE '' END || substr(flat, greatest(p - 40, 1), 220) || CASE WHEN length(flat) >= greatest(p - 40, 1) + 220 THEN '...' ELSE '' END AS snippet FROM (SELECT doc_id, flat, instr(lower(flat), 'the') AS p FROM (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS flat FROM documents WHERE lang = 'en'))")
-def f15_snippet(spark, d):
-    return load(spark, d, "documents").where("lang = 'en'").select("doc_id", T.snippet(F.col("text"), "the").alias("snippet"))
+_SNIPPETS = "SELECT doc_id, CASE WHEN p > 41 THEN '...' ELSE '' END || substr(flat, greatest(p - 40, 1), 220) || CASE WHEN length(flat) >= greatest(p - 40, 1) + 220 THEN '...' ELSE '' END AS snippet FROM (SELECT doc_id, flat, instr(lower(flat), 'the') AS p FROM (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS flat FROM documents))"
 
 
-@query("SELECT doc_id, CASE WHEN p > 41 THEN '...' ELSE '' END || substr(flat, greatest(p - 40, 1), 220) || CASE WHEN length(flat) >= greatest(p - 40, 1) + 220 THEN '...' ELSE '' END AS snippet FROM (SELECT doc_id, flat, instr(lower(flat), 'the') AS p FROM (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS flat FROM documents))")
-def f15_snippet_whole(spark, d):
+@query(_SNIPPETS)
+def f15_snippet(spark, d):
     """Snippets of the documents of all languages."""
     return load(spark, d, "documents").select("doc_id", T.snippet(F.col("text"), "the").alias("snippet"))
 
 
+query(_SNIPPETS, "f15_snippet_whole")(f15_snippet)
+
+
 @query("SELECT doc_id, CASE WHEN length(text) > 120 THEN left(text, 120) || '…' ELSE text END AS short FROM documents")
 def f16_truncate(spark, d):
     t = F.col("text")
@@ -363,25 +364,22 @@ def _sql_list(xs) -> str:
     return "[" + ", ".join(f"'{x}'" for x in xs) + "]"
 
 
-@query(
-    "WITH b(bucket_id, signals, counter, confidence) AS (VALUES " + ", ".join(f"({i}, {_sql_list(s)}, {_sql_list(c)}, {f}::DOUBLE)" for i, s, c, f in BUCKETS) + "), o AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9가-힣]{2,}')) AS obs FROM documents WHERE source = 'src0'), "
+_BUCKET_SCORES = (
+    "WITH b(bucket_id, signals, counter, confidence) AS (VALUES " + ", ".join(f"({i}, {_sql_list(s)}, {_sql_list(c)}, {f}::DOUBLE)" for i, s, c, f in BUCKETS) + "), o AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9가-힣]{2,}')) AS obs FROM documents), "
     "m AS (SELECT doc_id, bucket_id, confidence, len(signals) AS total, len(list_filter(signals, lambda s: len(list_intersect(string_split(s, ' '), obs)) >= ceil(len(string_split(s, ' ')) / 2))) AS matched, len(list_filter(counter, lambda s: list_contains(obs, s))) > 0 AS contra FROM o, b) "
     "SELECT doc_id, bucket_id, round(least(greatest(0.6 * least(matched, 4) / least(total, 4) + 0.4 * confidence - CASE WHEN contra THEN 0.5 ELSE 0 END, 0), 1), 3) AS score FROM m"
 )
-def r15_bucket_score(spark, d):
-    return _bucket_scores(spark, load(spark, d, "documents").where("source = 'src0'"))
 
 
-@query(
-    "WITH b(bucket_id, signals, counter, confidence) AS (VALUES " + ", ".join(f"({i}, {_sql_list(s)}, {_sql_list(c)}, {f}::DOUBLE)" for i, s, c, f in BUCKETS) + "), o AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9가-힣]{2,}')) AS obs FROM documents), "
-    "m AS (SELECT doc_id, bucket_id, confidence, len(signals) AS total, len(list_filter(signals, lambda s: len(list_intersect(string_split(s, ' '), obs)) >= ceil(len(string_split(s, ' ')) / 2))) AS matched, len(list_filter(counter, lambda s: list_contains(obs, s))) > 0 AS contra FROM o, b) "
-    "SELECT doc_id, bucket_id, round(least(greatest(0.6 * least(matched, 4) / least(total, 4) + 0.4 * confidence - CASE WHEN contra THEN 0.5 ELSE 0 END, 0), 1), 3) AS score FROM m"
-)
-def r15_bucket_score_whole(spark, d):
+@query(_BUCKET_SCORES)
+def r15_bucket_score(spark, d):
     """Scores of the documents of all sources."""
     return _bucket_scores(spark, load(spark, d, "documents"))
 
 
+query(_BUCKET_SCORES, "r15_bucket_score_whole")(r15_bucket_score)
+
+
 def _bucket_scores(spark: SparkSession, docs: DataFrame) -> DataFrame:
     buckets = spark.createDataFrame(BUCKETS, "bucket_id int, signals array<string>, counter array<string>, confidence double")
     rows = docs.select("doc_id", T.token_set(F.col("text")).alias("obs")).join(F.broadcast(buckets))
@@ -504,14 +502,6 @@ def r10_multi_query_merge(spark, d):
     return rows.withColumn("r", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("score"), "doc_id"))).where("r <= 3").drop("r")
 
 
-@query("SELECT d.doc_id, round(1.0::DOUBLE / (1 + d.doc_id % 40) + 0.35 * l.quality + CASE WHEN l.quality = 1 AND l.toxic = 0 THEN 0.2 ELSE 0 END, 6) AS score FROM documents d JOIN labels l ON l.doc_id = d.doc_id ORDER BY score DESC, d.doc_id LIMIT 8")
-def r11_similar_incident(spark, d):
-    """Pool position, frame quality and completeness; the position stands for an upstream rank."""
-    rows = load(spark, d, "documents").select("doc_id").join(load(spark, d, "labels"), "doc_id")
-    score = 1.0 / (1 + F.col("doc_id") % 40) + 0.35 * F.col("quality") + F.when((F.col("quality") == 1) & (F.col("toxic") == 0), 0.2).otherwise(0.0)
-    return rows.select("doc_id", F.round(score, 6).alias("score")).orderBy(F.desc("score"), "doc_id").limit(8)
-
-
 @query("SELECT d.doc_id FROM documents d JOIN labels l ON l.doc_id = d.doc_id WHERE l.quality >= 0.45 AND (text ILIKE '%trash%' OR text ILIKE '%scum%' OR source ILIKE '%rc7%') AND NOT EXISTS (SELECT 1 FROM embeddings e WHERE e.vec_id = d.doc_id AND e.label = 3) ORDER BY d.doc_id LIMIT 25")
 def r12_injection(spark, d):
     good = load(spark, d, "labels").where("quality >= 0.45").select("doc_id")
@@ -577,22 +567,6 @@ def j11_source_spine(spark, d):
     return a.join(b, "source", "full_outer").na.fill(0, ["long_docs", "framed"])
 
 
-@query("SELECT conv_id, turn, list_sort(list_distinct(list_transform(regexp_extract_all(text || ' [c2] [C1] [C2]', '\\[([Cc][0-9]+)\\]', 1), lambda x: upper(x)))) AS cites FROM conversations WHERE role = 'assistant'")
-def x19_citations(spark, d):
-    rows = load(spark, d, "conversations").where("role = 'assistant'")
-    return rows.select("conv_id", "turn", F.sort_array(T.citation_ids(F.concat("text", F.lit(" [c2] [C1] [C2]")))).alias("cites"))
-
-
-@query("WITH x AS (SELECT conv_id, turn, length(text) AS n, (length(text) * 7 % 100) / 100.0::DOUBLE AS faith, (length(text) * 13 % 100) / 1000.0::DOUBLE AS score FROM conversations WHERE role = 'assistant'), l AS (SELECT *, CASE WHEN score >= 0.05 THEN 3 WHEN score >= 0.02 THEN 2 ELSE 1 END AS r, CASE WHEN faith >= 0.25 THEN 3 WHEN faith >= 0.1 THEN 2 ELSE 1 END AS f FROM x) SELECT conv_id, turn, CASE WHEN r = 1 AND f = 1 THEN 'abstain' ELSE ['weak', 'medium', 'strong'][least(r, f)] END AS trust FROM l")
-def x18_trust(spark, d):
-    """The weaker of retrieval and faithfulness; nothing to say if both are weak."""
-    n = F.length("text")
-    r = F.when((n * 13 % 100) / 1000.0 >= 0.05, 3).when((n * 13 % 100) / 1000.0 >= 0.02, 2).otherwise(1)
-    f = F.when((n * 7 % 100) / 100.0 >= 0.25, 3).when((n * 7 % 100) / 100.0 >= 0.1, 2).otherwise(1)
-    label = F.when((r == 1) & (f == 1), "abstain").otherwise(F.element_at(F.array(*map(F.lit, ("weak", "medium", "strong"))), F.least(r, f)))
-    return load(spark, d, "conversations").where("role = 'assistant'").select("conv_id", "turn", label.alias("trust"))
-
-
 @query("SELECT event_type, count(*) AS n, max(ts) AS latest FROM events GROUP BY event_type")
 def a10_domain_counts(spark, d):
     return load(spark, d, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.max("ts").alias("latest"))

@@ -10,13 +10,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
-def query(sql: str | None = None):
-    """Register a function under its name, with the SQL that gives the same rows."""
+def query(sql: str | None = None, name: str | None = None):
+    """Register a function under its name (or another), with the SQL that gives the same rows."""
 
     def add(f):
-        QUERIES[f.__name__] = f
+        QUERIES[name or f.__name__] = f
         if sql:
-            ORACLE_SQL[f.__name__] = sql
+            ORACLE_SQL[name or f.__name__] = sql
         return f
 
     return add

@@ -83,6 +83,16 @@ def r07_checklist_boost(spark, d):
     return rows.select("id", F.round(F.col("score") + F.when(item, 0.02).otherwise(0.0) + F.when(item & (F.col("lang") == "en"), 0.015).otherwise(0.0), 9).alias("score"))
 
 
+@query(f"WITH {_FOLD}, pool AS (SELECT id, row_number() OVER (ORDER BY round(score, 9) DESC, id) AS rank FROM fold QUALIFY rank <= 40) SELECT id AS doc_id, round(1.0::DOUBLE / rank + 0.35 * l.quality + CASE WHEN l.quality = 1 AND l.toxic = 0 THEN 0.2 ELSE 0 END, 6) AS score FROM pool JOIN labels l ON l.doc_id = id ORDER BY score DESC, doc_id LIMIT 8")
+def r11_similar_incident(spark, d):
+    """Place in the pool of a question's lexical list, frame quality and completeness."""
+    top = _fold(spark, d).select("id", F.round("score", 9).alias("s")).orderBy(F.desc("s"), "id").limit(40)
+    pool = top.withColumn("rank", F.row_number().over(R.Window.orderBy(F.desc("s"), "id")))
+    rows = load(spark, d, "labels").join(F.broadcast(pool), F.col("doc_id") == F.col("id"))
+    score = 1.0 / F.col("rank") + 0.35 * F.col("quality") + F.when((F.col("quality") == 1) & (F.col("toxic") == 0), 0.2).otherwise(0.0)
+    return rows.select("doc_id", F.round(score, 6).alias("score")).orderBy(F.desc("score"), "doc_id").limit(8)
+
+
 # ---- chunks, frames, taxonomy
 
 
@@ -228,6 +238,37 @@ def a18_groundedness(spark, d):
     return A.groundedness(answers)
 
 
+_TOKENS = "list_distinct(regexp_extract_all(lower({0}.text), '[a-z0-9가-힣]{{2,}}'))"
+
+
+@query(
+    f"WITH x AS (SELECT a.conv_id, a.turn, {_TOKENS.format('a')} AS t, {_TOKENS.format('q')} AS c FROM conversations a JOIN conversations q ON q.conv_id = a.conv_id AND q.turn = a.turn - 1 WHERE a.role = 'assistant'), "
+    "y AS (SELECT *, len(list_intersect(t, c)) AS n FROM x), l AS (SELECT *, CASE WHEN n / nullif(len(c), 0) >= 0.05 THEN 3 WHEN n / nullif(len(c), 0) >= 0.02 THEN 2 ELSE 1 END AS r, CASE WHEN n / nullif(len(t), 0) >= 0.25 THEN 3 WHEN n / nullif(len(t), 0) >= 0.1 THEN 2 ELSE 1 END AS f FROM y) "
+    "SELECT conv_id, turn, CASE WHEN r = 1 AND f = 1 THEN 'abstain' ELSE ['weak', 'medium', 'strong'][least(r, f)] END AS trust FROM l"
+)
+def x18_trust(spark, d):
+    """The weaker of retrieval (how much of the turn before an answer takes up) and faithfulness (how much of the answer comes from there)."""
+    rows = load(spark, d, "conversations").select("conv_id", "turn", "role", T.token_set(F.col("text")).alias("tokens"))
+    before = rows.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("tokens").alias("context"))
+    both = F.size(F.array_intersect("tokens", "context"))
+    share = lambda c: both / F.nullif(F.size(c), F.lit(0))
+    r = F.when(share("context") >= 0.05, 3).when(share("context") >= 0.02, 2).otherwise(1)
+    f = F.when(share("tokens") >= 0.25, 3).when(share("tokens") >= 0.1, 2).otherwise(1)
+    label = F.when((r == 1) & (f == 1), "abstain").otherwise(F.element_at(F.array(*map(F.lit, ("weak", "medium", "strong"))), F.least(r, f)))
+    return rows.where("role = 'assistant'").join(before, ["conv_id", "turn"]).select("conv_id", "turn", label.alias("trust"))
+
+
+@query("SELECT conv_id, turn, list_sort(list_distinct(['C' || turn, 'C' || (conv_id % 7)])) AS cites, turn = conv_id % 7 AS once FROM conversations WHERE role = 'assistant'")
+def x19_citations(spark, d):
+    """Marks in both cases among the words of each answer, some of them twice."""
+    mark = lambda c, x: F.concat(F.lit(f" [{c}"), x, F.lit("] "))
+    turn, other = F.col("turn").cast("string"), (F.col("conv_id") % 7).cast("string")
+    words = F.regexp_replace("text", r"\[", "(")
+    text = F.concat(mark("c", turn), words, mark("C", other), mark("C", turn), F.lit("[x1] [C]"))
+    cites = T.citation_ids(text)
+    return load(spark, d, "conversations").where("role = 'assistant'").select("conv_id", "turn", F.sort_array(cites).alias("cites"), (F.size(cites) == 1).alias("once"))
+
+
 # ---- failure buckets, insights, seeds
 
 #: Bucket, signals, counter-signals, confidence, domain, environment.

@@ -46,10 +46,10 @@ def test_every_query_has_sql():
 
 def test_whole_tables(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet").count()
-    assert catalogue.f15_snippet_whole(spark, DATA).count() == docs
-    assert catalogue.r15_bucket_score_whole(spark, DATA).count() == docs * len(catalogue.BUCKETS)
+    assert catalogue.f15_snippet(spark, DATA).count() == docs
+    assert catalogue.r15_bucket_score(spark, DATA).count() == docs * len(catalogue.BUCKETS)
     queries = spark.read.parquet(f"{DATA}/embeddings.parquet").where("vec_id % 20 = 0").count()
-    assert sum(r["queries"] for r in catalogue.a15_hit_at_3_whole(spark, DATA).collect()) == queries
+    assert sum(r["queries"] for r in catalogue.a15_hit_at_3(spark, DATA).collect()) == queries
 
 
 def test_pack_cuts_sources_before_the_shuffle(spark):

@@ -43,3 +43,32 @@ def test_text_functions(spark):
     ).first()
     assert row["clean"] == "x\n\n\ny" and row["cites"] == ["C1", "C2"] and row["commands"] == ["ls -l", "df -h"]
     assert len(row["id"]) == 64 and row["q"] == 0.75
+
+
+def test_document_columns(spark, tmp_path):
+    for name in ("t", "w", "c", "u"):
+        (tmp_path / name).mkdir()
+    (tmp_path / "t" / "a.md").write_text("# Slow cloud SCP\n- **Issue Key**: OPS-8\n- **Status**: Done\n- **Component**: support\n\n{color:red}text{color}\n")
+    (tmp_path / "w" / "p.md").write_text("---\ntitle: Runbook\nPage ID: 7\ndirectory: Top > Tech > 데이터베이스 > Oracle\n---\nbody\n")
+    (tmp_path / "c" / "confluence_99.md").write_text("## Only heading\ntext\n")
+    (tmp_path / "u" / "q.md").write_text("---\nissue_id: T-2\ndomain: OS\n---\n# Tune\n")
+    rows = {r["external_id"]: r for r in knowledge.scan(spark, {"support_history": str(tmp_path / "t"), "tech_repo": str(tmp_path / "w"), "confluence_docs": str(tmp_path / "c"), "tuning_ai": str(tmp_path / "u")}).collect()}
+    t, w, c, u = (rows[k] for k in ("OPS-8", "7", "99", "T-2"))
+    assert (t["grade"], t["work_type"], t["environment"]) == ("A", "support", "csp") and "{color" not in t["body"]
+    assert (w["path_l2"], w["path_l3"], w["domain"], w["body"]) == ("데이터베이스", "데이터베이스 > Oracle", "dbms", "body")
+    assert (c["title"], c["source_type"], c["grade"]) == ("Only heading", "confluence_docs", "A") and (u["grade"], u["domain"]) == ("A-", "os")
+
+
+def test_seeds_manifest_and_audit(spark, tmp_path):
+    (tmp_path / "s.json").write_text(json.dumps([{"canonical": "disk", "priority": 2}]))
+    kind = "canonical string, priority int"
+    assert knowledge.seeds(spark, str(tmp_path / "s.json"), kind, []).collect()[0]["priority"] == 2
+    assert knowledge.seeds(spark, str(tmp_path / "none.json"), kind, [("net", 1)]).collect()[0]["canonical"] == "net"
+    (tmp_path / "m.json").write_text(json.dumps({"sources": {"wiki": {"files": 3, "by_ext": {"md": 3}}, "empty": {}}}))
+    (tmp_path / "bad.json").write_text("{sources")
+    assert {(r["source"], r["files"]) for r in knowledge.raw_manifest(spark, str(tmp_path / "m.json")).collect()} == {("wiki", 3), ("empty", 0)}
+    assert knowledge.raw_manifest(spark, str(tmp_path / "bad.json")).count() == 0 and knowledge.raw_manifest(spark, str(tmp_path / "none")).count() == 0
+    rows = spark.createDataFrame([("q1", "2024-01-01"), ("q2", "2024-01-02")], "query string, day string")
+    for _ in range(2):
+        knowledge.audit(rows, str(tmp_path / "log"))
+    assert spark.read.parquet(str(tmp_path / "log")).count() == 4
