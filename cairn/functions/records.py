@@ -9,6 +9,25 @@ from pyspark.sql import functions as F
 RATINGS = {"helpful": 1, "resolved": 1, "edited": 1, "not_helpful": -1, "failed": -1, "refuted": -1}
 FIELDS = {"aix": "AIX", "hp-ux": "HP-UX", "hpux": "HP-UX", "solaris": "Solaris", "linux": "Linux", "windows": "Windows", "web/was": "Web/WAS", "web": "Web/WAS", "was": "Web/WAS", "web_was": "Web/WAS", "dbms": "DBMS", "db": "DBMS", "database": "DBMS"}
 
+# What a question or an upload calls a source, which differ for exported pages.
+SECTIONS = {"tickets": "support_history", "wiki": "tech_repo", "docs": "tech_repo", "tuning": "tuning_ai", "checks": "checkitem"}
+UPLOADS = {"tickets": "support_history", "wiki": "tech_repo", "docs": "confluence_docs", "tuning": "tuning_ai", "checks": "checkitem"}
+#: Terms of check items with what they are also called.
+SYNONYMS = {"fs": ["filesystem", "파일시스템"], "oom": ["out of memory", "메모리 부족"], "leak": ["누수"], "kdump": ["crash dump"], "linux": ["리눅스"]}
+
+
+def source_of(name: Column, upload: bool) -> Column:
+    """The source that a section's or an upload's name stands for; a source's own name stands for itself."""
+    names = UPLOADS if upload else SECTIONS
+    key = F.lower(F.trim(name))
+    return F.coalesce(F.try_element_at(_map(names), key), F.when(key.isin(*set(names.values())), key))
+
+
+def expanded(terms: Column) -> Column:
+    """Terms with their synonyms behind them, each once."""
+    more = F.flatten(F.transform(terms, lambda t: F.coalesce(F.try_element_at(F.create_map(*[x for k, v in SYNONYMS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))]), F.lower(t)), F.array().cast("array<string>"))))
+    return F.array_distinct(F.concat(terms, more))
+
 
 def _map(values: dict) -> Column:
     return F.create_map(*[F.lit(x) for kv in values.items() for x in kv])

@@ -39,6 +39,18 @@ def token_frequency(df: DataFrame, text: Column, stop: list[str], top_k: int = 1
     return n.join(F.broadcast(total)).select("token", "n", F.round(F.col("n") / F.col("titles"), 4).alias("share")).orderBy(F.desc("n"), "token").limit(min(top_k, 100))
 
 
+def dated(df: DataFrame, fields: dict[str, Column], field: str, since: Column | None, until: Column | None, listing: bool) -> DataFrame:
+    """Rows whose date lies in the range, both ends included. An unknown field is the first of ``fields``.
+
+    A listing has no undated rows; an aggregation loses them only where a bound is given.
+    """
+    day = fields.get(field, next(iter(fields.values())))
+    rows = df.where(day.isNotNull()) if listing else df
+    for bound, good in ((since, lambda x: day >= x), (until, lambda x: day <= x)):
+        rows = rows if bound is None else rows.where(good(bound))
+    return rows
+
+
 #: Ranges that values are dealt into for ranks.
 RANGES = 64
 

@@ -67,10 +67,10 @@ def fused(lists: list[tuple[DataFrame, float]], k: int = RRF_K) -> DataFrame:
     return reduce(DataFrame.unionByName, parts).groupBy("id").agg(F.round(F.sum("part"), 9).alias("score"))
 
 
-def gated(hits: DataFrame, top_k: int, gate: float = GATE) -> DataFrame:
-    """Nothing if even the best score is under the gate; else the top_k."""
+def gated(hits: DataFrame, top_k: int, gate: float = GATE, min_score: float = 0.0) -> DataFrame:
+    """Nothing if even the best score is under the gate; else the top_k of those with min_score."""
     best = hits.agg(F.max("score").alias("_best"))
-    return hits.join(F.broadcast(best)).where(F.col("_best") >= gate).drop("_best").orderBy(F.desc("score"), "id").limit(top_k)
+    return hits.join(F.broadcast(best)).where((F.col("_best") >= gate) & (F.col("score") >= min_score)).drop("_best").orderBy(F.desc("score"), "id").limit(top_k)
 
 
 def trust_label(score: Column, first: Column) -> Column:

@@ -413,3 +413,60 @@ def x28_bucket_text(spark, d):
 def x29_rating(spark, d):
     verdict = F.element_at(F.create_map(*[F.lit(x) for x in ("purchase", "Helpful", "error", "FAILED", "click", " edited ", "view", "seen", "signup", "")]), F.col("event_type"))
     return load(spark, d, "events").select("event_id", records.rating(verdict).alias("rating"))
+
+
+# ---- ranges, gates, shares
+
+
+@query("SELECT 'listing' AS kind, count(*) AS n FROM orders WHERE o_orderkey % 5 <> 0 UNION ALL SELECT 'all', count(*) FROM orders UNION ALL SELECT 'since', count(*) FROM orders WHERE o_orderkey % 5 <> 0 AND o_orderdate >= TIMESTAMP '1996-01-01' UNION ALL SELECT 'other', count(*) FROM orders WHERE o_orderdate BETWEEN TIMESTAMP '1995-01-01' AND TIMESTAMP '1995-12-31'")
+def f04_ranges(spark, d):
+    """A listing and aggregations over two date fields, of which one is missing in every fifth row."""
+    orders = load(spark, d, "orders").select("o_orderkey", "o_orderdate")
+    fields = {"Created": F.when(F.col("o_orderkey") % 5 != 0, F.col("o_orderdate")), "Resolved": F.col("o_orderdate")}
+    at = lambda x: F.lit(x).cast("timestamp_ntz")
+    kinds = {"listing": ("Created", None, None, True), "all": ("nonsense", None, None, False), "since": ("Created", at("1996-01-01"), None, False), "other": ("Resolved", at("1995-01-01"), at("1995-12-31"), True)}
+    out = None
+    for name, how in kinds.items():
+        one = A.dated(orders, fields, *how).agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("kind"), "n")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query(f"WITH {_FOLD} SELECT id, round(score, 9) AS score FROM fold WHERE (SELECT max(score) FROM fold) >= 0.012 AND round(score, 9) >= 0.2 ORDER BY score DESC, id LIMIT 15")
+def f07_gate_min_score(spark, d):
+    return R.gated(_fold(spark, d).select("id", F.round("score", 9).alias("score")), 15, min_score=0.2)
+
+
+@query("WITH o AS (SELECT o_orderkey, n.n_name FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation n ON n_nationkey = c_nationkey WHERE o_orderdate >= TIMESTAMP '1996-01-01') SELECT n_name, count(*) AS n, round(count(*) / (SELECT count(*) FROM o), 4) AS share FROM o GROUP BY n_name")
+def a04_entity_share_dated(spark, d):
+    """Shares of entities in a date range, which holds for the counts and for their total."""
+    orders = A.dated(load(spark, d, "orders"), {"Created": F.col("o_orderdate")}, "Created", F.lit("1996-01-01").cast("timestamp_ntz"), None, False).select("o_custkey")
+    rows = orders.join(load(spark, d, "customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey")).groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("n"))
+    rows = rows.join(load(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).groupBy("n_name").agg(F.sum("n").alias("n"))
+    total = rows.agg(F.sum("n").alias("total"))  # one row
+    return rows.join(F.broadcast(total)).select("n_name", "n", F.round(F.col("n") / F.col("total"), 4).alias("share"))
+
+
+_READY = ("documents", "embeddings", "labels", "events", "pages", "conversations", "benchmark", "orders")
+
+
+@query(" UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS n, count(*) >= 1000 AS ready FROM {t}" for t in _READY))
+def a12_readiness_all(spark, d):
+    """Rows of all eight tables that a service needs; counts come from the files' footers."""
+    out = None
+    for t in _READY:
+        one = load(spark, d, t).agg(F.count(F.lit(1)).alias("n")).select(F.lit(t).alias("name"), "n", (F.col("n") >= 1000).alias("ready"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("SELECT v, search, upload FROM (VALUES ('Docs', 'tech_repo', 'confluence_docs'), (' wiki', 'tech_repo', 'tech_repo'), ('checkitem', 'checkitem', 'checkitem'), ('confluence_docs', NULL, 'confluence_docs'), ('x', NULL, NULL)) t(v, search, upload)")
+def x31_aliases(spark, d):
+    rows = spark.createDataFrame([("Docs",), (" wiki",), ("checkitem",), ("confluence_docs",), ("x",)], "v string")
+    return rows.select("v", records.source_of(F.col("v"), False).alias("search"), records.source_of(F.col("v"), True).alias("upload"))
+
+
+@query("SELECT i, terms FROM (VALUES (1, ['FS', 'size', 'filesystem', '파일시스템']), (2, ['oom', 'leak', 'out of memory', '메모리 부족', '누수']), (3, ['none'])) t(i, terms)")
+def x26_terms(spark, d):
+    rows = spark.createDataFrame([(1, ["FS", "size"]), (2, ["oom", "leak"]), (3, ["none"])], "i int, terms array<string>")
+    return rows.select("i", records.expanded(F.col("terms")).alias("terms"))
