@@ -154,7 +154,7 @@ def build(units: DataFrame, n: int, block: int = BLOCK) -> DataFrame:
     cuts = [list(x) for x in units.agg(*[F.percentile_approx(f"along{i}", shares, 10_000) for i in range(DIRECTIONS)]).first()] if shares else [[]] * DIRECTIONS
     cells = units.mapInArrow(partial(_celled, cuts=[c or [] for c in cuts]), "cell int, along double, node long, unit binary").repartition(n, "cell").sortWithinPartitions("cell", "along")
     links = cells.mapInArrow(partial(_block_links, block=block), _LINK).withColumn("fresh", F.lit(True))
-    graph = bucketed(_best(links, n), "neighbours", "u")
+    graph = bucketed(_best(links, n), "neighbours", "u", placed=True)
     while True:  # links only get better, so it ends
         back = Window.partitionBy("u").orderBy(F.desc("fresh"), F.xxhash64("u", "v"))  # tasks cut to REVERSE before the shuffle
         reverse = graph.select(F.col("v").alias("u"), F.col("u").alias("v"), "fresh").withColumn("r", F.row_number().over(back)).where(F.col("r") <= REVERSE)
@@ -166,7 +166,7 @@ def build(units: DataFrame, n: int, block: int = BLOCK) -> DataFrame:
         vectors = units.select(F.col("node").alias("v"), "unit").join(graph.where("r = 1").select(F.col("u").alias("v"), "worst"), "v")
         met = handed.join(vectors, "v").groupBy("u").agg(F.collect_list(F.struct("v", "unit", "worst", "fresh")).alias("met"))  # K + REVERSE at most
         found = met.select("met").mapInArrow(_meetings, _LINK).withColumn("fresh", F.lit(True))
-        graph = bucketed(_best(graph.select("u", "v", "sim").withColumn("fresh", F.lit(False)).unionByName(found), n), "neighbours", "u")
+        graph = bucketed(_best(graph.select("u", "v", "sim").withColumn("fresh", F.lit(False)).unionByName(found), n), "neighbours", "u", placed=True)
         total = graph.agg(F.count(F.lit(1)).alias("all"), F.count_if("fresh").alias("new")).first()
         if total["new"] <= SETTLED * total["all"]:
             return graph
@@ -207,7 +207,7 @@ def search(graph: DataFrame, vectors: DataFrame, queries: DataFrame, dim: int) -
     back = Window.partitionBy("v").orderBy(F.desc("sim"), "u")
     reverse = graph.select("v", "u", "sim").withColumn("r", F.row_number().over(back)).where(F.col("r") <= REVERSE).select("v", F.col("u").alias("to"))
     edges = graph.select(F.col("u").alias("v"), F.col("v").alias("to")).unionByName(reverse).groupBy("v").agg(F.collect_set("to").alias("to"))  # K + REVERSE at most
-    edges = bucketed(edges, "graph_edges", "v")
+    edges = bucketed(edges, "graph_edges", "v", placed=True)
     one = lambda c, kind: F.array(c.cast(kind))
     state = bucketed(queries.select("q", "q_vec", one(F.col("node"), "long").alias("v"), one(F.lit(1.0), "double").alias("score"), one(F.lit(False), "boolean").alias("done")), "beam", "q")
     while True:  # each hop expands nodes for good, so it ends
@@ -216,7 +216,7 @@ def search(graph: DataFrame, vectors: DataFrame, queries: DataFrame, dim: int) -
         met = to.join(vectors, "v").groupBy("q").agg(F.collect_list(F.struct("v", "vec")).alias("met"))  # BEAM * (K + REVERSE) at most
         none = F.array().cast("array<struct<v: bigint, vec: array<float>>>")
         rows = state.join(met, "q", "left").withColumn("met", F.coalesce("met", none)).select("q", "q_vec", "v", "score", "done", "met")
-        state = bucketed(rows.mapInArrow(partial(_moved, dim=dim), _STATE), "beam", "q")
+        state = bucketed(rows.mapInArrow(partial(_moved, dim=dim), _STATE), "beam", "q", placed=True)
         if not state.where(F.exists("done", lambda x: ~x)).take(1):
             return state.select("q", F.explode(F.arrays_zip("v", "score")).alias("x")).select("q", "x.v", "x.score")
 
@@ -239,7 +239,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 5, block: int = BLOCK) -> Dat
     members = stored(members, "vector-members")
     nodes = bucketed(members.where("m = 1").select("node", "vec"), "vector_nodes", "node")
     units = nodes.mapInArrow(partial(_projected, dim=dim), "node long, unit binary, " + ", ".join(f"along{i} double" for i in range(DIRECTIONS)))
-    graph = build(bucketed(units, "unit_vectors", "node"), n, block)
+    graph = build(bucketed(units, "unit_vectors", "node", placed=True), n, block)
     asked = rows.where(is_query).select(F.col("vec_id").alias("q"), F.col("vec").alias("q_vec"))
     queries = stored(asked.join(nodes, F.col("q_vec") == F.col("vec")).select("q", "q_vec", "node"), "vector-queries")
     found = search(graph, nodes.select(F.col("node").alias("v"), "vec"), queries.select("q", "q_vec", "node"), dim)

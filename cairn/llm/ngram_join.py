@@ -126,37 +126,24 @@ def _sets(batches: Iterable[pa.RecordBatch], size: int, percent: int, order) ->
         yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(n.astype(np.int64)), pa.array(f1), pa.array(f2), prefix], names=["doc_id", "n", "f1", "f2", "prefix"])
 
 
-def _compressed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    import zstandard
-
-    pack = zstandard.ZstdCompressor(level=3).compress
-    for b in batches:
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([pack(t or b"") for t in b.column("text").cast(pa.binary()).to_pylist()], pa.binary())], names=["doc_id", "packed"])
-
-
 _SEGMENT = "node long, fragment int, n long, shingles binary"
 
 
 def _segments(batches: Iterable[pa.RecordBatch], size: int, order) -> Iterator[pa.RecordBatch]:
-    """The sets of packed texts, cut at the fragments of the order: WIDTH bytes of each shingle."""
-    import zstandard
-
-    unpack = zstandard.ZstdDecompressor().decompress
-    for b in batches:
-        for x in range(0, b.num_rows, 300):
-            texts = [unpack(p) for p in b.column("packed").slice(x, 300).to_pylist()]
-            g, at = shingle_sets(texts, size)
-            n = np.diff(at)
-            doc = np.repeat(np.arange(len(texts)), n)
-            node, _ = _fingerprints(g, doc, len(texts))
-            place = np.where(order.value.ranks(g) > 0, FRAGMENTS - 1, ((g >> np.uint64(32)) * np.uint64(FRAGMENTS - 1) >> np.uint64(32)).astype(np.int64))
-            key = doc * FRAGMENTS + place
-            by = np.argsort(key, kind="stable")
-            own, count = np.unique(key, return_counts=True)
-            flat = np.ascontiguousarray(g[by].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :WIDTH])
-            offsets = np.concatenate([[0], np.cumsum(count * WIDTH)]).astype(np.int32)
-            shingles = pa.Array.from_buffers(pa.binary(), len(own), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(flat.tobytes())])
-            yield pa.RecordBatch.from_arrays([pa.array(node[own // FRAGMENTS]), pa.array((own % FRAGMENTS).astype(np.int32)), pa.array(n[own // FRAGMENTS].astype(np.int64)), shingles], names=["node", "fragment", "n", "shingles"])
+    """The sets of texts, cut at the fragments of the order: WIDTH bytes of each shingle."""
+    for _, texts in grouped(batches):
+        g, at = shingle_sets(texts, size)
+        n = np.diff(at)
+        doc = np.repeat(np.arange(len(texts)), n)
+        node, _ = _fingerprints(g, doc, len(texts))
+        place = np.where(order.value.ranks(g) > 0, FRAGMENTS - 1, ((g >> np.uint64(32)) * np.uint64(FRAGMENTS - 1) >> np.uint64(32)).astype(np.int64))
+        key = doc * FRAGMENTS + place
+        by = np.argsort(key, kind="stable")
+        own, count = np.unique(key, return_counts=True)
+        flat = np.ascontiguousarray(g[by].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :WIDTH])
+        offsets = np.concatenate([[0], np.cumsum(count * WIDTH)]).astype(np.int32)
+        shingles = pa.Array.from_buffers(pa.binary(), len(own), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(flat.tobytes())])
+        yield pa.RecordBatch.from_arrays([pa.array(node[own // FRAGMENTS]), pa.array((own % FRAGMENTS).astype(np.int32)), pa.array(n[own // FRAGMENTS].astype(np.int64)), shingles], names=["node", "fragment", "n", "shingles"])
 
 
 _COUNTS = "a long, b long, n_a long, n_b long, overlap long"
@@ -192,16 +179,16 @@ def _shared(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFr
     order = spark.sparkContext.broadcast(Order(often.orderBy(F.desc("df"), "token").limit(MOST_FREQUENT).toPandas()))
     sets = stored(docs.mapInArrow(partial(_sets, size=size, percent=percent, order=order), "doc_id long, n long, f1 long, f2 long, prefix array<long>"), "shingle-sets")
 
-    # the least doc_id of equal sets lends its text
     nodes = sets.where("doc_id IS NOT NULL AND n > 0").groupBy(F.col("f1").alias("node")).agg(F.min("doc_id").alias("of"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.min("f2").alias("f2"), F.max("f2").alias("other"))
     nodes = nodes.withColumn("n", F.when(F.col("f2") == F.col("other"), F.col("n")).otherwise(F.raise_error(F.lit("two sets have one fingerprint")).cast("long")))
     posts = nodes.select("node", "of", F.posexplode("prefix").alias("pos", "token"), "n").select("node", "of", F.shiftleft("n", 32).bitwiseOR(F.col("pos").cast("long")).alias("n_pos"), "token")
     posts = posts.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("c > 1")
     posts = stored(posts.select("node", "of", "token", "c", F.shiftright("n_pos", 32).alias("n"), F.col("n_pos").bitwiseAND(F.lit(0xFFFFFFFF)).alias("pos")), "shared-shingles")
 
-    # segments of all that may link, in buckets: each verification joins them without another shuffle of one side
-    texts = docs.where("doc_id IS NOT NULL").mapInArrow(_compressed, "doc_id long, packed binary").join(posts.select(F.col("of").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id", "packed"])
-    segments = bucketed(texts.mapInArrow(partial(_segments, size=size, order=order), _SEGMENT), "ngram_segments", "node", "fragment")
+    # segments of all that may link, in buckets: each verification joins them without another shuffle of one side; equal sets meet before the shuffle
+    segments = docs.where("doc_id IS NOT NULL").select("text").mapInArrow(partial(_segments, size=size, order=order), _SEGMENT).groupBy("node", "fragment").agg(F.first("n").alias("n"), F.first("shingles").alias("shingles"))
+    wanted = posts.select("node").distinct().select("node", F.explode(F.array(*map(F.lit, range(FRAGMENTS)))).alias("fragment"))
+    segments = bucketed(segments.join(wanted, ["node", "fragment"], "left_semi"), "ngram_segments", "node", "fragment", placed=True)
     return sets, posts, segments
 
 

@@ -286,7 +286,7 @@ def cut_repeats(docs: DataFrame, length: int = 50, as_text: bool = False) -> Dat
     shared = anchors.withColumns({"least": F.min("doc_id").over(every), "most": F.max("doc_id").over(every)}).where("least < most")
     shared = shared.groupBy("doc_id").agg(F.collect_list("anchor").alias("anchors"))  # as many as a document has
     # in buckets, so that cutting needs no second shuffle of the texts
-    some = bucketed(rows.mapInArrow(_packed, "doc_id long, row long, packed binary").join(shared, "doc_id").dropDuplicates(["doc_id", "row"]), "texts_with_repeats", "doc_id")
+    some = bucketed(rows.mapInArrow(_packed, "doc_id long, row long, packed binary").join(shared, "doc_id").dropDuplicates(["doc_id", "row"]), "texts_with_repeats", "doc_id", placed=True)
     strings = some.mapInArrow(partial(_string_rows, length=length, shards=FINER * n), _STRINGS)
     spans = strings.repartitionById(FINER * n, "shard").mapInArrow(partial(_shard, length=length), "doc_id long, row long, start long, end long")
     spans = spans.groupBy("doc_id").agg(F.collect_list(F.struct("row", "start", "end")).alias("spans"))

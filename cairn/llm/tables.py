@@ -59,15 +59,16 @@ def text_or_empty(text: str | Column = "text") -> Column:
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
 
 
-def bucketed(df: DataFrame, name: str, *keys: str) -> DataFrame:
+def bucketed(df: DataFrame, name: str, *keys: str, placed: bool = False) -> DataFrame:
     """Write df in buckets of the keys to the shared folder and read it back: joins on all of them then don't shuffle it.
 
-    Only a table can have buckets; its name leaves the catalogue at once, its files stay.
+    Rows are dealt out by the keys first, so each bucket is one file; placed: they already are. Only a table can have
+    buckets; its name leaves the catalogue at once, its files stay.
     """
     spark, table_name = df.sparkSession, f"{name}_{uuid.uuid4().hex}"
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     with _tidy(spark):
-        df.write.bucketBy(n, *keys).option("path", shared_dir(spark, name)).saveAsTable(table_name)
+        (df if placed else df.repartition(n, *keys)).write.bucketBy(n, *keys).option("path", shared_dir(spark, name)).saveAsTable(table_name)
     out = spark.table(table_name)
     out.schema  # resolved before the name goes
     spark.sql(f"DROP TABLE {table_name}")
