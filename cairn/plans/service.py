@@ -470,3 +470,70 @@ def x31_aliases(spark, d):
 def x26_terms(spark, d):
     rows = spark.createDataFrame([(1, ["FS", "size"]), (2, ["oom", "leak"]), (3, ["none"])], "i int, terms array<string>")
     return rows.select("i", records.expanded(F.col("terms")).alias("terms"))
+
+
+# ---- lookups and lists again, with all their rules
+
+
+@query("WITH w(ref) AS (VALUES ('wiki/3'), ('7'), ('file/src2'), ('raw/rc19'), ('none')), c AS (SELECT ref, regexp_replace(ref, '^(wiki|raw|file)/', '') AS k FROM w), t AS (SELECT ref, doc_id, 1 AS tier FROM c JOIN documents ON doc_id::VARCHAR = k UNION ALL SELECT ref, min(doc_id), 2 FROM c JOIN documents ON source = k GROUP BY ref UNION ALL SELECT ref, min(doc_id), 3 FROM c JOIN documents ON contains(source, k) GROUP BY ref) SELECT ref, doc_id, tier FROM t QUALIFY row_number() OVER (PARTITION BY ref ORDER BY tier, doc_id) = 1")
+def f11_resolver_tiers(spark, d):
+    """By key, by the whole source name, by a part of it; the first tier that finds something counts."""
+    refs = spark.createDataFrame([("wiki/3",), ("7",), ("file/src2",), ("raw/rc19",), ("none",)], "ref string").withColumn("k", F.regexp_replace("ref", "^(wiki|raw|file)/", ""))
+    k, source = F.col("k"), F.col("source")
+    tier = F.when(F.col("doc_id").cast("string") == k, 1).when(source == k, 2).when(F.contains(source, k), 3)
+    rows = load(spark, d, "documents").select("doc_id", "source").join(F.broadcast(refs), F.contains(source, k) | (F.col("doc_id").cast("string") == k))
+    return rows.groupBy("ref").agg(F.min(F.struct(tier.alias("tier"), "doc_id")).alias("x")).select("ref", "x.doc_id", "x.tier")
+
+
+@query("SELECT e.label AS entity, d.source, count(*) AS n FROM documents d JOIN embeddings e ON e.vec_id = d.doc_id WHERE e.label IN (1, 3) AND d.source IN ('src0', 'src1', 'src2') GROUP BY ALL")
+def j07_entity_documents(spark, d):
+    """Documents of some entities (labels of their vectors) in some sources."""
+    docs = load(spark, d, "documents").where("source IN ('src0', 'src1', 'src2')").select("doc_id", "source")
+    links = load(spark, d, "embeddings").where("label IN (1, 3)").select(F.col("vec_id").alias("doc_id"), F.col("label").alias("entity"))
+    return docs.join(links, "doc_id").groupBy("entity", "source").agg(F.count(F.lit(1)).alias("n"))
+
+
+_ALIASES = [(1, "trash"), (1, "scum"), (2, "license"), (4, "idiot"), (5, "x")]
+
+
+@query("WITH a(entity_id, alias) AS (VALUES " + ", ".join(str(x) for x in _ALIASES) + ") SELECT DISTINCT d.doc_id, a.entity_id, 0.85::DOUBLE AS confidence FROM documents d JOIN a ON length(alias) >= 2 AND contains(lower(d.text), a.alias) WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND l.toxic = 1 AND a.entity_id = 1)")
+def j08_new_links(spark, d):
+    """Links of entities to texts that have an alias of two characters at least, without those that are there (labels tell some)."""
+    low = F.lower("text")
+    found = F.array_distinct(F.array_compact(F.array(*[F.when(F.contains(low, F.lit(a)), F.lit(i)) for i, a in _ALIASES if len(a) >= 2])))
+    links = load(spark, d, "documents").select("doc_id", F.explode(found).alias("entity_id"))
+    there = load(spark, d, "labels").where("toxic = 1").select("doc_id", F.lit(1).alias("entity_id"))
+    return links.join(there, ["doc_id", "entity_id"], "left_anti").withColumn("confidence", F.lit(0.85))
+
+
+@query("SELECT event_type, event_id, ts FROM events QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id) <= 10")
+def a09_recent(spark, d):
+    """The ten latest of each kind; tasks cut to ten before the shuffle."""
+    latest = R.Window.partitionBy("event_type").orderBy(F.desc("ts"), "event_id")
+    return load(spark, d, "events").select("event_type", "event_id", "ts").withColumn("r", F.row_number().over(latest)).where("r <= 10").drop("r")
+
+
+_RAW = [("src0", 100), ("src1", 5), ("src99", 7)]
+
+
+@query("WITH m(source, raw) AS (VALUES " + ", ".join(str(x) for x in _RAW) + "), c AS (SELECT source, count(*) AS documents, count(e.vec_id) AS embedded, sum(len(list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x) <> ''))) AS chunks FROM documents LEFT JOIN embeddings e ON e.vec_id = doc_id GROUP BY source) SELECT coalesce(c.source, m.source) AS source, coalesce(raw, 0) AS raw, coalesce(documents, 0) AS documents, CAST(coalesce(chunks, 0) AS BIGINT) AS chunks, coalesce(embedded, 0) AS embedded, CASE WHEN coalesce(documents, 0) = 0 THEN CASE WHEN coalesce(raw, 0) > 0 THEN 0.0::DOUBLE ELSE 100.0::DOUBLE END ELSE least(100.0::DOUBLE, round(100.0::DOUBLE * embedded / documents, 1)) END AS pct FROM c FULL JOIN m ON m.source = c.source")
+def a08_progress_raw(spark, d):
+    """Progress over a manifest of raw files: a source that has files and no documents stands at 0."""
+    lines = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.trim(x) != ""))
+    docs = load(spark, d, "documents").select("doc_id", "source", lines.alias("lines"))
+    rows = docs.join(load(spark, d, "embeddings").select(F.col("vec_id").alias("e")), F.col("doc_id") == F.col("e"), "left")
+    rows = rows.groupBy("source").agg(F.count(F.lit(1)).alias("documents"), F.sum("lines").alias("chunks"), F.count("e").alias("embedded"))
+    rows = rows.join(spark.createDataFrame(_RAW, "source string, raw long"), "source", "full_outer").na.fill(0, ["raw", "documents", "chunks", "embedded"])
+    pct = F.when(F.col("documents") == 0, F.when(F.col("raw") > 0, 0.0).otherwise(100.0)).otherwise(F.least(F.lit(100.0), F.round(100.0 * F.col("embedded") / F.nullif("documents", F.lit(0)), 1)))
+    return rows.select("source", "raw", "documents", "chunks", "embedded", pct.alias("pct"))
+
+
+@query("WITH c AS (SELECT doc_id, i - 1 AS ordinal, string_split(text, chr(10))[i] AS line FROM (SELECT doc_id, text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents WHERE text IS NOT NULL)), s AS (SELECT doc_id, ordinal, 3 * (contains(lower(line), 'trash')::INT + contains(lower(line), 'license')::INT) + least(length(line) // 200, 5) AS score FROM c) SELECT doc_id, ordinal, score FROM s WHERE score >= 3 AND ordinal <> 0 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, ordinal) <= 4")
+def r23_new_siblings(spark, d):
+    """Chunks beside those already listed (the first of each text), the four best."""
+    lines = load(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("ordinal", "line"))
+    score = 3 * T.hits(F.array(F.lit("trash"), F.lit("license")), F.col("line")) + F.least(F.floor(F.length("line") / 200), F.lit(5))
+    listed = load(spark, d, "documents").select("doc_id", F.lit(0).cast("long").alias("ordinal"))
+    rows = lines.select("doc_id", F.col("ordinal").cast("long").alias("ordinal"), score.cast("long").alias("score")).where("score >= 3").join(listed, ["doc_id", "ordinal"], "left_anti")
+    best = R.Window.partitionBy("doc_id").orderBy(F.desc("score"), "ordinal")
+    return rows.withColumn("r", F.row_number().over(best)).where("r <= 4").drop("r")

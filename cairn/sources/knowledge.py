@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.functions import taxonomy
+from cairn.functions.records import UPLOADS
 from cairn.functions.text import clean_markup
 
 COLUMNS = ("source_type", "external_id", "title", "body", "metadata", "grade", "work_type", "environment", "domain", "path_l2", "path_l3")
@@ -123,3 +124,23 @@ SCANS = {"support_history": tickets, "tech_repo": wiki_pages, "confluence_docs":
 def scan(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
     """The named sources, put together in the order of SCANS."""
     return reduce(DataFrame.unionByName, [SCANS[name](spark, paths[name]) for name in SCANS if name in paths])
+
+
+#: Bytes of an upload at most, and the file names that are read.
+UPLOAD_BYTES, UPLOAD_NAMES = 20_000_000, (".md", ".txt")
+
+
+def upload(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """One uploaded file as a document of the source that an upload's name stands for (see records.UPLOADS).
+
+    Raises on a name that no scan reads, on another kind of file, and on one that is too large.
+    """
+    source = UPLOADS.get(name.strip().lower(), name.strip().lower())
+    if source not in SCANS or source == "checkitem":
+        raise ValueError(f"uploads of {name} can't be read")
+    if not path.endswith(UPLOAD_NAMES):
+        raise ValueError(f"{path} is none of {UPLOAD_NAMES}")
+    size = spark.read.format("binaryFile").load(path).select("length").first()
+    if size is None or size["length"] > UPLOAD_BYTES:
+        raise ValueError(f"{path} has over {UPLOAD_BYTES} bytes")
+    return SCANS[source](spark, path)

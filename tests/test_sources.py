@@ -2,8 +2,11 @@
 
 import json
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
+from cairn.functions import encode
 from cairn.functions import text as T
 from cairn.sources import knowledge
 
@@ -72,3 +75,22 @@ def test_seeds_manifest_and_audit(spark, tmp_path):
     for _ in range(2):
         knowledge.audit(rows, str(tmp_path / "log"))
     assert spark.read.parquet(str(tmp_path / "log")).count() == 4
+
+
+def test_upload(spark, tmp_path):
+    (tmp_path / "a.md").write_text("# Title\n- **Issue Key**: OPS-1\n")
+    (tmp_path / "b.pdf").write_text("x")
+    (row,) = knowledge.upload(spark, str(tmp_path / "a.md"), " Tickets").collect()
+    assert (row["source_type"], row["external_id"], row["title"]) == ("support_history", "OPS-1", "Title")
+    for path, name in (("a.md", "nothing"), ("a.md", "checks"), ("b.pdf", "wiki")):
+        with pytest.raises(ValueError):
+            knowledge.upload(spark, str(tmp_path / path), name)
+
+
+def test_encoder(spark):
+    df = spark.createDataFrame([(1, "disk is full"), (2, "disk is full"), (3, None), (4, "")], "id long, text string")
+    got = {r["id"]: r["vec"] for r in encode.encoded(df).collect()}
+    assert got[1] == got[2] and abs(np.linalg.norm(got[1]) - 1) < 1e-6 and got[3] is None and len(got[4]) == 64
+    assert encode.encoded(df, "query").where("id = 1").first()["vec"] != got[1]
+    own = encode.encoded(df, encoder=lambda texts: np.array([[len(t), 0.0] for t in texts])).where("id = 1").first()["vec"]
+    assert own == [1.0, 0.0]
