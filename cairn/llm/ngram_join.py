@@ -87,6 +87,22 @@ def _frequent(batches: Iterable[pa.RecordBatch], size: int) -> Iterator[pa.Recor
         yield out()
 
 
+def _most_frequent(often: DataFrame) -> DataFrame:
+    """The frequent end of the order, MOST_FREQUENT shingles at most: those over a count that a histogram of counts gives.
+
+    No task hands on more than it has of these.
+    """
+    level = F.floor(4 * F.log2("df"))
+    found = often.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("level")).collect()  # 4 rows for each doubling of a count
+    least, total = None, 0
+    for r in found:
+        total += r["n"]
+        if total > MOST_FREQUENT:
+            break
+        least = r["level"]
+    return often.where(level >= least) if least is not None else often.limit(0)
+
+
 class Order:
     """The global order: position of the frequent shingles; at most MOST_FREQUENT entries."""
 
@@ -176,7 +192,7 @@ def _shared(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFr
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     often = docs.select("text").mapInArrow(partial(_frequent, size=size), "token long, df long").groupBy("token").agg(F.sum("df").alias("df"))
-    order = spark.sparkContext.broadcast(Order(often.orderBy(F.desc("df"), "token").limit(MOST_FREQUENT).toPandas()))
+    order = spark.sparkContext.broadcast(Order(_most_frequent(stored(often, "frequent-shingles")).toPandas()))
     sets = stored(docs.mapInArrow(partial(_sets, size=size, percent=percent, order=order), "doc_id long, n long, f1 long, f2 long, prefix array<long>"), "shingle-sets")
 
     nodes = sets.where("doc_id IS NOT NULL AND n > 0").groupBy(F.col("f1").alias("node")).agg(F.min("doc_id").alias("of"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.min("f2").alias("f2"), F.max("f2").alias("other"))

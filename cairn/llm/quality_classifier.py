@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm.tables import stored, table
+from cairn.llm.tables import least_hashed, stored, table
 from cairn.llm.textnum import Words, grouped, mix
 from cairn.llm.toxicity import fold
 
@@ -171,7 +171,7 @@ def fit(rows: DataFrame, labels: DataFrame) -> PuNet | Constant:
     known = labels.groupBy("doc_id").agg(F.max("label").alias("label"))
 
     def sample(df: DataFrame) -> np.ndarray:  # bounded by MOST rows
-        return df.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST).select(*FEATURES).toPandas().to_numpy(float)
+        return least_hashed(df, "doc_id", MOST).select(*FEATURES).toPandas().to_numpy(float)
 
     positive = sample(rows.join(known.where("label = 1"), "doc_id", "left_semi"))
     unlabelled = sample(rows.join(known, "doc_id", "left_anti"))

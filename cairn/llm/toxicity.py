@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm.tables import stored, table
+from cairn.llm.tables import least_hashed, stored, table
 from cairn.llm.textnum import GROUP, NOT_WORD, Words, grouped, mix, span_hashes
 
 #: Discounts of a count in a class, and of a continuation count. Held-out quality chose the first (README).
@@ -400,7 +400,7 @@ def score(docs: DataFrame, labels: DataFrame, curve_part: Column) -> DataFrame:
     answers = model.groupBy("part").cogroup(asked.groupBy("part")).applyInArrow(lambda m, a: _answers(m, a, new), _PIECE)
     pieces = documents.unionByName(answers).repartition(n, "block").sortWithinPartitions("block", "part")
     evidence = stored(pieces.mapInArrow(_evidence, "doc_id long, " + ", ".join(f"{f} double" for f in FEATURES)), "toxicity-evidence")
-    fit = evidence.join(labels.where(curve_part), "doc_id").orderBy(F.xxhash64("doc_id")).limit(CURVE_ROWS).toPandas()
+    fit = least_hashed(evidence.join(labels.where(curve_part), "doc_id"), "doc_id", CURVE_ROWS).toPandas()
     x, y = fit[list(FEATURES)].to_numpy(float), fit["label"].to_numpy(float)
     if not len(y) or y.min() == y.max():
         return evidence.select("doc_id", F.lit(0.5).alias("score"))

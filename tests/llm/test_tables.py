@@ -51,3 +51,22 @@ def test_words_and_spans():
     data = np.frombuffer(b"abcabcab", np.uint8)
     s = textnum.span_hashes(data, np.array([0, 3, 1]), np.array([3, 6, 4]))
     assert s[0] == s[1] != s[2]
+
+
+def test_least_hashed(spark):
+    df = spark.range(5000).selectExpr("id AS doc_id", "id % 3 AS x")
+    want = [r["doc_id"] for r in df.selectExpr("doc_id", "xxhash64(doc_id) AS h").orderBy("h").limit(300).collect()]
+    assert [r["doc_id"] for r in tables.least_hashed(df, "doc_id", 300).collect()] == want
+    assert tables.least_hashed(df, "doc_id", 9000).count() == 5000
+    assert tables.least_hashed(df.selectExpr("0L AS doc_id"), "doc_id", 100).count() == 100  # one key has all rows
+    assert tables.least_hashed(df.limit(0), "doc_id", 100).count() == 0
+
+
+def test_frequent_end_of_the_order(spark, monkeypatch):
+    from cairn.llm import ngram_join
+
+    df = spark.range(1, 2001).selectExpr("id AS token", "CAST(1 + 100000 / id AS LONG) AS df")
+    monkeypatch.setattr(ngram_join, "MOST_FREQUENT", 500)
+    rows = ngram_join._most_frequent(df).collect()
+    assert 300 < len(rows) <= 500 and sorted(r["token"] for r in rows) == list(range(1, len(rows) + 1))
+    assert ngram_join._most_frequent(df.limit(0)).count() == 0
