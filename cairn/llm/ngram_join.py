@@ -8,7 +8,7 @@ the first few of both (their prefixes), so only these propose pairs; the order d
 pairs are proposed, never which links are found.
 
 Equal sets are one node. ``links`` compares every proposed pair of nodes and returns all that link. ``join`` needs
-components alone and takes a short cut: in two rounds each node is compared with one or a few partners of the shingles it
+components alone and takes a short cut: in two rounds each node is compared with one partner or a few of the shingles it
 shares; the last round compares every proposed pair whose ends are not yet connected, which is exact for components
 whatever the first two found.
 
@@ -257,12 +257,9 @@ def join(docs: DataFrame, size: int, percent: int) -> DataFrame:
         main = marked.groupBy("token", "component").agg(F.count(F.lit(1)).alias("k")).groupBy("token").agg(F.max(F.struct("k", "component")).alias("top"), F.count(F.lit(1)).alias("k")).where("k > 1")
         return stored(marked.join(main.select("token", F.col("top.component").alias("main")), "token"), "mixed-shingles")
 
-    # first round: the node of each shingle whose shingles are shared most, likely the middle of a group of copies, and the first
-    central = posts.groupBy("node").agg(F.avg("c").alias("w"))
-    rows = stored(posts.join(central, "node"), "weighted-shingles")
-    pivots = rows.groupBy("token").agg(F.max(F.struct("w", "node", "n")).alias("top"), F.min(F.struct("node", "n")).alias("low"))
-    rows = rows.join(pivots, "token")
-    links = verified(best(rows.withColumn("pivot", F.explode(F.array(F.struct(F.lit(0).alias("kind"), "top.node", "top.n"), F.struct(F.lit(1).alias("kind"), "low.node", "low.n")))).withColumn("kind", F.col("pivot.kind")), "kind"))
+    # first round: the oldest node (least doc_id) of each shingle, likely what a group of copies was made from
+    rows = stored(posts.join(posts.groupBy("token").agg(F.min(F.struct("of", "node", "n")).alias("pivot")), "token"), "first-shingles")
+    links = verified(best(rows))
     # second round: who is not yet in the main component of its shingles meets random members of it
     rows = mixed(links)
     picked = [F.min(F.struct(F.xxhash64("node", F.lit(i)).alias("h"), F.lit(i).alias("kind"), "node", "n")).alias(f"p{i}") for i in range(PICKED)]
