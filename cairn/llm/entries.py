@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cairn.llm import bpe, neighbours, ngram_join, packing, quality_classifier, quality_rules, suffix_dedup, token_store, toxicity, warc
+from cairn.llm import bpe, conversation_repair, neighbours, ngram_join, packing, periodic_runs, quality_classifier, quality_rules, sentence_pieces, suffix_dedup, token_store, toxicity, warc
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
@@ -15,10 +15,14 @@ QUERIES = {
     "op8_byte_bpe": bpe.op8_byte_bpe,
     "op9_nearest_neighbours": neighbours.op9_nearest_neighbours,
     "op10_ngram_jaccard_join": ngram_join.op10_ngram_jaccard_join,
+    "op11_sentence_pieces": sentence_pieces.op11_sentence_pieces,
+    "op12_periodic_runs": periodic_runs.op12_periodic_runs,
+    "op13_conversation_repair": conversation_repair.op13_conversation_repair,
     "op10_ngram_jaccard_links": ngram_join.op10_ngram_jaccard_links,
 }
 
 ORACLE_SQL = {
     "op1_quality_rules": quality_rules.ORACLE,
     "op5_warc": warc.ORACLE,
+    "op13_conversation_repair": conversation_repair.ORACLE,
 }
