@@ -1,10 +1,11 @@
 """SentencePiece encoding and decoding for merge-type vocabularies with an agenda of adjacent symbol pairs.
 
 A text becomes symbols of one character. Every pair of neighbours whose union is in the vocabulary stands on an
-agenda ordered by score, then by place; the best is united, and the pairs with its new neighbours join the agenda.
+agenda ordered by score, then by place; the best is united, and the pairs with its new neighbours join the agenda. Agendas of
+many short parts are the rows of a matrix, that of a long part is a heap.
 What is left is looked up, unknown characters fall back to bytes. Texts are cut where no piece of the vocabulary
-spans the cut, so parts are encoded alone and remembered. Each Arrow batch is encoded by the sentencepiece library
-too; rows carry whether ids and decoded text agree.
+spans the cut, so parts are encoded alone and remembered. Of each Arrow batch the sentencepiece library encodes the words
+not seen before and decodes every document; rows carry whether its ids and texts agree.
 
 Edge cases: null and empty texts have the begin and end ids only and decode to an empty text; repeated rows are
 encoded each; an empty table gives an empty result; other columns of the input are not looked at. U+2581, which stands
@@ -17,15 +18,19 @@ import codecs
 import hashlib
 import re
 from array import array
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import partial
 from heapq import heapify, heappop, heappush
 from itertools import groupby
+from operator import add
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cairn.llm.bpe import PairTable, merge_rows
 from cairn.llm.tables import table
 from cairn.llm.tokens import LONGEST, MEMORY, as_ids, grouped
 
@@ -35,6 +40,9 @@ SPACE = "▁"
 LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
 #: What the id of an unknown piece decodes to.
 UNKNOWN = " ⁇ "
+#: Characters of a part whose agenda may be a row of a matrix, and rows of that; a symbol that is in no pair.
+SHORT, ROWS, STRANGE = 40, 50_000, 1 << 30
+TWO_SPACES = 2 * SPACE
 #: Kinds of pieces in the model's format.
 NORMAL, UNK, CONTROL, BYTE = 1, 2, 3, 6
 #: The model's number for merge-type vocabularies.
@@ -44,19 +52,31 @@ MERGES = 2
 codecs.register_error("cairn-each-byte", lambda e: ("�", e.start + 1))
 
 
-class _Parts(dict):
-    """Part of a text -> its ids; parts not seen before are encoded, and remembered up to a bound."""
+class _Known:
+    """Strings and their ids in two generations: the older one goes when the younger is full, so what comes often stays."""
 
-    def __init__(self, encode_part, memory: int):
-        self.encode_part, self.memory = encode_part, memory
+    def __init__(self, most: int):
+        self.young, self.old, self.most = {}, {}, max(1, most // 2)
 
-    def __missing__(self, part: str) -> bytes:
-        ids = self.encode_part(part)
-        if len(part) <= LONGEST:
-            if len(self) >= self.memory:
-                self.clear()
-            self[part] = ids
-        return ids
+    def lacking(self, strings: set[str]) -> list[str]:
+        """Those that aren't known; the others are in the younger generation after this."""
+        if len(self.young) > self.most:
+            self.old, self.young = self.young, {}
+        left = strings.difference(self.young)
+        back = left.intersection(self.old) if self.old else ()
+        self.young.update((x, self.old[x]) for x in back)
+        return list(left.difference(back))
+
+
+class _Symbols(dict):
+    """Symbol -> the bytes of its id; an unknown character -> those of its bytes' ids."""
+
+    def __init__(self, ids: dict[str, int], byte_ids: list[int]):
+        super().__init__((p, array("I", [i]).tobytes()) for p, i in ids.items())
+        self.byte_ids = byte_ids
+
+    def __missing__(self, symbol: str) -> bytes:
+        return array("I", [self.byte_ids[b] for b in symbol.encode()]).tobytes()
 
 
 class MergePieces:
@@ -76,21 +96,34 @@ class MergePieces:
         if how.precompiled_charsmap or how.remove_extra_whitespaces or not how.escape_whitespaces or model.trainer_spec.treat_whitespace_as_suffix:
             raise ValueError("only models that leave texts as they are and mark spaces are supported")
         self.library = SentencePieceProcessor(model_file=path)
-        self.begin, self.end, self.prefixed = self.library.bos_id(), self.library.eos_id(), how.add_dummy_prefix
+        self.begin, self.end = (array("I", [i]).tobytes() for i in (self.library.bos_id(), self.library.eos_id()))
+        self.prefixed = how.add_dummy_prefix
         self.ids = {p.piece: i for i, p in enumerate(pieces) if p.type == NORMAL}
-        #: Pairs with less come first: scores are negated.
-        self.cost = {p.piece: -p.score for p in pieces if p.type == NORMAL}
-        self.byte_ids = [byte_ids[b] for b in range(256)]
+        place = {x: i for i, x in enumerate(sorted({p.score for p in pieces if p.type == NORMAL}, reverse=True))}
+        #: Piece -> its place in the order of scores, best first; equal scores share one.
+        self.order = {p.piece: place[p.score] for p in pieces if p.type == NORMAL}
+        self.symbols = _Symbols(self.ids, [byte_ids[b] for b in range(256)])
         self.bytes_of = [b"" if p.type == CONTROL else UNKNOWN.encode() if p.type == UNK else bytes([int(p.piece[3:5], 16)]) if p.type == BYTE else p.piece.replace(SPACE, " ").encode() for p in pieces]
         self.control = {i for i, p in enumerate(pieces) if p.type == CONTROL}
         self.spaced = {i for p, i in self.ids.items() if p.startswith(SPACE)}
+        #: Whether no piece goes on behind a space or a line end inside it.
+        self.by_words = not any(SPACE in p.lstrip(SPACE) or "\n" in p for p in self.ids if len(p) > 1)
         self.cut = re.compile(self._cuts()).findall
-        self.parts = _Parts(self._part, memory)
+        #: Parts and words with their ids, and words for which the library gives others.
+        self.parts, self.words, self.wrong = _Known(memory), _Known(memory), set()
+        # numbers of pieces by falling score; rows of a matrix need different scores where pairs are united
+        number = {p: i for i, p in enumerate(sorted(self.ids, key=self.order.get))}
+        self.pairs, self.id_of = PairTable(number), np.array([self.ids[p] for p in number], "<u4")
+        single = sorted((ord(p), i) for p, i in number.items() if len(p) == 1)
+        self.points, self.numbers = (np.array(x) for x in zip(*single, strict=True))
+        times = Counter(self.order[p] for p in self.ids if len(p) > 1)
+        tied = [p for p in self.ids if len(p) > 1 and times[self.order[p]] > 1]
+        self.single_scores, self.by_rows = not tied, all(TWO_SPACES in p for p in tied)
 
     def _cuts(self) -> str:
         """A pattern of parts that no piece joins with what stands before or behind them."""
         long = [p.lstrip(SPACE) for p in self.ids if len(p) > 1]
-        if any(SPACE in p or "\n" in p for p in long):
+        if not self.by_words:
             return r"(?s:.+)"
         letter, other = f"[{LETTERS}]", rf"[^{LETTERS}{SPACE}\n]"
         mixed = re.compile(f"{letter}{other}|{other}{letter}")
@@ -98,50 +131,116 @@ class MergePieces:
         return rf"{SPACE}*{inner}|{SPACE}+|\n"
 
     def merged(self, part: str) -> list[str]:
-        """The symbols that stay when the agenda is empty."""
-        n, cost = len(part), self.cost.get
-        symbol, after, before = list(part), list(range(1, n + 1)), list(range(-1, n))
-        agenda = [(c, i, 2) for i in range(n - 1) if (c := cost(part[i : i + 2])) is not None]
+        """The symbols that stay when the agenda is empty. An entry of it is a pair's place in the order of scores, then where it begins."""
+        n, order = len(part), self.order.get
+        width = n.bit_length()
+        agenda = [o << width | i for i, two in enumerate(map(add, part, part[1:])) if (o := order(two)) is not None]
+        if not agenda:
+            return list(part)
         heapify(agenda)
+        symbol, after, before, here = list(part), list(range(1, n + 1)), list(range(-1, n)), (1 << width) - 1
         while agenda:
-            _, i, size = heappop(agenda)
+            first = heappop(agenda)
+            i = first & here
             j = after[i]
             # a side has gone or grown since
-            if not symbol[i] or j >= n or len(symbol[i]) + len(symbol[j]) != size:
+            if j >= n or not symbol[i] or order(whole := symbol[i] + symbol[j]) != first >> width:
                 continue
-            symbol[i] += symbol[j]
-            symbol[j] = ""
+            symbol[i], symbol[j] = whole, ""
             k = after[i] = after[j]
             before[k] = i
-            if k < n and (c := cost(whole := symbol[i] + symbol[k])) is not None:
-                heappush(agenda, (c, i, len(whole)))
-            if (h := before[i]) >= 0 and (c := cost(whole := symbol[h] + symbol[i])) is not None:
-                heappush(agenda, (c, h, len(whole)))
+            if k < n and (o := order(whole + symbol[k])) is not None:
+                heappush(agenda, o << width | i)
+            if (h := before[i]) >= 0 and (o := order(symbol[h] + whole)) is not None:
+                heappush(agenda, o << width | h)
         return [s for s in symbol if s]
 
     def _part(self, part: str) -> bytes:
-        out, ids = [], self.ids.get
-        for s in self.merged(part):
-            i = ids(s)
-            if i is None:
-                out.extend(self.byte_ids[b] for b in s.encode())
+        return b"".join(map(self.symbols.__getitem__, self.merged(part)))
+
+    def _rows(self, parts: list[str]) -> list[bytes]:
+        """Ids of short parts: their agendas are rows of a matrix, and each round unites the first of the best pairs of every row."""
+        width = max(map(len, parts))
+        points = np.frombuffer("".join(p.ljust(width, "\0") for p in parts).encode("utf-32-le", "surrogatepass"), "<u4").reshape(len(parts), width)
+        known = np.minimum(np.searchsorted(self.points, points), len(self.points) - 1)
+        m = np.where(self.points[known] == points, self.numbers[known], STRANGE).astype(np.int32)
+        m[np.arange(width) >= np.array([len(p) for p in parts])[:, None]] = -1
+        rows = merge_rows(m, self.pairs)
+        flat = np.concatenate(rows)
+        ids, ends = self.id_of[np.minimum(flat, len(self.id_of) - 1)].tobytes(), np.cumsum([len(r) for r in rows]) * 4
+        out = [ids[x:y] for x, y in zip([0, *ends.tolist()], ends.tolist(), strict=False)]
+        for i in np.unique(np.repeat(np.arange(len(rows)), [len(r) for r in rows])[flat == STRANGE]).tolist():
+            out[i] = self._part(parts[i])  # characters without a piece
+        return out
+
+    def _learn_parts(self, parts: set[str]) -> None:
+        new = self.parts.lacking(parts)
+        short = sorted((p for p in new if len(p) <= SHORT and (self.single_scores or TWO_SPACES not in p)), key=len) if self.by_rows else []
+        for x in range(0, len(short), ROWS):
+            some = short[x : x + ROWS]
+            self.parts.young.update(zip(some, self._rows(some), strict=True))
+        self.parts.young.update((p, self._part(p)) for p in new if p not in self.parts.young)
+
+    def _marked(self, marked: list[str]) -> list[bytes]:
+        """Ids of texts with marks for spaces."""
+        cut = [self.cut(x) for x in marked]
+        self._learn_parts(set().union(*cut))
+        get = self.parts.young.__getitem__
+        out = [b"".join(map(get, parts)) for parts in cut]
+        for p in [p for parts in cut for p in parts if len(p) > LONGEST]:
+            self.parts.young.pop(p, None)
+        return out
+
+    def _by_words(self, text: str) -> list[str] | None:
+        """Words that are encoded each with the one space before it; None where the text has other spaces."""
+        plain = self.prefixed and self.by_words and text and "  " not in text and SPACE not in text and text[0] != " " and text[-1] != " "
+        return text.split(" ") if plain else None
+
+    def _learn(self, words: set[str], check: bool) -> list[str]:
+        """New words are encoded and, with check, compared with the library's ids; they are returned."""
+        new = self.words.lacking(words)
+        ids = self._marked([SPACE + w for w in new])
+        self.words.young.update(zip(new, ids, strict=True))
+        if check and new:
+            self.wrong.update(w for w, own, i in zip(new, ids, self.library.encode(new, num_threads=1), strict=True) if array("I", i).tobytes() != own)
+        return new
+
+    def encode_batch(self, texts: list[str], check: bool = True) -> tuple[list[bytes], list[bool | None]]:
+        """Of each whole text: begin id, ids and end id as little-endian unsigned 32-bit integers; with check, whether the library gives the same.
+
+        No piece spans the space before a word, so the ids of a text are those of its words; the library encodes each distinct new word of
+        a batch, and whole texts that have other spaces.
+        """
+        words = [self._by_words(t) for t in texts]
+        new = self._learn(set().union(*filter(None, words)), check)
+        get, out, agrees = self.words.young.__getitem__, [], []
+        other = iter(self._marked([(SPACE + t if self.prefixed and t else t).replace(" ", SPACE) for t, of in zip(texts, words, strict=True) if of is None]))
+        for text, of in zip(texts, words, strict=True):
+            if of is not None:
+                out.append(b"".join([self.begin, *map(get, of), self.end]))
+                agrees.append(not self.wrong or self.wrong.isdisjoint(of))
             else:
-                out.append(i)
-        return array("I", out).tobytes()
+                out.append(b"".join([self.begin, next(other), self.end]))
+                agrees.append(not check or array("I", self.library.encode(text, add_bos=True, add_eos=True)).tobytes() == out[-1])
+        for w in [w for w in new if len(w) > LONGEST]:
+            del self.words.young[w]
+        return out, agrees if check else [None] * len(texts)
 
     def encode(self, text: str) -> bytes:
-        """Begin id, the ids of the whole text and end id, as little-endian unsigned 32-bit integers."""
-        marked = (SPACE + text if self.prefixed and text else text).replace(" ", SPACE)
-        return b"".join([array("I", [self.begin]).tobytes(), *map(self.parts.__getitem__, self.cut(marked)), array("I", [self.end]).tobytes()])
+        return self.encode_batch([text], check=False)[0][0]
+
+    def _text(self, ids: list[int]) -> str:
+        return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "cairn-each-byte")
 
     def decode(self, ids: bytes) -> str:
         """The text that ids stand for; control ids stand for none, the space put before a text goes."""
-        # bytes on both sides of a control id don't make one character
-        runs = [list(run) for of_control, run in groupby(as_ids(ids).tolist(), self.control.__contains__) if not of_control]
-        out = [b"".join(map(self.bytes_of.__getitem__, run)) for run in runs]
-        if self.prefixed and runs and runs[0][0] in self.spaced:
-            out[0] = out[0][1:]
-        return "".join(x.decode("utf-8", "cairn-each-byte") for x in out)
+        found = as_ids(ids[4:-4] if ids[:4] == self.begin and ids[-4:] == self.end and len(ids) > 4 else ids).tolist()
+        if self.control.isdisjoint(found):
+            runs = [found] if found else []
+        else:  # bytes on both sides of a control id don't make one character
+            runs = [list(run) for of_control, run in groupby(found, self.control.__contains__) if not of_control]
+        text = "".join(map(self._text, runs))
+        return text[1:] if self.prefixed and runs and runs[0][0] in self.spaced else text
 
 
 _workers: dict[str, MergePieces] = {}
@@ -160,8 +259,7 @@ _ENCODED = "doc_id long, ids binary, agrees boolean"
 def _encoded(batches: Iterable[pa.RecordBatch], path: str, check: bool) -> Iterator[pa.RecordBatch]:
     m = model(path)
     for rows, texts in grouped(batches):
-        ids = [m.encode(t) for t in texts]
-        agrees = [array("I", x).tobytes() == i for x, i in zip(m.library.encode(texts, add_bos=True, add_eos=True, num_threads=1), ids, strict=True)] if check else [None] * len(ids)
+        ids, agrees = m.encode_batch(texts, check)
         yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(ids, pa.binary()), pa.array(agrees, pa.bool_())], names=["doc_id", "ids", "agrees"])
 
 
