@@ -15,7 +15,6 @@ for a space in pieces, decodes to a space, as in the library.
 from __future__ import annotations
 
 import codecs
-import hashlib
 import re
 from array import array
 from collections import Counter
@@ -62,10 +61,9 @@ class _Known:
         """Those that aren't known; the others are in the younger generation after this."""
         if len(self.young) > self.most:
             self.old, self.young = self.young, {}
-        left = strings.difference(self.young)
-        back = left.intersection(self.old) if self.old else ()
-        self.young.update((x, self.old[x]) for x in back)
-        return list(left.difference(back))
+        left, old = strings.difference(self.young), self.old
+        self.young.update([(x, old[x]) for x in left if x in old])
+        return [x for x in left if x not in old]
 
 
 class _Symbols(dict):
@@ -110,7 +108,7 @@ class MergePieces:
         self.by_words = not any(SPACE in p.lstrip(SPACE) or "\n" in p for p in self.ids if len(p) > 1)
         self.cut = re.compile(self._cuts()).findall
         #: Parts and words with their ids, and words for which the library gives others.
-        self.parts, self.words, self.wrong = _Known(memory), _Known(memory), set()
+        self.parts, self.words, self.wrong = _Known(memory // 4), _Known(3 * memory // 4), set()
         # numbers of pieces by falling score; rows of a matrix need different scores where pairs are united
         number = {p: i for i, p in enumerate(sorted(self.ids, key=self.order.get))}
         self.pairs, self.id_of = PairTable(number), np.array([self.ids[p] for p in number], "<u4")
@@ -269,36 +267,44 @@ def encode(docs: DataFrame, path: str, check: bool = True) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(partial(_encoded, path=path, check=check), _ENCODED)
 
 
+def _texts(m: MergePieces, ids: list[bytes], agrees: list[bool | None], check: bool) -> tuple[list[str], list[bool | None]]:
+    texts = [m.decode(i) for i in ids]
+    if check:
+        agrees = [a is not False and t == own for a, t, own in zip(agrees, texts, m.library.decode([as_ids(i).tolist() for i in ids], num_threads=1), strict=True)]
+    return texts, agrees
+
+
 def _decoded(batches: Iterable[pa.RecordBatch], path: str, check: bool) -> Iterator[pa.RecordBatch]:
     m = model(path)
     for b in batches:
         for x in range(0, b.num_rows, 200):
             part = b.slice(x, 200)
-            ids, agrees = part.column("ids").to_pylist(), part.column("agrees").to_pylist()
-            texts = [m.decode(i) for i in ids]
-            if check:
-                agrees = [a is not False and t == own for a, t, own in zip(agrees, texts, m.library.decode([as_ids(i).tolist() for i in ids], num_threads=1), strict=True)]
+            texts, agrees = _texts(m, part.column("ids").to_pylist(), part.column("agrees").to_pylist(), check)
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("ids"), pa.array(texts, pa.string()), pa.array(agrees, pa.bool_())], names=["doc_id", "ids", "decoded", "agrees"])
 
 
+_DECODED = "doc_id long, ids binary, decoded string, agrees boolean"
+
+
 def decode(encoded: DataFrame, path: str, check: bool = True) -> DataFrame:
     """Adds the decoded text; with ``check`` agrees also says whether the library decodes the same."""
-    return encoded.select("doc_id", "ids", "agrees").mapInArrow(partial(_decoded, path=path, check=check), "doc_id long, ids binary, decoded string, agrees boolean")
+    return encoded.select("doc_id", "ids", "agrees").mapInArrow(partial(_decoded, path=path, check=check), _DECODED)
 
 
-def _digests(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        ids, texts = b.column("ids").to_pylist(), b.column("decoded").to_pylist()
-        sums = [pa.array([hashlib.sha256(x).hexdigest() for x in xs]) for xs in (ids, [t.encode() for t in texts])]
-        yield pa.RecordBatch.from_arrays(
-            [b.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), *sums, b.column("agrees")], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "agrees"]
-        )
+def _round_trip(batches: Iterable[pa.RecordBatch], path: str, check: bool) -> Iterator[pa.RecordBatch]:
+    for b in _encoded(batches, path, check):
+        yield from _decoded([b], path, check)
+
+
+def round_trip(docs: DataFrame, path: str, check: bool = True) -> DataFrame:
+    """What decode(encode(docs)) gives, by one worker for a task."""
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(partial(_round_trip, path=path, check=check), _DECODED)
 
 
 def op11_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents; agrees says whether the library gives the same ids and the same decoded text."""
     import public_tokenizers
 
-    path = public_tokenizers.path("piece_bpe_32k.model")
-    encoded = encode(table(spark, sf_dir, "documents", "doc_id", "text"), path)
-    return decode(encoded, path).mapInArrow(_digests, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, agrees boolean")
+    both = round_trip(table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model"))
+    n = F.expr("octet_length(ids) div 4").alias("n_tokens")
+    return both.select("doc_id", n, F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), "agrees")
