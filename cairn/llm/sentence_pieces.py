@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm.bpe import PairTable, merge_rows
+from cairn.llm.bpe import NONE, PairTable
 from cairn.llm.tables import table
 from cairn.llm.tokens import LONGEST, MEMORY, as_ids, grouped
 
@@ -40,7 +40,7 @@ LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
 #: What the id of an unknown piece decodes to.
 UNKNOWN = " ⁇ "
 #: Characters of a part whose agenda may be a row of a matrix, and rows of that; a symbol that is in no pair.
-SHORT, ROWS, STRANGE = 40, 50_000, 1 << 30
+SHORT, ROWS, STRANGE = 40, 8192, 1 << 30
 TWO_SPACES = 2 * SPACE
 #: Kinds of pieces in the model's format.
 NORMAL, UNK, CONTROL, BYTE = 1, 2, 3, 6
@@ -51,6 +51,32 @@ MERGES = 2
 codecs.register_error("cairn-each-byte", lambda e: ("�", e.start + 1))
 
 
+def united(m: np.ndarray, pairs: PairTable) -> np.ndarray:
+    """Rows of symbols, padded with -1, with the first of the best pairs united until no row has a pair left."""
+    out, rows, best = np.full_like(m, -1), np.arange(len(m)), pairs.ranks(m[:, :-1], m[:, 1:])
+    while best.shape[1] and len(rows):
+        at = best.argmin(1)
+        whole = best[np.arange(len(rows)), at]
+        if (done := whole == NONE).any():
+            out[rows[done], : m.shape[1]] = m[done]
+            rows, m, best, at, whole = (x[~done] for x in (rows, m, best, at, whole))
+            continue
+        n, width = m.shape
+        row, stay = np.arange(n), np.ones((n, width), bool)
+        stay[row, at + 1] = False
+        m[row, at] = whole
+        m = m[stay].reshape(n, width - 1)
+        # the united pair goes, and the pairs on both sides of it are looked up again
+        stay = np.ones((n, width - 1), bool)
+        stay[row, at] = False
+        best = best[stay].reshape(n, width - 2)
+        for side in (at - 1, at):
+            some = np.flatnonzero((side >= 0) & (side < width - 2))
+            best[some, side[some]] = pairs.ranks(m[some, side[some]], m[some, side[some] + 1])
+    out[rows, : m.shape[1]] = m
+    return out
+
+
 class _Known:
     """Strings and their ids in two generations: the older one goes when the younger is full, so what comes often stays."""
 
@@ -163,11 +189,12 @@ class MergePieces:
         known = np.minimum(np.searchsorted(self.points, points), len(self.points) - 1)
         m = np.where(self.points[known] == points, self.numbers[known], STRANGE).astype(np.int32)
         m[np.arange(width) >= np.array([len(p) for p in parts])[:, None]] = -1
-        rows = merge_rows(m, self.pairs)
-        flat = np.concatenate(rows)
-        ids, ends = self.id_of[np.minimum(flat, len(self.id_of) - 1)].tobytes(), np.cumsum([len(r) for r in rows]) * 4
-        out = [ids[x:y] for x, y in zip([0, *ends.tolist()], ends.tolist(), strict=False)]
-        for i in np.unique(np.repeat(np.arange(len(rows)), [len(r) for r in rows])[flat == STRANGE]).tolist():
+        m = united(m, self.pairs)
+        there = m >= 0
+        flat, ends = m[there], np.cumsum(there.sum(1)) * 4
+        ids, ends = self.id_of[np.minimum(flat, len(self.id_of) - 1)].tobytes(), ends.tolist()
+        out = [ids[x:y] for x, y in zip([0, *ends], ends, strict=False)]
+        for i in np.flatnonzero((m == STRANGE).any(1)).tolist():
             out[i] = self._part(parts[i])  # characters without a piece
         return out
 
