@@ -31,12 +31,14 @@ COMPONENTS = (
     ("Oracle", r"\bOracle\b"),
     ("PostgreSQL", r"\bPostgreSQL\b|\bPostgres\b"),
     ("MySQL", r"\bMySQL\b"),
-    ("Network", r"\bNetwork\b|네트워크|Spine|BGW|방화벽|\bBGP\b|\bCDN\b"),
+    ("Network", r"\bNetwork\b|네트워크|Spine|BGW|방화벽"),
     ("Storage", r"\bStorage\b|스토리지|WEKA|Ceph|NetApp"),
     ("Linux", r"\bLinux\b|리눅스"),
+    ("SCP", r"\bSCP\b"),
     ("NFS", r"\bNFS\b"),
     ("Cluster", r"\bHA\b|클러스터|Cluster"),
     ("VMware", r"\bVMware\b|vSphere|v-?motion"),
+    ("Network", r"\bBGP\b|\bCDN\b"),
 )
 
 _LEAD = r"\s*(?:#{1,4}\s*|h[1-6]\.\s*(?:\d+\.?\s*)?|[-*•○.]?\s*\d+[.)]\s*|[-*•○.]\s*)?\**"
@@ -89,9 +91,9 @@ def slots(body: str, title: str) -> dict[str, str | None]:
 
 
 def components(title: Column, body: Column) -> Column:
-    """Names of the components that the title or the head of the body has, in the order of COMPONENTS."""
+    """Distinct names of the components that the title or the head of the body has, in the order of COMPONENTS."""
     text = F.concat_ws("\n", F.coalesce(title, F.lit("")), F.left(F.coalesce(body, F.lit("")), F.lit(12000)))
-    return F.array_compact(F.array(*[F.when(text.rlike(f"(?i){p}"), F.lit(name)) for name, p in COMPONENTS]))
+    return F.array_distinct(F.array_compact(F.array(*[F.when(text.rlike(f"(?i){p}"), F.lit(name)) for name, p in COMPONENTS])))
 
 
 def commands(body: Column) -> Column:

@@ -117,3 +117,25 @@ def groundedness(answers: DataFrame, min_answered: int = 10, min_cited: float =
     )
     passed = (F.col("n_answered") >= min_answered) & (F.col("citation_rate") >= min_cited) & (F.col("overlap_rate") >= min_overlap) & (F.col("abstain_ok_rate") >= 0.5)
     return out.withColumn("pass", passed)
+
+
+#: Size of a sketch: exact up to about so many values, beyond it ranks are off by about 1 / SKETCH of the values.
+SKETCH = 4096
+
+
+def hourly_sketches(log: DataFrame, ts: str, value: str, *keys: str, late: str = "1 hour") -> DataFrame:
+    """keys, hour, n, sketch of the values of each hour; log may be a stream, which keeps open hours as its state. Null values have no part in the sketch."""
+    rows = log.withWatermark(ts, late) if log.isStreaming else log
+    hours = rows.groupBy(*keys, F.window(ts, "1 hour").alias("_w")).agg(F.count(F.lit(1)).alias("n"), F.kll_sketch_agg_double(F.col(value), F.lit(SKETCH)).alias("sketch"))
+    return hours.select(*keys, F.col("_w.start").alias("hour"), "n", "sketch")
+
+
+def rolling(hourly: DataFrame, hours: list[int], points: list[float], *keys: str) -> DataFrame:
+    """keys, hours, n (values), per_second and a column p50, p95 and so on for the last so many hours, by merging sketches; raw values aren't read again."""
+    last = hourly.agg(F.max("hour").alias("_last"))
+    spans = F.explode(F.array(*map(F.lit, hours))).alias("hours")
+    rows = hourly.crossJoin(F.broadcast(last)).select("*", spans)  # one row
+    rows = rows.where(F.col("hour") > F.col("_last") - F.make_dt_interval(hours="hours"))
+    merged = rows.groupBy(*keys, "hours").agg(F.kll_merge_agg_double("sketch").alias("_s"), F.sum("n").alias("_n"))
+    found = [F.kll_sketch_get_quantile_double("_s", F.lit(float(p))).alias(f"p{round(100 * p)}") for p in points]
+    return merged.select(*keys, "hours", F.kll_sketch_get_n_double("_s").alias("n"), (F.col("_n") / (F.col("hours") * 3600)).alias("per_second"), *found)

@@ -61,8 +61,13 @@ def folded(posts: DataFrame, variants: list[tuple[str, float]], limit: int = 40)
     rows = [(i, w, t, len(terms_of(v))) for i, (v, w) in enumerate(variants) if w > 0 for t in terms_of(v)]
     asked = spark.createDataFrame(rows, "variant int, weight double, term string, needed int")  # a question's few
     found = posts.join(F.broadcast(asked), "term").groupBy("variant", "weight", "needed", "id").agg(F.count(F.lit(1)).alias("n"), (F.sum("tf") / (1 + F.log(1 + F.max("length")))).alias("score"))
+    return fold(found.where("n = needed").select("variant", "weight", "id", "score"), limit)
+
+
+def fold(scored: DataFrame, limit: int = 40) -> DataFrame:
+    """id, score of texts that variants (variant, weight, id, score) found, by the rule of ``folded``."""
     best = Window.partitionBy("variant").orderBy(F.desc("score"), "id")
-    top = found.where("n = needed").withColumn("r", F.row_number().over(best)).where(F.col("r") <= limit)
+    top = scored.withColumn("r", F.row_number().over(best)).where(F.col("r") <= limit)
     each = top.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("variant", (F.col("weight") * F.col("score")).alias("c")))).alias("each"))  # at most one for each variant
     score = F.aggregate("each", F.lit(0.0), lambda a, x: F.when(x["c"] > a, x["c"]).otherwise(a + BONUS * x["c"]))
     return each.select("id", score.alias("score"))

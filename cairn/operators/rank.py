@@ -77,6 +77,18 @@ def trust_label(score: Column, first: Column) -> Column:
     return F.when(score.isNull(), "empty").when((score >= 0.05) | first, "strong").when(score >= 0.02, "medium").otherwise("weak")
 
 
+def searched(hits: DataFrame, docs: DataFrame, document: str, top_k: int, gate: float = GATE) -> DataFrame:
+    """The hits a search returns: document, id, score, label. hits: id, score, lex_rank; docs: id and the column ``document``.
+
+    The gate cuts to top_k chunks before each document keeps its best, so fewer than top_k documents may return; a chunk that leads
+    the lexical list is trusted whatever its fused score.
+    """
+    kept = gated(hits.withColumn("score", F.round("score", 9)), top_k, gate)
+    best = Window.partitionBy(document).orderBy(F.desc("score"), "id")
+    rows = docs.join(F.broadcast(kept), "id").withColumn("_r", F.row_number().over(best)).where("_r = 1")
+    return rows.select(document, "id", "score", trust_label(F.col("score"), F.coalesce(F.col("lex_rank") == 1, F.lit(False))).alias("label"))
+
+
 def match_boost(hits: Column) -> Column:
     return F.when(hits >= 3, 0.55 + 0.05 * F.least(hits - 3, F.lit(4))).otherwise(0.12 * hits)
 
@@ -90,30 +102,38 @@ def applicability_label(score: Column, quality: Column, resolved: Column) -> Col
     return F.when(~resolved | (quality < 0.25), "abstain").when(score >= 0.7, "possible").when(score >= 0.45, "conditional").otherwise("not-recommended")
 
 
-def signal_score(signals: Column, observed: Column, counter: Column, confidence: Column) -> Column:
-    """Share of a bucket's signals seen (at least half of a signal's words), its confidence, and a penalty for counter-signals."""
-    def seen(signal: Column) -> Column:
-        words = F.split(F.lower(signal), " ")
-        return F.size(F.array_intersect(words, observed)) >= F.ceil(F.size(words) / 2)
-
-    matched, total = F.size(F.filter(signals, seen)), F.greatest(F.size(signals), F.lit(1))
-    penalty = F.when(F.exists(counter, seen), 0.5).otherwise(0.0)
-    return F.round(F.least(F.greatest(0.6 * F.least(matched, F.lit(4)) / F.least(total, F.lit(4)) + 0.4 * confidence - penalty, F.lit(0.0)), F.lit(1.0)), 3)
+def signal_tokens(signals: Column) -> Column:
+    """Distinct tokens of each signal; made once for a bucket, before it meets texts."""
+    return F.transform(signals, lambda s: F.array_distinct(F.regexp_extract_all(F.lower(s), F.lit(r"[a-z0-9가-힣]{2,}"), 0)))
 
 
 def bucket_match(signals: Column, counter: Column, observed: Column, confidence: Column) -> tuple[Column, Column]:
-    """Score and label of a failure bucket for observed tokens. A signal is seen if half of its tokens are, rounded up."""
-    def seen(signal: Column) -> Column:
-        tokens = F.array_distinct(F.regexp_extract_all(F.lower(signal), F.lit(r"[a-z0-9가-힣]{2,}"), 0))
+    """Score and label of a failure bucket for observed tokens. signals, counter: tokens of each signal.
+
+    A signal is seen if half of its tokens are, rounded up. Each counter-signal seen takes 0.5 off; no confidence, or 0, counts as 0.5.
+    """
+    def seen(tokens: Column) -> Column:
         return (F.size(tokens) > 0) & (F.size(F.array_intersect(tokens, observed)) >= F.ceil(F.size(tokens) / 2))
 
     matched, against = F.size(F.filter(signals, seen)), F.size(F.filter(counter, seen))
     share = F.least(matched, F.lit(4)) / F.least(F.greatest(F.size(signals), F.lit(1)), F.lit(4))
-    score = F.greatest(F.least(0.6 * share + 0.4 * confidence - 0.5 * against, F.lit(1.0)), F.lit(0.0))
+    sure = F.coalesce(F.nullif(confidence, F.lit(0.0)), F.lit(0.5))
+    score = F.greatest(F.least(0.6 * share + 0.4 * sure - 0.5 * against, F.lit(1.0)), F.lit(0.0))
     label = F.when(against > 0, "not-recommended").when((score >= 0.7) & (matched > 0), "possible").when(score >= 0.4, "conditional").otherwise("not-recommended")
     return F.round(score, 3), label
 
 
+def bucket_scores(docs: DataFrame, buckets: DataFrame, tokens: list[str], on: Column | None = None) -> DataFrame:
+    """docs (with obs: tokens) and every bucket (of ``on``), obs cut to the tokens that signals have: once for a text, not for each bucket.
+
+    buckets: signals and counter as tokens; tokens: all of them, a short list.
+    """
+    few = docs.withColumn("obs", F.array_intersect("obs", F.array(*map(F.lit, tokens)).cast("array<string>")))
+    rows = few.join(F.broadcast(buckets), on) if on is not None else few.join(F.broadcast(buckets))
+    score, label = bucket_match(F.col("signals"), F.col("counter"), F.col("obs"), F.col("confidence"))
+    return rows.withColumn("score", score).withColumn("label", label)
+
+
 def packed(hits: DataFrame, budget: int) -> DataFrame:
     """Per query, hits in order until the estimated tokens pass the budget; the first always stays. hits: query_id, rank, est."""
     upto = F.sum("est").over(Window.partitionBy("query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0))

@@ -19,14 +19,15 @@ def plan(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return rows.select(*keys, action.alias("action"), version.cast("int").alias("version"))
 
 
-def latest(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """One row per key, of repeated ones the last by hash."""
-    return rows.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("content_hash")))).where("_r = 1").drop("_r")
+def latest(rows: DataFrame, keys: list[str], arrived: str | None = None) -> DataFrame:
+    """One row per key, of repeated ones the last to arrive; of those at the same time, or without such a column, the last by hash."""
+    order = [F.desc_nulls_last(arrived)] if arrived else []
+    return rows.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order, F.desc("content_hash")))).where("_r = 1").drop("_r")
 
 
-def apply(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """The next snapshot: new rows win where their hash differs; of repeated keys in new, the last by hash counts."""
-    last = latest(new, keys)
+def apply(old: DataFrame, new: DataFrame, keys: list[str], arrived: str | None = None) -> DataFrame:
+    """The next snapshot: new rows win where their hash differs; of repeated keys in new, the last to arrive (by ``latest``) counts."""
+    last = latest(new, keys, arrived)
     p = plan(old, last, keys)
     fresh = last.join(p.where("action IN ('insert', 'update')"), keys).drop("action")
     stay = old.join(p.where("action IN ('skip', 'keep')").select(*keys), keys, "left_semi")

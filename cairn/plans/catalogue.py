@@ -14,6 +14,7 @@ from cairn.functions import text as T
 from cairn.operators import aggregate as A
 from cairn.operators import rank as R
 from cairn.operators import upsert as U
+from cairn.operators.lexical import terms_of
 from cairn.plans.registry import ORACLE_SQL, QUERIES, query
 from cairn.sources.tables import load
 
@@ -232,8 +233,6 @@ def a15_hit_at_3(spark, d):
     return _hit_at_3(load(spark, d, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
-query(_HIT_RATES, "a15_hit_at_3_whole")(a15_hit_at_3)
-
 
 def _hit_at_3(vectors: DataFrame, is_query: Column) -> DataFrame:
     labels = vectors.select(F.col("vec_id").alias("id"), "label")
@@ -286,8 +285,6 @@ def f15_snippet(spark, d):
     return load(spark, d, "documents").select("doc_id", T.snippet(F.col("text"), "the").alias("snippet"))
 
 
-query(_SNIPPETS, "f15_snippet_whole")(f15_snippet)
-
 
 @query("SELECT doc_id, CASE WHEN length(text) > 120 THEN left(text, 120) || '…' ELSE text END AS short FROM documents")
 def f16_truncate(spark, d):
@@ -357,17 +354,18 @@ def j13_first_answer(spark, d):
 
 # ---- similar incidents, buckets, packing
 
-BUCKETS = [(1, ["the of", "and in"], ["trash"], 0.8), (2, ["und der", "die ist"], ["idiot"], 0.6), (3, ["license version", "public license", "copyright"], ["scum"], 0.9)]
+BUCKETS = [(1, ["the of", "and in"], ["trash", "scum idiot"], 0.8), (2, ["und der und", "die ist"], ["idiot"], 0.6), (3, ["license version", "public license", "copyright"], ["scum"], 0.9), (4, ["que la", "de"], [], None)]
 
 
 def _sql_list(xs) -> str:
     return "[" + ", ".join(f"'{x}'" for x in xs) + "]"
 
 
+_SIGNAL = "list_filter({0}, lambda s: len(list_intersect(list_distinct(regexp_extract_all(lower(s), '[a-z0-9가-힣]{{2,}}')), obs)) >= ceil(len(list_distinct(regexp_extract_all(lower(s), '[a-z0-9가-힣]{{2,}}'))) / 2))"
 _BUCKET_SCORES = (
-    "WITH b(bucket_id, signals, counter, confidence) AS (VALUES " + ", ".join(f"({i}, {_sql_list(s)}, {_sql_list(c)}, {f}::DOUBLE)" for i, s, c, f in BUCKETS) + "), o AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9가-힣]{2,}')) AS obs FROM documents), "
-    "m AS (SELECT doc_id, bucket_id, confidence, len(signals) AS total, len(list_filter(signals, lambda s: len(list_intersect(string_split(s, ' '), obs)) >= ceil(len(string_split(s, ' ')) / 2))) AS matched, len(list_filter(counter, lambda s: list_contains(obs, s))) > 0 AS contra FROM o, b) "
-    "SELECT doc_id, bucket_id, round(least(greatest(0.6 * least(matched, 4) / least(total, 4) + 0.4 * confidence - CASE WHEN contra THEN 0.5 ELSE 0 END, 0), 1), 3) AS score FROM m"
+    "WITH b(bucket_id, signals, counter, confidence) AS (VALUES " + ", ".join(f"({i}, {_sql_list(s)}, {_sql_list(c)}::VARCHAR[], {'NULL' if f is None else f}::DOUBLE)" for i, s, c, f in BUCKETS) + "), o AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9가-힣]{2,}')) AS obs FROM documents), "
+    f"m AS (SELECT doc_id, bucket_id, coalesce(confidence, 0.5) AS confidence, len(signals) AS total, len({_SIGNAL.format('signals')}) AS matched, len({_SIGNAL.format('counter')}) AS against FROM o, b) "
+    "SELECT doc_id, bucket_id, round(least(greatest(0.6 * least(matched, 4) / least(total, 4) + 0.4 * confidence - 0.5 * against, 0), 1), 3) AS score FROM m"
 )
 
 
@@ -377,13 +375,12 @@ def r15_bucket_score(spark, d):
     return _bucket_scores(spark, load(spark, d, "documents"))
 
 
-query(_BUCKET_SCORES, "r15_bucket_score_whole")(r15_bucket_score)
-
 
 def _bucket_scores(spark: SparkSession, docs: DataFrame) -> DataFrame:
     buckets = spark.createDataFrame(BUCKETS, "bucket_id int, signals array<string>, counter array<string>, confidence double")
-    rows = docs.select("doc_id", T.token_set(F.col("text")).alias("obs")).join(F.broadcast(buckets))
-    return rows.select("doc_id", "bucket_id", R.signal_score(F.col("signals"), F.col("obs"), F.col("counter"), F.col("confidence")).alias("score"))
+    buckets = buckets.withColumns({c: R.signal_tokens(F.col(c)) for c in ("signals", "counter")})
+    tokens = sorted({t for _, signals, counter, _ in BUCKETS for s in [*signals, *counter] for t in terms_of(s)})
+    return R.bucket_scores(docs.select("doc_id", T.token_set(F.col("text")).alias("obs")), buckets, tokens).select("doc_id", "bucket_id", "score")
 
 
 @query("WITH x AS (SELECT d.doc_id, l.quality::DOUBLE AS q, l.toxic = 0 AS ok, (contains(lower(text), 'the'))::INT + (contains(lower(text), 'of'))::INT + (contains(lower(text), 'and'))::INT + (contains(lower(text), 'license'))::INT AS hits, lang = 'en' AS place FROM documents d JOIN labels l ON l.doc_id = d.doc_id), s AS (SELECT *, round(least(0.2 + 0.15 * least(hits, 3) + 0.25 * least(q, 1.0) + CASE WHEN ok THEN 0.2 ELSE 0 END + CASE WHEN place THEN 0.1 ELSE 0 END + CASE WHEN hits >= 3 THEN 0.1 ELSE 0 END, 1.0), 3) AS score FROM x) SELECT doc_id, score, round(CASE WHEN hits >= 3 THEN 0.55 + 0.05 * least(hits - 3, 4) ELSE 0.12 * hits END::DOUBLE, 6) AS boost, CASE WHEN NOT ok OR q < 0.25 THEN 'abstain' WHEN score >= 0.7 THEN 'possible' WHEN score >= 0.45 THEN 'conditional' ELSE 'not-recommended' END AS label FROM s")
@@ -592,6 +589,6 @@ def x09_frame_quality(spark, d):
     return load(spark, d, "documents").select("doc_id", T.frame_quality(*line).alias("quality"))
 
 
-from cairn.plans import service  # noqa: E402, F401  registers its queries
+from cairn.plans import search, service, state  # noqa: E402, F401  register their queries
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

@@ -293,10 +293,11 @@ _MATCH = (
 
 def _matches(spark, d):
     buckets = spark.createDataFrame(PATTERNS, "bucket_id int, signals array<string>, counter array<string>, confidence double, domain string, environment string")
+    buckets = buckets.withColumns({c: R.signal_tokens(F.col(c)) for c in ("signals", "counter")})
+    tokens = sorted({t for row in PATTERNS for s in [*row[1], *row[2]] for t in L.terms_of(s)})
     docs = load(spark, d, "documents").where("text IS NOT NULL").select("doc_id", "lang", T.token_set(F.col("text")).alias("obs"))
-    rows = docs.join(F.broadcast(buckets), F.col("environment").isNull() | (F.col("environment") == F.col("lang")))
-    score, label = R.bucket_match(F.col("signals"), F.col("counter"), F.col("obs"), F.col("confidence"))
-    return rows.select("doc_id", "bucket_id", score.alias("score"), label.alias("label"))
+    rows = R.bucket_scores(docs, buckets, tokens, F.col("environment").isNull() | (F.col("environment") == F.col("lang")))
+    return rows.select("doc_id", "bucket_id", "score", "label")
 
 
 @query(f"WITH {_MATCH} SELECT doc_id, bucket_id, score, label FROM t QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, bucket_id) <= 2")
