@@ -26,7 +26,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.llm.graph import components
@@ -198,7 +198,8 @@ def _shared(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFr
     nodes = sets.where("doc_id IS NOT NULL AND n > 0").groupBy(F.col("f1").alias("node")).agg(F.min("doc_id").alias("of"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.min("f2").alias("f2"), F.max("f2").alias("other"))
     nodes = nodes.withColumn("n", F.when(F.col("f2") == F.col("other"), F.col("n")).otherwise(F.raise_error(F.lit("two sets have one fingerprint")).cast("long")))
     posts = nodes.select("node", "of", F.posexplode("prefix").alias("pos", "token"), "n").select("node", "of", F.shiftleft("n", 32).bitwiseOR(F.col("pos").cast("long")).alias("n_pos"), "token")
-    posts = posts.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("c > 1")
+    shared = posts.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1")  # combined before its shuffle; a join splits a frequent token's rows, a window couldn't
+    posts = posts.join(shared, "token")
     posts = stored(posts.select("node", "of", "token", "c", F.shiftright("n_pos", 32).alias("n"), F.col("n_pos").bitwiseAND(F.lit(0xFFFFFFFF)).alias("pos")), "shared-shingles")
 
     # segments of all that may link, in buckets: each verification joins them without another shuffle of one side; equal sets meet before the shuffle
