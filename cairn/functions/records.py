@@ -85,4 +85,5 @@ def labelled_sections(raw: Column, spec: list[tuple[str, str]], fallback: dict[s
 def lexicon(terms: DataFrame) -> DataFrame:
     """terms: canonical, variants -> token (lower case), and all variants of the terms it stands in."""
     rows = terms.select(F.array_distinct(F.concat(F.array("canonical"), F.coalesce("variants", F.array().cast("array<string>")))).alias("all"))
-    return rows.select(F.explode("all").alias("v"), "all").groupBy(F.lower("v").alias("token")).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("all")))).alias("variants"))
+    pairs = rows.select(F.explode("all").alias("v"), "all").select(F.lower("v").alias("token"), F.explode("all").alias("variant")).distinct()
+    return pairs.groupBy("token").agg(F.array_sort(F.collect_list("variant")).alias("variants"))

@@ -91,6 +91,15 @@ def snippet(text: Column, token: str, before: int = 40, width: int = 220) -> Col
     return F.concat(F.when(start > 1, F.lit("...")).otherwise(F.lit("")), F.substring(flat, start, F.lit(width)), F.when(F.length(flat) >= start + width, F.lit("...")).otherwise(F.lit("")))
 
 
+def snippet_around(text: Column, tokens: list[str], before: int = 40, width: int = 220) -> Column:
+    """A window from shortly before the first hit of the first token, in their order, that the text has; from the start if it has none."""
+    flat = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))
+    hit = F.coalesce(*[F.nullif(F.locate(t.lower(), F.lower(flat)), F.lit(0)) for t in tokens], F.lit(1))
+    start = F.greatest(hit - before, F.lit(1))
+    cut = F.concat(F.when(start > 1, F.lit("…")).otherwise(F.lit("")), F.substring(flat, start, F.lit(width)), F.when(F.length(flat) >= start + width, F.lit("…")).otherwise(F.lit("")))
+    return F.when(flat == "", "").otherwise(cut)
+
+
 def frame_quality(symptom: Column, cause: Column, resolution: Column) -> Column:
     """Weights of the three slots by whether they have 20 characters, and a bonus if cause and resolution both have."""
     def slot(c: Column, long: float, short: float) -> Column:

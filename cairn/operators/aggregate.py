@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Iterable, Iterator
+from functools import partial
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -139,3 +144,45 @@ def rolling(hourly: DataFrame, hours: list[int], points: list[float], *keys: str
     merged = rows.groupBy(*keys, "hours").agg(F.kll_merge_agg_double("sketch").alias("_s"), F.sum("n").alias("_n"))
     found = [F.kll_sketch_get_quantile_double("_s", F.lit(float(p))).alias(f"p{round(100 * p)}") for p in points]
     return merged.select(*keys, "hours", F.kll_sketch_get_n_double("_s").alias("n"), (F.col("_n") / (F.col("hours") * 3600)).alias("per_second"), *found)
+
+
+#: Groups that a task holds before it hands them on.
+HELD = 100_000
+
+
+def _tallied(batches: Iterable[pa.RecordBatch], kinds: list[str], samples: int) -> Iterator[pa.RecordBatch]:
+    """Of each kind and bucket of a task: its rows, and the smallest ids in a heap of bounded size."""
+    held: dict[tuple[str, str], list] = {}
+
+    def handed_on() -> pa.RecordBatch:
+        rows = [(k, b, x[0], sorted(-i for i in x[1])) for (k, b), x in held.items()]
+        held.clear()
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.string(), pa.int64(), pa.list_(pa.int64())), strict=True)], names=["kind", "bucket", "n", "ids"])
+
+    for b in batches:
+        ids = b.column("_id").to_pylist()
+        for kind in kinds:
+            for bucket_, i in zip(b.column(kind).to_pylist(), ids, strict=True):
+                x = held.get((kind, bucket_))
+                if x is None:
+                    x = held[kind, bucket_] = [0, []]
+                x[0] += 1
+                if i is not None:
+                    if len(x[1]) < samples:
+                        heapq.heappush(x[1], -i)
+                    elif -i > x[1][0]:
+                        heapq.heapreplace(x[1], -i)
+        if len(held) > HELD:
+            yield handed_on()
+    if held:
+        yield handed_on()
+
+
+def tallies(df: DataFrame, key: str, kinds: dict[str, Column], samples: int = 3) -> DataFrame:
+    """kind, bucket, n and the smallest ids of each bucket of every kind, in one scan.
+
+    Tasks count all kinds at once, so what is shuffled is a row for each bucket of a task.
+    """
+    rows = df.select(F.col(key).cast("long").alias("_id"), *[c.cast("string").alias(k) for k, c in kinds.items()])
+    part = rows.mapInArrow(partial(_tallied, kinds=list(kinds), samples=samples), "kind string, bucket string, n long, ids array<long>")
+    return part.groupBy("kind", "bucket").agg(F.sum("n").alias("n"), F.slice(F.array_sort(F.flatten(F.collect_list("ids"))), 1, samples).alias("ids"))  # a few ids of each task

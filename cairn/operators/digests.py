@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 #: Children of a node, and levels below the root.
 FAN, LEVELS = 16, 3
+_NODE, _ROW = "node int, x long, s long, n long", "key string, hash string, leaf int, top int"
 
 
 def _leaf(key: Column) -> Column:
@@ -26,7 +27,7 @@ def write(table: DataFrame, key: str, columns: list[str], path: str) -> None:
     rows = table.select(F.col(key).cast("string").alias("key"), own.alias("hash")).withColumn("leaf", _leaf(F.col("key"))).withColumn("top", F.floor(F.col("leaf") / FAN ** (LEVELS - 1)).cast("int"))
     rows.repartitionByRange("leaf", "key").sortWithinPartitions("leaf", "key").write.partitionBy("top").parquet(f"{path}/rows")
     h = F.xxhash64("key", "hash")
-    leaves = _together(table.sparkSession.read.parquet(f"{path}/rows").select("leaf", h.alias("x"), F.shiftright(h, 40).alias("s"), F.lit(1).cast("long").alias("n")), "leaf")
+    leaves = _together(table.sparkSession.read.schema(_ROW).parquet(f"{path}/rows").select("leaf", h.alias("x"), F.shiftright(h, 40).alias("s"), F.lit(1).cast("long").alias("n")), "leaf")
     above = F.explode(F.array(*[F.struct(F.lit(k).alias("level"), F.floor(F.col("leaf") / FAN ** (LEVELS - k)).cast("int").alias("node")) for k in range(LEVELS + 1)]))
     nodes = _together(leaves.select("x", "s", "n", above.alias("at")).select("at.*", "x", "s", "n"), "level", "node")  # a bounded number
     nodes.coalesce(1).write.partitionBy("level").parquet(f"{path}/tree")
@@ -36,7 +37,7 @@ def differing(spark: SparkSession, a: str, b: str) -> list[int]:
     """Leaves whose digests differ, found from the root down; only children of nodes that differ are compared."""
     nodes: list[int] | None = None
     for k in range(LEVELS + 1):
-        sides = [spark.read.parquet(f"{x}/tree/level={k}") for x in (a, b)]
+        sides = [spark.read.schema(_NODE).parquet(f"{x}/tree/level={k}") for x in (a, b)]
         if nodes is not None:
             sides = [s.where(F.floor(F.col("node") / FAN).isin(nodes)) for s in sides]
         left, right = sides[0].select("node", F.struct("x", "s", "n").alias("l")), sides[1].select("node", F.struct("x", "s", "n").alias("r"))
@@ -48,7 +49,7 @@ def differing(spark: SparkSession, a: str, b: str) -> list[int]:
 
 def rows_of(spark: SparkSession, path: str, leaves: list[int]) -> DataFrame:
     """The row hashes of some leaves: folders of others aren't listed, row groups of others are skipped."""
-    return spark.read.parquet(f"{path}/rows").where(F.col("top").isin(sorted({x // FAN ** (LEVELS - 1) for x in leaves})) & F.col("leaf").isin(leaves)).select("key", "hash")
+    return spark.read.schema(_ROW).parquet(f"{path}/rows").where(F.col("top").isin(sorted({x // FAN ** (LEVELS - 1) for x in leaves})) & F.col("leaf").isin(leaves)).select("key", "hash")
 
 
 def difference(spark: SparkSession, a: str, b: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Iterator
 from functools import partial, reduce
 
@@ -10,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cairn.operators.lexical import EXACT
+
 RRF_K = 60
 GATE = 0.012
 
@@ -89,6 +92,21 @@ def searched(hits: DataFrame, docs: DataFrame, document: str, top_k: int, gate:
     return rows.select(document, "id", "score", trust_label(F.col("score"), F.coalesce(F.col("lex_rank") == 1, F.lit(False))).alias("label"))
 
 
+def variant_weight(variant: str, original: str) -> float:
+    """What a variant of a question counts: the question itself most but for exact keys, phrases by their length; single words see ``frequent_singles_down``."""
+    if variant == original:
+        return 1.0
+    if any(re.search(p, variant) for p in EXACT):
+        return 1.15
+    return {0: 0.0, 1: 0.55, 2: 0.85}.get(len(variant.split()), 0.95)
+
+
+def frequent_singles_down(weights: DataFrame, share: float = 0.2) -> DataFrame:
+    """variant, w: single words that over ``share`` of the texts have count 0.25. weights: variant, w, df (of its most frequent term), texts."""
+    single = F.col("w") == 0.55
+    return weights.select("variant", F.when(single & (F.col("df") > share * F.col("texts")), 0.25).otherwise(F.col("w")).alias("w"))
+
+
 def match_boost(hits: Column) -> Column:
     return F.when(hits >= 3, 0.55 + 0.05 * F.least(hits - 3, F.lit(4))).otherwise(0.12 * hits)
 

@@ -194,26 +194,28 @@ def a12_readiness(spark, d):
     return rows
 
 
-#: field, units of a seven-day base, price group; group -> unit price.
-CAPACITY = [("host", 4, "compute"), ("volume", 10, "storage"), ("port", 6, "network"), ("licence", 1, "none")]
-PRICES = [("compute", 120.5), ("storage", 14.25), ("network", 33.0)]
+#: Days of the periods that are priced; a part is a field with its size as units of seven days, its type the price group, dear types have no price.
+PERIODS = (7, 14, 30)
+_PRICED = "p AS (SELECT p_type AS grp, round(avg(p_retailprice), 2) AS price FROM part WHERE p_type <> 'ECONOMY' GROUP BY p_type), d(days) AS (VALUES " + ", ".join(f"({x})" for x in PERIODS) + "), x AS (SELECT days, p_partkey AS field, round_even(p_size * (days / 7), 0) AS units, 0.25 * (days / 7) AS mm, price * round_even(p_size * (days / 7), 0) AS cost FROM part CROSS JOIN d LEFT JOIN p ON p.grp = p_type)"
 
 
-@query(
-    "WITH r(field, base, grp) AS (VALUES " + ", ".join(str(x) for x in CAPACITY) + "), p(grp, price) AS (VALUES " + ", ".join(f"('{g}', {x}::DOUBLE)" for g, x in PRICES) + "), d(days) AS (VALUES (7), (14), (30)) "
-    "SELECT days, r.field, CAST(round_even(base * (days / 7), 0) AS BIGINT) AS units, round(0.25 * (days / 7), 4) AS mm, round(price * round_even(base * (days / 7), 0), 2) AS cost FROM r CROSS JOIN d LEFT JOIN p ON p.grp = r.grp"
-)
-def j10_capacity_pricing(spark, d):
-    rules = spark.createDataFrame(CAPACITY, "field string, base int, grp string").join(spark.createDataFrame([(7,), (14,), (30,)], "days int"))
-    prices = spark.createDataFrame(PRICES, "grp string, price double")
+def _priced(spark: SparkSession, d: str) -> DataFrame:
+    part = load(spark, d, "part")
+    prices = part.where("p_type <> 'ECONOMY'").groupBy(F.col("p_type").alias("grp")).agg(F.round(F.avg("p_retailprice"), 2).alias("price"))
+    rows = part.select(F.col("p_partkey").alias("field"), "p_size", F.col("p_type").alias("grp"), F.explode(F.array(*map(F.lit, PERIODS))).alias("days")).join(prices, "grp", "left")
     scale = F.col("days") / 7
-    units = F.bround(F.col("base") * scale, 0)
-    return rules.join(F.broadcast(prices), "grp", "left").select("days", "field", units.cast("long").alias("units"), F.round(0.25 * scale, 4).alias("mm"), F.round(F.col("price") * units, 2).alias("cost"))
+    units = F.bround(F.col("p_size") * scale, 0)
+    return rows.select("days", "field", units.alias("units"), (0.25 * scale).alias("mm"), (F.col("price") * units).alias("cost"))
+
+
+@query(f"WITH {_PRICED} SELECT days, field, CAST(units AS BIGINT) AS units, round(mm, 4) AS mm, round(cost, 2) AS cost FROM x")
+def j10_capacity_pricing(spark, d):
+    return _priced(spark, d).select("days", "field", F.col("units").cast("long").alias("units"), F.round("mm", 4).alias("mm"), F.round("cost", 2).alias("cost"))
 
 
-@query("WITH r(field, base, grp) AS (VALUES " + ", ".join(str(x) for x in CAPACITY) + "), p(grp, price) AS (VALUES " + ", ".join(f"('{g}', {x}::DOUBLE)" for g, x in PRICES) + "), d(days) AS (VALUES (7), (14), (30)), x AS (SELECT days, round_even(base * (days / 7), 0) AS units, round(0.25 * (days / 7), 4) AS mm, price * round_even(base * (days / 7), 0) AS cost FROM r CROSS JOIN d LEFT JOIN p ON p.grp = r.grp) SELECT days, CAST(sum(units) AS BIGINT) AS units, round(sum(mm), 4) AS mm, round(sum(cost), 2) AS cost FROM x GROUP BY days")
+@query(f"WITH {_PRICED} SELECT days, CAST(sum(units) AS BIGINT) AS units, round(sum(mm), 2) AS mm, round(sum(cost), 0) AS cost FROM x GROUP BY days")
 def a13_capacity_totals(spark, d):
-    return j10_capacity_pricing(spark, d).groupBy("days").agg(F.sum("units").alias("units"), F.round(F.sum("mm"), 4).alias("mm"), F.round(F.sum("cost"), 2).alias("cost"))
+    return _priced(spark, d).groupBy("days").agg(F.sum("units").cast("long").alias("units"), F.round(F.sum("mm"), 2).alias("mm"), F.round(F.sum("cost"), 0).alias("cost"))
 
 
 @query("WITH s AS (SELECT value, row_number() OVER (ORDER BY value) - 1 AS i, count(*) OVER () AS n FROM events WHERE value IS NOT NULL) SELECT n, round(avg(value), 6) AS mean, max(value) AS largest, min(value) FILTER (WHERE i = round_even(0.5 * (n - 1), 0)) AS p50, min(value) FILTER (WHERE i = round_even(0.95 * (n - 1), 0)) AS p95, min(value) FILTER (WHERE i = round_even(0.99 * (n - 1), 0)) AS p99 FROM s GROUP BY n")
@@ -440,10 +442,12 @@ def x06_chunks(spark, d):
     return load(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("ordinal", "line")).where(F.trim("line") != "").select("doc_id", F.col("ordinal").cast("long").alias("ordinal"), "line")
 
 
-@query("SELECT s, try_cast(nullif(regexp_extract(s, '([0-9]{4})[-/.]([0-9]{1,2})[-/.]([0-9]{1,2})', 1) || '-' || regexp_extract(s, '([0-9]{4})[-/.]([0-9]{1,2})[-/.]([0-9]{1,2})', 2) || '-' || regexp_extract(s, '([0-9]{4})[-/.]([0-9]{1,2})[-/.]([0-9]{1,2})', 3), '--') AS DATE) AS day FROM (VALUES ('on 2024-02-29 it'), ('2024/3/5'), ('2024.02.30'), ('none'), ('x 1999-12-31T00')) v(s)")
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 4 < 2 THEN o_orderdate::DATE END AS day FROM orders")
 def x05_dates(spark, d):
-    rows = spark.createDataFrame([(x,) for x in ("on 2024-02-29 it", "2024/3/5", "2024.02.30", "none", "x 1999-12-31T00")], "s string")
-    return rows.select("s", T.lenient_date(F.col("s")).alias("day"))
+    """Dates of orders as people write them; every fourth is no date, every fourth has none."""
+    day, k = F.col("o_orderdate"), F.col("o_orderkey") % 4
+    text = F.when(k == 0, F.concat(F.lit("on "), F.date_format(day, "yyyy-MM-dd"), F.lit(" it"))).when(k == 1, F.date_format(day, "yyyy/M/d")).when(k == 2, F.concat(F.date_format(day, "yyyy"), F.lit(".02.30"))).otherwise("none")
+    return load(spark, d, "orders").select("o_orderkey", T.lenient_date(text).alias("day"))
 
 
 @query("SELECT conv_id, turn, list_distinct(regexp_extract_all(lower(text), '[a-z0-9가-힣]{2,}')).len() AS tokens, greatest((length(text) + 1) // 2, 1) AS packed, greatest(length(text) // 2, 1) AS chunked FROM conversations")

@@ -16,15 +16,28 @@ from cairn.sources.tables import load
 TOKENS = "regexp_extract_all(lower(text), '[a-z0-9가-힣]{2,}')"
 #: Variants of a question with their weights, in order.
 VARIANTS = [("the of and", 1.0), ("version license", 1.0), ("und der die", 0.85), ("que la", 0.85), ("the", 0.25)]
-_ASKED = [(i, w, t, s, len(ts)) for i, (v, w) in enumerate(VARIANTS) for ts in [L.terms_of(v)] for s, t in enumerate(ts)]
-_MOST = max(r[4] for r in _ASKED)
-_LAST = ", ".join(f"max(CASE WHEN slot = {i} THEN place WHEN needed <= {i} THEN 1000000000 END) OVER w AS s{i}" for i in range(_MOST))
-DENSE = f"""tok AS (SELECT doc_id AS id, unnest({TOKENS}) AS term, unnest(range(len({TOKENS}))) AS place FROM documents),
-ask(variant, weight, term, slot, needed) AS (VALUES {", ".join(f"({i}, {w}::DOUBLE, '{t}', {s}, {n})" for i, w, t, s, n in _ASKED)}),
+
+
+def _asked(variants: list[tuple[str, float]]) -> list[tuple]:
+    return [(i, w, t, s, len(ts)) for i, (v, w) in enumerate(variants) for ts in [L.terms_of(v)] for s, t in enumerate(ts)]
+
+
+def _cover_sql(variants: list[tuple[str, float]]) -> str:
+    """CTEs up to cover: variant, weight, id, score."""
+    rows = _asked(variants)
+    most = range(max(r[4] for r in rows))
+    last = ", ".join(f"max(CASE WHEN slot = {i} THEN place WHEN needed <= {i} THEN 1000000000 END) OVER w AS s{i}" for i in most)
+    values = ", ".join(f"({i}, {w}::DOUBLE, '{t}', {s}, {n})" for i, w, t, s, n in rows)
+    there, least = " AND ".join(f"s{i} IS NOT NULL" for i in most), ", ".join(f"s{i}" for i in most)
+    return f"""tok AS (SELECT doc_id AS id, unnest({TOKENS}) AS term, unnest(range(len({TOKENS}))) AS place FROM documents),
+ask(variant, weight, term, slot, needed) AS (VALUES {values}),
 hit AS (SELECT * FROM (SELECT *, count(DISTINCT slot) OVER (PARTITION BY variant, id) AS have FROM tok JOIN ask USING (term)) WHERE have = needed),
-upto AS (SELECT variant, weight, needed, id, place, {_LAST} FROM hit WINDOW w AS (PARTITION BY variant, id ORDER BY place)),
-start AS (SELECT *, CASE WHEN {" AND ".join(f"s{i} IS NOT NULL" for i in range(_MOST))} THEN least({", ".join(f"s{i}" for i in range(_MOST))}) END AS b FROM upto),
-cover AS (SELECT variant, weight, id, sum(1 / (2 + place - b - needed)) AS score FROM (SELECT *, lag(b) OVER (PARTITION BY variant, id ORDER BY place) AS p FROM start) WHERE b IS NOT NULL AND (p IS NULL OR b > p) GROUP BY ALL),
+upto AS (SELECT variant, weight, needed, id, place, {last} FROM hit WINDOW w AS (PARTITION BY variant, id ORDER BY place)),
+start AS (SELECT *, CASE WHEN {there} THEN least({least}) END AS b FROM upto),
+cover AS (SELECT variant, weight, id, sum(1 / (2 + place - b - needed)) AS score FROM (SELECT *, lag(b) OVER (PARTITION BY variant, id ORDER BY place) AS p FROM start) WHERE b IS NOT NULL AND (p IS NULL OR b > p) GROUP BY ALL)"""
+
+
+DENSE = f"""{_cover_sql(VARIANTS)},
 top AS (SELECT * FROM cover QUALIFY row_number() OVER (PARTITION BY variant ORDER BY score DESC, id) <= 40),
 dense AS (SELECT id, list_reduce(list_prepend(0.0::DOUBLE, list(weight * score ORDER BY variant)), lambda a, x: CASE WHEN x > a THEN x ELSE a + 0.15 * x END) AS score FROM top GROUP BY id)"""
 
@@ -136,3 +149,74 @@ def r03_filtered_vectors(spark, d):
     best = vector_index.search(spark, root, asked, k=11, exact=True)[0]
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "id"))
     return best.select("query_id", "id", F.round("score", 6).alias("score"), place.alias("rank")).where("rank <= 10")
+
+
+#: A question and what it was expanded to; how a variant counts: by its tokens, and single words by how many texts have them.
+EXPANDED = ["license version", "the of and", "und der", "the", "trash", "LIC-2024 license"]
+_TITLE_HITS = " AND ".join(f"contains(lower(string_split(text, chr(10))[1]), '{t}')" for t in L.terms_of(EXPANDED[0]))
+
+
+@query(
+    f"WITH {_cover_sql([(v, R.variant_weight(v, EXPANDED[0])) for v in EXPANDED])}, n AS (SELECT count(*) AS n FROM documents), df AS (SELECT term, count(DISTINCT id) AS df FROM tok GROUP BY term), "
+    "w AS (SELECT variant, CASE WHEN min(weight) = 0.55 AND max(df) > 0.2 * max(n) THEN 0.25 ELSE min(weight) END AS w FROM ask LEFT JOIN df USING (term), n GROUP BY variant), "
+    "r AS (SELECT variant, id, row_number() OVER (PARTITION BY variant ORDER BY round(score, 9) DESC, id) AS rank FROM cover QUALIFY rank <= 40), "
+    f"s AS (SELECT source, id, w / (60 + rank) * CASE WHEN variant = 0 AND {_TITLE_HITS} THEN 1.15 ELSE 1 END AS score FROM r JOIN w USING (variant) JOIN documents ON doc_id = id), "
+    "b AS (SELECT source, id, round(max(score), 9) AS score FROM s GROUP BY source, id) "
+    "SELECT source, id, score FROM b QUALIFY row_number() OVER (PARTITION BY source ORDER BY score DESC, id) = 1 ORDER BY score DESC, id LIMIT 10"
+)
+def r10_weighted_variants(spark, d):
+    """Lists of all variants of a question in one plan, weighted, with a boost for titles that have the whole question; the best of each document (source)."""
+    asked = spark.createDataFrame(_asked([(v, R.variant_weight(v, EXPANDED[0])) for v in EXPANDED]), "variant int, weight double, term string, slot int, needed int")
+    posts = fulltext.occurrences(_docs(spark, d), sorted({t for v in EXPANDED for t in L.terms_of(v)}))
+    texts = load(spark, d, "documents").agg(F.count(F.lit(1)).alias("texts"))
+    often = posts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    weights = R.frequent_singles_down(asked.join(often, "term", "left").groupBy("variant").agg(F.min("weight").alias("w"), F.max("df").alias("df")).crossJoin(F.broadcast(texts)))
+    found = fulltext.covers(posts, asked, max(len(L.terms_of(v)) for v in EXPANDED))
+    place = F.row_number().over(Window.partitionBy("variant").orderBy(F.desc(F.round("score", 9)), "id"))
+    ranked = found.withColumn("rank", place).where("rank <= 40").join(F.broadcast(weights), "variant").select("variant", "id", (F.col("w") / (60 + F.col("rank"))).alias("score"))
+    docs = load(spark, d, "documents").select(F.col("doc_id").alias("id"), "source", F.lower(T.title_of(F.col("text"))).alias("title"))
+    whole = F.lit(True)
+    for t in L.terms_of(EXPANDED[0]):
+        whole = whole & F.contains("title", F.lit(t))
+    rows = docs.join(F.broadcast(ranked), "id").withColumn("score", F.col("score") * F.when((F.col("variant") == 0) & whole, 1.15).otherwise(1.0))  # 40 of each variant
+    best = rows.groupBy("source", "id").agg(F.round(F.max("score"), 9).alias("score"))
+    one = best.withColumn("r", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("score"), "id"))).where("r = 1")
+    return one.select("source", "id", "score").orderBy(F.desc("score"), "id").limit(10)
+
+
+#: A question whose first tokens a snippet is cut around: the first of them, in the question's order, that the text has.
+ASKING = "scum trash license of the und"
+
+
+@query(
+    "WITH x AS (SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '[ \\t\\n\\x0b\\f\\r]+', ' ', 'g')) AS t FROM documents), p AS (SELECT *, greatest(coalesce("
+    + ", ".join(f"nullif(strpos(lower(t), '{w}'), 0)" for w in ASKING.split()[:5])
+    + ", 1) - 1 - 40, 0) AS skip FROM x) SELECT doc_id, CASE WHEN t = '' THEN '' ELSE CASE WHEN skip > 0 THEN '…' ELSE '' END || substr(t, skip + 1, 220) || CASE WHEN skip + 220 < length(t) THEN '…' ELSE '' END END AS snippet FROM p"
+)
+def f15_snippet_tokens(spark, d):
+    """A stretch of every text around the first of five tokens of a question that it has."""
+    return load(spark, d, "documents").select("doc_id", T.snippet_around(F.col("text"), ASKING.split()[:5]).alias("snippet"))
+
+
+@query("SELECT event_type, event_id, ts FROM events QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) <= 10")
+def a10_latest_ten(spark, d):
+    order = Window.partitionBy("event_type").orderBy(F.desc("ts"), F.desc("event_id"))
+    return load(spark, d, "events").select("event_type", "event_id", "ts").withColumn("r", F.row_number().over(order)).where("r <= 10").drop("r")
+
+
+@query("SELECT lang, doc_id, CASE WHEN l.quality <> 1 THEN 'quality' ELSE 'primary' END AS failed FROM documents d JOIN labels l USING (doc_id) WHERE NOT (l.quality = 1 AND l.toxic = 0)")
+def a16_failures(spark, d):
+    """The rows behind the rates of an evaluation: what failed, and at which gate."""
+    rows = load(spark, d, "documents").select("doc_id", "lang").join(load(spark, d, "labels"), "doc_id")
+    good = F.col("quality") == 1
+    return rows.where(~(good & (F.col("toxic") == 0))).select("lang", "doc_id", F.when(~good, "quality").otherwise("primary").alias("failed"))
+
+
+@query("SELECT d.doc_id, d.lang, d.source, l.quality, d.n_chars FROM documents d JOIN labels l ON l.doc_id = d.doc_id WHERE l.quality >= 0.45 AND (text ILIKE '%trash%' OR text ILIKE '%the%' OR source ILIKE '%rc7%') AND NOT EXISTS (SELECT 1 FROM embeddings e WHERE e.vec_id = d.doc_id AND e.label = 3) ORDER BY l.quality DESC, d.n_chars DESC, d.doc_id LIMIT 25")
+def r12_injection_by_quality(spark, d):
+    """Candidates that a similar-incident search adds by their texts: the best by quality, then length, without those already listed."""
+    good = load(spark, d, "labels").where("quality >= 0.45").select("doc_id", "quality")
+    hit = F.ilike("text", F.lit("%trash%")) | F.ilike("text", F.lit("%the%")) | F.ilike("source", F.lit("%rc7%"))
+    rows = load(spark, d, "documents").where(hit).select("doc_id", "lang", "source", "n_chars").join(good, "doc_id")
+    listed = load(spark, d, "embeddings").where("label = 3").select(F.col("vec_id").alias("doc_id"))
+    return rows.join(listed, "doc_id", "left_anti").select("doc_id", "lang", "source", "quality", "n_chars").orderBy(F.desc("quality"), F.desc("n_chars"), "doc_id").limit(25)

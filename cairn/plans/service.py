@@ -120,18 +120,16 @@ def x08_frames(spark, d):
     return rows.select("id", "symptom", "root_cause", "resolution", "components", "commands", "quality")
 
 
-_PLACES = [("k8s pods restart", "sidecar", ""), ("slow", "Oracle on-prem", "A > B > 스토리지"), ("SCP", "", ""), ("", "x", "GPU"), ("MSP handover", "Redis and Tomcat", ""), ("nothing", "here", "")]
-
-
 @query(
-    "WITH t(title, body, path) AS (VALUES " + ", ".join(str(x) for x in _PLACES) + "), b AS (SELECT *, title || chr(10) || body AS blob FROM t) SELECT title, CASE "
+    "WITH t AS (SELECT doc_id, coalesce(string_split(text, chr(10))[1], '') AS title, coalesce(text, '') AS body, CASE doc_id % 5 WHEN 0 THEN 'A > B > 스토리지' WHEN 1 THEN 'GPU' ELSE source END AS path FROM documents), b AS (SELECT *, title || chr(10) || left(body, 3000) AS blob FROM t) SELECT doc_id, CASE "
     + " ".join(f"WHEN regexp_matches(blob, '{p}') THEN '{n}'" for n, p in taxonomy.ENVIRONMENTS) + " END AS environment, coalesce(CASE " + " ".join(f"WHEN contains(path, '{k}') THEN '{v}'" for k, v in taxonomy.PATHS) + " END, CASE "
     + " ".join(f"WHEN regexp_matches(blob, '{p}') THEN '{n}'" for n, p in taxonomy.DOMAINS) + " END) AS domain FROM b"
 )
 def x02_x03_taxonomy(spark, d):
-    rows = spark.createDataFrame(_PLACES, "title string, body string, path string")
-    none = F.lit("")
-    return rows.select("title", taxonomy.environment(F.col("title"), F.col("body")).alias("environment"), taxonomy.domain(F.col("title"), F.col("body"), F.col("path"), none, none, none).alias("domain"))
+    """Environment and domain of every document; paths of a taxonomy stand in for some sources."""
+    k, none = F.col("doc_id") % 5, F.lit("")
+    rows = load(spark, d, "documents").select("doc_id", F.coalesce(T.title_of(F.col("text")), none).alias("title"), "text", F.when(k == 0, "A > B > 스토리지").when(k == 1, "GPU").otherwise(F.col("source")).alias("path"))
+    return rows.select("doc_id", taxonomy.environment(F.col("title"), F.col("text")).alias("environment"), taxonomy.domain(F.col("title"), F.col("text"), F.col("path"), none, none, none).alias("domain"))
 
 
 @query("SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'onprem' WHEN o_orderstatus = 'O' THEN 'msp' END AS environment, o_orderpriority AS work_type FROM orders")
@@ -384,17 +382,19 @@ def s18_access(spark, d):
     return load(spark, d, "documents").select("doc_id", records.document_path(F.col("source"), key).alias("path"), records.body_link(kind, key).alias("link"))
 
 
-_TERMS = [("disk", ["Volume", "storage"]), ("storage", ["SAN"]), ("net", None)]
-
-
-@query("WITH t(canonical, variants) AS (VALUES " + ", ".join(f"('{c}', {'[]::VARCHAR[]' if v is None else v})" for c, v in _TERMS) + "), a AS (SELECT list_prepend(canonical, variants) AS al FROM t), e AS (SELECT unnest(al) AS v, al FROM a) SELECT lower(v) AS token, list_sort(list_distinct(flatten(list(al)))) AS variants FROM e GROUP BY 1")
+@query("WITH t AS (SELECT p_name AS canonical, CASE WHEN p_size % 2 = 0 THEN [p_brand, p_type] ELSE []::VARCHAR[] END AS variants FROM part), a AS (SELECT list_prepend(canonical, variants) AS al FROM t), e AS (SELECT unnest(al) AS v, al FROM a) SELECT lower(v) AS token, list_sort(list_distinct(flatten(list(al)))) AS variants FROM e GROUP BY 1")
 def x15_lexicon(spark, d):
-    return records.lexicon(spark.createDataFrame(_TERMS, "canonical string, variants array<string>"))
+    """Names of parts with brands and types as their variants."""
+    part = load(spark, d, "part")
+    return records.lexicon(part.select(F.col("p_name").alias("canonical"), F.when(F.col("p_size") % 2 == 0, F.array("p_brand", "p_type")).alias("variants")))
 
 
-@query("SELECT v, x FROM (VALUES ('linux', 'Linux'), (' DB ', 'DBMS'), ('Mainframe', 'Mainframe'), ('toaster', NULL), ('', NULL)) t(v, x)")
+@query("SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'Linux' WHEN 1 THEN 'DBMS' WHEN 2 THEN CASE WHEN c_mktsegment IN ('MACHINERY', 'FURNITURE') THEN c_mktsegment END END AS field FROM customer")
 def x24_fields(spark, d):
-    return spark.createDataFrame([("linux",), (" DB ",), ("Mainframe",), ("toaster",), ("",)], "v string").select("v", records.field_name(F.col("v"), ["Mainframe", "Linux"]).alias("x"))
+    """Names of fields as customers might give them: aliases, segments of which two are known, blanks."""
+    k = F.col("c_custkey") % 4
+    name = F.when(k == 0, "linux").when(k == 1, " DB ").when(k == 2, F.concat(F.lit(" "), "c_mktsegment")).otherwise(" ")
+    return load(spark, d, "customer").select("c_custkey", records.field_name(name, ["MACHINERY", "FURNITURE"]).alias("field"))
 
 
 @query("SELECT p_partkey, coalesce(nullif(lower(regexp_replace(regexp_replace(trim(p_name), '[^a-zA-Z0-9가-힣_-]+', '-', 'g'), '^-+|-+$', '', 'g')), ''), 'bundle') AS slug, 'bundle:' || p_partkey AS id FROM part")
@@ -461,16 +461,24 @@ def a12_readiness_all(spark, d):
     return out
 
 
-@query("SELECT v, search, upload FROM (VALUES ('Docs', 'tech_repo', 'confluence_docs'), (' wiki', 'tech_repo', 'tech_repo'), ('checkitem', 'checkitem', 'checkitem'), ('confluence_docs', NULL, 'confluence_docs'), ('x', NULL, NULL)) t(v, search, upload)")
+@query("SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'tech_repo' WHEN 1 THEN 'tech_repo' WHEN 2 THEN 'checkitem' END AS search, CASE doc_id % 5 WHEN 0 THEN 'confluence_docs' WHEN 1 THEN 'tech_repo' WHEN 2 THEN 'checkitem' WHEN 3 THEN 'confluence_docs' END AS upload FROM documents")
 def x31_aliases(spark, d):
-    rows = spark.createDataFrame([("Docs",), (" wiki",), ("checkitem",), ("confluence_docs",), ("x",)], "v string")
-    return rows.select("v", records.source_of(F.col("v"), False).alias("search"), records.source_of(F.col("v"), True).alias("upload"))
+    """What a document's source might be called, in a search and at an upload; its own name stands for no source."""
+    k = F.col("doc_id") % 5
+    name = F.when(k == 0, "Docs").when(k == 1, " wiki").when(k == 2, "checkitem").when(k == 3, "confluence_docs").otherwise(F.col("source"))
+    return load(spark, d, "documents").select("doc_id", records.source_of(name, False).alias("search"), records.source_of(name, True).alias("upload"))
+
+
+_MORE = "CASE lower(t) " + " ".join(f"WHEN '{k}' THEN [" + ", ".join(f"'{x}'" for x in v) + "]" for k, v in records.SYNONYMS.items()) + " ELSE []::VARCHAR[] END"
 
 
-@query("SELECT i, terms FROM (VALUES (1, ['FS', 'size', 'filesystem', '파일시스템']), (2, ['oom', 'leak', 'out of memory', '메모리 부족', '누수']), (3, ['none'])) t(i, terms)")
+@query(f"WITH w AS (SELECT conv_id, turn, list_append(regexp_extract_all(lower(text), '[a-z0-9가-힣]{{2,}}')[1:3], CASE turn % 3 WHEN 0 THEN 'FS' WHEN 1 THEN 'oom' ELSE 'none' END) AS terms FROM conversations), e AS (SELECT conv_id, turn, list_concat(terms, flatten(list_transform(terms, lambda t: {_MORE}))) AS all_terms FROM w) SELECT conv_id, turn, list_sort(list_distinct(all_terms)) AS terms FROM e")
 def x26_terms(spark, d):
-    rows = spark.createDataFrame([(1, ["FS", "size"]), (2, ["oom", "leak"]), (3, ["none"])], "i int, terms array<string>")
-    return rows.select("i", records.expanded(F.col("terms")).alias("terms"))
+    """The first terms of every turn and one that check items know, with their synonyms."""
+    k = F.col("turn") % 3
+    first = F.slice(F.regexp_extract_all(F.lower("text"), F.lit(L.TERM), 0), 1, 3)
+    terms = F.array_append(first, F.when(k == 0, "FS").when(k == 1, "oom").otherwise("none"))
+    return load(spark, d, "conversations").select("conv_id", "turn", F.array_sort(records.expanded(terms)).alias("terms"))
 
 
 # ---- lookups and lists again, with all their rules

@@ -10,6 +10,7 @@ from cairn.plans.registry import query
 from cairn.plans.search import TOKENS
 from cairn.sources import versions
 from cairn.sources.tables import load
+from cairn.streaming import jobs
 
 _LINES = "len(string_split(text, chr(10)))"
 
@@ -95,3 +96,31 @@ def a14_rolling(spark, d):
     """Percentiles and throughput of the last hour and day, merged from hourly sketches."""
     hourly = A.hourly_sketches(load(spark, d, "events"), "ts", "value", "event_type")
     return A.rolling(hourly, [1, 24], [0.5, 0.95], "event_type").select("event_type", "hours", "n", F.round("per_second", 6).alias("per_second"), "p50", "p95")
+
+
+#: Kinds of buckets of the tickets.
+KINDS = {"year": ("year", "o_orderdate"), "month": ("month", "o_orderdate"), "status": ("text", "o_orderstatus"), "component": ("text", "o_orderpriority"), "assignee": ("text", "o_custkey")}
+
+
+def _bucket_sql(kind: str, column: str) -> str:
+    if kind != "text":
+        return f"coalesce(strftime({column}, '{'%Y' if kind == 'year' else '%Y-%m'}'), '(unknown)')"
+    return f"CASE WHEN {column} IS NULL OR trim({column}::VARCHAR) IN ('', '-') THEN '(empty)' ELSE trim({column}::VARCHAR) END"
+
+
+@query(" UNION ALL ".join(f"SELECT '{k}' AS kind, {_bucket_sql(*x)} AS bucket, count(*) AS n, list(o_orderkey ORDER BY o_orderkey)[1:3] AS ids FROM orders GROUP BY 2" for k, x in KINDS.items()))
+def a01_all_kinds(spark, d):
+    """Counts by year, month, status, component and assignee with the first tickets of each bucket, from one scan."""
+    return A.tallies(load(spark, d, "orders"), "o_orderkey", {k: A.bucket(kind, F.col(column)) for k, (kind, column) in KINDS.items()})
+
+
+@query(
+    "WITH n AS (SELECT max(ts) - INTERVAL 10 SECOND AS now FROM events), l AS (SELECT user_id AS job, CASE event_type WHEN 'purchase' THEN 'done' WHEN 'error' THEN 'error' ELSE 'running' END AS status, ts FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1) "
+    "SELECT job, status, ts, status = 'running' AND ts + INTERVAL 30 SECOND < now AS stale FROM l, n"
+)
+def t02_job_states(spark, d):
+    """Users stand for jobs: the last status of each, and which have been quiet for over 30 seconds."""
+    e = F.col("event_type")
+    rows = load(spark, d, "events").select(F.col("user_id").alias("job"), F.col("event_id").alias("seq"), "ts", F.when(e == "purchase", "done").when(e == "error", "error").otherwise("running").alias("status"))
+    now = rows.agg((F.max("ts") - F.expr("INTERVAL 10 SECONDS")).alias("now"))
+    return jobs.states(rows, now)

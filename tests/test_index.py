@@ -301,3 +301,12 @@ def test_the_last_to_arrive_counts(spark):
     rows = spark.createDataFrame([(1, "ff", 1), (1, "aa", 2), (2, "bb", None), (2, "aa", 1)], "k long, content_hash string, at int")
     assert {r["k"]: r["content_hash"] for r in upsert.latest(rows, ["k"], "at").collect()} == {1: "aa", 2: "aa"}
     assert {r["k"]: r["content_hash"] for r in upsert.latest(rows, ["k"]).collect()} == {1: "ff", 2: "bb"}
+
+
+def test_tallies_hand_on_full_groups(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(aggregate, "HELD", 2)
+    rows = pa.RecordBatch.from_pydict({"_id": [5, 1, 3, 2, None], "a": ["x", "x", "x", "y", None], "b": ["1", "2", "1", "1", "1"]})
+    out = [tuple(r.values()) for b in aggregate._tallied([rows, rows.slice(1, 2)], ["a", "b"], 2) for r in b.to_pylist()]
+    assert sorted(out, key=str) == sorted([("a", "x", 3, [1, 3]), ("a", "y", 1, [2]), ("a", None, 1, []), ("b", "1", 4, [2, 3]), ("b", "2", 1, [1]), ("a", "x", 2, [1, 3]), ("b", "2", 1, [1]), ("b", "1", 1, [3])], key=str)
