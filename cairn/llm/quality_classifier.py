@@ -53,13 +53,14 @@ def features(texts: list[bytes]) -> np.ndarray:
     same = np.zeros(len(h))
     if len(h):
         same[1:] = (h[1:] == h[:-1]) & (words.text[1:] == words.text[:-1])
-    key = mix(h ^ mix(words.text.astype(np.uint64)))
+    of = mix((words.text.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD1B54A32D192ED03))  # far from the hash of any short word
+    key = mix(h ^ of)
     distinct = np.bincount(words.text[np.unique(key, return_index=True)[1]], minlength=len(texts))
     window = np.zeros(len(texts))
     if len(h) > 4:
         g = sum(np.roll(h, -i) * np.uint64(2 * i + 3) for i in range(5))[:-4]
         inside = words.text[4:] == words.text[:-4]
-        g, t = mix(g ^ mix(words.text[:-4].astype(np.uint64)))[inside], words.text[:-4][inside]
+        g, t = mix(g ^ of[:-4])[inside], words.text[:-4][inside]
         _, first = np.unique(g, return_index=True)
         window = np.bincount(t, minlength=len(texts)) - np.bincount(t[first], minlength=len(texts))
     lines = chars(b"\n") + 1
