@@ -94,7 +94,7 @@ def add(spark: SparkSession, root: str, batch: DataFrame, number: int | None = N
     version, state = versions.current(spark, root)
     if number is not None and number <= state.get("number", -1):
         return
-    name, last = versions.new_name(), state.get("last", 0) + 1
+    name, last, batch = versions.new_name(), state.get("last", 0) + 1, batch.where("id IS NOT NULL")
     batch.select("id").write.parquet(f"{root}/touched/{name}")
     _write(occurrences(batch.where("NOT deleted").select("id", "text")), f"{root}/segments/{name}", block)
     n = spark.read.parquet(f"{root}/touched/{name}").count()

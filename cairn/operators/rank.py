@@ -58,7 +58,7 @@ def lexical(docs: DataFrame, terms: list[str], limit: int) -> DataFrame:
     """Documents with most occurrences of the terms (as they stand, no patterns) for their length: id, score, rank."""
     low, n = F.lower("text"), F.lit(0)
     for t in terms:
-        n = n + (F.length(low) - F.length(F.replace(low, F.lit(t), F.lit("")))) / len(t)
+        n = n + (F.octet_length(low) - F.octet_length(F.replace(low, F.lit(t), F.lit("")))) / len(t.encode())  # bytes need no counting
     score = F.round(n / (1 + F.log(1 + F.length("text"))), 6)
     top = docs.select("id", score.alias("score")).orderBy(F.desc("score"), "id").limit(limit).where("score > 0")  # a filter below would count twice
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "id")))

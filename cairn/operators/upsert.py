@@ -76,3 +76,27 @@ def refined(log: DataFrame, key: str) -> DataFrame:
 def isolated(rows: DataFrame, source: str, parsed: Column) -> DataFrame:
     """Records by source and outcome; one that can't be parsed is counted as an error and stops nothing."""
     return rows.groupBy(source, F.when(parsed.isNull(), "error").otherwise("ok").alias("action")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def refinements(log: DataFrame, key: str) -> DataFrame:
+    """State of buckets from the log of their refinements: key, signals and counter_signals in order of arrival, environment, support, counter, confidence.
+
+    log: key, ts, seq (order at one time), signal, counter_signal, environment, confirm; null: left as it is, a blank environment: none.
+    """
+    at, s, c = F.struct("ts", "seq"), F.col("support"), F.col("counter")
+    env = F.lower(F.trim("environment"))
+    state = log.groupBy(key).agg(F.max_by(env, F.when(env.isNotNull(), at)).alias("environment"), F.count_if("confirm").alias("support"), F.count_if(~F.col("confirm")).alias("counter"))
+    state = state.withColumn("environment", F.nullif("environment", F.lit(""))).withColumn("confidence", F.round((s + 1) / (s + c + 2), 3))
+    both = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("said")) for k in ("signal", "counter_signal")])).alias("x")
+    first = log.select(key, at.alias("at"), both).select(key, "at", "x.kind", "x.said").where("said IS NOT NULL").groupBy(key, "kind", "said").agg(F.min("at").alias("at"))
+    listed = lambda kind: F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("at", "said")))), lambda x: x["said"])  # noqa: E731  distinct signals of a bucket
+    signals = first.groupBy(key).agg(listed("signal").alias("signals"), listed("counter_signal").alias("counter_signals"))
+    return state.join(signals, key, "left").withColumns({k: F.coalesce(k, F.array().cast("array<string>")) for k in ("signals", "counter_signals")})
+
+
+def reindexing(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
+    """key, action: what a bucket's document needs. Signals are its text: chunk if they changed or it is new; the environment is a field: patch; counts: nothing."""
+    old = before.select(F.col(key).alias("_k"), *[F.col(c).alias(f"_{c}") for c in ("signals", "counter_signals", "environment")])
+    same = lambda c: F.col(c).eqNullSafe(F.col(f"_{c}"))
+    action = F.when(~(same("signals") & same("counter_signals")) | F.col("_k").isNull(), "chunk").when(~same("environment"), "patch").otherwise("none")
+    return after.join(old, after[key].eqNullSafe(F.col("_k")), "left").select(key, action.alias("action"))

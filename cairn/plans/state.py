@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from cairn.functions import diagrams
 from cairn.operators import aggregate as A
 from cairn.operators import digests, fulltext, snapshot
+from cairn.operators import upsert as U
 from cairn.plans.registry import query
 from cairn.plans.search import TOKENS
 from cairn.sources import versions
@@ -124,3 +126,49 @@ def t02_job_states(spark, d):
     rows = load(spark, d, "events").select(F.col("user_id").alias("job"), F.col("event_id").alias("seq"), "ts", F.when(e == "purchase", "done").when(e == "error", "error").otherwise("running").alias("status"))
     now = rows.agg((F.max("ts") - F.expr("INTERVAL 10 SECONDS")).alias("now"))
     return jobs.states(rows, now)
+
+
+_UNTIL = "2024-01-25"
+
+
+def _bucket_states_sql(name: str, where: str) -> str:
+    said = lambda c: f"(SELECT user_id, list({c} ORDER BY ts, event_id) AS said FROM (SELECT user_id, {c}, ts, event_id FROM log WHERE {c} IS NOT NULL AND {where} QUALIFY row_number() OVER (PARTITION BY user_id, {c} ORDER BY ts, event_id) = 1) GROUP BY user_id)"
+    return (
+        f"{name} AS (SELECT b.user_id, nullif(environment, '') AS environment, support, counter, coalesce(s.said, []) AS signals, coalesce(c.said, []) AS counters FROM (SELECT user_id, arg_max(env, (ts, event_id)) FILTER (WHERE env IS NOT NULL) AS environment, "
+        f"count(*) FILTER (WHERE event_type <> 'error') AS support, count(*) FILTER (WHERE event_type = 'error') AS counter FROM log WHERE {where} GROUP BY user_id) b LEFT JOIN {said('signal')} s USING (user_id) LEFT JOIN {said('counter_signal')} c USING (user_id))"
+    )
+
+
+@query(
+    "WITH log AS (SELECT *, CASE WHEN value < 1 THEN event_type END AS signal, CASE WHEN value > 150 THEN event_type END AS counter_signal, CASE event_id % 297 WHEN 0 THEN 'prod' WHEN 1 THEN 'test' WHEN 2 THEN '' END AS env FROM events), "
+    + _bucket_states_sql("old", f"ts < TIMESTAMP '{_UNTIL}'") + ", " + _bucket_states_sql("new", "TRUE")
+    + " SELECT n.user_id, n.environment, n.signals, round((n.support + 1) / (n.support + n.counter + 2), 3) AS confidence, CASE WHEN o.user_id IS NULL OR n.signals <> o.signals OR n.counters <> o.counters THEN 'chunk' WHEN n.environment IS DISTINCT FROM o.environment THEN 'patch' ELSE 'none' END AS action FROM new n LEFT JOIN old o USING (user_id)"
+)
+def u08_reindexing(spark, d):
+    """Buckets (users) after their refinements, and what each one's document needs since a day: only a changed meaning is chunked again."""
+    e, k = F.col("event_type"), F.col("event_id") % 297
+    log = load(spark, d, "events").select(
+        "user_id", "ts", F.col("event_id").alias("seq"), F.when(F.col("value") < 1, e).alias("signal"), F.when(F.col("value") > 150, e).alias("counter_signal"),
+        F.when(k == 0, " Prod ").when(k == 1, "test").when(k == 2, " ").alias("environment"), (e != "error").alias("confirm"),
+    )
+    before, after = U.refinements(log.where(f"ts < TIMESTAMP_NTZ '{_UNTIL} 00:00:00'"), "user_id"), U.refinements(log, "user_id")
+    return after.select("user_id", "environment", "signals", "confidence").join(U.reindexing(before, after, "user_id"), "user_id")
+
+
+@query(
+    "SELECT page_id, 'Plan ' || page_id AS name, CASE WHEN page_id % 4 < 3 THEN page_id * 10 + 1 END AS attachment_id, TRUE AS inline FROM pages UNION ALL "
+    "SELECT page_id, 'second', NULL, TRUE FROM pages WHERE page_id % 3 = 0 UNION ALL SELECT page_id, 'spare', page_id * 10 + 2, FALSE FROM pages WHERE page_id % 5 = 0"
+)
+def s16_diagrams(spark, d):
+    """Macros put into every page's markup, and attachments under each of the ways in which they may be called."""
+    pages = load(spark, d, "pages").select("page_id", "html")
+    k, name = F.col("page_id"), F.concat(F.lit("Plan "), "page_id")
+    macro = lambda n: F.concat(F.lit('<ac:structured-macro ac:name="drawio" ac:schema-version="1"><ac:parameter ac:name="zoom">1</ac:parameter><ac:parameter ac:name="diagramName">\n '), n, F.lit(" </ac:parameter></ac:structured-macro>"))
+    other = F.lit('<ac:structured-macro ac:name="info"><ac:parameter ac:name="diagramName">no</ac:parameter></ac:structured-macro>')
+    body = F.concat(F.coalesce("html", F.lit("")), macro(name), other, F.when(k % 3 == 0, macro(F.lit("second"))).otherwise(F.lit("")))
+    title = F.when(k % 4 == 0, F.concat(name, F.lit(".drawio"))).when(k % 4 == 1, name).when(k % 4 == 2, F.concat(F.upper(name), F.lit(".XML"))).otherwise(F.concat(name, F.lit(".txt")))
+    own = F.struct((k * 10 + 1).alias("attachment_id"), title.alias("title"))
+    image, spare = (F.struct((k * 10 + n).alias("attachment_id"), t.alias("title")) for n, t in ((0, F.concat(name, F.lit(".png"))), (2, F.lit("spare.drawio"))))
+    files = F.array_compact(F.array(image, own, F.when(k % 5 == 0, spare)))
+    attachments = pages.select("page_id", F.posexplode(files).alias("ordinal", "f")).select("page_id", "ordinal", "f.*")
+    return diagrams.diagrams(pages.select("page_id", body.alias("body")), attachments)

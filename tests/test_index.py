@@ -310,3 +310,31 @@ def test_tallies_hand_on_full_groups(monkeypatch):
     rows = pa.RecordBatch.from_pydict({"_id": [5, 1, 3, 2, None], "a": ["x", "x", "x", "y", None], "b": ["1", "2", "1", "1", "1"]})
     out = [tuple(r.values()) for b in aggregate._tallied([rows, rows.slice(1, 2)], ["a", "b"], 2) for r in b.to_pylist()]
     assert sorted(out, key=str) == sorted([("a", "x", 3, [1, 3]), ("a", "y", 1, [2]), ("a", None, 1, []), ("b", "1", 4, [2, 3]), ("b", "2", 1, [1]), ("a", "x", 2, [1, 3]), ("b", "2", 1, [1]), ("b", "1", 1, [3])], key=str)
+
+
+def test_attachments_of_diagrams(spark):
+    from cairn.functions import diagrams
+
+    macro = '<ac:structured-macro ac:name="drawio"><ac:parameter ac:name="diagramName">{}</ac:parameter></ac:structured-macro>'
+    pages = spark.createDataFrame([(1, macro.format(" A ") + "<p>" + macro.format("b.c")), (2, None), (3, '<ac:structured-macro ac:name="drawio"><x></ac:structured-macro>' + macro.format("q"))], "page_id long, body string")
+    titles = {1: ["A.png", "a.XML", "A", "~A.tmp", "A.drawio", "B.C.drawio", "b.c"], 2: ["only.drawio"], 3: ["q.png", "r.drawio"]}
+    files = spark.createDataFrame([(p, 10 * p + i, i, t) for p, ts in titles.items() for i, t in enumerate(ts)], "page_id long, attachment_id long, ordinal int, title string")
+    got = sorted(map(tuple, diagrams.diagrams(pages, files).collect()), key=str)
+    assert got == sorted([(1, "A", 14, True), (1, "b.c", 16, True), (1, "B.C", 15, False), (2, "only", 20, False), (3, "q", None, True), (3, "r", 31, False)], key=str)
+
+
+def test_reindexing_follows_meaning(spark):
+    log = [(1, 1, 0, "a", None, None, True), (1, 2, 0, "a", None, " Prod ", False), (1, 2, 1, "b", None, None, True), (2, 1, 0, None, "x", "", True), (3, 1, 0, None, None, None, True)]
+    schema = "k long, ts int, seq int, signal string, counter_signal string, environment string, confirm boolean"
+    now = upsert.refinements(spark.createDataFrame(log, schema), "k")
+    assert {r["k"]: (r["signals"], r["counter_signals"], r["environment"], r["support"], r["counter"], r["confidence"]) for r in now.collect()} == {1: (["a", "b"], [], "prod", 2, 1, 0.6), 2: ([], ["x"], None, 1, 0, 0.667), 3: ([], [], None, 1, 0, 0.667)}
+    later = log + [(1, 3, 0, "b", None, "test", True), (2, 3, 0, None, "y", None, True), (3, 3, 0, None, None, None, False), (4, 3, 0, None, None, None, True)]
+    after = upsert.refinements(spark.createDataFrame(later, schema), "k")
+    assert {r["k"]: r["action"] for r in upsert.reindexing(now, after, "k").collect()} == {1: "patch", 2: "chunk", 3: "none", 4: "chunk"}
+
+
+def test_weights_of_variants(spark):
+    weigh = lambda v: rank.variant_weight(v, "the question")
+    assert [weigh(v) for v in ("the question", "see ABC-123", "a b c", "a b", "word", "")] == [1.0, 1.15, 0.95, 0.85, 0.55, 0.0]
+    df = spark.createDataFrame([(0, 0.55, 30, 100), (1, 0.55, 20, 100), (2, 0.85, 90, 100), (3, 0.55, None, 100)], "variant int, w double, df long, texts long")
+    assert {r["variant"]: r["w"] for r in rank.frequent_singles_down(df).collect()} == {0: 0.25, 1: 0.55, 2: 0.85, 3: 0.55}
