@@ -9,18 +9,19 @@ from pyspark.sql import functions as F
 MACRO = r'(?s)<ac:structured-macro[^>]*ac:name="drawio"[^>]*>(.*?)</ac:structured-macro>'
 NAME = r'(?s)<ac:parameter[^>]*ac:name="diagramName"[^>]*>(.*?)</ac:parameter>'
 SUFFIX, SOURCES = ".drawio", ("drawio", "xml")
+WHITE = " \t\n\x0b\x0c\r"
 
 
 def diagram_names(body: Column) -> Column:
     """Names in the order of the macros; macros without a name give none, null and malformed bodies an empty array."""
     macros = F.filter(F.regexp_extract_all(F.coalesce(body, F.lit("")), F.lit(MACRO), 1), lambda m: F.rlike(m, F.lit(NAME)))
-    return F.transform(macros, lambda m: F.trim(F.regexp_extract(m, NAME, 1)))
+    return F.transform(macros, lambda m: F.trim(F.regexp_extract(m, NAME, 1), F.lit(WHITE)))
 
 
 def _step(name: Column, title: Column) -> Column:
     """How an attachment fits a name: 1 with the suffix, 2 bare, 3 by its stem in any case with a source's suffix; null: not."""
     stem, ext = F.regexp_extract(title, r"(?s)^(.*)\.([^.]*)$", 1), F.regexp_extract(title, r"(?s)^(.*)\.([^.]*)$", 2)
-    loose = F.contains(title, F.lit(".")) & F.lower(ext).isin(*SOURCES) & (F.lower(stem) == F.lower(F.trim(name)))
+    loose = F.contains(title, F.lit(".")) & F.lower(ext).isin(*SOURCES) & (F.lower(stem) == F.lower(F.trim(name, F.lit(WHITE))))
     return F.when(title == F.concat(name, F.lit(SUFFIX)), 1).when(title == name, 2).when(loose, 3)
 
 

@@ -63,4 +63,4 @@ def difference(spark: SparkSession, a: str, b: str) -> DataFrame:
 
 
 def of_tables(found: dict[str, DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, [df.withColumn("table", F.lit(name)) for name, df in found.items()])
+    return reduce(DataFrame.unionByName, [df.withColumn("name", F.lit(name)) for name, df in found.items()])

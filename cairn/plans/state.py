@@ -71,7 +71,7 @@ COPIES = {"documents": ("doc_id", "lang"), "embeddings": ("vec_id", "label"), "p
 
 @query(
     " UNION ALL ".join(
-        f"SELECT '{t}' AS \"table\", key, CASE WHEN k % 23 = 0 THEN 'a' ELSE 'both' END AS side FROM (SELECT ({key})::VARCHAR AS key, {'conv_id' if t == 'conversations' else key} AS k FROM {t}) WHERE k % 23 = 0 OR k % 29 = 0"
+        f"SELECT '{t}' AS name, key, CASE WHEN k % 23 = 0 THEN 'a' ELSE 'both' END AS side FROM (SELECT ({key})::VARCHAR AS key, {'conv_id' if t == 'conversations' else key} AS k FROM {t}) WHERE k % 23 = 0 OR k % 29 = 0"
         for t, (key, _) in COPIES.items()
     )
 )
