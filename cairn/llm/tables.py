@@ -84,6 +84,6 @@ def least_hashed(df: DataFrame, key: str, most: int) -> DataFrame:
     n, h = df.count(), F.xxhash64(key)
     if n > most:
         cut = int(-(2**63) + min(1.0, 1.2 * most / n) * (2**64 - 1))
-        few = df.where(h <= F.lit(cut))
+        few = df.where(h <= F.lit(min(cut, 2**63 - 1)))  # a double rounds the greatest up
         df = few if few.count() >= most else df
     return df.orderBy(h, key).limit(most)

@@ -4,6 +4,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from cairn.llm import tables, textnum
 
@@ -62,6 +63,13 @@ def test_least_hashed(spark):
     assert tables.least_hashed(df.limit(0), "doc_id", 100).count() == 0
 
 
+def test_least_hashed_a_little_over_the_limit(spark):
+    """The cut is then the greatest hash, which a double rounds up beyond a long."""
+    df = spark.range(1100).toDF("doc_id")
+    want = [r["doc_id"] for r in df.orderBy(F.xxhash64("doc_id"), "doc_id").limit(1000).collect()]
+    assert [r["doc_id"] for r in tables.least_hashed(df, "doc_id", 1000).collect()] == want
+
+
 def test_frequent_end_of_the_order(spark, monkeypatch):
     from cairn.llm import ngram_join
 
