@@ -17,6 +17,8 @@ BONUS, TITLE = 0.15, 0.08
 #: Kinds of exact tokens, in the order in which they are looked for: keys of issues and incidents, codes of check items,
 #: kernel parameters, page ids, long numbers.
 EXACT = (r"\b[A-Z][A-Z0-9]{2,}-\d{2,}(?:-\d+)?\b", r"\b[A-Z][A-Z0-9_]+_\d+(?:\.\d+)+\b", r"\bvm\.[a-z0-9_.]+\b", r"(?<![.\w])[a-z]+_\d{2,}\b", r"\b\d{6,}\b")
+#: A key whose number ends it: that number is no long number of its own.
+_KEYED = r"\b[A-Z][A-Z0-9]{2,}-\d{2,}\b(?!-\d)"
 
 
 def postings(docs: DataFrame, only: list[str] | None = None) -> DataFrame:
@@ -83,7 +85,9 @@ def title_bonus(docs: DataFrame, terms: list[str], limit: int = 40) -> DataFrame
 
 def exact_tokens(text: Column) -> Column:
     """Distinct exact tokens of a text, by kind and then by place."""
-    return F.array_distinct(F.flatten(F.array(*[F.regexp_extract_all(text, F.lit(p), 0) for p in EXACT])))
+    found = [F.regexp_extract_all(text, F.lit(p), 0) for p in EXACT[:-1]]
+    numbers = F.regexp_extract_all(F.regexp_replace(text, _KEYED, " "), F.lit(EXACT[-1]), 0)
+    return F.array_distinct(F.flatten(F.array(*found, numbers)))
 
 
 def injected(ranked: DataFrame, docs: DataFrame, tokens: DataFrame, limit: int = 20) -> DataFrame:
