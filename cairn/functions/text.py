@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -84,20 +86,39 @@ def hits(tokens: Column, text: Column) -> Column:
     return F.size(F.filter(tokens, lambda t: F.contains(low, F.lower(t))))
 
 
+def once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is worked out once for a row, however often f has it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def _flat(text: Column) -> Column:
+    """White space collapsed and trimmed; single spaces are no matches, so most text is copied in long stretches."""
+    return F.trim(F.regexp_replace(text, r"\s{2,}|[\t\n\x0B\f\r]", " "))
+
+
+def _window(flat: Column, hit: Column, before: int, width: int, mark: str) -> Column:
+    def cut(start: Column) -> Column:
+        tail = F.when(F.length(flat) >= start + width, F.lit(mark)).otherwise(F.lit(""))
+        return F.concat(F.when(start > 1, F.lit(mark)).otherwise(F.lit("")), F.substring(flat, start, F.lit(width)), tail)
+
+    return once(F.greatest(hit - before, F.lit(1)), cut)
+
+
 def snippet(text: Column, token: str, before: int = 40, width: int = 220) -> Column:
     """A window from shortly before the first hit, white space collapsed, with ellipses where it was cut."""
-    flat = F.trim(F.regexp_replace(text, r"\s+", " "))
-    start = F.greatest(F.locate(token.lower(), F.lower(flat)) - before, F.lit(1))
-    return F.concat(F.when(start > 1, F.lit("...")).otherwise(F.lit("")), F.substring(flat, start, F.lit(width)), F.when(F.length(flat) >= start + width, F.lit("...")).otherwise(F.lit("")))
+    return once(_flat(text), lambda flat: _window(flat, F.locate(token.lower(), F.lower(flat)), before, width, "..."))
 
 
 def snippet_around(text: Column, tokens: list[str], before: int = 40, width: int = 220) -> Column:
     """A window from shortly before the first hit of the first token, in their order, that the text has; from the start if it has none."""
-    flat = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))
-    hit = F.coalesce(*[F.nullif(F.locate(t.lower(), F.lower(flat)), F.lit(0)) for t in tokens], F.lit(1))
-    start = F.greatest(hit - before, F.lit(1))
-    cut = F.concat(F.when(start > 1, F.lit("…")).otherwise(F.lit("")), F.substring(flat, start, F.lit(width)), F.when(F.length(flat) >= start + width, F.lit("…")).otherwise(F.lit("")))
-    return F.when(flat == "", "").otherwise(cut)
+
+    def first(low: Column, left: list[str]) -> Column:
+        return once(F.locate(left[0].lower(), low), lambda at: F.when(at > 0, at).otherwise(first(low, left[1:]))) if left else F.lit(1)
+
+    def cut(flat: Column) -> Column:
+        return F.when(flat == "", "").otherwise(_window(flat, once(F.lower(flat), lambda low: first(low, tokens)), before, width, "…"))
+
+    return once(_flat(F.coalesce(text, F.lit(""))), cut)
 
 
 def frame_quality(symptom: Column, cause: Column, resolution: Column) -> Column:

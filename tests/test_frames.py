@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from cairn.functions import chunks, frames, taxonomy
+from cairn.functions import chunks, frames, taxonomy, text
 from cairn.operators import lexical
 
 SUMMARY = """# [OPS-25] cache times out
@@ -88,3 +88,20 @@ def test_exact_tokens_stand_in_front(spark):
     docs = spark.createDataFrame([(5, "OPS-1", "a"), (6, "x", "about ops-1"), (8, "OPS-10", "b"), (9, "z", "c")], "id long, key string, title string")
     tokens = spark.createDataFrame([(0, "OPS-1")], "i int, token string")
     assert [r["id"] for r in lexical.injected(ranked, docs, tokens).orderBy("rank").collect()] == [8, 6, 5, 7]
+
+
+def test_a_number_that_ends_a_key_is_no_long_number(spark):
+    def tokens(said):
+        return spark.range(1).select(lexical.exact_tokens(F.lit(said)).alias("t")).first()["t"]
+
+    assert tokens("why ABC-100010 or vm.max_100000") == ["ABC-100010", "vm.max_100000"]
+    assert tokens("ABC-100010 beside 100010") == ["ABC-100010", "100010"]
+    assert tokens("AB-100010, 2024-100011") == ["100010", "100011"]  # these are no keys
+
+
+def test_snippets_collapse_a_text_once(spark):
+    df = spark.createDataFrame([("a \n b the  end",), (" \t",), (None,), ("x\x0by",)], "text string")
+    got = df.select(text.snippet(F.col("text"), "the").alias("a"), text.snippet_around(F.col("text"), ["no", "THE"], 3, 6).alias("b"))
+    assert [tuple(r) for r in got.collect()] == [("a b the end", "… b the…"), ("", ""), (None, ""), ("x y", "x y")]
+    for f in (text.snippet(F.col("text"), "the"), text.snippet_around(F.col("text"), ["no", "the"])):
+        assert df.select(f)._jdf.queryExecution().analyzed().toString().count("regexp_replace(") == 1
