@@ -13,13 +13,15 @@ from pyspark.sql import functions as F
 
 from cairn.operators.lexical import EXACT
 
+#: Rows of a block of vectors, and bytes of blocks that a worker is handed at once.
+PACK, BATCH_BYTES = 1024, "16m"
 RRF_K = 60
 GATE = 0.012
 
 
 def _blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A batch of id and vec as one row: its ids and the unit vectors, in double precision; null and zero vectors are left out."""
-    for b in batches:
+    """PACK rows of id and vec as one row: their ids and the unit vectors, in double precision; null and zero vectors are left out."""
+    for b in (whole.slice(x, PACK) for whole in batches for x in range(0, whole.num_rows, PACK)):
         rows = [(i, np.array(v, np.float64)) for i, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if v]
         rows = [(i, v, n) for i, v in rows if (n := np.linalg.norm(v)) > 0]
         if rows:
@@ -30,7 +32,8 @@ def _blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _top(batches: Iterable[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     """Of each pair of blocks: the k most similar rows of each query, ties to the smaller id."""
     for b in batches:
-        for q, qu, r, ru in zip(*(b.column(c).to_pylist() for c in ("q_ids", "q_units", "ids", "units")), strict=True):
+        for i in range(b.num_rows):  # one pair at a time is copied out of the batch
+            q, qu, r, ru = (b.column(c)[i].as_py() for c in ("q_ids", "q_units", "ids", "units"))
             q, r = np.array(q), np.array(r)
             sims = np.frombuffer(qu).reshape(len(q), -1) @ np.frombuffer(ru).reshape(len(r), -1).T
             sims[q[:, None] == r] = -9  # a query isn't its own result
@@ -45,8 +48,10 @@ def _top(batches: Iterable[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
 def vector_top(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """For each query its k most similar other rows by cosine: query_id, id, score, rank. rows: id, vec; queries: query_id, query_vec.
 
-    Both sides are packed into blocks of a batch, and blocks meet as matrix products; a block hands on k of each query.
+    Both sides are packed into blocks, and blocks meet as matrix products; a block hands on k of each query. A worker is handed a bounded
+    number of bytes, since every row of a batch of pairs holds two whole blocks.
     """
+    rows.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     packed = "ids array<long>, units binary"
     asked = queries.select(F.col("query_id").cast("long"), "query_vec").mapInArrow(_blocks, packed).toDF("q_ids", "q_units")
     pairs = rows.select(F.col("id").cast("long"), "vec").mapInArrow(_blocks, packed).crossJoin(asked)  # of blocks
