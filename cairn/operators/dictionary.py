@@ -13,6 +13,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -85,7 +86,7 @@ def _bitmap(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     bits = np.zeros(1 << BITS >> 5, np.uint32)
     for b in batches:
         for size in set(b.column("size").to_pylist()):
-            h = b.filter(pa.compute.equal(b.column("size"), size)).column("h").to_numpy(zero_copy_only=False).view(np.uint64)
+            h = b.filter(pc.equal(b.column("size"), size)).column("h").to_numpy(zero_copy_only=False).view(np.uint64)
             at = _place(h, size)
             np.bitwise_or.at(bits, at >> 5, np.uint32(1) << (at & 31).astype(np.uint32))
     at = np.flatnonzero(bits)
@@ -121,9 +122,9 @@ def mentions(texts: DataFrame, table: DataFrame, most: int = MOST_BYTES) -> Data
     spark, names = texts.sparkSession, names_of(table)
     kind = texts.schema["id"].dataType.simpleString()
     low = texts.select("id", F.lower("text").alias("text"))
-    size = names.agg(F.coalesce(F.sum(F.octet_length("name")), F.lit(0))).first()[0]
+    size = names.select("name").distinct().agg(F.coalesce(F.sum(F.octet_length("name")), F.lit(0))).first()[0]  # many entities may share a name
     if size <= most:  # checked just now, so the list that is sent has a bound
-        distinct = sorted({r["name"] for r in names.select("name").toLocalIterator()})
+        distinct = sorted({r["name"] for r in names.select("name").distinct().toLocalIterator()})
         sent, key = spark.sparkContext.broadcast(distinct), str(hash(tuple(distinct)))
         hits = low.mapInArrow(partial(_spotted, names=sent, key=key), f"id {kind}, name string, n long")
         return hits.join(names, "name").groupBy("id", "entity").agg(F.sum("n").alias("n"))

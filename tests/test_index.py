@@ -5,8 +5,12 @@ import itertools
 import math
 import random
 import re
+import subprocess
+import sys
+from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -338,3 +342,31 @@ def test_weights_of_variants(spark):
     assert [weigh(v) for v in ("the question", "see ABC-123", "a b c", "a b", "word", "")] == [1.0, 1.15, 0.95, 0.85, 0.55, 0.0]
     df = spark.createDataFrame([(0, 0.55, 30, 100), (1, 0.55, 20, 100), (2, 0.85, 90, 100), (3, 0.55, None, 100)], "variant int, w double, df long, texts long")
     assert {r["variant"]: r["w"] for r in rank.frequent_singles_down(df).collect()} == {0: 0.25, 1: 0.55, 2: 0.85, 3: 0.55}
+
+
+def test_blocks_of_vectors_are_bounded():
+    batch = pa.RecordBatch.from_arrays([pa.array(range(2500)), pa.array([[1.0, 2.0]] * 2500)], names=["id", "vec"])
+    blocks = list(rank._blocks([batch]))
+    assert [len(b.column("ids")[0]) for b in blocks] == [1024, 1024, 452]
+
+
+def test_pairs_of_blocks_reach_a_worker_in_bounded_batches(spark):
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    rank.vector_top(spark.createDataFrame([(1, [1.0])], "id long, vec array<double>"), spark.createDataFrame([(2, [1.0])], "query_id long, query_vec array<double>"), 1)
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == rank.BATCH_BYTES
+
+
+def test_bitmap_in_a_fresh_worker():
+    """A worker has imported what the module itself imports, nothing else."""
+    code = (
+        "import sys, pyarrow as pa; from cairn.operators import dictionary as d;"
+        "b = pa.RecordBatch.from_arrays([pa.array([3], pa.int32()), pa.array([7], pa.int64())], names=['size', 'h']); assert next(d._bitmap([b])).num_rows == 1"
+    )
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=Path(__file__).resolve().parents[1])
+
+
+def test_shared_names_count_once_for_the_automaton(spark, monkeypatch):
+    texts = spark.createDataFrame([(1, "about Seoul")], "id long, text string")
+    table = spark.createDataFrame([(f"e{i}", "seoul") for i in range(9)], "entity string, name string")
+    monkeypatch.setattr(dictionary, "_hashed_names", None)  # 5 bytes of distinct names, 45 with their entities
+    assert sorted(r["entity"] for r in dictionary.mentions(texts, table, most=10).collect()) == [f"e{i}" for i in range(9)]
