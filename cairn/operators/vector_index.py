@@ -23,6 +23,8 @@ from cairn.sources import versions
 #: Rows that centroids are fitted to and probes are measured on; the most cells; rows of a block.
 SAMPLE, MOST_CELLS, PACK = 20_000, 4096, 512
 ROUNDS, WANTED = 10, 0.95
+#: Rows that meet all centres at once, and bytes of blocks that a worker is handed at once.
+STEP, BATCH_BYTES = 512, "16m"
 
 
 def units(vectors: list[list[float] | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -37,9 +39,13 @@ def units(vectors: list[list[float] | None]) -> tuple[np.ndarray, np.ndarray]:
 
 def _nearest(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of each row the nearest centre and its distance."""
-    to = np.maximum((x * x).sum(1)[:, None] + (centres * centres).sum(1)[None] - 2 * x @ centres.T, 0)
-    cell = to.argmin(1)
-    return cell, np.sqrt(to[np.arange(len(x)), cell])
+    cell, far, own = np.zeros(len(x), np.int64), np.zeros(len(x)), (centres * centres).sum(1)
+    for i in range(0, len(x), STEP):  # a whole sample against all centres is too much at once
+        part = x[i : i + STEP]
+        to = np.maximum((part * part).sum(1)[:, None] + own[None] - 2 * part @ centres.T, 0)
+        at = to.argmin(1)
+        cell[i : i + STEP], far[i : i + STEP] = at, np.sqrt(to[np.arange(len(part)), at])
+    return cell, far
 
 
 def fit(x: np.ndarray, n: int, seed: int = 0) -> np.ndarray:
@@ -60,9 +66,9 @@ def fit(x: np.ndarray, n: int, seed: int = 0) -> np.ndarray:
 def probes_for(x: np.ndarray, centres: np.ndarray, k: int, wanted: float) -> int:
     """Cells that queries like these have to look at for the wanted share of their k nearest."""
     few = x[:: max(1, len(x) // 200)]
-    near = np.argsort(-(few @ x.T), axis=1)[:, : min(k + 1, len(x))]
+    near = np.stack([np.argsort(-(x @ q))[: min(k + 1, len(x))] for q in few])
     cell, _ = _nearest(x, centres)
-    place = np.argsort(np.argsort(((few[:, None] - centres[None]) ** 2).sum(2), axis=1), axis=1)
+    place = np.stack([np.argsort(np.argsort(((q - centres) ** 2).sum(1))) for q in few])
     needed = np.take_along_axis(place, cell[near], axis=1)  # place of the cell that holds each neighbour
     counts = np.cumsum(np.bincount(needed.ravel(), minlength=len(centres))) / needed.size
     return int(np.searchsorted(counts, wanted)) + 1
@@ -128,7 +134,7 @@ def _ranked(batches: Iterable[pa.RecordBatch], centres: np.ndarray, by: list[str
 def _met(batches: Iterable[pa.RecordBatch], k: int, by: list[str]) -> Iterator[pa.RecordBatch]:
     """Of each block of queries and block of rows: each query's k nearest that pass its filter, ties at the edge too."""
     for b in batches:
-        for r in b.to_pylist():
+        for r in (row for i in range(b.num_rows) for row in b.slice(i, 1).to_pylist()):  # one pair at a time is copied out of the batch
             q, ids = np.array(r["query_id"]), np.array(r["id"])
             sims = np.frombuffer(r["q_unit"]).reshape(len(q), -1) @ np.frombuffer(r["unit"]).reshape(len(ids), -1).T
             fit_ = q[:, None] != ids[None]
@@ -163,11 +169,14 @@ def search(spark: SparkSession, root: str, queries: DataFrame, k: int = 40, exac
     ranked.write.parquet(f"{place}/ranked")
     ranked, blocks = spark.read.parquet(f"{place}/ranked"), spark.read.parquet(f"{root}/blocks")
 
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)  # a row of a batch holds two whole blocks
+
     def met(wanted: DataFrame) -> DataFrame:
         """wanted: query_id, filter columns, unit, cell."""
         sides = wanted.repartitionByRange("cell", "query_id").sortWithinPartitions("cell", "query_id")
         packed = _pack(sides).select("cell", "query_id", F.col("unit").alias("q_unit"), *[F.col(c).alias(f"q_{c}") for c in by])
-        return blocks.join(packed, "cell").mapInArrow(partial(_met, k=k, by=by), "query_id long, id long, score double")
+        # sizes behind an explode or a worker are guessed too small, so none of these sides may be taken for one to broadcast
+        return blocks.join(packed.hint("merge"), "cell").mapInArrow(partial(_met, k=k, by=by), "query_id long, id long, score double")
 
     def written(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(f"{place}/{name}")
@@ -184,7 +193,7 @@ def search(spark: SparkSession, root: str, queries: DataFrame, k: int = 40, exac
         enough = best.where(F.col("rank") == k).select("query_id")
         if high == len(centres):
             break
-        open_ = written(open_.join(enough, "query_id", "left_anti"), f"open-{step}")
+        open_ = written(open_.join(enough.hint("merge"), "query_id", "left_anti"), f"open-{step}")
         if open_.isEmpty():
             break
         low, high, step = high, min(2 * high, len(centres)), step + 1
@@ -192,8 +201,8 @@ def search(spark: SparkSession, root: str, queries: DataFrame, k: int = 40, exac
     if exact:
         radius = spark.read.parquet(f"{root}/cells")
         edge = best.where(F.col("rank") == k).select("query_id", F.sqrt(F.greatest(2 - 2 * F.col("score"), F.lit(0.0))).alias("edge"))
-        rest = ranked.join(probed, "query_id").select(*own, "probed", F.posexplode(F.arrays_zip("cells", "to")).alias("i", "c")).where("i >= probed")
-        rest = rest.select(*own, F.col("c.cells").alias("cell"), F.col("c.to").alias("to")).join(edge, "query_id").join(radius, "cell").where(F.col("to") - F.col("radius") <= F.col("edge") + 1e-9)
+        rest = ranked.join(probed.hint("merge"), "query_id").select(*own, "probed", F.posexplode(F.arrays_zip("cells", "to")).alias("i", "c")).where("i >= probed")
+        rest = rest.select(*own, F.col("c.cells").alias("cell"), F.col("c.to").alias("to")).join(edge.hint("merge"), "query_id").join(F.broadcast(radius), "cell").where(F.col("to") - F.col("radius") <= F.col("edge") + 1e-9)
         rest = written(rest.select(*own, "cell"), "rest")
         best = _best(best.drop("rank").unionByName(met(rest)), k)
         more = rest.groupBy("query_id").agg(F.count(F.lit(1)).alias("more"))
