@@ -22,6 +22,8 @@ BLOCK, BUCKETS = 256, 64
 FAN = 4
 #: Sums of doubles in any order differ by less.
 SLACK = 1e-6
+#: Entries that questions meet in one slice of them; a slice's shuffles and cells are gone before the next one.
+SLICE = 50_000_000
 
 
 def occurrences(docs: DataFrame, only: list[str] | None = None) -> DataFrame:
@@ -199,18 +201,36 @@ def _best(scores: DataFrame, k: int) -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def search(spark: SparkSession, root: str, asked: DataFrame, k: int = 40) -> tuple[DataFrame, DataFrame]:
+def search(spark: SparkSession, root: str, asked: DataFrame, k: int = 40, most: int = SLICE) -> tuple[DataFrame, DataFrame]:
     """(qid, id, score, rank) of the k best texts of each question, and (qid, cells, cells_read): blocks with its terms, and those read.
 
     asked: qid, term, weight (a term once for a question). A text scores the sum of its terms' weights. A cell, one block of one segment, can give a question
     the sum of its terms' greatest weights at most. The most promising cells of each question, with 2 k entries of a term, are scored first; their k-th score
     is a floor, and of the others only cells that can reach it are read. The result is that of reading everything.
+
+    Entries met grow with questions times texts, so questions are answered in slices: what lies on disk at once has a bound, the results
+    of earlier slices aside.
     """
-    index = rows(spark, root)
+    index, place = rows(spark, root), versions.shared_folder(spark, "answers")
+    asked.write.parquet(f"{place}/asked")
+    asked = spark.read.parquet(f"{place}/asked")
+    met = index.groupBy("term").agg(F.sum("n").alias("n")).join(asked.groupBy("term").agg(F.count(F.lit(1)).alias("asking")), "term")
+    slices = max(1, math.ceil((met.agg(F.sum(F.col("n") * F.col("asking"))).first()[0] or 0) / most))
+    for i in range(slices):
+        part = asked.where(F.pmod(F.xxhash64("qid"), F.lit(slices)) == i)
+        with versions.tidy(spark):
+            best, report = _search(spark, root, part, k, index, f"{place}/slice")
+            best.write.mode("append").parquet(f"{place}/best")
+            report.write.mode("append").parquet(f"{place}/report")
+        versions.removed_unlisted(spark, place, "slice", set())
+    return spark.read.schema(best.schema).parquet(f"{place}/best"), spark.read.schema(report.schema).parquet(f"{place}/report")
+
+
+def _search(spark: SparkSession, root: str, asked: DataFrame, k: int, index: DataFrame, place: str) -> tuple[DataFrame, DataFrame]:
+    """``search`` for questions whose cells are written below ``place``."""
     tops = index.select("seq", "block", "term", "n", "top").join(asked, "term")
     cells = tops.groupBy("qid", "seq", "block").agg(F.sum(F.col("weight") * F.col("top")).alias("bound"), F.max("n").alias("n"))
     ahead = Window.partitionBy("qid").orderBy(F.desc("bound"), "seq", "block").rowsBetween(Window.unboundedPreceding, -1)
-    place = versions.shared_folder(spark, "cells")
     cells.withColumn("first", F.coalesce(F.sum("n").over(ahead), F.lit(0)) < 2 * k).write.parquet(f"{place}/cells")
     cells = spark.read.parquet(f"{place}/cells")
     _best(_scores(spark, root, cells.where("first"), asked, index), k).write.parquet(f"{place}/first")

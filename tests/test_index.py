@@ -370,3 +370,32 @@ def test_shared_names_count_once_for_the_automaton(spark, monkeypatch):
     table = spark.createDataFrame([(f"e{i}", "seoul") for i in range(9)], "entity string, name string")
     monkeypatch.setattr(dictionary, "_hashed_names", None)  # 5 bytes of distinct names, 45 with their entities
     assert sorted(r["entity"] for r in dictionary.mentions(texts, table, most=10).collect()) == [f"e{i}" for i in range(9)]
+
+
+def test_questions_in_slices_leave_no_cells(spark, tmp_path):
+    root = str(tmp_path / "index")
+    fulltext.add(spark, root, frame(spark, texts_of(300, 7)), block=16)
+    asked = spark.createDataFrame([(f"q{i}", f"w{(i + j) % 9}", 1.0) for i in range(30) for j in range(2)], "qid string, term string, weight double")
+    whole, report = (sorted(map(tuple, x.collect())) for x in fulltext.search(spark, root, asked, k=5))
+    sliced = fulltext.search(spark, root, asked, k=5, most=3000)
+    assert [sorted(map(tuple, x.collect())) for x in sliced] == [whole, report]
+    place = Path(sliced[0].inputFiles()[0].removeprefix("file://")).parents[1]
+    assert not list((place / "slice").iterdir())
+
+
+def test_a_sample_meets_centres_in_steps(monkeypatch):
+    r = np.random.default_rng(3)
+    x, centres = r.normal(size=(1500, 8)), r.normal(size=(7, 8))
+    monkeypatch.setattr(vector_index, "STEP", 10**6)
+    whole = vector_index._nearest(x, centres)
+    monkeypatch.setattr(vector_index, "STEP", 100)
+    assert all(np.allclose(a, b) for a, b in zip(whole, vector_index._nearest(x, centres), strict=True))
+
+
+def test_no_side_of_queries_is_broadcast(spark, tmp_path):
+    root, r = str(tmp_path / "vectors"), np.random.default_rng(5)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(r.normal(size=(200, 6)))], "id long, vec array<double>")
+    vector_index.build(spark, root, rows, cells=6, k=3)
+    best, probed = vector_index.search(spark, root, rows.where("id % 9 = 0").toDF("query_id", "query_vec"), k=3, exact=True)
+    assert best.groupBy("query_id").count().where("count = 3").count() == 23
+    assert "BroadcastHashJoin" not in best._jdf.queryExecution().executedPlan().toString()
