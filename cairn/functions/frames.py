@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairn.functions.text import frame_quality
+from cairn.functions.text import frame_quality, once
 
 # Labels of the slots as tickets write them, in headings and in bold, and what stands for "not known yet".
 LABELS = {
@@ -92,8 +92,8 @@ def slots(body: str, title: str) -> dict[str, str | None]:
 
 def components(title: Column, body: Column) -> Column:
     """Distinct names of the components that the title or the head of the body has, in the order of COMPONENTS."""
-    text = F.concat_ws("\n", F.coalesce(title, F.lit("")), F.left(F.coalesce(body, F.lit("")), F.lit(12000)))
-    return F.array_distinct(F.array_compact(F.array(*[F.when(text.rlike(f"(?i){p}"), F.lit(name)) for name, p in COMPONENTS])))
+    whole = F.concat_ws("\n", F.coalesce(title, F.lit("")), F.left(F.coalesce(body, F.lit("")), F.lit(12000)))
+    return once(whole, lambda text: F.array_distinct(F.array_compact(F.array(*[F.when(text.rlike(f"(?i){p}"), F.lit(name)) for name, p in COMPONENTS]))))
 
 
 def commands(body: Column) -> Column:
