@@ -62,7 +62,7 @@ def t01_segments(spark, d):
             pass
     changed = docs.where("id % 9 = 0").withColumn("text", F.concat(F.lit("again "), F.coalesce("text", F.lit(""))))
     fulltext.add(spark, root, changed.unionByName(docs.where("id % 10 = 3 AND id % 9 <> 0").withColumn("deleted", F.lit(True))), number=PARTS)
-    return fulltext.entries(spark, root, fulltext.rows(spark, root)).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tf"))
+    return fulltext.live(spark, root).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tf"))
 
 
 #: Tables whose copies are compared, with their keys and the column that the other copy has changed.

@@ -399,3 +399,28 @@ def test_no_side_of_queries_is_broadcast(spark, tmp_path):
     best, probed = vector_index.search(spark, root, rows.where("id % 9 = 0").toDF("query_id", "query_vec"), k=3, exact=True)
     assert best.groupBy("query_id").count().where("count = 3").count() == 23
     assert "BroadcastHashJoin" not in best._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_segment_packs_the_rows_of_a_block(spark, tmp_path):
+    root, r = str(tmp_path / "index"), random.Random(9)
+    texts = {i: " ".join(f"t{r.randrange(900)} 가나{r.randrange(9)}, É{r.randrange(300)}x" for _ in range(40)) for i in range(-20, 100)}
+    fulltext.add(spark, root, frame(spark, texts | {500: None, 501: "", 502: "-"}), block=16)
+    changed = {i: f"again {t}" for i, t in texts.items() if i % 9}
+    fulltext.add(spark, root, frame(spark, changed))
+    fulltext.add(spark, root, frame(spark, {}, [3, 4, 9999]))  # deletions alone
+    kept = {i: t for i, t in (texts | changed).items() if i not in (3, 4)}
+    want = collections.Counter()
+    for i, t in kept.items():
+        want.update((x, i) for x in re.findall(lexical.TERM, t.lower()))
+    name = versions.current(spark, root)[1]["segments"][0]["name"]
+    packed, terms = spark.read.parquet(f"{root}/segments/{name}").count(), len({x for x, _ in want})
+    assert packed <= fulltext.BUCKETS * 9 and terms > 1000  # a row for each term and block before
+    for n_segments in (3, 2):
+        assert len(versions.current(spark, root)[1]["segments"]) == n_segments
+        rows = fulltext.live(spark, root).collect()
+        assert {(x["term"], x["id"]): x["tf"] for x in rows} == want and len(rows) == len(want)
+        assert all(x["length"] == len(kept[x["id"]]) for x in rows)
+        assert postings_of(spark, root) == sorted((t, i, n, len(kept[i]), tuple(p for p, x in enumerate(re.findall(lexical.TERM, kept[i].lower())) if x == t)) for (t, i), n in want.items())
+        one = fulltext.entries(spark, root, fulltext.rows(spark, root, ["again", "가나1"], ("ids", "lengths", "tfs"))).select("term", "id", "tf").collect()
+        assert {(x["term"], x["id"]): x["tf"] for x in one} == {k: n for k, n in want.items() if k[0] in ("again", "가나1")}
+        fulltext.merge(spark, root, fan=2)
