@@ -54,14 +54,26 @@ def _gear(ids: np.ndarray) -> np.ndarray:
     return (x * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(32)).astype(np.uint32)
 
 
-def cut_points(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks of one document; the content around an end decides it, so copies and shared passages cut alike."""
+def _marks(ids: np.ndarray) -> np.ndarray:
+    """Ends that a chunk may have, by the hash of the ids before each.
+
+    Documents may be joined: only hashes of a document's first ids reach into the one before, and none of these, under LEAST, ends a chunk.
+    """
     n = len(ids)
     g, h = _gear(ids), np.zeros(n, np.uint32)
     for j in range(min(REACH, n)):
         h[j:] += g[: n - j] << np.uint32(j)
+    return np.flatnonzero((h >> np.uint32(REACH - 1)) & np.uint32(MASK) == 0) + 1
+
+
+def cut_points(ids: np.ndarray) -> list[int]:
+    """Ends of the chunks of one document; the content around an end decides it, so copies and shared passages cut alike."""
+    return _ends(len(ids), _marks(ids).tolist())
+
+
+def _ends(n: int, marks: list[int]) -> list[int]:
     ends, last = [], 0
-    for c in (np.flatnonzero((h >> np.uint32(REACH - 1)) & np.uint32(MASK) == 0) + 1).tolist():
+    for c in marks:
         while c - last > MOST:
             last += MOST
             ends.append(last)
@@ -78,21 +90,28 @@ def _chunked(batches: Iterable[pa.RecordBatch], path: str, end_id: int, width: s
     """Chunk rows (kind 0) and one recipe row for each document (kind 1)."""
     encoder = library_encoder(path, spaced=False)
     end = np.array([end_id], "<u4").tobytes()
+    end_size = len(end)
     for rows, texts in grouped(batches):
         kind, key, payload, row, doc, counts, leaves = [], [], [], [], [], [], []
         here: set[bytes] = set()
-        for uid, doc_id, data in zip(rows.column("_row").to_pylist(), rows.column("doc_id").to_pylist(), encoder.encode(texts), strict=True):
-            ids = as_ids(data + end)
-            stored = ids.astype(width).tobytes()
-            size, recipe, last = np.dtype(width).itemsize, [], 0
-            for e in cut_points(ids):
+        encoded = [data + end for data in encoder.encode(texts)]
+        ids = as_ids(b"".join(encoded))
+        marks, size, first = _marks(ids), np.dtype(width).itemsize, 0
+        whole = ids.astype(width).tobytes()
+        upto = np.cumsum([len(x) // end_size for x in encoded])
+        places = np.searchsorted(marks, np.append(0, upto), "right").tolist()
+        for i, (uid, doc_id, stop) in enumerate(zip(rows.column("_row").to_pylist(), rows.column("doc_id").to_pylist(), upto.tolist(), strict=True)):
+            n, stored = stop - first, whole[first * size : stop * size]
+            recipe, last = [], 0
+            for e in _ends(n, (marks[places[i] : places[i + 1]] - first).tolist()):
                 chunk = stored[last * size : e * size]
                 recipe.append(d := digest(chunk))
                 if d not in here:
                     here.add(d)
                     kind.append(0), key.append(d), payload.append(chunk), row.append(None), doc.append(None), counts.append(e - last), leaves.append(None)
                 last = e
-            kind.append(1), key.append(uid.to_bytes(8, "big")), payload.append(p := b"".join(recipe)), row.append(uid), doc.append(doc_id), counts.append(len(ids)), leaves.append(leaf(doc_id, len(ids), p))
+            kind.append(1), key.append(uid.to_bytes(8, "big")), payload.append(p := b"".join(recipe)), row.append(uid), doc.append(doc_id), counts.append(n), leaves.append(leaf(doc_id, n, p))
+            first = stop
         yield pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(key, pa.binary()), pa.array(payload, pa.binary()), pa.array(row, pa.int64()), pa.array(doc, pa.int64()), pa.array(counts, pa.int64()), pa.array(leaves, pa.string())], names=["kind", "key", "payload", "row", "doc_id", "n", "leaf"])
 
 

@@ -10,6 +10,7 @@ import os
 import re
 from array import array
 from collections.abc import Callable, Iterable, Iterator
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -61,7 +62,9 @@ class PieceEncoder:
         if self.spaced:  # texts' first pieces have no space, so they are not remembered
             heads = list(self.encode_new(first))
             cut = [ps[1:] for ps in cut]
-        new = set().union(*cut).difference(self.known) if cut else set()
+        new, known = set(), self.known.__contains__
+        for ps in cut:
+            new.update(filterfalse(known, ps))
         if len(self.known) + len(new) > self.memory:
             self.known = {}
             new = set().union(*cut)
@@ -88,7 +91,7 @@ def _byte_chars() -> dict[int, str]:
 
 _CHARS = _byte_chars()
 #: Latin letters that are their own normal form, then marks: the tokenizers' patterns cut between the two and nowhere else.
-_PLAIN = re.compile("( ?[A-Za-zÀ-ÖØ-öø-įı-ɏ]+)([.,!?;:|]*)")
+_PLAIN = re.compile("( ?[A-Za-zÀ-ÖØ-öø-įı-ɏ]+)([.,!?;:|#$%&*]*)")
 
 
 class LibraryPieces:
@@ -105,6 +108,7 @@ class LibraryPieces:
         t.encode_special_tokens = specials_as_text
         self.batch, self.model, self.lower = getattr(t, "encode_batch_fast", t.encode_batch), t.model, lower
         self.tails: dict[str, bytes] = {"": b""}
+        self.cores: dict[str, bytes] = {}
 
     def _match(self, match: str) -> bytes:
         if not match.isascii() or match[0] in " \n":
@@ -113,8 +117,10 @@ class LibraryPieces:
 
     def __call__(self, pieces: list[str]) -> list[bytes]:
         out: list[bytes | None] = [None] * len(pieces)
-        cores: dict[str, bytes] = {}
-        plain, tails, rest = _PLAIN.fullmatch, self.tails, []
+        # a word comes back with other marks behind it, and after the memory of pieces was emptied
+        if len(self.cores) + len(pieces) > MEMORY:
+            self.cores = {}
+        cores, plain, tails, rest = self.cores, _PLAIN.fullmatch, self.tails, []
         for i, p in enumerate(pieces):
             m = plain(p)
             if m is None:

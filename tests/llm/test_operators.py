@@ -495,3 +495,28 @@ def test_components(spark):
         root[max(x, y)] = min(x, y)
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert all(got.get(x, x) == find(x) for x in root)
+
+
+def test_a_word_is_encoded_once_whatever_marks_follow(monkeypatch):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from cairn.llm import token_store, tokens
+
+    pieces = tokens.LibraryPieces(public_tokenizers.path("word_bpe_49k.json"), lower=True)
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    asked, slow = [], []
+    match, batch = pieces._match, pieces.batch
+    monkeypatch.setattr(pieces, "_match", lambda m: asked.append(m) or match(m))
+    pieces.batch = lambda ps, **kw: slow.extend(ps) or batch(ps, **kw)
+    for ps in (["Handanß", "handanß,", "x1"], ["handanß$$$", "handanß.%%%", "Handanß&*#|"]):
+        assert [tokens.as_ids(x).tolist() for x in pieces(ps)] == [e.ids for e in library.encode_batch(ps, add_special_tokens=False)]
+    assert asked.count("handanß") == 1 and slow == ["x1"]
+    # chunks of joined documents end where those of each alone do
+    r = np.random.default_rng(3)
+    docs = [r.integers(0, 49000, n).astype("<u4") for n in (3000, 1, 40, 70, 5000, 64, 900)]
+    marks, first = token_store._marks(np.concatenate(docs)), 0
+    for d in docs:
+        own = marks[(marks > first) & (marks <= first + len(d))] - first
+        assert token_store._ends(len(d), own.tolist()) == token_store.cut_points(d)
+        first += len(d)
