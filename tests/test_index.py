@@ -202,6 +202,17 @@ def test_substrings(spark, tmp_path):
     assert trigrams.literals(r"%a\%b_c\\%") == ["a%b", "c\\"]
 
 
+def test_trigrams_of_a_text_that_comes_twice_and_of_rare_characters(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(trigrams, "GROUP", 20)
+    texts = [(1, "a😀b😀c"), (1, "xa😀b"), (2, "ab"), (3, ""), (4, "İSTANBUL xyz"), (5000, "A😀B"), (-3, "xyz"), (None, "xyz")]
+    docs = spark.createDataFrame(texts, "id long, text string")
+    trigrams.build(docs, str(tmp_path / "t"))
+    patterns = ["%a😀b%", "%xyz%", "%stan%"]
+    got = collections.Counter((r["pattern"], r["id"]) for r in trigrams.matches(spark, str(tmp_path / "t"), docs, patterns).collect())
+    assert got == {(0, 1): 2, (0, 5000): 1, (1, 4): 1, (1, -3): 1, (2, 4): 1}  # rows of id 1 counted each gram twice before, so none was found
+    assert sorted(trigrams._spelled(trigrams._grams("a😀bca😀b"))) == ["a😀b", "bca", "ca😀", "😀bc"]
+
+
 # ---- state
 
 
