@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cairn.llm.tables import shared_dir, table
-from cairn.llm.tokens import as_ids, grouped, library_encoder
+from cairn.llm.tokens import grouped, library_encoder
 
 #: A chunk ends where the low bits of the hash of its last 16 ids are 0, within these lengths.
 MASK, LEAST, MOST, REACH = 0xFF, 64, 1024, 16
@@ -89,16 +89,12 @@ def _ends(n: int, marks: list[int]) -> list[int]:
 def _chunked(batches: Iterable[pa.RecordBatch], path: str, end_id: int, width: str) -> Iterator[pa.RecordBatch]:
     """Chunk rows (kind 0) and one recipe row for each document (kind 1)."""
     encoder = library_encoder(path, spaced=False)
-    end = np.array([end_id], "<u4").tobytes()
-    end_size = len(end)
     for rows, texts in grouped(batches):
         kind, key, payload, row, doc, counts, leaves = [], [], [], [], [], [], []
         here: set[bytes] = set()
-        encoded = [data + end for data in encoder.encode(texts)]
-        ids = as_ids(b"".join(encoded))
+        ids, upto = encoder.encode_joined(texts, end_id)
         marks, size, first = _marks(ids), np.dtype(width).itemsize, 0
         whole = ids.astype(width).tobytes()
-        upto = np.cumsum([len(x) // end_size for x in encoded])
         places = np.searchsorted(marks, np.append(0, upto), "right").tolist()
         for i, (uid, doc_id, stop) in enumerate(zip(rows.column("_row").to_pylist(), rows.column("doc_id").to_pylist(), upto.tolist(), strict=True)):
             n, stored = stop - first, whole[first * size : stop * size]

@@ -1,16 +1,18 @@
 """Encoding of whole texts by public tokenizers, with a bounded memory of pieces already encoded.
 
-Texts are cut at spaces where each tokenizer's own rules always cut, so joined pieces equal
-the encoding of the whole text; a piece seen before is not encoded again.
+Texts are cut where each tokenizer's own rules always cut, so joined pieces equal
+the encoding of the whole text; a piece seen before is not encoded again. Pieces of a group of texts are
+numbered by Arrow and their ids gathered by numpy: only distinct pieces are Python objects.
 """
 
 from __future__ import annotations
 
 import os
 import re
+import string
 from array import array
 from collections.abc import Callable, Iterable, Iterator
-from itertools import filterfalse
+from itertools import pairwise, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -22,64 +24,113 @@ LONGEST = 48
 #: Characters of texts handled at once.
 GROUP = 2_000_000
 
-_EDGES = re.compile(r"\s |  |^ | $| \s")
-_INNER_SPACE = re.compile(r"(?<=\S) (?=\S)")
-_RARE_SPACE = re.compile("[\t\x0b\x0c\r\x1c-\x1f]")
+_WIDE_SPACE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
 _workers: dict = {}
 
 
-def word_pieces(text: str) -> list[str]:
-    """For a tokenizer that drops white space: cut at every space and line end."""
-    return text.replace("\n", " ").split(" ")
+def _bytes_in(chars: bytes) -> np.ndarray:
+    out = np.zeros(256, bool)
+    out[list(chars)] = True
+    return out
 
 
-def spaced_pieces(text: str) -> list[str]:
-    """For byte-level patterns in which a word takes the one space before it; only the first piece has its own space.
+_SPACE = _bytes_in(b"\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f ")
+_LETTER = _bytes_in(string.ascii_letters.encode())
+_UPPER = _bytes_in(string.ascii_uppercase.encode())
+#: Without |, which ends the name of a special token.
+_MARK = _bytes_in(b".,!?;:#$%&*")
 
-    A space between two non-space characters always begins a match of the pattern.
+
+def piece_starts(data: np.ndarray, begins: np.ndarray, spaced: bool) -> np.ndarray:
+    """Where pieces start in the bytes of joined texts, which themselves start at begins.
+
+    The tokenizers' patterns always begin a match at a mark behind a letter. One that drops white space is cut at every space
+    too. In byte-level patterns a word takes the one space before it: they are cut at a space between two non-space characters,
+    which begins a match, and around such a line end, which is one.
     """
-    if text.isascii() and not _RARE_SPACE.search(text):
-        plain = "  " not in text and "\n " not in text and " \n" not in text and text[:1] != " " and text[-1:] != " "
+    starts = np.zeros(len(data) + 1, bool)
+    starts[1:-1] = _MARK[data[1:]] & _LETTER[data[:-1]]
+    if spaced:
+        solid = np.zeros(len(data) + 2, bool)
+        solid[1:-1] = ~_SPACE[data]
+        for m in _WIDE_SPACE.finditer(data) if data.max(initial=0) > 0x7F else ():
+            solid[m.start() + 1 : m.end() + 1] = False
+        before, behind = solid[:-2].copy(), solid[2:].copy()
+        inner = begins[begins < len(data)]
+        before[inner], behind[inner - 1] = False, False
+        between = before & behind
+        starts[:-1] |= between & (data == 0x20)
+        line = between & (data == 0x0A)
+        starts[:-1] |= line
+        starts[1:] |= line
     else:
-        plain = not _EDGES.search(text)
-    return text.split(" ") if plain else _INNER_SPACE.split(text)
+        starts[:-1] |= data == 0x20
+    starts[begins] = True
+    starts[-1] = False
+    return np.flatnonzero(starts)
 
 
 class PieceEncoder:
     """encode_new: distinct unknown pieces -> the ids of each, as little-endian unsigned 32-bit integers.
 
-    spaced: pieces but the first of a text have a space before them.
+    spaced: pieces have the space before them as part; else white space gives no ids. lower: case gives none either.
     """
 
-    def __init__(self, encode_new: Callable[[list[str]], Iterable[bytes]], spaced: bool, memory: int = MEMORY):
-        self.encode_new, self.spaced, self.memory = encode_new, spaced, memory
-        self.known: dict[str, bytes] = {}
+    def __init__(self, encode_new: Callable[[list[str]], Iterable[bytes]], spaced: bool, memory: int = MEMORY, lower: bool = False):
+        self.encode_new, self.spaced, self.memory, self.lower = encode_new, spaced, memory, lower
+        self._forget()
+
+    def _forget(self) -> None:
+        """known: piece -> its number; the ids of number i are ids[bounds[i] : bounds[i + 1]]."""
+        self.known: dict[str, int] = {}
+        self.ids, self.bounds = np.zeros(0, "<u4"), np.zeros(1, np.int64)
+
+    def _cut(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Distinct pieces, the number among them of each piece in order, and how many pieces there are up to each text's end."""
+        raw = [t.encode() for t in texts]
+        ends = np.cumsum([len(x) for x in raw], dtype=np.int64)
+        joined = b"".join(raw)
+        if not self.spaced:
+            joined = joined.replace(b"\n", b" ")
+        data = np.frombuffer(joined, np.uint8)
+        if self.lower:  # a letter before a byte of another alphabet may be one character with it
+            data = data.copy()
+            data[np.flatnonzero(_UPPER[data] & (np.append(data[1:], 0) < 0x80))] |= 0x20
+        starts = piece_starts(data, np.concatenate([[0], ends[:-1]]), self.spaced)
+        bounds = np.append(starts, len(data)) if len(data) else np.zeros(1, np.int64)
+        pieces = pa.LargeStringArray.from_buffers(len(bounds) - 1, pa.py_buffer(bounds), pa.py_buffer(data)).dictionary_encode()
+        return pieces.dictionary.to_numpy(zero_copy_only=False).tolist(), pieces.indices.to_numpy(), np.searchsorted(starts, ends)
+
+    def encode_joined(self, texts: list[str], end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one behind another, each followed by end_id if given, and where each text's ids end."""
+        pieces, order, upto = self._cut(texts)
+        place = np.fromiter(map(self.known.get, pieces, repeat(-1)), np.int64, len(pieces))
+        if (place < 0).sum() + len(self.known) > self.memory:
+            self._forget()
+            place[:] = -1
+        new = np.flatnonzero(place < 0)
+        # long pieces come last, so that they are forgotten with this call
+        long = np.array([len(pieces[i]) > LONGEST for i in new.tolist()], bool)
+        new = np.concatenate([new[~long], new[long]])
+        place[new] = len(self.bounds) - 1 + np.arange(len(new))
+        fresh = [pieces[i] for i in new.tolist()]
+        found = [ids for x in range(0, len(fresh), 20_000) for ids in self.encode_new(fresh[x : x + 20_000])]
+        ids = np.concatenate([self.ids, as_ids(b"".join(found))])
+        bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum([len(x) // 4 for x in found], dtype=np.int64)])
+        short = len(new) - int(long.sum())
+        self.known.update(zip(fresh[:short], range(len(self.bounds) - 1, len(self.bounds) - 1 + short), strict=True))
+        self.bounds = bounds[: len(self.bounds) + short]
+        self.ids = ids if short == len(new) else ids[: self.bounds[-1]].copy()
+        begin, size = bounds[:-1][place][order], np.diff(bounds)[place][order]
+        stops = np.cumsum(size)
+        out = ids[np.repeat(begin - stops + size, size) + np.arange(stops[-1] if len(stops) else 0)]
+        ends = np.concatenate([[0], stops])[upto]
+        return (out, ends) if end_id is None else (np.insert(out, ends, end_id), ends + np.arange(1, len(ends) + 1))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each whole text."""
-        cut = [spaced_pieces(t) if self.spaced else word_pieces(t) for t in texts]
-        first = [ps[0] for ps in cut]
-        if self.spaced:  # texts' first pieces have no space, so they are not remembered
-            heads = list(self.encode_new(first))
-            cut = [ps[1:] for ps in cut]
-        new, known = set(), self.known.__contains__
-        for ps in cut:
-            new.update(filterfalse(known, ps))
-        if len(self.known) + len(new) > self.memory:
-            self.known = {}
-            new = set().union(*cut)
-        new = list(new)
-        for x in range(0, len(new), 20_000):
-            part = new[x : x + 20_000]
-            self.known.update(zip(part, self.encode_new([" " + p for p in part] if self.spaced else part), strict=True))
-        get = self.known.__getitem__
-        out = [b"".join(map(get, ps)) for ps in cut]
-        if self.spaced:
-            out = [h + o for h, o in zip(heads, out, strict=True)]
-        for p in new:
-            if len(p) > LONGEST:
-                del self.known[p]
-        return out
+        ids, ends = self.encode_joined(texts)
+        return [ids[a:b].tobytes() for a, b in pairwise([0, *ends.tolist()])]
 
 
 def _byte_chars() -> dict[int, str]:
@@ -111,24 +162,29 @@ class LibraryPieces:
         self.cores: dict[str, bytes] = {}
 
     def _match(self, match: str) -> bytes:
-        if not match.isascii() or match[0] in " \n":
+        if match.isascii() and match[0] == " ":
+            match = "Ġ" + match[1:]  # U+0120 stands for a space
+        elif not match.isascii() or match[0] == "\n":
             match = match.encode().decode("latin-1").translate(_CHARS)
         return array("I", [x.id for x in self.model.tokenize(match)]).tobytes()
 
     def __call__(self, pieces: list[str]) -> list[bytes]:
         out: list[bytes | None] = [None] * len(pieces)
-        # a word comes back with other marks behind it, and after the memory of pieces was emptied
+        # a word comes back with other marks behind it
         if len(self.cores) + len(pieces) > MEMORY:
             self.cores = {}
         cores, plain, tails, rest = self.cores, _PLAIN.fullmatch, self.tails, []
         for i, p in enumerate(pieces):
+            if (word := p.removeprefix(" ")).isalpha() and word.isascii():  # remembered as a piece
+                out[i] = self._match(word.lower() if self.lower else p)
+                continue
             m = plain(p)
             if m is None:
                 rest.append(i)
                 continue
             core, tail = m.groups()
             if self.lower:
-                core = core.lower()
+                core = core.lower().removeprefix(" ")
             ids = cores.get(core)
             if ids is None:
                 ids = cores[core] = self._match(core)
@@ -139,16 +195,7 @@ class LibraryPieces:
                     tails[tail] = self._match(tail)
                 ids += tails[tail]
             out[i] = ids
-        # a single line end between plain pieces is a match of its own
-        whole = []
-        for i in rest:
-            lines = pieces[i].split("\n")
-            cut = [plain(x) for x in lines] if len(lines) > 1 and not self.lower else [None]
-            if all(cut) and not any(x[0] == " " for x in lines[1:]):
-                out[i] = self._match("\n").join(self._match(m[1]) + (self._match(m[2]) if m[2] else b"") for m in cut)
-            else:
-                whole.append(i)
-        for i, e in zip(whole, self.batch([pieces[i] for i in whole], add_special_tokens=False), strict=True):
+        for i, e in zip(rest, self.batch([pieces[i] for i in rest], add_special_tokens=False), strict=True):
             out[i] = array("I", e.ids).tobytes()
         return out
 
@@ -162,7 +209,7 @@ def library_encoder(path: str, spaced: bool, specials_as_text: bool = True) -> P
     """
     key = "library", path, specials_as_text
     if key not in _workers:
-        _workers[key] = PieceEncoder(LibraryPieces(path, not spaced, specials_as_text), spaced, 3 * MEMORY // 2)
+        _workers[key] = PieceEncoder(LibraryPieces(path, not spaced, specials_as_text), spaced, 2 * MEMORY, lower=not spaced and specials_as_text)
     return _workers[key]
 
 

@@ -520,3 +520,34 @@ def test_a_word_is_encoded_once_whatever_marks_follow(monkeypatch):
         own = marks[(marks > first) & (marks <= first + len(d))] - first
         assert token_store._ends(len(d), own.tolist()) == token_store.cut_points(d)
         first += len(d)
+
+
+def _asked(name: str, spaced: bool, texts: list[str], memory: int = 1000) -> list[str]:
+    """Pieces that an encoder asks for, over two calls; its ids must be the library's."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from cairn.llm import tokens
+
+    path, asked = public_tokenizers.path(name), []
+    library, pieces = Tokenizer.from_file(path), tokens.LibraryPieces(path, lower=not spaced)
+    library.encode_special_tokens = True
+    encoder = tokens.PieceEncoder(lambda ps: asked.extend(ps) or pieces(ps), spaced, memory, lower=not spaced)
+    want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    for _ in range(2):
+        ids, ends = encoder.encode_joined(texts, end_id=0)
+        assert [x.tolist() for x in np.split(ids, ends)] == [*[[*w, 0] for w in want], []]
+        assert [tokens.as_ids(x).tolist() for x in encoder.encode(texts)] == want
+    return asked
+
+
+#: Capitals that are one character with the mark behind them only in lower case, spaces of other alphabets, an empty text, a long piece.
+_ODD = ["", "H̱ ẖ W̊X", "a b  c \x85 d", "　 x\n y\n z \n\nw", "x" * 90 + ", A" * 3, "end. ", "", "<|endoftext|>|a", ""]
+
+
+def test_word_pieces_leave_marks_and_case_out():
+    asked = _asked("word_bpe_49k.json", False, ["a word, Word; (word word.\nWORD#\nwords word!", "more word:word"])
+    assert [p for p in asked if p.strip().lower() == "word"] == [" word"]
+    assert not any(len(p.strip()) > 1 and p.endswith((",", ";", ".", "#", "!")) for p in asked)
+    _asked("word_bpe_49k.json", False, _ODD)
+    _asked("word_bpe_49k.json", False, _ODD, memory=3)
