@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.llm.tables import table
-from cairn.llm.tokens import as_ids, grouped, library_encoder
+from cairn.llm.tokens import grouped, library_encoder
 
 WINDOW = 1024
 #: Costs in padding ids: of a cut at a sentence's end, and at the grid.
@@ -83,9 +83,8 @@ def cuts(doc_ends: np.ndarray, soft: np.ndarray, window: int = WINDOW) -> np.nda
 _SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def _pieces(docs: list[int | None], ids: list[np.ndarray], ends: np.ndarray, first: int) -> tuple[pa.RecordBatch, int]:
-    stream = np.concatenate(ids)
-    lengths = np.array([len(x) for x in ids])
+def _pieces(docs: list[int | None], ids: list[np.ndarray], sizes: list[np.ndarray], ends: np.ndarray, first: int) -> tuple[pa.RecordBatch, int]:
+    stream, lengths = np.concatenate(ids), np.concatenate(sizes)
     doc_ends = np.cumsum(lengths)
     windows = cuts(doc_ends, np.flatnonzero(ends[stream]) + 1)
     stop = np.union1d(doc_ends, windows)
@@ -101,18 +100,18 @@ def _pieces(docs: list[int | None], ids: list[np.ndarray], ends: np.ndarray, fir
 def _packed(batches: Iterable[pa.RecordBatch], path: str, end_id: int) -> Iterator[pa.RecordBatch]:
     encoder, ends = library_encoder(path, spaced=True), sentence_ends(path)
     first = TaskContext.get().partitionId() << 40
-    end = np.array([end_id], "<u4").tobytes()
-    docs, ids, size = [], [], 0
+    docs, ids, sizes, size = [], [], [], 0
     for rows, texts in grouped(batches):
         docs += rows.column("doc_id").to_pylist()
-        ids += [as_ids(x + end) for x in encoder.encode(texts)]
-        size += sum(len(x) for x in ids[-len(texts) :])
+        stream, upto = encoder.encode_joined(texts, end_id)
+        ids.append(stream), sizes.append(np.diff(upto, prepend=0))
+        size += len(stream)
         if size >= BLOCK:
-            out, n = _pieces(docs, ids, ends, first)
+            out, n = _pieces(docs, ids, sizes, ends, first)
             yield out
-            docs, ids, size, first = [], [], 0, first + n
+            docs, ids, sizes, size, first = [], [], [], 0, first + n
     if docs:
-        yield _pieces(docs, ids, ends, first)[0]
+        yield _pieces(docs, ids, sizes, ends, first)[0]
 
 
 def pack(docs: DataFrame, tokenizer: str, end_id: int = 0) -> DataFrame:

@@ -551,3 +551,11 @@ def test_word_pieces_leave_marks_and_case_out():
     assert not any(len(p.strip()) > 1 and p.endswith((",", ";", ".", "#", "!")) for p in asked)
     _asked("word_bpe_49k.json", False, _ODD)
     _asked("word_bpe_49k.json", False, _ODD, memory=3)
+
+
+def test_spaced_pieces_leave_marks_and_line_ends_out():
+    asked = _asked("byte_bpe_50k.json", True, ["a word, word; word.\nNext line\nNext word!", "more word#\nNext"])
+    assert asked.count(" word") == 1 and asked.count("Next") == 1 and asked.count("\n") == 1
+    assert not any(len(p) > 1 and ("\n" in p or p.endswith((",", ";", ".", "#", "!"))) for p in asked)
+    _asked("byte_bpe_50k.json", True, _ODD)
+    _asked("byte_bpe_50k.json", True, _ODD, memory=3)
