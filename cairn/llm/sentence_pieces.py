@@ -2,10 +2,11 @@
 
 A text becomes symbols of one character. Every pair of neighbours whose union is in the vocabulary stands on an
 agenda ordered by score, then by place; the best is united, and the pairs with its new neighbours join the agenda. Agendas of
-many short parts are the rows of a matrix, that of a long part is a heap.
+many short words are the columns of a matrix, that of a long part is a heap.
 What is left is looked up, unknown characters fall back to bytes. Texts are cut where no piece of the vocabulary
-spans the cut, so parts are encoded alone and remembered. Of each Arrow batch the sentencepiece library encodes the words
-not seen before and decodes every document; rows carry whether its ids and texts agree.
+spans the cut: at single spaces into words that Arrow numbers, so that only distinct ones are Python objects, and texts with other
+spaces into parts. Both are encoded alone and remembered, and Arrow joins the ids of words and the bytes of ids. Of each group of texts the
+sentencepiece library encodes the words not seen before and decodes every document; rows carry whether its ids and texts agree.
 
 Edge cases: null and empty texts have the begin and end ids only and decode to an empty text; repeated rows are
 encoded each; an empty table gives an empty result; other columns of the input are not looked at. U+2581, which stands
@@ -39,8 +40,10 @@ SPACE = "▁"
 LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
 #: What the id of an unknown piece decodes to.
 UNKNOWN = " ⁇ "
-#: Characters of a part whose agenda may be a row of a matrix, and rows of that; a symbol that is in no pair.
-SHORT, ROWS, STRANGE = 40, 8192, 1 << 30
+#: Characters of a part whose agenda may be a column of a matrix, and columns of that; symbols from here on are in no pair.
+SHORT, COLUMNS, STRANGE = 40, 8192, 1 << 30
+#: Words that the library is asked for at once.
+ASKED = 64
 TWO_SPACES = 2 * SPACE
 #: Kinds of pieces in the model's format.
 NORMAL, UNK, CONTROL, BYTE = 1, 2, 3, 6
@@ -51,30 +54,42 @@ MERGES = 2
 codecs.register_error("cairn-each-byte", lambda e: ("�", e.start + 1))
 
 
-def united(m: np.ndarray, pairs: PairTable) -> np.ndarray:
-    """Rows of symbols, padded with -1, with the first of the best pairs united until no row has a pair left."""
-    out, rows, best = np.full_like(m, -1), np.arange(len(m)), pairs.ranks(m[:, :-1], m[:, 1:])
-    while best.shape[1] and len(rows):
-        at = best.argmin(1)
-        whole = best[np.arange(len(rows)), at]
-        if (done := whole == NONE).any():
-            out[rows[done], : m.shape[1]] = m[done]
-            rows, m, best, at, whole = (x[~done] for x in (rows, m, best, at, whole))
-            continue
-        n, width = m.shape
-        row, stay = np.arange(n), np.ones((n, width), bool)
-        stay[row, at + 1] = False
-        m[row, at] = whole
-        m = m[stay].reshape(n, width - 1)
-        # the united pair goes, and the pairs on both sides of it are looked up again
-        stay = np.ones((n, width - 1), bool)
-        stay[row, at] = False
-        best = best[stay].reshape(n, width - 2)
-        for side in (at - 1, at):
-            some = np.flatnonzero((side >= 0) & (side < width - 2))
-            best[some, side[some]] = pairs.ranks(m[some, side[some]], m[some, side[some] + 1])
-    out[rows, : m.shape[1]] = m
-    return out
+def united(symbol: np.ndarray, pairs: PairTable) -> None:
+    """Unites the first of the best pairs of each column until no column has a pair left; a symbol taken in by another becomes -1.
+
+    Columns are padded with -1, and the first and the last row hold nothing else.
+    """
+    height, n = symbol.shape
+    bits = height.bit_length()
+    row = np.arange(height, dtype=np.int32)[:, None]
+
+    def entries(left: np.ndarray, right: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """A pair's rank, then where it begins: the least of a column is the first of its best pairs."""
+        ranks = pairs.ranks(left, right)
+        return np.where(ranks == NONE, NONE, ranks << bits | at)
+
+    agenda = np.full((height, n), NONE)
+    agenda[:-1] = entries(symbol[:-1], symbol[1:], row[:-1])
+    before, after = np.repeat(row - 1, n, 1).ravel(), np.repeat(row + 1, n, 1).ravel()
+    symbol, flat = symbol.ravel(), agenda.ravel()
+    while len(column := np.flatnonzero((best := agenda.min(0)) != NONE)):
+        best = best[column]
+        i, whole = best & ((1 << bits) - 1), best >> bits
+        first = i * n + column
+        second = after[first] * n + column
+        k, h = after[second], before[first]
+        behind, ahead = k * n + column, h * n + column
+        symbol[first], symbol[second], flat[second] = whole, -1, NONE
+        after[first], before[behind] = k, i
+        flat[first] = entries(whole, symbol[behind], i)
+        flat[ahead] = entries(symbol[ahead], whole, h)
+
+
+def joined(values: pa.Array, at: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Of the values at these places joined, one for each stretch of places that ends there."""
+    got = values.take(pa.array(at))
+    bounds = np.frombuffer(got.buffers()[1], np.int64)[np.concatenate([[0], ends])]
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(bounds), got.buffers()[2]])
 
 
 class _Known:
@@ -83,12 +98,13 @@ class _Known:
     def __init__(self, most: int):
         self.young, self.old, self.most = {}, {}, max(1, most // 2)
 
-    def lacking(self, strings: set[str]) -> list[str]:
-        """Those that aren't known; the others are in the younger generation after this."""
+    def lacking(self, strings: Iterable[str]) -> list[str]:
+        """Those of distinct strings that aren't known; the others are in the younger generation after this."""
         if len(self.young) > self.most:
             self.old, self.young = self.young, {}
-        left, old = strings.difference(self.young), self.old
-        self.young.update([(x, old[x]) for x in left if x in old])
+        young, old = self.young, self.old
+        left = [x for x in strings if x not in young]
+        young.update([(x, old[x]) for x in left if x in old])
         return [x for x in left if x not in old]
 
 
@@ -120,7 +136,8 @@ class MergePieces:
         if how.precompiled_charsmap or how.remove_extra_whitespaces or not how.escape_whitespaces or model.trainer_spec.treat_whitespace_as_suffix:
             raise ValueError("only models that leave texts as they are and mark spaces are supported")
         self.library = SentencePieceProcessor(model_file=path)
-        self.begin, self.end = (array("I", [i]).tobytes() for i in (self.library.bos_id(), self.library.eos_id()))
+        self.ends = self.library.bos_id(), self.library.eos_id()
+        self.begin, self.end = (array("I", [i]).tobytes() for i in self.ends)
         self.prefixed = how.add_dummy_prefix
         self.ids = {p.piece: i for i, p in enumerate(pieces) if p.type == NORMAL}
         place = {x: i for i, x in enumerate(sorted({p.score for p in pieces if p.type == NORMAL}, reverse=True))}
@@ -128,21 +145,26 @@ class MergePieces:
         self.order = {p.piece: place[p.score] for p in pieces if p.type == NORMAL}
         self.symbols = _Symbols(self.ids, [byte_ids[b] for b in range(256)])
         self.bytes_of = [b"" if p.type == CONTROL else UNKNOWN.encode() if p.type == UNK else bytes([int(p.piece[3:5], 16)]) if p.type == BYTE else p.piece.replace(SPACE, " ").encode() for p in pieces]
+        self.bytes_values = pa.array(self.bytes_of, pa.large_binary())
         self.control = {i for i, p in enumerate(pieces) if p.type == CONTROL}
+        self.is_control = np.array([p.type == CONTROL for p in pieces])
         self.spaced = {i for p, i in self.ids.items() if p.startswith(SPACE)}
         #: Whether no piece goes on behind a space or a line end inside it.
         self.by_words = not any(SPACE in p.lstrip(SPACE) or "\n" in p for p in self.ids if len(p) > 1)
         self.cut = re.compile(self._cuts()).findall
         #: Parts and words with their ids, and words for which the library gives others.
-        self.parts, self.words, self.wrong = _Known(memory // 4), _Known(3 * memory // 4), set()
-        # numbers of pieces by falling score; rows of a matrix need different scores where pairs are united
+        self.parts, self.words, self.wrong = _Known(memory // 4), _Known(memory), set()
+        # numbers of pieces by falling score; columns of a matrix need different scores where pairs are united
         number = {p: i for i, p in enumerate(sorted(self.ids, key=self.order.get))}
-        self.pairs, self.id_of = PairTable(number), np.array([self.ids[p] for p in number], "<u4")
-        single = sorted((ord(p), i) for p, i in number.items() if len(p) == 1)
-        self.points, self.numbers = (np.array(x) for x in zip(*single, strict=True))
+        self.pairs, self.id_values = PairTable(number), pa.array([self.symbols[p] for p in number], pa.large_binary())
+        #: Code point -> the number of its piece; the last is that of all greater ones.
+        self.numbers = np.full(max(ord(p) for p in number if len(p) == 1) + 2, STRANGE, np.int32)
+        for p, i in number.items():
+            if len(p) == 1:
+                self.numbers[ord(p)] = i
         times = Counter(self.order[p] for p in self.ids if len(p) > 1)
         tied = [p for p in self.ids if len(p) > 1 and times[self.order[p]] > 1]
-        self.single_scores, self.by_rows = not tied, all(TWO_SPACES in p for p in tied)
+        self.single_scores, self.by_columns = not tied, all(TWO_SPACES in p for p in tied)
 
     def _cuts(self) -> str:
         """A pattern of parts that no piece joins with what stands before or behind them."""
@@ -183,27 +205,36 @@ class MergePieces:
         return b"".join(map(self.symbols.__getitem__, self.merged(part)))
 
     def _rows(self, parts: list[str]) -> list[bytes]:
-        """Ids of short parts: their agendas are rows of a matrix, and each round unites the first of the best pairs of every row."""
-        width = max(map(len, parts))
-        points = np.frombuffer("".join(p.ljust(width, "\0") for p in parts).encode("utf-32-le", "surrogatepass"), "<u4").reshape(len(parts), width)
-        known = np.minimum(np.searchsorted(self.points, points), len(self.points) - 1)
-        m = np.where(self.points[known] == points, self.numbers[known], STRANGE).astype(np.int32)
-        m[np.arange(width) >= np.array([len(p) for p in parts])[:, None]] = -1
-        m = united(m, self.pairs)
+        """Ids of short parts: their agendas are columns of a matrix, and each round unites the first of the best pairs of every column."""
+        height = max(map(len, parts))
+        points = np.frombuffer("".join([p.ljust(height, "\0") for p in parts]).encode("utf-32-le", "surrogatepass"), "<u4").reshape(len(parts), height)
+        m = self.numbers[np.minimum(points, len(self.numbers) - 1)]
+        m[np.arange(height) >= np.fromiter(map(len, parts), np.int64, len(parts))[:, None]] = -1
+        values = self.id_values
+        if (strange := m == STRANGE).any():  # characters without a piece have numbers behind those of the pieces
+            found, at = np.unique(points[strange], return_inverse=True)
+            m[strange] += at.astype(np.int32)
+            values = pa.concat_arrays([values, pa.array([self.symbols[chr(c)] for c in found.tolist()], pa.large_binary())])
+        symbol = np.full((height + 2, len(parts)), -1, np.int32)
+        symbol[1:-1] = m.T
+        united(symbol, self.pairs)
+        m = symbol.T
         there = m >= 0
-        flat, ends = m[there], np.cumsum(there.sum(1)) * 4
-        ids, ends = self.id_of[np.minimum(flat, len(self.id_of) - 1)].tobytes(), ends.tolist()
-        out = [ids[x:y] for x, y in zip([0, *ends], ends, strict=False)]
-        for i in np.flatnonzero((m == STRANGE).any(1)).tolist():
-            out[i] = self._part(parts[i])  # characters without a piece
+        at = m[there]
+        return joined(values, np.where(at < STRANGE, at, at - STRANGE + len(self.id_values)), there.sum(1).cumsum()).to_pylist()
+
+    def _alone(self, parts: list[str]) -> dict[str, bytes]:
+        """Ids of parts that are short and may be columns."""
+        short = sorted([p for p in parts if len(p) <= SHORT and (self.single_scores or TWO_SPACES not in p)], key=len) if self.by_columns else []
+        out = {}
+        for x in range(0, len(short), COLUMNS):
+            some = short[x : x + COLUMNS]
+            out.update(zip(some, self._rows(some), strict=True))
         return out
 
     def _learn_parts(self, parts: set[str]) -> None:
         new = self.parts.lacking(parts)
-        short = sorted((p for p in new if len(p) <= SHORT and (self.single_scores or TWO_SPACES not in p)), key=len) if self.by_rows else []
-        for x in range(0, len(short), ROWS):
-            some = short[x : x + ROWS]
-            self.parts.young.update(zip(some, self._rows(some), strict=True))
+        self.parts.young.update(self._alone(new))
         self.parts.young.update((p, self._part(p)) for p in new if p not in self.parts.young)
 
     def _marked(self, marked: list[str]) -> list[bytes]:
@@ -216,43 +247,65 @@ class MergePieces:
             self.parts.young.pop(p, None)
         return out
 
-    def _by_words(self, text: str) -> list[str] | None:
-        """Words that are encoded each with the one space before it; None where the text has other spaces."""
-        plain = self.prefixed and self.by_words and text and "  " not in text and SPACE not in text and text[0] != " " and text[-1] != " "
-        return text.split(" ") if plain else None
+    def _plain(self, text: str) -> bool:
+        """Whether the text's words can be encoded each with the one space before it: it has no other spaces."""
+        return bool(self.prefixed and self.by_words and text and "  " not in text and SPACE not in text and text[0] != " " and text[-1] != " ")
 
-    def _learn(self, words: set[str], check: bool) -> list[str]:
-        """New words are encoded and, with check, compared with the library's ids; they are returned."""
+    def _learn(self, words: list[str], check: bool) -> list[str]:
+        """New words, each with the space before it, are encoded and, with check, compared with the library's ids; they are returned."""
         new = self.words.lacking(words)
-        ids = self._marked([SPACE + w for w in new])
+        marked = [SPACE + w[1:] for w in new]
+        found = self._alone(marked)
+        other = [w for w in marked if w not in found]
+        found.update(zip(other, self._marked(other), strict=True))
+        ids = [found[w] for w in marked]
         self.words.young.update(zip(new, ids, strict=True))
         if check and new:
-            self.wrong.update(w for w, own, i in zip(new, ids, self.library.encode(new, num_threads=1), strict=True) if array("I", i).tobytes() != own)
+            # each is a word of one of some texts; only where a text's ids differ its words are compared one by one, and none passes if no one is found
+            slices = [slice(x, x + ASKED) for x in range(0, len(new), ASKED)]
+            for part, own in zip(slices, self.library.encode(["".join(new[part])[1:] for part in slices], num_threads=1), strict=True):
+                if array("I", own).tobytes() != b"".join(ids[part]):
+                    alone = self.library.encode([w[1:] for w in new[part]], num_threads=1)
+                    self.wrong.update([w for w, own, i in zip(new[part], ids[part], alone, strict=True) if array("I", i).tobytes() != own] or new[part])
         return new
 
-    def encode_batch(self, texts: list[str], check: bool = True) -> tuple[list[bytes], list[bool | None]]:
+    def encode_batch(self, texts: list[str], check: bool = True) -> tuple[pa.Array, list[bool | None]]:
         """Of each whole text: begin id, ids and end id as little-endian unsigned 32-bit integers; with check, whether the library gives the same.
 
         No piece spans the space before a word, so the ids of a text are those of its words; the library encodes each distinct new word of
         a batch, and whole texts that have other spaces.
         """
-        words = [self._by_words(t) for t in texts]
-        new = self._learn(set().union(*filter(None, words)), check)
-        get, out, agrees = self.words.young.__getitem__, [], []
-        other = iter(self._marked([(SPACE + t if self.prefixed and t else t).replace(" ", SPACE) for t, of in zip(texts, words, strict=True) if of is None]))
-        for text, of in zip(texts, words, strict=True):
-            if of is not None:
-                out.append(b"".join([self.begin, *map(get, of), self.end]))
-                agrees.append(not self.wrong or self.wrong.isdisjoint(of))
-            else:
-                out.append(b"".join([self.begin, next(other), self.end]))
-                agrees.append(not check or array("I", self.library.encode(text, add_bos=True, add_eos=True)).tobytes() == out[-1])
+        plain = [self._plain(t) for t in texts]
+        data = np.frombuffer("".join([f" {t}" for t, p in zip(texts, plain, strict=True) if p]).encode(), np.uint8)
+        bounds = np.append(np.flatnonzero(data == 0x20), len(data))
+        cut = pa.LargeStringArray.from_buffers(len(bounds) - 1, pa.py_buffer(bounds), pa.py_buffer(data)).dictionary_encode()
+        words = cut.dictionary.to_numpy(zero_copy_only=False).tolist()
+        new = self._learn(words, check)
+        other = self._marked([(SPACE + t if self.prefixed and t else t).replace(" ", SPACE) for t, p in zip(texts, plain, strict=True) if not p])
+        values = pa.array([*map(self.words.young.__getitem__, words), *other, self.begin, self.end], pa.large_binary())
+        # places of values: begin, the words of a text or a whole other text, end
+        rows = np.array([t.count(" ") + 1 if p else 1 for t, p in zip(texts, plain, strict=True)], np.int64)
+        ends, total = (rows + 2).cumsum(), int(rows.sum()) + 2 * len(rows)
+        at, inner = np.empty(total, np.int64), np.ones(total, bool)
+        whole = (ends - 2)[~np.array(plain, bool)]
+        for place, number in ((ends - rows - 2, len(values) - 2), (ends - 1, len(values) - 1), (whole, len(words) + np.arange(len(other)))):
+            at[place], inner[place] = number, False
+        at[inner] = cut.indices.to_numpy()
+        out = joined(values, at, ends)
         for w in [w for w in new if len(w) > LONGEST]:
             del self.words.young[w]
-        return out, agrees if check else [None] * len(texts)
+        if not check:
+            return out, [None] * len(texts)
+        agrees = []
+        for i, (text, p) in enumerate(zip(texts, plain, strict=True)):
+            if p:
+                agrees.append(not self.wrong or self.wrong.isdisjoint(f" {w}" for w in text.split(" ")))
+            else:
+                agrees.append(array("I", self.library.encode(text, add_bos=True, add_eos=True)).tobytes() == out[i].as_py())
+        return out, agrees
 
     def encode(self, text: str) -> bytes:
-        return self.encode_batch([text], check=False)[0][0]
+        return self.encode_batch([text], check=False)[0][0].as_py()
 
     def _text(self, ids: list[int]) -> str:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "cairn-each-byte")
@@ -267,6 +320,21 @@ class MergePieces:
         text = "".join(map(self._text, runs))
         return text[1:] if self.prefixed and runs and runs[0][0] in self.spaced else text
 
+    def decode_batch(self, encoded: list[np.ndarray]) -> list[str]:
+        """The texts of lists of ids; those between a begin and an end id and without other control ids are joined by Arrow."""
+        ids = np.concatenate([*encoded, np.zeros(0, "<u4")])
+        sizes = np.fromiter(map(len, encoded), np.int64, len(encoded))
+        ends, control = sizes.cumsum(), np.append(0, self.is_control[ids].cumsum())
+        usual = (sizes > 1) & (control[ends] - control[ends - sizes] == 2)
+        texts = joined(self.bytes_values, ids, ends).to_pylist()
+        for i, x in enumerate(encoded):
+            if usual[i] and (x[0], x[-1]) == self.ends:
+                text = texts[i].decode("utf-8", "cairn-each-byte")
+                texts[i] = text[1:] if self.prefixed and len(x) > 2 and int(x[1]) in self.spaced else text
+            else:
+                texts[i] = self.decode(x.tobytes())
+        return texts
+
 
 _workers: dict[str, MergePieces] = {}
 
@@ -285,7 +353,7 @@ def _encoded(batches: Iterable[pa.RecordBatch], path: str, check: bool) -> Itera
     m = model(path)
     for rows, texts in grouped(batches):
         ids, agrees = m.encode_batch(texts, check)
-        yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(ids, pa.binary()), pa.array(agrees, pa.bool_())], names=["doc_id", "ids", "agrees"])
+        yield pa.RecordBatch.from_arrays([rows.column("doc_id"), ids.cast(pa.binary()), pa.array(agrees, pa.bool_())], names=["doc_id", "ids", "agrees"])
 
 
 def encode(docs: DataFrame, path: str, check: bool = True) -> DataFrame:
@@ -295,9 +363,10 @@ def encode(docs: DataFrame, path: str, check: bool = True) -> DataFrame:
 
 
 def _texts(m: MergePieces, ids: list[bytes], agrees: list[bool | None], check: bool) -> tuple[list[str], list[bool | None]]:
-    texts = [m.decode(i) for i in ids]
+    encoded = [as_ids(i) for i in ids]
+    texts = m.decode_batch(encoded)
     if check:
-        agrees = [a is not False and t == own for a, t, own in zip(agrees, texts, m.library.decode([as_ids(i).tolist() for i in ids], num_threads=1), strict=True)]
+        agrees = [a is not False and t == own for a, t, own in zip(agrees, texts, m.library.decode(encoded, num_threads=1), strict=True)]
     return texts, agrees
 
 

@@ -65,6 +65,56 @@ def test_agenda_takes_the_best_pair_then_the_leftmost(pieces):
         assert pieces._rows([part, part + "日é\x00", "▁"])[0] == b"".join(pieces.symbols[s] for s in slow(part))
 
 
+class Asked:
+    """The library; notes the texts that it encodes, and gives other ids for those with a word of changed."""
+
+    def __init__(self, library, changed=()):
+        self.library, self.texts, self.changed = library, [], changed
+
+    def encode(self, texts, **how):
+        if isinstance(texts, str):
+            return self.encode([texts], **how)[0]
+        self.texts += texts
+        return [i[:-1] if set(t.split(" ")).intersection(self.changed) else i for t, i in zip(texts, self.library.encode(texts, **how), strict=True)]
+
+
+def new_words(n, seed):
+    r = random.Random(seed)
+    return list({"".join(r.choice("aeinrsté日.,\n") for _ in range(r.randrange(1, 14))) for _ in range(n)})
+
+
+def test_new_words_of_a_group_are_not_handled_one_by_one(monkeypatch):
+    pieces = sentence_pieces.MergePieces(PATH)
+    words, cuts, cut = new_words(3000, 5), [], pieces.cut
+    asked = Asked(pieces.library)
+    monkeypatch.setattr(pieces, "library", asked)
+    monkeypatch.setattr(pieces, "cut", lambda x: cuts.append(x) or cut(x))
+    texts = [" ".join(words[x : x + 300]) for x in range(0, len(words), 300)] * 2
+    ids, agrees = pieces.encode_batch(texts)
+    assert all(agrees) and len(asked.texts) <= len(words) // 50 and len(cuts) < len(words) // 50
+    want = asked.library.encode(texts, add_bos=True, add_eos=True)
+    assert ids.to_pylist() == [array("I", i).tobytes() for i in want]
+    asked.texts.clear()
+    assert pieces.encode_batch(texts)[0].equals(ids) and not asked.texts
+
+
+def test_texts_with_a_word_that_the_library_encodes_otherwise_do_not_agree(monkeypatch):
+    pieces = sentence_pieces.MergePieces(PATH)
+    words = new_words(1000, 6)
+    monkeypatch.setattr(pieces, "library", Asked(pieces.library, {words[7], words[500]}))
+    texts = [*(" ".join(words[x : x + 100]) for x in range(0, len(words), 100)), "", "  a b"]
+    for _ in range(2):
+        assert pieces.encode_batch(texts)[1] == [x not in (0, 5) for x in range(len(texts))]
+
+
+def test_a_batch_of_any_ids_decodes_as_the_library_does(pieces):
+    r, some = random.Random(7), [0, 1, 2, 259, 28705, *(3 + b for b in (0xE3, 0x81, 0x82, 0xF0, 0x9F, 0xED, 0xA0))]
+    ids = [[r.choice([*some, r.randrange(32000)]) for _ in range(r.randrange(9))] for _ in range(2000)]
+    ids += [[1, *x, 2] for x in ids] + [[1], [2], [1, 2], [1, 28705, 2]]
+    want = [pieces.library.decode(x) for x in ids]
+    assert pieces.decode_batch([sentence_pieces.as_ids(array("I", x).tobytes()) for x in ids]) == want and pieces.decode_batch([]) == []
+
+
 def test_other_models_are_refused(tmp_path):
     from sentencepiece import sentencepiece_model_pb2 as pb
 
