@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cairn.functions import text as T
-from cairn.operators import dictionary, fulltext, trigrams, vector_index
+from cairn.operators import dictionary, fulltext, shelves, trigrams, vector_index
 from cairn.operators import lexical as L
 from cairn.operators import rank as R
 from cairn.plans.registry import query
@@ -80,16 +80,25 @@ df AS (SELECT term, count(*) AS df FROM post GROUP BY term), said AS (SELECT DIS
 ask AS (SELECT qid, term, ln(1 + (SELECT count(*) FROM documents) / df) AS weight FROM said JOIN df USING (term) QUALIFY row_number() OVER (PARTITION BY qid ORDER BY df, term) <= {TERMS})"""
 
 
-def questions(spark: SparkSession, d: str, root: str) -> DataFrame:
-    """qid, term, weight: the user turns of the conversations as questions to the index."""
-    said = load(spark, d, "conversations").where("role = 'user'").select(F.concat_ws(":", "conv_id", "turn").alias("qid"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(L.TERM), 0))).alias("term")).distinct()
-    df = fulltext.frequencies(spark, root, said)
-    n = load(spark, d, "documents").agg(F.count(F.lit(1)).alias("texts"))
+def _said(spark: SparkSession, d: str) -> DataFrame:
+    """qid, term: the terms of the user turns of the conversations."""
+    return load(spark, d, "conversations").where("role = 'user'").select(F.concat_ws(":", "conv_id", "turn").alias("qid"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(L.TERM), 0))).alias("term")).distinct()
+
+
+def _asked_of(said: DataFrame, df: DataFrame, docs: DataFrame) -> DataFrame:
+    """qid, term, weight of questions (qid, term) by how many texts (df) have a term."""
+    n = docs.agg(F.count(F.lit(1)).alias("texts"))
     rare = Window.partitionBy("qid").orderBy("df", "term")
     asked = said.join(df, "term").withColumn("r", F.row_number().over(rare)).where(F.col("r") <= TERMS).crossJoin(F.broadcast(n))  # one row
     return asked.select("qid", "term", F.log(1 + F.col("texts") / F.col("df")).alias("weight"))
 
 
+def questions(spark: SparkSession, d: str, root: str) -> DataFrame:
+    """qid, term, weight: the user turns of the conversations as questions to the index."""
+    said = _said(spark, d)
+    return _asked_of(said, fulltext.frequencies(spark, root, said), load(spark, d, "documents"))
+
+
 def index(spark: SparkSession, d: str) -> str:
     """A new index of all documents."""
     root = versions.shared_folder(spark, "index")
@@ -99,9 +108,10 @@ def index(spark: SparkSession, d: str) -> str:
 
 @query(f"WITH {_QUESTIONS} SELECT qid, id, round(sum(weight * tf / (1 + ln(1 + length))), 6) AS score, row_number() OVER (PARTITION BY qid ORDER BY round(sum(weight * tf / (1 + ln(1 + length))), 6) DESC, id) AS rank FROM ask JOIN post USING (term) GROUP BY qid, id QUALIFY rank <= 40")
 def r01_many_questions(spark, d):
-    """The 40 best texts of every user turn, in one plan over an index of all documents; blocks that can't matter aren't read."""
-    root = index(spark, d)
-    return fulltext.search(spark, root, questions(spark, d, root))[0]
+    """The 40 best texts of every user turn, all turns answered over shelves of all documents; shelves that can't matter aren't read."""
+    place, docs = versions.shared_folder(spark, "shelves"), _docs(spark, d)
+    shelves.write(docs, place)
+    return shelves.search(spark, place, _asked_of(_said(spark, d), shelves.frequencies(spark, place), docs))
 
 
 #: Patterns of ILIKE; the fourth is a user's term whose wildcard is a plain character, the last has no trigram.

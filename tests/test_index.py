@@ -15,7 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cairn.functions import frames
-from cairn.operators import aggregate, dictionary, digests, fulltext, lexical, rank, snapshot, trigrams, upsert, vector_index
+from cairn.operators import aggregate, dictionary, digests, fulltext, lexical, rank, shelves, snapshot, trigrams, upsert, vector_index
 from cairn.sources import versions
 
 WORDS = [f"w{i}" for i in range(60)]
@@ -435,3 +435,37 @@ def test_a_segment_packs_the_rows_of_a_block(spark, tmp_path):
         one = fulltext.entries(spark, root, fulltext.rows(spark, root, ["again", "가나1"], ("ids", "lengths", "tfs"))).select("term", "id", "tf").collect()
         assert {(x["term"], x["id"]): x["tf"] for x in one} == {k: n for k, n in want.items() if k[0] in ("again", "가나1")}
         fulltext.merge(spark, root, fan=2)
+
+
+def test_questions_over_shelves_equal_reading_everything(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(shelves, "TEXTS", 16)
+    monkeypatch.setattr(shelves, "FEWEST", 3)
+    r, texts = random.Random(11), texts_of(400, 11)
+    texts |= {1000 + i: " ".join(r.choices(WORDS, k=r.randrange(300, 900))) for i in range(40)} | {2000 + i: texts[7] for i in range(60)}
+    texts |= {3000: None, 3001: "", 3002: "-", 3003: "W59 w59 only"}
+    docs = spark.createDataFrame(list(texts.items()), "id long, text string")
+    place = str(tmp_path / "shelves")
+    shelves.write(docs, place)
+    counts = {i: collections.Counter(re.findall(lexical.TERM, t.lower())) for i, t in texts.items() if t}
+    df = collections.Counter(t for c in counts.values() for t in c)
+    assert {x["term"]: x["df"] for x in shelves.frequencies(spark, place).collect()} == df
+    asks = {f"q{q}": {t: 0.5 + r.random() for t in r.sample(WORDS, r.choice([1, 3, 30, 60]))} for q in range(25)} | {"rare": {"only": 2.0}, "none": {"absent": 1.0}}
+    asked = spark.createDataFrame([(q, t, w) for q, ts in asks.items() for t, w in ts.items()], "qid string, term string, weight double")
+    got = {(x["qid"], x["rank"]): (x["id"], x["score"]) for x in shelves.search(spark, place, asked, k=9).collect()}
+    want = {}
+    for q, ts in asks.items():
+        scored = [(-round(sum(w * c[t] / (1 + math.log(1 + len(texts[i]))) for t, w in ts.items()), 6), i) for i, c in counts.items() if any(t in c for t in ts)]
+        want |= {(q, place): (i, -s) for place, (s, i) in enumerate(sorted(scored)[:9], 1)}
+    assert {k: i for k, (i, _) in got.items()} == {k: i for k, (i, _) in want.items()} and all(got[k][1] == pytest.approx(s) for k, (_, s) in want.items())
+    assert shelves.search(spark, place, asked.limit(0)).count() == 0
+
+
+def test_shelves_that_cannot_matter_are_not_read(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(shelves, "RUN", 2000)
+    place, read = str(tmp_path / "shelves"), []
+    shelves.write(spark.createDataFrame([(i, "w0 " * (1 + i // 2)) for i in range(200)], "id long, text string"), place)
+    files, whole = shelves._files(spark, place), shelves._read
+    monkeypatch.setattr(shelves, "_read", lambda uri, columns: (read.append((uri, len(columns))), whole(uri, columns))[1])
+    found = shelves._answered(pa.table({"qid": ["a"], "term": ["w0"], "weight": [1.0]}), files, 4)
+    assert found.column("id").to_pylist() == [198, 199, 196, 197] and found.column("rank").to_pylist() == [1, 2, 3, 4]
+    assert len(files) > 4 and [u for u, n in read if n > 2] == files[:1]
