@@ -73,11 +73,9 @@ def r08_gate_then_dedupe(spark, d):
     return R.searched(hits, docs, "source", 20)
 
 
-#: Terms of a question: of its distinct terms those that fewest texts have.
-TERMS = 6
 _QUESTIONS = f"""tok AS (SELECT doc_id AS id, length(text) AS length, unnest({TOKENS}) AS term FROM documents), post AS (SELECT term, id, count(*) AS tf, any_value(length) AS length FROM tok GROUP BY term, id),
 df AS (SELECT term, count(*) AS df FROM post GROUP BY term), said AS (SELECT DISTINCT conv_id || ':' || turn AS qid, unnest({TOKENS}) AS term FROM conversations WHERE role = 'user'),
-ask AS (SELECT qid, term, ln(1 + (SELECT count(*) FROM documents) / df) AS weight FROM said JOIN df USING (term) QUALIFY row_number() OVER (PARTITION BY qid ORDER BY df, term) <= {TERMS})"""
+ask AS (SELECT qid, term, ln(1 + (SELECT count(*) FROM documents) / df) AS weight FROM said JOIN df USING (term))"""
 
 
 def _said(spark: SparkSession, d: str) -> DataFrame:
@@ -86,10 +84,9 @@ def _said(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _asked_of(said: DataFrame, df: DataFrame, docs: DataFrame) -> DataFrame:
-    """qid, term, weight of questions (qid, term) by how many texts (df) have a term."""
+    """qid, term, weight of questions (qid, term), all their terms, by how many texts (df) have a term."""
     n = docs.agg(F.count(F.lit(1)).alias("texts"))
-    rare = Window.partitionBy("qid").orderBy("df", "term")
-    asked = said.join(df, "term").withColumn("r", F.row_number().over(rare)).where(F.col("r") <= TERMS).crossJoin(F.broadcast(n))  # one row
+    asked = said.join(df, "term").crossJoin(F.broadcast(n))  # one row
     return asked.select("qid", "term", F.log(1 + F.col("texts") / F.col("df")).alias("weight"))
 
 

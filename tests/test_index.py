@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from cairn.functions import frames
 from cairn.operators import aggregate, dictionary, digests, fulltext, lexical, rank, shelves, snapshot, trigrams, upsert, vector_index
+from cairn.plans import search
 from cairn.sources import versions
 
 WORDS = [f"w{i}" for i in range(60)]
@@ -469,3 +470,12 @@ def test_shelves_that_cannot_matter_are_not_read(spark, tmp_path, monkeypatch):
     found = shelves._answered(pa.table({"qid": ["a"], "term": ["w0"], "weight": [1.0]}), files, 4)
     assert found.column("id").to_pylist() == [198, 199, 196, 197] and found.column("rank").to_pylist() == [1, 2, 3, 4]
     assert len(files) > 4 and [u for u, n in read if n > 2] == files[:1]
+
+
+def test_all_terms_of_a_question_count(spark, tmp_path):
+    words = "aa bb cc dd ee ff gg hh ii".split()
+    spark.createDataFrame([(i, " ".join(words[i:])) for i in range(9)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")  # the last word is in all texts
+    spark.createDataFrame([("c", 1, "user", " ".join(words)), ("c", 2, "system", "ii")], "conv_id string, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    assert sorted(r["id"] for r in search.r01_many_questions(spark, str(tmp_path)).collect()) == list(range(9))
+    root = search.index(spark, str(tmp_path))
+    assert sorted(r["term"] for r in search.questions(spark, str(tmp_path), root).collect()) == words
