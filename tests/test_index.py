@@ -479,3 +479,18 @@ def test_all_terms_of_a_question_count(spark, tmp_path):
     assert sorted(r["id"] for r in search.r01_many_questions(spark, str(tmp_path)).collect()) == list(range(9))
     root = search.index(spark, str(tmp_path))
     assert sorted(r["term"] for r in search.questions(spark, str(tmp_path), root).collect()) == words
+
+
+def test_few_windows_without_a_name_pass():
+    r = random.Random(2)
+    names = sorted({"".join(r.choices("abcdefgh ", k=r.randrange(8, 60))) for _ in range(40000)})
+    hashed = list(dictionary._hashed_names([pa.RecordBatch.from_pydict({"name": names})]))
+    known = np.zeros(1 << dictionary.WORDS, np.uint64)
+    for b in dictionary._bitmap(dictionary._hashed_beginnings(hashed)):
+        known[b.column("word").to_numpy()] = b.column("bits").to_numpy().view(np.uint64)
+    texts = ["".join(r.choices("abcdefgh ", k=400)) for _ in range(1000)] + [f"é{n}é" for n in names[::400]] + ["", None, names[0] + names[1]]
+    bits = type("Sent", (), {"value": known})
+    found = [x for b in dictionary._windows([pa.RecordBatch.from_pydict({"id": list(range(len(texts))), "text": texts})], sorted({len(n) for n in names}), bits) for x in b.to_pylist()]
+    want = {(i, n) for i, t in enumerate(texts[1000:], 1000) if t for n in names if n in t}
+    assert want <= {(x["id"], x["window"].decode()) for x in found}
+    assert len(found) < len(want) + 100  # of some 20 million windows; 11,469 of the first thousand texts passed before
